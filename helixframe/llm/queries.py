@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import htmltext, langid, nbsvm, ogg, pii, simhash, toxicity, wumanber
+from helixframe.llm import debruijn, htmltext, langid, nbsvm, ogg, pii, simhash, toxicity, wumanber
 from helixframe.llm.learning import fold
 
 
@@ -35,6 +35,10 @@ def op5_pii(spark, sf_dir):
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
+def op6_debruijn(spark, sf_dir):
+    return debruijn.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op7_wumanber(spark, sf_dir):
     return wumanber.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -55,5 +59,5 @@ def op10_htmltext(spark, sf_dir):
     return htmltext.main_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_ogg, op5_pii, op7_wumanber, op8_toxicity, op9_nbsvm, op10_htmltext)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_ogg, op5_pii, op6_debruijn, op7_wumanber, op8_toxicity, op9_nbsvm, op10_htmltext)}
 ORACLES = {"op7_wumanber": wumanber.SQL}
