@@ -13,7 +13,7 @@ from helixframe.llm.common import map_rows
 from helixframe.llm.learning import fold, sample
 
 #: Training defaults: labelled documents a language at most, hash bits, embedding width, passes, learning rate.
-PER_CLASS, BITS, WIDTH, PASSES, RATE = 1500, 15, 16, 4, 0.5
+PER_CLASS, BITS, WIDTH, PASSES, RATE = 800, 15, 16, 5, 0.5
 #: Share of the sample's correct predictions that the rejection threshold may refuse.
 REFUSED = 0.01
 UNKNOWN = "und"
@@ -76,7 +76,7 @@ def train(data: list[tuple[str, str]], passes: int = PASSES, rate: float = RATE)
     rows = []
     for t, y in data:
         ids, n = np.unique(subwords(t), return_counts=True)
-        rows.append((ids, (n / max(1, n.sum())).astype(np.float32), languages.index(y)))
+        rows.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32), languages.index(y)))
     held = np.arange(len(rows)) % 10 == 9
     learn = np.flatnonzero(~held)
     for k in range(passes):

@@ -13,7 +13,7 @@ from helixframe.llm.common import map_rows
 from helixframe.llm.learning import fold, platt, sample
 
 #: Training defaults: labelled documents a class at most, hash bits, n-gram lengths in bytes, smoothing, cost, passes.
-PER_CLASS, BITS, SIZES, ALPHA, COST, PASSES = 2500, 17, (1, 2, 3, 4), 1.0, 1.0, 15
+PER_CLASS, BITS, SIZES, ALPHA, COST, PASSES = 2000, 17, (1, 2, 3, 4), 1.0, 1.0, 15
 _MIX = np.uint32(2654435761)
 
 
@@ -28,7 +28,7 @@ def grams(text: str | None, bits: int = BITS, sizes: tuple[int, ...] = SIZES) ->
             v = (v[:-1] << np.uint32(8)) | a[n - 1 :] if len(v) else v
         if n in sizes:
             seen[((v + np.uint32(n * 40503)) * _MIX) >> np.uint32(32 - bits)] = True
-    return np.flatnonzero(seen)
+    return np.flatnonzero(seen).astype(np.int32)
 
 
 @dataclass
@@ -50,7 +50,7 @@ class Model:
 def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float, passes: int) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss: one multiplier a row, clipped to its box; rows have unit length but for the ratios."""
     w, b, rng = np.zeros(len(ratio)), 0.0, np.random.default_rng(0)
-    x = [ratio[r] / math.sqrt(len(r) or 1) for r in rows]
+    x = [(ratio[r] / math.sqrt(len(r) or 1)).astype(np.float32) for r in rows]
     q = np.array([float(v @ v) + 1 for v in x])
     most = cost * np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
     alpha = np.zeros(len(rows))
