@@ -95,16 +95,23 @@ def train(rows: list[tuple[str, int]], passes: int = PASSES, l1: float = L1) ->
     y = np.array([y for _, y in rows], float)
     if len(set(y)) < 2:
         return constant
-    bags = [[{x for w in set(s.split()) for x in features(w)} for s in folded(t).split(b"\n")] for t, _ in rows]
+    flat = [folded(t) for t, _ in rows]
+
+    def telling(text: bytes) -> set[str]:
+        return {x for w in set(text.split()) for x in features(w)}
+
     toxic, other = Counter(), Counter()
-    for b, label in zip(bags, y):
-        (toxic if label else other).update(set().union(*b))
+    for t in (t for t, label in zip(flat, y) if label):
+        toxic.update(telling(t))
+    toxic = Counter({x: n for x, n in toxic.items() if n >= LEAST_DOCS})
+    for t in (t for t, label in zip(flat, y) if not label):
+        other.update(telling(t) & toxic.keys())
     lift = LEAST_LIFT * y.sum() / (len(y) - y.sum())
-    vocabulary = {w: k for k, w in enumerate(sorted(w for w, n in toxic.items() if n >= LEAST_DOCS and n >= lift * (other[w] + 0.5)))}
+    vocabulary = {w: k for k, w in enumerate(sorted(w for w, n in toxic.items() if n >= lift * (other[w] + 0.5)))}
     feature, sentence, doc_of = [], [], []
-    for d, b in enumerate(bags):
-        for s in b:
-            ids = [vocabulary[x] for x in s if x in vocabulary]
+    for d, t in enumerate(flat):
+        for s in t.split(b"\n"):
+            ids = sorted({vocabulary[x] for w in s.split() for x in features(w) if x in vocabulary})
             if ids:
                 feature += ids
                 sentence += [len(doc_of)] * len(ids)
