@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import debruijn, htmltext, langid, nbsvm, ogg, pii, simhash, toxicity, wumanber
+from helixframe.llm import debruijn, htmltext, langid, nbsvm, ogg, packing, pii, simhash, toxicity, wumanber
 from helixframe.llm.learning import fold
 
 
@@ -31,6 +31,17 @@ def op3_ogg(spark, sf_dir):
     return ogg.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer file that the packing query uses; it is read in place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_pii(spark, sf_dir):
     return pii.report(_table(spark, sf_dir, "documents"))
 
@@ -59,5 +70,5 @@ def op10_htmltext(spark, sf_dir):
     return htmltext.main_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_ogg, op5_pii, op6_debruijn, op7_wumanber, op8_toxicity, op9_nbsvm, op10_htmltext)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_ogg, op4_packing, op5_pii, op6_debruijn, op7_wumanber, op8_toxicity, op9_nbsvm, op10_htmltext)}
 ORACLES = {"op7_wumanber": wumanber.SQL}
