@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -171,3 +172,119 @@ def simhash_groups(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFr
     """
     out = components(cut(fingerprints(docs, words)), distance)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For deduplication at a similarity: 64-bit lanes of a wide fingerprint, bytes of a block.
+LANES, BLOCK_BYTES = 8, 3
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """A fingerprint of 64 * LANES bits: each lane has the hashes mixed with another constant."""
+    return b"".join(fingerprint(_mixed(hashes + np.uint64((k * 0x9E3779B97F4A7C15) % 2**64))).to_bytes(8, "little", signed=True) for k in range(LANES))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def radius(similarity: float) -> int:
+    """The Hamming distance that shingle sets of equal size and this Jaccard similarity have on average."""
+    return round(64 * LANES * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def _compare_wide(distance: int, bucket: int | None):
+    """Streams rows (key, id, fp) sorted by key; yields links (a, b, 0) or, for buckets over the size, their rows (id, key, 1)."""
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("kind", pa.int32())])
+
+    def near_links(ids: np.ndarray, fps: np.ndarray):
+        todo, left = [0], np.arange(1, len(ids))
+        while len(left):
+            if not todo:
+                todo, left = [left[0]], left[1:]
+                continue
+            at = todo.pop()
+            near = np.bitwise_count(fps[left] ^ fps[at]).sum(1, dtype=np.int64) <= distance
+            yield from ((int(ids[at]), int(ids[x]), 0) for x in left[near])
+            todo += left[near].tolist()
+            left = left[~near]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size, current, over = 0, None, False
+
+        def closed():
+            if size > 1 and not over:
+                yield from near_links(np.concatenate([i for i, _ in held]), np.concatenate([f for _, f in held]))
+
+        for batch in batches:
+            links: list[tuple[int, int, int]] = []
+            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, LANES)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for s, e in zip(cuts, cuts[1:]):
+                if keys[s] != current:
+                    links += closed()
+                    held, size, current, over = [], 0, keys[s], False
+                size += e - s
+                if over:
+                    links += [(int(i), int(current), 1) for i in ids[s:e]]
+                    continue
+                held.append((ids[s:e], fps[s:e]))
+                if bucket is not None and size > bucket:
+                    links += [(int(i), int(current), 1) for part, _ in held for i in part]
+                    held, over = [], True
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*links), arrow)], schema=arrow)
+        if links := list(closed()):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*links), arrow)], schema=arrow)
+
+    return run
+
+
+def _block_keys(fp: str) -> list:
+    n = 8 * LANES // BLOCK_BYTES
+    return [(F.conv(F.hex(F.substring(fp, BLOCK_BYTES * i + 1, BLOCK_BYTES)), 16, 10).cast("long") + F.lit(i << 8 * BLOCK_BYTES)).alias(f"k{i}") for i in range(n)]
+
+
+def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+    """doc_id of one document, the smallest, of each group of near duplicates of (doc_id, text).
+
+    Two wide fingerprints a document: of its distinct words, whose blocks of 24 bits are the join keys, and of its word
+    shingles, which must lie within the distance of the similarity. A few edits change few words but many shingles, so
+    a pair at the threshold shares a block with a chance of about 0.97, and nearer ones more; blocks of 24 bits keep
+    chance meetings rare in large tables. A bucket over the size is keyed anew by blocks of the shingles' fingerprint.
+    Texts without words are copies of one another. Rows without a doc_id are left out.
+    """
+
+    def make():
+        def f(doc_id, text):
+            return [(doc_id, wide_fingerprint(np.unique(shingle_hashes(text, 1))), wide_fingerprint(shingle_hashes(text, words)))]
+
+        return f
+
+    prints = map_rows(docs.select("doc_id", "text").where("doc_id is not null"), make, "doc_id long, bag binary, fp binary")
+    nodes = cut(prints.groupBy("bag", "fp").agg(F.min("doc_id").alias("id")))
+    spark, limit = docs.sparkSession, radius(similarity)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+    def compared(rows: DataFrame, most: int | None) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_compare_wide(limit, most), "a long, b long, kind int")
+
+    out = cut(compared(nodes.select(F.explode(F.array(*_block_keys("bag"))).alias("key"), "id", "fp"), bucket))
+    links, full = out.where("kind = 0").select("a", "b"), out.where("kind = 1").select(F.col("a").alias("id"), F.col("b").alias("bucket"))
+    if not full.isEmpty():
+        again = full.select("id").distinct().join(nodes, "id").select(F.explode(F.array(*_block_keys("fp"))).alias("key"), "id", "fp")
+        links = links.union(compared(again, None).select("a", "b"))
+    roots = connected_components(links)
+    return nodes.join(roots, nodes.id == roots.node, "left").where("root is null or root = id").select(F.col("id").alias("doc_id")).distinct()
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, with all their columns, but for near duplicates of a document with a smaller doc_id.
+
+    Rows without a doc_id stay; rows that share one stay or go together.
+    """
+    gone = docs.select("doc_id").where("doc_id is not null").distinct().join(representatives(docs, words, similarity), "doc_id", "left_anti")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
