@@ -1,16 +1,511 @@
-"""Queries over the driver's tables, one per operator family, with a DuckDB oracle each."""
+"""Queries over the driver's tables, one per operator family, each with DuckDB SQL for the same rows.
+
+The tables have no reads or genomes, so each query gives an operator a view of them in the operator's shape: orders are
+intervals, users are sequences, halves of a month are samples, letters of texts are bases.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FLAGSHIP = "scan_contigs"
+from helixframe.functions import identity, sequence, statistics
+from helixframe.operators import classify, cohort, differential, intervals, junctions, pileup, sites, subclonal
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+FLAGSHIP = "audit_summary"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, and its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _seconds(c):
+    return F.unix_timestamp(c).cast("long")
+
+
+def _day(c):
+    return F.unix_date(F.to_date(c)).cast("long")
+
+
+# --- differences ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')")
+def subtract_exact_set(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    return differential.subtract_set(o.where("o_orderstatus = 'F'").select("o_custkey").distinct(), o.where("o_orderstatus = 'O'"), ["o_custkey"])
+
+
+@query("SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F' EXCEPT ALL SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O'")
+def subtract_multiset(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    keys = ["o_custkey", "o_orderpriority"]
+    return differential.subtract_multiset(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), keys, ["o_orderkey"]).select(*keys)
+
+
+@query(
+    "SELECT l_partkey, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS ship_day, min((l_quantity, l_orderkey, l_linenumber))[1] AS quantity, min((l_quantity, l_orderkey, l_linenumber))[2] AS orderkey, "
+    "array_to_string(list_sort(list(DISTINCT l_orderkey)), ',') AS ids FROM lineitem GROUP BY ALL"
+)
+def coalesce_groups(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").withColumn("ship_day", _day("l_shipdate"))
+    out = differential.coalesce_events(rows, ["l_partkey", "ship_day"], ["l_quantity", "l_orderkey", "l_linenumber"], "l_orderkey")
+    return out.select("l_partkey", "ship_day", F.col("l_quantity").alias("quantity"), F.col("l_orderkey").alias("orderkey"), F.array_join("ids", ",").alias("ids"))
+
+
+def _tolerant(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", _seconds("ts").alias("at"))
+    return differential.tolerant_candidates(e.where("event_type = 'purchase'").drop("event_type"), e.where("event_type = 'click'").drop("event_type"), ["user_id"], "at", tolerance=7200)
+
+
+_CANDIDATES = (
+    "WITH e AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS at FROM events), c AS (SELECT a.event_id AS edited_id, b.event_id AS starter_id, abs(a.at - b.at) AS d "
+    "FROM e a JOIN e b USING (user_id) WHERE a.event_type = 'purchase' AND b.event_type = 'click' AND abs(a.at - b.at) <= 7200) "
+)
+
+
+@query(_CANDIDATES + "SELECT edited_id, starter_id, d AS max_delta, d AS sum_delta FROM c")
+def tolerant_band_candidates(spark, sf_dir):
+    return _tolerant(spark, sf_dir)
+
+
+@query(
+    _CANDIDATES + "SELECT m.edited_id, m.starter_id FROM (SELECT edited_id, starter_id, row_number() OVER (PARTITION BY edited_id ORDER BY d, starter_id) AS r FROM c) m "
+    "JOIN (SELECT edited_id, starter_id, row_number() OVER (PARTITION BY starter_id ORDER BY d, edited_id) AS r FROM c) t ON m.edited_id = t.edited_id AND m.starter_id = t.starter_id WHERE m.r = 1 AND t.r = 1"
+)
+def mutual_nearest_pairs(spark, sf_dir):
+    return differential.mutual_nearest(_tolerant(spark, sf_dir))
+
+
+@query(_CANDIDATES + "SELECT edited_id, starter_id, count(*) OVER (PARTITION BY edited_id) AS edited_degree, count(*) OVER (PARTITION BY starter_id) AS starter_degree FROM c")
+def candidate_multiplicity(spark, sf_dir):
+    return differential.multiplicity(_tolerant(spark, sf_dir)).select("edited_id", "starter_id", "edited_degree", "starter_degree")
+
+
+@query()
+def tolerant_one_to_one(spark, sf_dir):
+    """Cheapest maximum matching of the candidates by user; a search, tested against all matchings of small graphs."""
+    c = _tolerant(spark, sf_dir)
+    users = _t(spark, sf_dir, "events").select(F.col("event_id").alias("edited_id"), "user_id")
+    return differential.one_to_one(c.join(users, "edited_id"), ["user_id"])
+
+
+@query(
+    "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'only_a' ELSE 'only_b' END AS side FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT') a "
+    "FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '5-LOW') b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL"
+)
+def key_leftovers(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderpriority")
+    return cohort.leftovers(o.where("o_orderpriority = '1-URGENT'"), o.where("o_orderpriority = '5-LOW'"), ["k"])
+
+
+@query("SELECT count(*) AS missing FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))")
+def referential_gate(spark, sf_dir):
+    return differential.missing_references(_t(spark, sf_dir, "orders"), "o_custkey", _t(spark, sf_dir, "customer"), "c_custkey").agg(F.count("*").alias("missing"))
+
+
+# --- intervals and runs -----------------------------------------------------------------------------------------------
+
+
+def _order_spans(spark, sf_dir):
+    """Orders as intervals from the order's day to its last shipment's."""
+    ship = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(_day("l_shipdate")).alias("ship"))
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("key"), _day("o_orderdate").alias("a"))
+    return o.join(ship, "o_orderkey").select("o_orderkey", "key", F.least("a", "ship").alias("a"), F.greatest("a", "ship").alias("b"))
+
+
+_SPANS = (
+    "WITH s AS (SELECT o_orderkey, o_custkey AS key, least(a, ship) AS a, greatest(a, ship) AS b FROM (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS a FROM orders) "
+    "JOIN (SELECT l_orderkey AS o_orderkey, max(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) AS ship FROM lineitem GROUP BY 1) USING (o_orderkey)) "
+)
+
+
+def _pairs(spark, sf_dir, within):
+    s = _order_spans(spark, sf_dir)
+    other = s.select(F.col("o_orderkey").alias("other"), "key", F.col("a").alias("c"), F.col("b").alias("d"))
+    return intervals.window_join(s, other, ["key"], ("a", "b"), ("c", "d"), within, 64).where("o_orderkey < other")
+
+
+@query(_SPANS + "SELECT x.o_orderkey, y.o_orderkey AS other FROM s x JOIN s y ON x.key = y.key AND x.a <= y.b AND y.a <= x.b AND x.o_orderkey < y.o_orderkey")
+def interval_overlap(spark, sf_dir):
+    return _pairs(spark, sf_dir, 0).select("o_orderkey", "other")
+
+
+@query(_SPANS + "SELECT x.o_orderkey, y.o_orderkey AS other, greatest(0, x.a - y.b, y.a - x.b) AS distance FROM s x JOIN s y ON x.key = y.key AND greatest(0, x.a - y.b, y.a - x.b) <= 50 AND x.o_orderkey < y.o_orderkey")
+def window_association(spark, sf_dir):
+    return _pairs(spark, sf_dir, 50).select("o_orderkey", "other", "distance")
+
+
+@query(
+    _SPANS + "SELECT o_orderkey, other, distance FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY distance, other) AS r FROM (SELECT x.o_orderkey, y.o_orderkey AS other, "
+    "greatest(0, x.a - y.b, y.a - x.b) AS distance FROM s x JOIN s y ON x.key = y.key AND greatest(0, x.a - y.b, y.a - x.b) <= 50 AND x.o_orderkey < y.o_orderkey)) WHERE r = 1"
+)
+def primary_association(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir, 50).select("o_orderkey", "other", "distance")
+    return intervals.best_of(pairs, ["o_orderkey"], [F.col("distance"), F.col("other")])
+
+
+@query(
+    "WITH p AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS at FROM events WHERE event_type = 'purchase'), f AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS at, CAST(event_id AS VARCHAR) AS name FROM events WHERE event_type = 'view') "
+    "SELECT event_id, coalesce(up_end, -1) AS up_end, coalesce(down_start, -1) AS down_start FROM (SELECT p.event_id, max(f.at) FILTER (f.at < p.at) AS up_end, min(f.at) FILTER (f.at > p.at) AS down_start FROM p LEFT JOIN f USING (user_id) GROUP BY 1)"
+)
+def nearest_feature_updown(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", _seconds("ts").alias("at"))
+    p = e.where("event_type = 'purchase'").select("event_id", "user_id", "at")
+    f = e.where("event_type = 'view'").select("user_id", "at", F.col("at").alias("stop"), F.col("event_id").alias("name"))
+    return intervals.nearest(p, f, ["user_id"], "at", "at", "stop", "name").select("event_id", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("up_end", "down_start")))
+
+
+def _hours(spark, sf_dir):
+    """Events of each user by hour, dense between each user's first and last."""
+    e = _t(spark, sf_dir, "events").select("user_id", F.floor(_seconds("ts") / 21600).alias("pos"))
+    counts = e.groupBy("user_id", "pos").agg(F.count("*").alias("unique_depth"))
+    bounds = e.groupBy("user_id").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+    return intervals.dense(counts, ["user_id"], "pos", bounds, ["unique_depth"])
+
+
+_HOURS = (
+    "WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) // 21600 AS pos FROM events), d AS (SELECT x.user_id, x.pos, coalesce(c.n, 0) AS depth FROM (SELECT user_id, unnest(range(min(pos), max(pos) + 1)) AS pos FROM e GROUP BY user_id) x "
+    "LEFT JOIN (SELECT user_id, pos, count(*) AS n FROM e GROUP BY ALL) c ON x.user_id = c.user_id AND x.pos = c.pos), "
+    "cut AS (SELECT user_id, CAST(greatest(2, list_sort(list(depth))[len(list(depth)) // 2 + 1] // 4) AS BIGINT) AS cutoff FROM d WHERE depth > 0 GROUP BY user_id) "
+)
+
+
+@query(_HOURS + "SELECT user_id, pos, depth FROM d")
+def dense_axis(spark, sf_dir):
+    return _hours(spark, sf_dir).select("user_id", "pos", F.col("unique_depth").alias("depth"))
+
+
+@query(_HOURS + "SELECT user_id, cutoff FROM cut")
+def coverage_cutoff(spark, sf_dir):
+    return intervals.coverage_cutoff(_hours(spark, sf_dir), ["user_id"])
+
+
+@query(
+    _HOURS + "SELECT user_id, start_0, end_0 FROM (SELECT user_id, isl, min(pos) FILTER (depth = 0) AS start_0, max(pos) + 1 AS end_0 FROM (SELECT d.user_id, pos, depth, cutoff, "
+    "count(*) FILTER (depth >= cutoff) OVER (PARTITION BY d.user_id ORDER BY pos) AS isl FROM d JOIN cut ON d.user_id = cut.user_id) WHERE depth < cutoff GROUP BY user_id, isl) WHERE end_0 - start_0 >= 3"
+)
+def missing_coverage_islands(spark, sf_dir):
+    d = _hours(spark, sf_dir)
+    return intervals.missing_coverage(d, ["user_id"], "pos", intervals.coverage_cutoff(d, ["user_id"]), 3)
+
+
+@query(
+    _SPANS + ", u AS (SELECT key, a AS pos, 1 AS d FROM s UNION ALL SELECT key, b + 1, -1 FROM s) SELECT key, pos, CAST(sum(sum(d)) OVER (PARTITION BY key ORDER BY pos) AS BIGINT) AS depth FROM u GROUP BY key, pos"
+)
+def depth_events(spark, sf_dir):
+    return intervals.depth_of(_order_spans(spark, sf_dir), ["key"], "a", "b")
+
+
+@query(
+    "SELECT l_orderkey, l_returnflag, min(l_linenumber) AS first_line, max(l_linenumber) AS last_line, count(*) AS n FROM (SELECT l_orderkey, l_returnflag, l_linenumber, "
+    "l_linenumber - row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS run FROM (SELECT DISTINCT l_orderkey, l_returnflag, l_linenumber FROM lineitem)) GROUP BY l_orderkey, l_returnflag, run"
+)
+def adjacent_run_merge(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber").distinct()
+    runs = intervals.adjacent_runs(rows, ["l_orderkey", "l_returnflag"], "l_linenumber")
+    return runs.groupBy("l_orderkey", "l_returnflag", "run").agg(F.min("l_linenumber").alias("first_line"), F.max("l_linenumber").alias("last_line"), F.count("*").alias("n")).drop("run")
+
+
+# --- pileup and calls -------------------------------------------------------------------------------------------------
+
+_LETTER = "CASE WHEN l_returnflag = 'R' THEN 'C' WHEN l_returnflag = 'A' THEN 'A' WHEN l_tax > 0.04 THEN '-' ELSE 'G' END"
+
+
+def _columns(spark, sf_dir):
+    """Line items as observations: the part is the position, the return flag the base, the line status the strand."""
+    return _t(spark, sf_dir, "lineitem").select("l_partkey", F.expr(_LETTER).alias("base"), (F.col("l_linestatus") == "F").alias("minus"), F.lit("A").alias("ref"))
+
+
+_CALLS = (
+    f"WITH o AS (SELECT l_partkey, {_LETTER} AS base, l_linestatus = 'F' AS minus FROM lineitem), c AS (SELECT l_partkey, base, count(*) AS n, count(*) FILTER (NOT minus) AS f FROM o GROUP BY ALL), "
+    "t AS (SELECT l_partkey, sum(n) AS depth, sum(f) AS plus FROM c GROUP BY 1), b AS (SELECT c.*, depth, plus, row_number() OVER (PARTITION BY c.l_partkey ORDER BY n DESC, "
+    "CASE base WHEN '-' THEN 0 WHEN 'G' THEN 2 WHEN 'C' THEN 3 ELSE 4 END) AS r FROM c JOIN t ON c.l_partkey = t.l_partkey), "
+    "k AS (SELECT l_partkey, CAST(depth AS BIGINT) AS depth, n, base, CASE WHEN depth < 5 THEN 'insufficient' WHEN n / depth < 0.4 OR base = 'A' THEN 'ref' WHEN plus > 0 AND depth > plus AND (f = 0 OR f = n) THEN 'strand_bias' "
+    "WHEN base = '-' THEN 'del' ELSE 'snp' END AS call FROM b WHERE r = 1) "
+)
+
+
+@query(_CALLS + "SELECT l_partkey, call, CASE WHEN call IN ('snp', 'del') THEN base END AS alt, depth, CASE WHEN call IN ('snp', 'del') THEN n END AS support, round(CASE WHEN call IN ('snp', 'del') THEN n / depth END, 9) AS frequency FROM k")
+def consensus_call(spark, sf_dir):
+    calls = pileup.base_consensus(_columns(spark, sf_dir), ["l_partkey"], "base", F.col("minus"), "ref", 5, 0.4)
+    return calls.withColumn("frequency", F.round("frequency", 9))
+
+
+@query(
+    _CALLS + "SELECT kind, n, count(*) AS runs FROM (SELECT CASE WHEN call = 'del' THEN 'DEL' WHEN count(*) = 1 THEN 'SNP' ELSE 'SUB' END AS kind, count(*) AS n FROM (SELECT l_partkey, call, run, CASE WHEN call = 'del' THEN (row_number() OVER "
+    "(PARTITION BY call, run ORDER BY l_partkey) - 1) // 2 ELSE 0 END AS part FROM (SELECT l_partkey, call, l_partkey - row_number() OVER (PARTITION BY call ORDER BY l_partkey) AS run FROM k WHERE call IN ('snp', 'del'))) GROUP BY call, run, part) GROUP BY kind, n"
+)
+def merged_call_runs(spark, sf_dir):
+    calls = pileup.base_consensus(_columns(spark, sf_dir), ["l_partkey"], "base", F.col("minus"), "ref", 5, 0.4)
+    merged = pileup.merged_calls(calls.withColumn("chrom", F.lit("p")), ["chrom"], "l_partkey")
+    return merged.groupBy("kind", F.col("size").alias("n")).agg(F.count("*").alias("runs"))
+
+
+@query(
+    "WITH d AS (SELECT user_id, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS day, count(*) AS total, count(*) FILTER (event_type = 'error') AS wrong FROM events GROUP BY ALL), "
+    "w AS (SELECT *, sum(total) OVER r - total AS n, sum(wrong) OVER r - wrong AS bad FROM d WINDOW r AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING)) "
+    "SELECT user_id, day, round(CASE WHEN n >= 10 THEN bad / n ELSE 0.005 END, 9) AS error_rate FROM w"
+)
+def local_error_window(spark, sf_dir):
+    d = _t(spark, sf_dir, "events").groupBy("user_id", _day("ts").alias("day")).agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "error").alias("wrong"))
+    return pileup.local_error(d, ["user_id"], "day", "wrong", "total", 5, 10).select("user_id", "day", F.round("error_rate", 9).alias("error_rate"))
+
+
+# --- statistics -------------------------------------------------------------------------------------------------------
+
+
+def _counts(spark, sf_dir):
+    """Purchases among each user's events in the first (s) and second (e) half of the month."""
+    e = _t(spark, sf_dir, "events").withColumn("late", F.dayofmonth("ts") > 15).withColumn("alt", F.col("event_type") == "purchase")
+    part = lambda late, alt: F.count_if((F.col("late") == late) & (F.col("alt") == alt))
+    return e.groupBy("user_id").agg(part(False, True).alias("alt_s"), part(False, False).alias("ref_s"), part(True, True).alias("alt_e"), part(True, False).alias("ref_e")).withColumns({"depth_s": F.col("alt_s") + F.col("ref_s"), "depth_e": F.col("alt_e") + F.col("ref_e")})
+
+
+_COUNTS = (
+    "WITH c AS (SELECT *, alt_s + ref_s AS depth_s, alt_e + ref_e AS depth_e FROM (SELECT user_id, count(*) FILTER (day(ts) <= 15 AND event_type = 'purchase') AS alt_s, count(*) FILTER (day(ts) <= 15 AND event_type <> 'purchase') AS ref_s, "
+    "count(*) FILTER (day(ts) > 15 AND event_type = 'purchase') AS alt_e, count(*) FILTER (day(ts) > 15 AND event_type <> 'purchase') AS ref_e FROM events GROUP BY user_id)) "
+)
+_Z = "1.959963984540054e0"
+
+
+def _wilson_sql(a: str, n: str) -> tuple[str, str]:
+    zz = f"({_Z} * {_Z})"
+    low = f"CASE WHEN {a} = 0 THEN 0e0 ELSE greatest(0e0, least(1e0, (2e0 * {a} + {zz} - 1e0 - {_Z} * sqrt(greatest(0e0, {zz} - 2e0 - 1e0 / {n} + 4e0 * ({a} / {n}) * ({n} - {a} + 1e0)))) / (2e0 * ({n} + {zz})))) END"
+    high = f"CASE WHEN {a} = {n} THEN 1e0 ELSE greatest(0e0, least(1e0, (2e0 * {a} + {zz} + 1e0 + {_Z} * sqrt(greatest(0e0, {zz} + 2e0 - 1e0 / {n} + 4e0 * ({a} / {n}) * ({n} - {a} - 1e0)))) / (2e0 * ({n} + {zz})))) END"
+    return low, high
+
+
+_LS, _HS = _wilson_sql("CAST(alt_s AS DOUBLE)", "CAST(depth_s AS DOUBLE)")
+_LE, _HE = _wilson_sql("CAST(alt_e AS DOUBLE)", "CAST(depth_e AS DOUBLE)")
+_CI = _COUNTS + f", w AS (SELECT *, alt_s / depth_s AS af_s, alt_e / depth_e AS af_e, {_LS} AS ls, {_HS} AS hs, {_LE} AS le, {_HE} AS he FROM c WHERE depth_s > 0 AND depth_e > 0) "
+
+
+@query(_COUNTS + "SELECT user_id, alt_s, ref_s, alt_e, ref_e FROM c")
+def allele_counts(spark, sf_dir):
+    return _counts(spark, sf_dir).select("user_id", "alt_s", "ref_s", "alt_e", "ref_e")
+
+
+@query(_CI + "SELECT user_id, round(le, 9) AS low, round(he, 9) AS high FROM w")
+def wilson_ci(spark, sf_dir):
+    c = _counts(spark, sf_dir).where("depth_s > 0 and depth_e > 0").withColumn("ci", statistics.wilson(F.col("alt_e"), F.col("depth_e")))
+    return c.select("user_id", F.round("ci.low", 9).alias("low"), F.round("ci.high", 9).alias("high"))
+
+
+@query(_CI + "SELECT user_id, round(af_e - af_s, 9) AS delta, round(greatest(-1e0, af_e - af_s - sqrt((af_e - le) * (af_e - le) + (hs - af_s) * (hs - af_s))), 9) AS low, round(least(1e0, af_e - af_s + sqrt((he - af_e) * (he - af_e) + (af_s - ls) * (af_s - ls))), 9) AS high FROM w")
+def newcombe_delta(spark, sf_dir):
+    c = _counts(spark, sf_dir).where("depth_s > 0 and depth_e > 0")
+    ci = lambda s: statistics.wilson(F.col(f"alt_{s}"), F.col(f"depth_{s}"))
+    af = lambda s: F.col(f"alt_{s}").cast("double") / F.col(f"depth_{s}")
+    c = c.withColumns({"ci_e": ci("e"), "ci_s": ci("s")}).withColumn("d", statistics.newcombe(af("e"), F.col("ci_e"), af("s"), F.col("ci_s")))
+    return c.select("user_id", *(F.round(f"d.{x}", 9).alias(x) for x in ("delta", "low", "high")))
+
+
+def _choose(n: str, k: str) -> str:
+    return f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
+
+
+@query(
+    _COUNTS + ", x AS (SELECT user_id, alt_e + alt_s AS m, depth_e AS r, depth_s AS q, alt_e AS a, unnest(range(greatest(0, alt_e + alt_s - depth_s), least(depth_e, alt_e + alt_s) + 1)) AS k FROM c), "
+    f"p AS (SELECT *, exp({_choose('r', 'k')} + {_choose('q', '(m - k)')} - {_choose('(r + q)', 'm')}) AS p, exp({_choose('r', 'a')} + {_choose('q', '(m - a)')} - {_choose('(r + q)', 'm')}) AS o FROM x) "
+    "SELECT user_id, round(CASE WHEN min(r) = 0 OR min(q) = 0 OR min(m) = 0 OR min(r + q - m) = 0 THEN 1e0 ELSE least(1e0, sum(p) FILTER (p <= o * (1 + 1e-7))) END, 7) AS p FROM p GROUP BY user_id"
+)
+def fisher_exact(spark, sf_dir):
+    c = _counts(spark, sf_dir)
+    return c.select("user_id", F.round(statistics.fisher_exact("alt_e", "ref_e", "alt_s", "ref_s"), 7).alias("p"))
+
+
+@query(
+    _COUNTS + f", x AS (SELECT user_id, depth_e AS n, unnest(range(alt_e, depth_e + 1)) AS k FROM c WHERE depth_e > 0) SELECT user_id, round(least(1e0, sum(exp({_choose('n', 'k')} + k * ln(0.15e0) + (n - k) * ln(0.85e0)))), 7) AS p FROM x GROUP BY user_id"
+)
+def binom_tail(spark, sf_dir):
+    c = _counts(spark, sf_dir).where("depth_e > 0")
+    return c.select("user_id", F.round(statistics.binomial_tail("alt_e", "depth_e", F.lit(0.15)), 7).alias("p"))
+
+
+@query("WITH p AS (SELECT o_orderkey, (o_orderkey * 7919 % 1009 + 1) / 1010 AS p FROM orders), r AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k, count(*) OVER () AS m FROM p) SELECT o_orderkey, round(min(least(1e0, p * m / k)) OVER (ORDER BY p DESC), 9) AS q FROM r")
+def bh_fdr(spark, sf_dir):
+    p = _t(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderkey") * 7919 % 1009 + 1).cast("double") / 1010).alias("p"))
+    return statistics.benjamini_hochberg(p, "p", "q").select("o_orderkey", F.round("q", 9).alias("q"))
+
+
+@query()
+def subclonal_classes(spark, sf_dir):
+    """Classes of users as alleles; the exact tests are checked by fisher_exact and binom_tail, the rules in tests."""
+    c = _counts(spark, sf_dir)
+    wide = c.select("user_id", *(F.col(f"{k}_{s}").alias(f"{k}_fwd_{s}") for k in ("ref", "alt") for s in "se"), *(F.lit(0).cast("long").alias(f"{k}_rev_{s}") for k in ("ref", "alt") for s in "se"), *(F.lit(0).cast("long").alias(f"other_{d}_{s}") for d in ("fwd", "rev") for s in "se"))
+    out = subclonal.evaluate(wide)
+    return out.groupBy("class").agg(F.count("*").alias("n"))
+
+
+# --- sequences --------------------------------------------------------------------------------------------------------
+
+#: Letters of texts as bases.
+_BASES = ("abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
+_DNA_SQL = "translate(regexp_replace(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
+
+
+def _dna(spark, sf_dir, table="documents", ident="doc_id"):
+    letters = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
+    return _t(spark, sf_dir, table).select(F.col(ident).cast("string").alias("seq_id"), F.translate(letters, *_BASES).alias("seq"))
+
+
+@query(f"SELECT CAST(item_id AS VARCHAR) AS seq_id, reverse(translate({_DNA_SQL}, 'ACGT', 'TGCA')) AS rc, round(len(regexp_replace({_DNA_SQL}, '[^GC]', '', 'g')) / nullif(len({_DNA_SQL}), 0), 9) AS gc FROM benchmark")
+def reverse_complements(spark, sf_dir):
+    d = _dna(spark, sf_dir, "benchmark", "item_id")
+    return d.select("seq_id", sequence.reverse_complement("seq").alias("rc"), F.round(sequence.gc_fraction("seq"), 9).alias("gc"))
+
+
+_GUIDE = "GTACGTTGACATCAGTCCAT"
+
+
+def _hamming_sql(column: str, guide: str, start: int) -> str:
+    return " + ".join(f"CAST(substr({column}, {start + i}, 1) <> '{c}' AS INT)" for i, c in enumerate(guide))
+
+
+_WINDOWS = f"WITH d AS (SELECT CAST(item_id AS VARCHAR) AS seq_id, {_DNA_SQL} AS seq FROM benchmark), w AS (SELECT seq_id, i AS start, substr(seq, i, 23) AS w FROM (SELECT seq_id, seq, unnest(range(1, len(seq) - 21)) AS i FROM d)) "
+
+
+@query(
+    _WINDOWS + f"SELECT seq_id, start, start + 22 AS \"end\", '+' AS strand, substr(w, 1, 20) AS target, substr(w, 21, 3) AS pam, {_hamming_sql('w', _GUIDE, 1)} AS mismatches FROM w WHERE w LIKE '%GG' AND {_hamming_sql('w', _GUIDE, 1)} <= 13 "
+    f"UNION ALL SELECT seq_id, start, start + 22, '-', reverse(translate(substr(w, 4, 20), 'ACGT', 'TGCA')), reverse(translate(substr(w, 1, 3), 'ACGT', 'TGCA')), {_hamming_sql('w', 'ATGGACTGATGTCAACGTAC', 4)} FROM w WHERE w LIKE 'CC%' AND {_hamming_sql('w', 'ATGGACTGATGTCAACGTAC', 4)} <= 13"
+)
+def hamming_scan(spark, sf_dir):
+    return sites.scan(_dna(spark, sf_dir, "benchmark", "item_id"), _GUIDE, sites.CAS9, 13)
+
+
+@query()
+def bulge_scan(spark, sf_dir):
+    """Sites with bulges; tested against a search of all alignments."""
+    return sites.scan_bulges(_dna(spark, sf_dir, "benchmark", "item_id"), _GUIDE, sites.CAS9, 9, 1, 1)
+
+
+@query(_WINDOWS + "SELECT seq_id, start, regexp_matches(w, '^[AG][CT][ACG]') AS fits FROM w")
+def iupac_filter(spark, sf_dir):
+    rows = sites.windows(_dna(spark, sf_dir, "benchmark", "item_id"), 23)
+    return rows.select("seq_id", "start", sequence.iupac_match(F.substring("window", 1, 3), "RYV").alias("fits"))
+
+
+@query(
+    f"WITH d AS (SELECT CAST(item_id AS VARCHAR) AS seq_id, {_DNA_SQL} AS seq FROM benchmark), q AS (SELECT DISTINCT substr(seq, 1, 14) AS query FROM d WHERE len(seq) >= 14), "
+    "b AS (SELECT query, query AS s, false AS minus FROM q UNION ALL SELECT query, reverse(translate(query, 'ACGT', 'TGCA')), true FROM q), k AS (SELECT seq_id, i AS start, substr(seq, i, 14) AS s FROM (SELECT seq_id, seq, unnest(range(1, len(seq) - 12)) AS i FROM d)) "
+    "SELECT query, seq_id, start, minus FROM b JOIN k USING (s)"
+)
+def kmer_seed_join(spark, sf_dir):
+    d = _dna(spark, sf_dir, "benchmark", "item_id")
+    return sites.kmer_placements(d.where("length(seq) >= 14").select(F.substring("seq", 1, 14).alias("query")), d)
+
+
+@query("SELECT p_partkey, 'EV_' || substr(sha256('part|' || p_partkey || '|' || p_brand || '|' || p_size), 1, 32) AS event_id FROM part")
+def event_id_sha256(spark, sf_dir):
+    image = F.encode(F.concat_ws("|", F.lit("part"), F.col("p_partkey").cast("string"), "p_brand", F.col("p_size").cast("string")), "UTF-8")
+    return _t(spark, sf_dir, "part").select("p_partkey", identity.event_id(image, "EV").alias("event_id"))
+
+
+# --- junctions, ranks, cohorts ----------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT l_partkey, count(*) AS reads, count(*) FILTER (l_linestatus <> 'F') AS plus, count(*) FILTER (l_linestatus = 'F') AS minus, max(least(q, d)) AS best_min, coalesce(max(least(q, d)) FILTER (l_linestatus <> 'F'), 0) AS best_min_plus, "
+    "coalesce(max(least(q, d)) FILTER (l_linestatus = 'F'), 0) AS best_min_minus, coalesce(min(nullif(q, 0)), 0) AS min_side1, coalesce(min(nullif(d, 0)), 0) AS min_side2 FROM (SELECT l_partkey, l_linestatus, CAST(l_quantity AS BIGINT) AS q, CAST(round(l_discount * 300) AS BIGINT) AS d FROM lineitem) GROUP BY l_partkey"
+)
+def junction_support(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select("l_partkey", "l_linestatus", F.col("l_quantity").cast("long").alias("q"), F.round(F.col("l_discount") * 300).cast("long").alias("d"))
+    return junctions.support(rows, ["l_partkey"], "q", "d", F.col("l_linestatus") == "F")
+
+
+@query(
+    "WITH p AS (SELECT l_orderkey, l_linenumber AS k, CAST(l_quantity AS BIGINT) AS a, CAST(l_quantity AS BIGINT) + l_linenumber * 7 AS b, count(*) OVER (PARTITION BY l_orderkey) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS r FROM lineitem) "
+    "SELECT x.l_orderkey, count(*) AS pairs, count(*) FILTER (greatest(x.b, y.b) - least(x.a, y.a) <= 40) AS near FROM p x JOIN p y ON x.l_orderkey = y.l_orderkey AND x.r < y.r AND x.n BETWEEN 2 AND 6 GROUP BY 1"
+)
+def read_piece_pairs(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").alias("q"), F.col("l_quantity").cast("long").alias("a"), (F.col("l_quantity").cast("long") + F.col("l_linenumber") * 7).alias("b"))
+    pairs, _ = junctions.read_pairs(rows, ["l_orderkey"], ["k", "p", "s", "q"], 6)
+    near = F.greatest("b", "b_2") - F.least("a", "a_2") <= 40
+    return pairs.groupBy("l_orderkey").agg(F.count("*").alias("pairs"), F.count_if(near).alias("near"))
+
+
+@query(
+    "WITH s AS (SELECT o_custkey, o_orderkey, 1 + o_orderkey % 3 AS seeds, CAST(floor(o_totalprice) AS BIGINT) AS len FROM orders), t AS (SELECT *, max(seeds) OVER (PARTITION BY o_custkey) AS mx FROM s), "
+    "r AS (SELECT *, row_number() OVER w AS rank, CAST(sum(len) OVER w AS BIGINT) AS total FROM t WHERE mx < 2 OR seeds >= 2 WINDOW w AS (PARTITION BY o_custkey ORDER BY seeds DESC, o_orderkey ROWS UNBOUNDED PRECEDING)), "
+    "f AS (SELECT *, max(CASE WHEN rank > 1 AND (rank > 5 OR total > 600000) THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY rank) AS stop FROM r) SELECT o_custkey, o_orderkey, rank, total FROM f WHERE stop = 0"
+)
+def rank_and_cap(spark, sf_dir):
+    s = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (1 + F.col("o_orderkey") % 3).alias("seeds"), F.floor("o_totalprice").alias("len"))
+    out = junctions.rank_and_cap(s, ["o_custkey"], "seeds", "len", ["o_orderkey"], F.lit(600000), 5)
+    return out.select("o_custkey", "o_orderkey", F.col("rank").cast("long").alias("rank"), "total")
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderpriority FROM (SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC) AS r FROM orders) WHERE r = 1")
+def best_score_ties(spark, sf_dir):
+    return junctions.best_with_ties(_t(spark, sf_dir, "orders"), ["o_custkey"], "o_orderpriority").select("o_custkey", "o_orderkey", "o_orderpriority")
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS n_clones, CASE WHEN count(DISTINCT event_type) = 1 THEN 'clone_specific' WHEN count(DISTINCT event_type) = 5 THEN 'shared_all' ELSE 'shared_subset' END AS scope FROM events WHERE event_id % 7 = 0 GROUP BY 1")
+def recurrence(spark, sf_dir):
+    return cohort.recurrence(_t(spark, sf_dir, "events").where("event_id % 7 = 0"), "user_id", "event_type", 5)
+
+
+@query("SELECT user_id, " + ", ".join(f"CAST(max(CASE WHEN event_type = '{c}' THEN 1 ELSE 0 END) AS INTEGER) AS clone_{c}" for c in ("click", "error", "purchase", "signup", "view")) + " FROM events WHERE event_id % 7 = 0 GROUP BY 1")
+def recurrence_matrix(spark, sf_dir):
+    return cohort.presence_matrix(_t(spark, sf_dir, "events").where("event_id % 7 = 0"), "user_id", "event_type", ["click", "error", "purchase", "signup", "view"])
+
+
+@query(
+    "WITH c AS (SELECT o_orderpriority, count(*) FILTER (t AND c) AS tp, count(*) FILTER (NOT t AND c) AS fp, count(*) FILTER (t AND NOT c) AS fn, count(*) FILTER (NOT t AND NOT c) AS tn FROM (SELECT o_orderpriority, o_orderstatus = 'F' AS t, o_totalprice > 150000 AS c FROM orders) GROUP BY 1) "
+    "SELECT *, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 9) AS f1 FROM c"
+)
+def confusion_metrics(spark, sf_dir):
+    out = cohort.confusion(_t(spark, sf_dir, "orders"), ["o_orderpriority"], F.col("o_orderstatus") == "F", F.col("o_totalprice") > 150000)
+    return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
+
+
+@query("SELECT event_type, count(value) AS n, min(value) AS low, round(quantile_cont(value, 0.25), 9) AS q1, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.75), 9) AS q3, max(value) AS high FROM events GROUP BY 1")
+def spread_summary(spark, sf_dir):
+    return cohort.spread(_t(spark, sf_dir, "events"), ["event_type"], "value").withColumns({c: F.round(c, 9) for c in ("q1", "median", "q3")})
+
+
+@query("SELECT p_brand, CASE WHEN count(DISTINCT p_size) = 1 THEN CAST(min(p_size) AS VARCHAR) ELSE 'NOT_EVALUABLE' END AS p_size FROM part WHERE p_partkey <= 40 GROUP BY 1")
+def merged_metrics(spark, sf_dir):
+    return cohort.merged_metrics(_t(spark, sf_dir, "part").where("p_partkey <= 40"), ["p_brand"], "p_size")
+
+
+# --- the composed audit -----------------------------------------------------------------------------------------------
+
+_KINDS = {"1-URGENT": "SNP", "2-HIGH": "DEL", "3-MEDIUM": "INS", "4-NOT SPECIFIED": "MOB", "5-LOW": "JC"}
 
 
-def scan_contigs(spark, sf_dir):
-    """Placeholder scan until the operator families are registered."""
-    return spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("contig_idx"), F.col("r_name").alias("seq_id"))
+def audited(spark, sf_dir) -> DataFrame:
+    """Orders in status F that the customer has no order in status O beside of (within 30 days), classified by shipments as sites."""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").cast("string").alias("seq_id"), _day("o_orderdate").alias("start"), F.element_at(F.create_map(*[F.lit(x) for p in _KINDS.items() for x in p]), F.col("o_orderpriority")).alias("kind"), (F.col("o_orderkey") % 5).alias("size"), "o_orderstatus")
+    e, s = o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'")
+    near = intervals.band_join(e.select("event_id", "seq_id", "kind", "start"), s.select("seq_id", "kind", F.col("start").alias("other")), ["seq_id", "kind"], "start", "other", 30).select("event_id").distinct()
+    events = e.join(near, "event_id", "left_anti").drop("o_orderstatus")
+    sides = events.select("event_id", F.lit(0).alias("side"), "seq_id", "start", F.col("start").alias("end"))
+    places = _t(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").cast("string").alias("seq_id"), F.col("o_orderkey").alias("site_id"), _day("o_orderdate").alias("start"), _day("o_orderdate").alias("end"), F.lit(0).alias("mismatches"), F.lit("NGG").alias("pam"))
+    return classify.classify(events, sides, places, within=50, hypothesis=True)
 
 
-QUERIES = {"scan_contigs": scan_contigs}
-ORACLES = {"scan_contigs": "SELECT CAST(r_regionkey AS BIGINT) AS contig_idx, r_name AS seq_id FROM region"}
+@query(
+    "WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS d, CASE o_orderpriority WHEN '1-URGENT' THEN 'SNP' WHEN '2-HIGH' THEN 'DEL' WHEN '3-MEDIUM' THEN 'INS' WHEN '4-NOT SPECIFIED' THEN 'MOB' ELSE 'JC' END AS kind, o_orderkey % 5 AS size FROM orders), "
+    "e AS (SELECT * FROM o WHERE o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM o s WHERE s.o_orderstatus = 'O' AND s.o_custkey = o.o_custkey AND s.kind = o.kind AND abs(s.d - o.d) <= 30)), "
+    "n AS (SELECT o_orderkey, min(abs(e.d - p.d)) AS distance FROM e JOIN (SELECT o_custkey, d FROM o WHERE o_orderstatus = 'P') p USING (o_custkey) WHERE abs(e.d - p.d) <= 50 GROUP BY 1), "
+    "c AS (SELECT kind, distance, CASE WHEN kind IN ('MOB', 'JC') OR (kind = 'DEL' AND size > 2) THEN 'structural' WHEN distance IS NOT NULL THEN 'near_homolog' ELSE 'scattered_snv' END AS class FROM e LEFT JOIN n USING (o_orderkey)) "
+    "SELECT kind, class, count(*) AS n, count(*) FILTER (class = 'scattered_snv') AS hypotheses, min(CASE WHEN class = 'near_homolog' THEN distance END) AS nearest FROM c GROUP BY 1, 2"
+)
+def audit_summary(spark, sf_dir):
+    return audited(spark, sf_dir).groupBy("kind", "class").agg(F.count("*").alias("n"), F.count("hypothesis").alias("hypotheses"), F.min("distance").alias("nearest"))
