@@ -50,7 +50,7 @@ def canonical(records: DataFrame, contigs: DataFrame, domain: bytes = identity.D
         .otherwise(F.col("fields"))
     )
     known = F.when(F.col("_h1").isNull() | F.col("_h2").isNull(), F.raise_error(F.concat(F.lit("unknown sequence in "), F.array_join("fields", " "))).cast("array<string>")).otherwise(placed)
-    rows = rows.withColumn("fields", known)
+    rows = rows.withColumn("fields", F.explode(F.array(known)))  # one row each: keeps the placed fields from being computed at every use
     image = identity.event_preimage(F.col("kind"), F.col("fields"), F.col("_h1"), F.col("_h2"), domain)
     return rows.withColumn("preimage", image).withColumn("event_id", identity.event_id(F.col("preimage"))).drop("_s1", "_q1", "_h1", "_s2", "_h2")
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +24,16 @@ def local_session(app: str = "helixframe", cpus: str = "*", shuffle_partitions:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, unless their path already has its folder; once for each context."""
+    root = Path(__file__).resolve().parents[2]
+    path = {Path(p or ".").resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), "."]}
+    context = spark.sparkContext
+    if root in path or getattr(context, "_helixframe_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="helixframe-py-")
+    atexit.register(shutil.rmtree, folder, True)
+    context.addPyFile(shutil.make_archive(f"{folder}/helixframe", "zip", root, "helixframe"))
+    context._helixframe_shipped = True
