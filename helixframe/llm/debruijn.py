@@ -4,7 +4,7 @@ Words are hashed; of each window's k-mers the one with the least hash is its anc
 anchors. Anchors are the graph's nodes, the text from one anchor to the end of the next its edges. Spark counts them:
 anchors that occur in one document settle their windows at once. Runs of anchors that all occurrences enter and leave by
 the same edges are nonbranching paths, all of whose windows have the documents of the path. Only windows at branches
-are compared one by one, by two independent 64-bit hashes, with their source.
+are compared one by one, by two independent hashes of 64 and 32 bits, with their source.
 """
 
 from __future__ import annotations
@@ -83,6 +83,17 @@ def _graph(docs: DataFrame, window: int, k: int) -> DataFrame:
     return map_rows(docs.select("doc_id", "text", "h"), make, "doc_id long, h long, n_words long, sha string, kmers array<long>, edges array<long>")
 
 
+#: Documents whose keys may be broadcast, some 20 MB; with more of them, the texts are joined by key in full.
+BROADCAST_KEYS = 500_000
+
+
+def _with_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows by (doc_id, h) with the texts of docs. Where the keys are few, other texts are left out before the shuffle."""
+    if rows.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        docs = docs.join(F.broadcast(rows.select("doc_id", "h").distinct()), ["doc_id", "h"], "left_semi")
+    return docs.join(rows, ["doc_id", "h"])
+
+
 def _settled(docs: DataFrame, window: int, k: int) -> DataFrame:
     """(doc_id, h, text, found) to window starts: `runs` are settled ranges that are repeated, `starts` with `one`, `two` are to be compared.
 
@@ -116,11 +127,11 @@ def _settled(docs: DataFrame, window: int, k: int) -> DataFrame:
                         continue
                 starts += range(a, b + 1)
             s = np.array(starts, np.int64)
-            return [(doc_id, h, runs, starts, w.runs(s, s + window).view(np.int64).tolist(), w.runs(s, s + window, 1).view(np.int64).tolist())]
+            return [(doc_id, h, runs, starts, w.runs(s, s + window).view(np.int64).tolist(), (w.runs(s, s + window, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist())]
 
         return f
 
-    return map_rows(docs.select("doc_id", "text", "h", "found"), make, "doc_id long, h long, runs array<struct<a:int,b:int>>, starts array<int>, one array<long>, two array<long>")
+    return map_rows(docs.select("doc_id", "text", "h", "found"), make, "doc_id long, h long, runs array<struct<a:int,b:int>>, starts array<int>, one array<long>, two array<int>")
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> tuple[DataFrame, DataFrame]:
@@ -130,16 +141,19 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> tuple
     are counted with map-side partial sums, and joined back by sort-merge joins, which adaptive execution splits at
     an anchor that a third of all documents have.
     """
-    graph, _ = written(_graph(docs, window, k))
-    nodes = graph.select("doc_id", "h", F.posexplode("kmers").alias("j", "kmer"), "edges").select("doc_id", "h", "j", "kmer", F.get("edges", F.col("j")).alias("into"), F.get("edges", F.col("j") + 1).alias("out"))
-    shared = nodes.groupBy("kmer").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), (F.min("into") == F.max("into")).alias("i"), (F.min("out") == F.max("out")).alias("o"))
-    shared = shared.where("source < last").select("kmer", "source", (F.col("i") & F.col("o")).alias("single"))
-    found = nodes.select("doc_id", "h", "j", "kmer").join(shared, "kmer").groupBy("doc_id", "h").agg(F.collect_list(F.struct("j", "source", "single")).alias("found"))
-    compared, _ = written(_settled(docs.join(found, ["doc_id", "h"]), window, k))
+    graph, _ = written(_graph(docs, window, k).withColumn("rid", F.monotonically_increasing_id()))
+    nodes = graph.select("rid", "doc_id", F.posexplode("kmers").alias("j", "kmer"), "edges")
+    shared = nodes.groupBy("kmer").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
+    edged = nodes.select("rid", "j", "kmer", F.get("edges", F.col("j")).alias("into"), F.get("edges", F.col("j") + 1).alias("out"))
+    places, _ = written(edged.join(shared, "kmer"))
+    single = places.groupBy("kmer").agg(((F.min("into") == F.max("into")) & (F.min("out") == F.max("out"))).alias("single"))
+    found = places.select("rid", "j", "kmer", "source").join(single, "kmer").groupBy("rid").agg(F.collect_list(F.struct("j", "source", "single")).alias("found"))
+    found, _ = written(found.join(graph.select("rid", "doc_id", "h"), "rid").drop("rid"))
+    compared, _ = written(_settled(_with_texts(docs, found), window, k))
     rows = compared.select("doc_id", "h", F.explode(F.arrays_zip("starts", "one", "two")).alias("w")).select("doc_id", "h", "w.starts", "w.one", "w.two")
     sources = rows.groupBy("one", "two").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
     again = rows.join(sources, ["one", "two"]).where("source < doc_id").select("doc_id", "h", F.struct(F.col("starts").alias("a"), F.col("starts").alias("b")).alias("run"))
-    runs = again.union(compared.select("doc_id", "h", F.explode("runs"))).groupBy("doc_id", "h").agg(F.collect_set("run").alias("runs"))
+    runs, _ = written(again.union(compared.select("doc_id", "h", F.explode("runs"))).groupBy("doc_id", "h").agg(F.collect_set("run").alias("runs")))
     return graph.select("doc_id", "h", "n_words", "sha"), runs
 
 
@@ -175,7 +189,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> Data
 
         return f
 
-    cleaned = map_rows(keyed.join(runs, ["doc_id", "h"]).select("doc_id", "text", "h", "runs"), make, "doc_id long, h long, n_removed long, kept_sha256 string, kept_text string")
+    cleaned = map_rows(_with_texts(keyed, runs).select("doc_id", "text", "h", "runs"), make, "doc_id long, h long, n_removed long, kept_sha256 string, kept_text string")
     cleaned = cleaned.dropDuplicates(["doc_id", "h"])
     joined = every.join(cleaned, ["doc_id", "h"], "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept_text")
