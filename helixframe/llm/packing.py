@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -9,28 +10,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import map_rows, written
+from helixframe.llm.common import map_rows, release, written
 
 #: Tokens of a window; the id that ends a document.
 WINDOW, END_ID = 2048, 1
 #: Tokens of one shard of the index: the bound of a task's memory. A longer document is a shard of its own.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 #: BM25's constants, and how many of a seed's terms of most weight are its query.
 K1, B, TERMS = 1.2, 0.75, 12
-#: Words whose ids a worker remembers.
-CACHE = 300_000
+#: Words and pieces whose ids a worker remembers; they are taken in when they come a second time (or seem to).
+CACHE, SEEN = 300_000, 1 << 23
 _ODD = re.compile("<\\||[\x1c-\x1f]")
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it is printable, else one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class Encoder:
     """A tokenizer file that drops white space, word by word: words meet the tokenizer once and are remembered.
 
     Exact where the tokenizer's normaliser and splitter never join characters across white space; texts that may hold
-    special tokens, or separators that only Python counts as white space, are encoded whole.
+    special tokens, or separators that only Python counts as white space, are encoded whole. Where the file folds case
+    and splits by a pattern, Latin words are folded and split here and only their pieces go to the tokenizer's model.
     """
 
     def __init__(self, path: str):
@@ -40,21 +50,63 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN)
+        self.split = self._splitter(json.loads(self.tokenizer.to_str()))
+        letters = _byte_letters()
+        self.letters = {b: letters[b] for b in range(256)}
+
+    @staticmethod
+    def _splitter(spec: dict):
+        """The file's pattern of pieces, if it has the steps that pieces() does itself."""
+        steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if steps != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in before] != ["Split", "ByteLevel"]:
+            return None
+        if not before[0]["invert"] or before[0]["behavior"] != "Removed" or before[1]["use_regex"] or before[1]["add_prefix_space"]:
+            return None
+        return regex.compile(before[0]["pattern"]["Regex"])
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def remember(self, word: str, ids: bytes) -> None:
+        at = hash(word) % SEEN
+        if not self.seen[at]:
+            self.seen[at] = 1
+        elif len(self.known) < CACHE:
+            self.known[word] = ids
+
+    def word(self, w: str) -> bytes:
+        """Ids of a word whose characters are Latin letters and what comes before them in Unicode."""
+        out = []
+        for piece in self.split.findall(w.lower()):
+            found = self.known.get(piece)
+            if found is None:
+                spelt = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+                found = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], self.dtype).tobytes()
+                if piece != w:
+                    self.remember(piece, found)
+            out.append(found)
+        return b"".join(out)
+
     def encode(self, text: str) -> bytes:
-        """The text's ids, as packed little-endian numbers."""
+        """The text's ids, as packed little-endian numbers. Words beyond CACHE are encoded each time."""
         if _ODD.search(text):
             return self.whole([text])[0]
         words = text.split()
-        if len(self.known) > CACHE:
-            self.known = {}
-        missing = list(set(words).difference(self.known))
-        for i in range(0, len(missing), 4096):
-            self.known.update(zip(missing[i : i + 4096], self.whole(missing[i : i + 4096])))
-        return b"".join(map(self.known.__getitem__, words))
+        known = self.known
+        missing = set(words).difference(known)
+        if not missing:
+            return b"".join(map(known.__getitem__, words))
+        plain = [w for w in missing if max(w) < "\u0250"] if self.split else []
+        found = {w: self.word(w) for w in plain}
+        if len(plain) < len(missing):
+            rest = list(missing.difference(plain))
+            found.update(zip(rest, self.whole(rest)))
+        out = b"".join([known[w] if w in known else found[w] for w in words])
+        for w, ids in found.items():
+            self.remember(w, ids)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -188,7 +240,7 @@ def windows(shard: Shard, window: int) -> Iterator[list[tuple[int, int, int]]]:
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(doc_id, text) to pieces of documents in sequences of at most `window` ids.
 
-    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with with_ids the ids as array<int>.
+    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with with_ids the ids as packed little-endian 32-bit numbers.
     Each id lies in one piece; sequences are full but for the last of a partition of the tokenized table. Null and
     empty texts are the end id alone; repeated rows are packed as often as they are given; other columns aren't read;
     an empty table gives an empty result. Shards are runs of the tokenized table, so no documents are shuffled and a
@@ -197,14 +249,17 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     tokens, _ = written(tokenize(docs, path, end_id))
     df, n, mean = statistics(tokens)
     idf = tokens.sparkSession.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32))
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    types = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
+    types = [pa.int64()] * 7 + [pa.binary()] * with_ids
     arrow = pa.schema([(c.split()[0], t) for c, t in zip(schema.split(", "), types)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
         held: list[tuple[int | None, np.ndarray]] = []
 
+        def batch_of(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], schema=arrow)
+
         def packed(last: bool) -> Iterator[pa.RecordBatch]:
             """Packs what is held; but for the last time, an unfilled window's documents wait for the next shard."""
             nonlocal sequence, held
@@ -215,17 +270,21 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
                     kept.extend((held[k], at, size) for k, at, size in pieces)
                     continue
                 emit(rows, [(held[k], at, size) for k, at, size in pieces])
+                if len(rows) >= 500:
+                    yield batch_of(rows)
+                    rows = []
             held = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], schema=arrow)
+                yield batch_of(rows)
 
         def emit(rows: list, pieces: list) -> None:
             nonlocal sequence
             offset = 0
             for (doc_id, ids), at, size in pieces:
                 part = ids[at : at + size]
-                row = (doc_id, at, size, zlib.crc32(part.astype("<u4").tobytes()), len(ids), sequence, offset)
-                rows.append((*row, part.astype(np.int32)) if with_ids else row)
+                packed = part.astype("<u4").tobytes()
+                row = (doc_id, at, size, zlib.crc32(packed), len(ids), sequence, offset)
+                rows.append((*row, packed) if with_ids else row)
                 offset += size
             sequence += 1
 
@@ -253,7 +312,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
         if pieces:
             emit(rows, pieces)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], schema=arrow)
+            yield batch_of(rows)
+        release()
 
     tokens.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return tokens.select("doc_id", "ids", "width").mapInArrow(run, schema)

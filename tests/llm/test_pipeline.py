@@ -1,5 +1,6 @@
 """The pipeline's stages, each on its own input, against brute force."""
 
+import zlib
 from itertools import combinations
 
 import corpus_pipeline
@@ -58,5 +59,5 @@ def test_other_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     rows = out.collect()
-    assert rows and all(len(r.ids) == r.length for r in rows)
+    assert rows and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "packing"]
