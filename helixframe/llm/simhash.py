@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import connected_components, cut, map_rows
+from helixframe.llm.common import connected_components, cut, map_rows, release
 
 SEED = 42
 #: A bucket of up to so many fingerprints is compared within one task; a larger one is keyed anew on more of its bits.
@@ -239,6 +239,7 @@ def _compare_wide(distance: int, bucket: int | None):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*links), arrow)], schema=arrow)
         if links := list(closed()):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*links), arrow)], schema=arrow)
+        release()
 
     return run
 

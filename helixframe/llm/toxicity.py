@@ -21,7 +21,7 @@ PER_CLASS, LEAST_DOCS, LEAST_LIFT, PASSES, L1, RATE = 2500, 4, 2.5, 250, 2e-5, 0
 #: Lengths of the word beginnings that are features, besides whole words: inflected words share them.
 PREFIXES = (3, 4, 5, 6)
 #: Words whose weight a worker remembers.
-CACHE = 200_000
+CACHE = 100_000
 
 
 def folded(text: str | None) -> bytes:
