@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import identity, sequence
 from helixframe.operators.intervals import band_join
+from helixframe.plans.session import cut
 
 #: Positions that may differ by so many bases and still be the same event, for junctions, insertions of elements and longer deletions.
 TOLERANCE = 5
@@ -154,7 +155,7 @@ def difference(edited: DataFrame, starter: DataFrame, contigs: DataFrame, domain
     junctions, element insertions and deletions of more than two bases are matched one to one within the tolerance.
     """
     events = lambda df: coalesce_events(canonical(df, contigs, domain), ["event_id"], ["kind", "fields"], "id")
-    e, s = events(edited).persist(), events(starter).persist()  # a few thousand rows, used again below
+    e, s = cut(events(edited)), cut(events(starter))  # a few thousand rows, used again below
     left, right = e.join(s.select("event_id"), "event_id", "left_anti"), s.join(e.select("event_id"), "event_id", "left_anti")
     at = lambda i: F.get("fields", F.lit(i))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.geometry import PRODUCT_KINDS, event_intervals
 from helixframe.operators import classify, cohort, differential, intended, sites
+from helixframe.plans.session import cut
 from helixframe.sources import writers
 
 
@@ -42,11 +43,12 @@ def audit(edited: DataFrame, starter: DataFrame, contigs: DataFrame, edits: Data
     """
     spark = edited.sparkSession
     product = lambda df: df.where(F.col("kind").isin(*PRODUCT_KINDS)).select("id", "kind", "fields")
-    events = differential.difference(product(edited), product(starter), contigs)
+    # a few thousand rows each, read by several of the tables below
+    events = cut(differential.difference(product(edited), product(starter), contigs))
     if edits is None:
         edits = spark.createDataFrame([], "edit_id string, seq_id string, start long, end long, ref string, alt string, kind string")
-    judged = intended.assess(edits, events)
-    rest = intended.unmasked(events, judged)
+    judged = cut(intended.assess(edits, events))
+    rest = cut(intended.unmasked(events, judged))
     if guide:
         found = sites.scan(contigs, guide, nuclease, mismatches)
         found = cohort.numbered(found, ["seq_id", "start", "end", "strand", "mismatches", "target", "pam"], "SITE", 6, "site_id")

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "helixframe", cpus: str = "*", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
@@ -37,3 +37,15 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, folder, True)
     context.addPyFile(shutil.make_archive(f"{folder}/helixframe", "zip", root, "helixframe"))
     context._helixframe_shipped = True
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """checkpoint(): computes a small table once and cuts its plan, in spark.checkpoint.dir or, where that is unset (tests), a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            folder = tempfile.mkdtemp(prefix="helixframe-cut-")
+            atexit.register(shutil.rmtree, folder, True)
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
