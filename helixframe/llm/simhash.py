@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -12,8 +11,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from helixframe.llm.common import connected_components, cut, map_rows, release
+from helixframe.llm.common import connected_components, cut, map_rows, release, written
 
 SEED = 42
 #: A bucket of up to so many fingerprints is compared within one task; a larger one is keyed anew on more of its bits.
@@ -174,111 +175,187 @@ def simhash_groups(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFr
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For deduplication at a similarity: 64-bit lanes of a wide fingerprint, bytes of a block.
-LANES, BLOCK_BYTES = 8, 3
+#: For deduplication at a similarity: shingles of a sample of one in SAMPLE texts that SEEN or more of them have count as
+#: frequent and come last in the order of shingles, at most FREQUENT of them.
+SAMPLE, SEEN, FREQUENT = 16, 4, 1_000_000
+#: A shingle that so many texts lead with is paired in full at once; over it, so many pairs a text in the first round.
+WHOLE, FIRST = 128, 4
 
 
-def wide_fingerprint(hashes: np.ndarray) -> bytes:
-    """A fingerprint of 64 * LANES bits: each lane has the hashes mixed with another constant."""
-    return b"".join(fingerprint(_mixed(hashes + np.uint64((k * 0x9E3779B97F4A7C15) % 2**64))).to_bytes(8, "little", signed=True) for k in range(LANES))
+def _mapped(df: DataFrame, make, schema: str, rows: int) -> DataFrame:
+    """mapInArrow of a function from a batch's columns, as lists, to columns of the result; batches of so many rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(f(*batch.columns), arrow)], schema=arrow)
+        release()
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return df.mapInArrow(run, schema)
 
 
-def radius(similarity: float) -> int:
-    """The Hamming distance that shingle sets of equal size and this Jaccard similarity have on average."""
-    return round(64 * LANES * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def _least(share: float, n):
+    """The least whole number of n or more at a share, safe against rounding."""
+    return np.ceil(share * np.asarray(n) - 1e-9).astype(np.int64)
 
 
-def _compare_wide(distance: int, bucket: int | None):
-    """Streams rows (key, id, fp) sorted by key; yields links (a, b, 0) or, for buckets over the size, their rows (id, key, 1)."""
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("kind", pa.int32())])
+def _frequent(docs: DataFrame, words: int) -> np.ndarray:
+    """Hashes of shingles that many texts have, sorted. It only decides the order of shingles, so a sample will do."""
 
-    def near_links(ids: np.ndarray, fps: np.ndarray):
-        todo, left = [0], np.arange(1, len(ids))
-        while len(left):
-            if not todo:
-                todo, left = [left[0]], left[1:]
-                continue
-            at = todo.pop()
-            near = np.bitwise_count(fps[left] ^ fps[at]).sum(1, dtype=np.int64) <= distance
-            yield from ((int(ids[at]), int(ids[x]), 0) for x in left[near])
-            todo += left[near].tolist()
-            left = left[~near]
+    def make():
+        return lambda texts: [np.concatenate([np.unique(shingle_hashes(t, words)) for t in texts.to_pylist()]).view("<i8")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size, current, over = 0, None, False
+    some = docs.where(F.xxhash64("doc_id") % SAMPLE == 0).select("text")
+    counts = _mapped(some, make, "shingle long", 512).groupBy("shingle").count().where(F.col("count") >= SEEN)
+    found = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT).select("shingle").toArrow().column(0).to_numpy()
+    return np.sort(found.astype("<i8").view("<u8"))
 
-        def closed():
-            if size > 1 and not over:
-                yield from near_links(np.concatenate([i for i, _ in held]), np.concatenate([f for _, f in held]))
+
+def _leading(hashes: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, rare ones first, then by hash: any set as similar has one of its own first ones among these."""
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        often = frequent[at] == hashes
+        hashes = np.concatenate((hashes[~often], hashes[often]))
+    return hashes[: len(hashes) - int(_least(similarity, len(hashes))) + 1]
+
+
+def _meet(similarity: float, whole: int, most: int):
+    """Streams rows (key, n, id, root) sorted by key and n; yields pairs of different roots whose sizes allow the similarity.
+
+    Rows (a, b, na, nb, kind): kind 0 from keys with up to `whole` texts, all pairs; kind 1 from larger keys. Where
+    those have over `most` pairs a text, the members (id, key, n, 0, 2) follow, for another round.
+    """
+    names = ["a", "b", "na", "nb", "kind"]
+
+    def pairs(rows: np.ndarray):
+        n, ids, roots, m = rows[:, 1], rows[:, 2], rows[:, 3], len(rows)
+        kind, total = int(m > whole), 0
+        for d in range(1, m):
+            fits = n[:-d] >= similarity * n[d:] - 1e-9
+            if not fits.any():
+                return
+            at = np.flatnonzero(fits & (roots[:-d] != roots[d:]))
+            swap = ids[at] > ids[at + d]
+            x, y = np.where(swap, at + d, at), np.where(swap, at, at + d)
+            yield np.stack((ids[x], ids[y], n[x], n[y], np.full(len(at), kind)), 1)
+            total += len(at)
+            if kind and total > most * m and d < m - 1:
+                yield np.stack((ids, rows[:, 0], n, np.zeros(m, np.int64), np.full(m, 2)), 1)
+                return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def judged(rows: np.ndarray):
+            edges = np.concatenate(([0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, [len(rows)]))
+            size, out = 0, []
+            for k in np.flatnonzero(np.diff(edges) > 1):
+                for part in pairs(rows[edges[k] : edges[k + 1]]):
+                    out.append(part)
+                    size += len(part)
+                    if size > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T], names)
+                        size, out = 0, []
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T], names)
 
         for batch in batches:
-            links: list[tuple[int, int, int]] = []
-            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, LANES)
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-            for s, e in zip(cuts, cuts[1:]):
-                if keys[s] != current:
-                    links += closed()
-                    held, size, current, over = [], 0, keys[s], False
-                size += e - s
-                if over:
-                    links += [(int(i), int(current), 1) for i in ids[s:e]]
-                    continue
-                held.append((ids[s:e], fps[s:e]))
-                if bucket is not None and size > bucket:
-                    links += [(int(i), int(current), 1) for part, _ in held for i in part]
-                    held, over = [], True
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*links), arrow)], schema=arrow)
-        if links := list(closed()):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*links), arrow)], schema=arrow)
+            rows = np.stack([c.to_numpy() for c in batch.columns], 1)
+            new = np.flatnonzero(rows[:, 0] != (held[-1][-1, 0] if held else rows[0, 0]))
+            if not len(new):
+                held.append(rows)
+                continue
+            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            yield from judged(np.concatenate([*held, rows[:last]]))
+            held = [rows[last:]]
+        if held:
+            yield from judged(np.concatenate(held))
         release()
 
     return run
 
 
-def _block_keys(fp: str) -> list:
-    n = 8 * LANES // BLOCK_BYTES
-    return [(F.conv(F.hex(F.substring(fp, BLOCK_BYTES * i + 1, BLOCK_BYTES)), 16, 10).cast("long") + F.lit(i << 8 * BLOCK_BYTES)).alias(f"k{i}") for i in range(n)]
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are as similar, by the sets themselves."""
+
+    def make_set():
+        def f(ids, texts):
+            sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in texts.to_pylist()]
+            return ids, [xxhash.xxh3_128_digest(x) for x in sets], sets
+
+        return f
 
+    def make_check():
+        def f(a, b, one, two):
+            good = np.zeros(len(a), bool)
+            for k, (x, y) in enumerate(zip(one, two)):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good[k] = both >= similarity * (len(x) + len(y) - both) - 1e-9
+            return a.filter(pa.array(good)), b.filter(pa.array(good))
 
-def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+        return f
+
+    some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = _mapped(docs.join(some, "doc_id", "left_semi"), make_set, "id long, sig binary, set binary", 64)
+    sets = sets.join(nodes.select("id", "sig"), ["id", "sig"], "left_semi").dropDuplicates(["id", "sig"])
+    sets, _ = written(sets.select("id", "set"))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("one")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("two")), "b")
+    return cut(_mapped(both.select("a", "b", "one", "two"), make_check, "a long, b long", 64))
+
+
+def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = WHOLE) -> DataFrame:
     """doc_id of one document, the smallest, of each group of near duplicates of (doc_id, text).
 
-    Two wide fingerprints a document: of its distinct words, whose blocks of 24 bits are the join keys, and of its word
-    shingles, which must lie within the distance of the similarity. A few edits change few words but many shingles, so
-    a pair at the threshold shares a block with a chance of about 0.97, and nearer ones more; blocks of 24 bits keep
-    chance meetings rare in large tables. A bucket over the size is keyed anew by blocks of the shingles' fingerprint.
+    Prefix filter, without chance: in one order of all shingles, two sets that are as similar share one of their
+    first n - ceil(similarity * n) + 1 shingles, so each of these is a join key. A pair that shares too few of them to
+    reach the similarity is dropped; the others are verified by their sets of shingle hashes (64 bits). A key of more
+    than `bucket` texts yields some pairs a text; what these don't join is paired again, with 16 times as many, until
+    every pair of the key has been verified or lies in one group, so large groups don't make all their pairs.
     Texts without words are copies of one another. Rows without a doc_id are left out.
     """
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    frequent = spark.sparkContext.broadcast(_frequent(docs, words))
 
     def make():
-        def f(doc_id, text):
-            return [(doc_id, wide_fingerprint(np.unique(shingle_hashes(text, 1))), wide_fingerprint(shingle_hashes(text, words)))]
+        def f(ids, texts):
+            sets = [np.unique(shingle_hashes(t, words)) for t in texts.to_pylist()]
+            return ids, [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [len(x) for x in sets], [_leading(x, frequent.value, similarity).tobytes() if len(x) else b"" for x in sets]
 
         return f
 
-    prints = map_rows(docs.select("doc_id", "text").where("doc_id is not null"), make, "doc_id long, bag binary, fp binary")
-    nodes = cut(prints.groupBy("bag", "fp").agg(F.min("doc_id").alias("id")))
-    spark, limit = docs.sparkSession, radius(similarity)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    def make_keys():
+        def f(ids, n, leading):
+            keys = [np.frombuffer(x.as_buffer(), "<i8") for x in leading]
+            times = [len(k) for k in keys]
+            return np.concatenate(keys), np.repeat(n.to_numpy(), times), np.repeat(ids.to_numpy(), times)
 
-    def compared(rows: DataFrame, most: int | None) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_compare_wide(limit, most), "a long, b long, kind int")
+        return f
 
-    out = cut(compared(nodes.select(F.explode(F.array(*_block_keys("bag"))).alias("key"), "id", "fp"), bucket))
-    links, full = out.where("kind = 0").select("a", "b"), out.where("kind = 1").select(F.col("a").alias("id"), F.col("b").alias("bucket"))
-    if not full.isEmpty():
-        again = full.select("id").distinct().join(nodes, "id").select(F.explode(F.array(*_block_keys("fp"))).alias("key"), "id", "fp")
-        links = links.union(compared(again, None).select("a", "b"))
-    roots = connected_components(links)
+    prints = _mapped(docs, make, "doc_id long, sig binary, n long, leading binary", 512)
+    nodes = cut(prints.groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("leading").alias("leading")))
+    rows = _mapped(nodes.select("id", "n", "leading").where("n > 0"), make_keys, "key long, n long, id long", 512).withColumn("root", F.col("id"))
+    need = F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-9)
+    rest = F.greatest(*(F.ceil(F.col(c) * similarity - 1e-9) - 1 for c in ("na", "nb")))
+    links, most = None, FIRST
+    while True:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+        met = rows.repartition("key").sortWithinPartitions("key", "n", "id").select("key", "n", "id", "root")
+        met, _ = written(met.mapInArrow(_meet(similarity, bucket if links is None else 0, most), "a long, b long, na long, nb long, kind long"))
+        close = met.where("kind < 2 and a <> b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"), F.max("kind").alias("kind")).where((F.col("kind") == 1) | (F.col("shared") + rest >= need))
+        found = _verified(cut(close.select("a", "b").distinct()), docs, nodes, words, similarity)
+        links = found if links is None else links.union(found)
+        roots = connected_components(links)
+        full = met.where("kind = 2").select(F.col("b").alias("key"), F.col("na").alias("n"), F.col("a").alias("id"))
+        if full.isEmpty():
+            break
+        most *= 16
+        rows = full.join(roots, full.id == roots.node, "left").select("key", "n", "id", F.coalesce("root", "id").alias("root"))
     return nodes.join(roots, nodes.id == roots.node, "left").where("root is null or root = id").select(F.col("id").alias("doc_id")).distinct()
 
 

@@ -61,3 +61,34 @@ def test_run(spark):
     rows = out.collect()
     assert rows and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "packing"]
+
+
+def alike_pairs(texts):
+    sets = {d: shingles(t) for d, t in texts.items()}
+    return [(a, b) for a, b in combinations(sorted(sets), 2) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def kept_ids(spark, texts, **more):
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    return {r.doc_id for r in simhash.representatives(table, **more).collect()}
+
+
+def expected(texts):
+    root = {d: d for d in texts}
+    for _ in texts:
+        before = dict(root)
+        for a, b in alike_pairs(texts):
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    return {d for d in texts if root[d] == d}
+
+
+def test_near_duplicates_of_appended_and_cut_passages(spark):
+    texts = {}
+    for k in range(60):
+        words = [f"d{k}w{i}" for i in range(201)]
+        more = [f"d{k}x{i}" for i in range(49)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join(words + more if k % 2 else (more + words)[:250])
+    assert len(alike_pairs(texts)) == 60
+    assert kept_ids(spark, texts) == {2 * k for k in range(60)}
