@@ -92,3 +92,15 @@ def test_near_duplicates_of_appended_and_cut_passages(spark):
         texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join(words + more if k % 2 else (more + words)[:250])
     assert len(alike_pairs(texts)) == 60
     assert kept_ids(spark, texts) == {2 * k for k in range(60)}
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    texts = {}
+    for k in range(60):
+        words = [f"d{k}w{i}" for i in range(204)]
+        more = [f"d{k}x{i}" for i in range(50 + k % 2)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join(words + more)
+    again = [f"r{i}" for i in range(300)]
+    texts[1000], texts[1001] = " ".join(again), " ".join(again + again[100:130] * 20)
+    assert len(alike_pairs(texts)) == 31
+    assert kept_ids(spark, texts) == expected(texts) == {2 * k for k in range(60)} | {2 * k + 1 for k in range(1, 60, 2)} | {1000}
