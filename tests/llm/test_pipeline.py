@@ -1,5 +1,6 @@
 """The pipeline's stages, each on its own input, against brute force."""
 
+import random
 import zlib
 from itertools import combinations
 
@@ -104,3 +105,20 @@ def test_near_duplicates_at_the_threshold(spark):
     texts[1000], texts[1001] = " ".join(again), " ".join(again + again[100:130] * 20)
     assert len(alike_pairs(texts)) == 31
     assert kept_ids(spark, texts) == expected(texts) == {2 * k for k in range(60)} | {2 * k + 1 for k in range(1, 60, 2)} | {1000}
+
+
+def test_near_duplicates_in_overfull_buckets(spark):
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(60)]
+    texts = {}
+    for family in range(12):
+        words = [f"f{family}w{i}" for i in range(150)]
+        for copy in range(20):
+            edited = list(words)
+            for _ in range(rng.randrange(4)):
+                edited[rng.randrange(len(edited))] = f"e{rng.random()}"
+            texts[100 * family + copy] = " ".join(edited[: 150 - rng.randrange(30)] + common)
+    pairs = alike_pairs(texts)
+    assert len(pairs) < 12 * 190
+    for bucket in (1, 4, 128):
+        assert kept_ids(spark, texts, bucket=bucket) == expected(texts)
