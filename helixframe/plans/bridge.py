@@ -457,12 +457,12 @@ def best_score_ties(spark, sf_dir):
 
 @query("SELECT user_id, count(DISTINCT event_type) AS n_clones, CASE WHEN count(DISTINCT event_type) = 1 THEN 'clone_specific' WHEN count(DISTINCT event_type) = 5 THEN 'shared_all' ELSE 'shared_subset' END AS scope FROM events WHERE event_id % 7 = 0 GROUP BY 1")
 def recurrence(spark, sf_dir):
-    return cohort.recurrence(_t(spark, sf_dir, "events").where("event_id % 7 = 0"), "user_id", "event_type", 5)
+    return cohort.recurrence(_t(spark, sf_dir, "events"), "user_id", "event_type", 5)
 
 
 @query("SELECT user_id, " + ", ".join(f"CAST(max(CASE WHEN event_type = '{c}' THEN 1 ELSE 0 END) AS INTEGER) AS clone_{c}" for c in ("click", "error", "purchase", "signup", "view")) + " FROM events WHERE event_id % 7 = 0 GROUP BY 1")
 def recurrence_matrix(spark, sf_dir):
-    return cohort.presence_matrix(_t(spark, sf_dir, "events").where("event_id % 7 = 0"), "user_id", "event_type", ["click", "error", "purchase", "signup", "view"])
+    return cohort.presence_matrix(_t(spark, sf_dir, "events"), "user_id", "event_type", ["click", "error", "purchase", "signup", "view"])
 
 
 @query(
