@@ -481,7 +481,7 @@ def spread_summary(spark, sf_dir):
 
 @query("SELECT p_brand, CASE WHEN count(DISTINCT p_size) = 1 THEN CAST(min(p_size) AS VARCHAR) ELSE 'NOT_EVALUABLE' END AS p_size FROM part WHERE p_partkey <= 40 GROUP BY 1")
 def merged_metrics(spark, sf_dir):
-    return cohort.merged_metrics(_t(spark, sf_dir, "part").where("p_partkey <= 40"), ["p_brand"], "p_size")
+    return cohort.merged_metrics(_t(spark, sf_dir, "part"), ["p_brand"], "p_size")
 
 
 # --- the composed audit -----------------------------------------------------------------------------------------------

@@ -22,3 +22,11 @@ def test_recurrence_reads_all_events(spark):
     for r in bridge.QUERIES["recurrence_matrix"](spark, SF).collect():
         assert {c.removeprefix("clone_") for c, v in r.asDict().items() if c != "user_id" and v} == kinds.pop(r.user_id)
     assert not kinds
+
+
+def test_merged_metrics_reads_all_parts(spark):
+    sizes = defaultdict(set)
+    for brand, size in rows_of(spark, "part", "p_brand", "p_size"):
+        sizes[brand].add(size)
+    got = {tuple(r) for r in bridge.QUERIES["merged_metrics"](spark, SF).collect()}
+    assert got == {(b, str(min(s)) if len(s) == 1 else "NOT_EVALUABLE") for b, s in sizes.items()}
