@@ -434,7 +434,9 @@ def junction_support(spark, sf_dir):
 )
 def read_piece_pairs(spark, sf_dir):
     rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").alias("q"), F.col("l_quantity").cast("long").alias("a"), (F.col("l_quantity").cast("long") + F.col("l_linenumber") * 7).alias("b"))
-    pairs, _ = junctions.read_pairs(rows, ["l_orderkey"], ["k", "p", "s", "q"], 6)
+    pairs, overflow = junctions.read_pairs(rows, ["l_orderkey"], ["k", "p", "s", "q"])
+    rest, _ = junctions.read_pairs(rows.join(overflow, "l_orderkey", "left_semi"), ["l_orderkey"], ["k", "p", "s", "q"], 2**31 - 1)
+    pairs = pairs.unionByName(rest)
     near = F.greatest("b", "b_2") - F.least("a", "a_2") <= 40
     return pairs.groupBy("l_orderkey").agg(F.count("*").alias("pairs"), F.count_if(near).alias("near"))
 

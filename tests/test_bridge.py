@@ -3,6 +3,8 @@
 from collections import defaultdict
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from helixframe.plans import bridge
 
 SF = "/root/testdata/sf0.01"
@@ -30,3 +32,15 @@ def test_merged_metrics_reads_all_parts(spark):
         sizes[brand].add(size)
     got = {tuple(r) for r in bridge.QUERIES["merged_metrics"](spark, SF).collect()}
     assert got == {(b, str(min(s)) if len(s) == 1 else "NOT_EVALUABLE") for b, s in sizes.items()}
+
+
+def test_read_piece_pairs_has_all_orders(spark, tmp_path):
+    table = spark.read.parquet(f"{SF}/lineitem.parquet")
+    few = table.where("l_orderkey <= 3000").withColumn("l_orderkey", F.expr("if(l_orderkey <= 50, -1, l_orderkey)"))
+    few.write.parquet(f"{tmp_path}/lineitem.parquet")
+    pieces = defaultdict(list)
+    for order, k, q in few.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long")).collect():
+        pieces[order].append((q, q + k * 7))
+    assert max(map(len, pieces.values())) > 20
+    want = {(o, len(p) * (len(p) - 1) // 2, sum(max(x[1], y[1]) - min(x[0], y[0]) <= 40 for x, y in combinations(p, 2))) for o, p in pieces.items() if len(p) > 1}
+    assert {tuple(r) for r in bridge.QUERIES["read_piece_pairs"](spark, str(tmp_path)).collect()} == want
