@@ -4,28 +4,29 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import map_rows, release, written
+from helixframe.llm.common import release, written
 
 #: Tokens of a window; the id that ends a document.
 WINDOW, END_ID = 2048, 1
 #: Tokens of one shard of the index: the bound of a task's memory. A longer document is a shard of its own.
-SHARD_TOKENS = 2_000_000
-#: BM25's constants, and how many of a seed's terms of most weight are its query.
-K1, B, TERMS = 1.2, 0.75, 12
-#: Words and pieces whose ids a worker remembers; they are taken in when they come a second time (or seem to).
+SHARD_TOKENS = 1_000_000
+#: BM25's constants, and how many neighbours are ranked at a time.
+K1, B, RANKED = 1.2, 0.75, 64
+#: Words and pieces whose ids a worker remembers; they are taken in when they come in a second batch (or seem to).
 CACHE, SEEN = 300_000, 1 << 23
-_ODD = re.compile("<\\||[\x1c-\x1f]")
+#: Signs that end a word and, by the file's pattern, are a piece of their own.
+_ENDS = [".", ",", ";", ":", "!", "?"]
 
 
 def _byte_letters() -> list[str]:
@@ -36,28 +37,36 @@ def _byte_letters() -> list[str]:
 
 
 class Encoder:
-    """A tokenizer file that drops white space, word by word: words meet the tokenizer once and are remembered.
+    """A tokenizer file that drops white space, a batch of texts at a time: each distinct word is encoded once.
 
     Exact where the tokenizer's normaliser and splitter never join characters across white space; texts that may hold
-    special tokens, or separators that only Python counts as white space, are encoded whole. Where the file folds case
-    and splits by a pattern, Latin words are folded and split here and only their pieces go to the tokenizer's model.
+    special tokens, or separators that only some count as white space, are encoded whole. Where the file folds case and
+    splits by a pattern, Latin words are folded and split by Arrow, and only pieces that aren't remembered go to the
+    tokenizer's model, all of a batch in one call.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
         self.seen = bytearray(SEEN)
-        self.split = self._splitter(json.loads(self.tokenizer.to_str()))
-        letters = _byte_letters()
-        self.letters = {b: letters[b] for b in range(256)}
+        spec = json.loads(self.tokenizer.to_str())
+        self.split = self._splitter(spec)
+        self.letters = {b: x for b, x in enumerate(_byte_letters()) if b != 32}
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        suffix = spec["model"].get("end_of_word_suffix") or None
+        self.last = np.zeros(self.size, bool)  # ids that end a piece
+        for token, k in self.tokenizer.get_vocab().items():
+            self.last[k] = bool(suffix) and token.endswith(suffix)
 
     @staticmethod
     def _splitter(spec: dict):
-        """The file's pattern of pieces, if it has the steps that pieces() does itself."""
+        """The file's pattern of pieces, if it has the steps that this class does itself."""
         steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         if steps != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in before] != ["Split", "ByteLevel"]:
@@ -69,46 +78,108 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def remember(self, word: str, ids: bytes) -> None:
-        at = hash(word) % SEEN
-        if not self.seen[at]:
-            self.seen[at] = 1
-        elif len(self.known) < CACHE:
-            self.known[word] = ids
-
-    def word(self, w: str) -> bytes:
-        """Ids of a word whose characters are Latin letters and what comes before them in Unicode."""
-        out = []
-        for piece in self.split.findall(w.lower()):
-            found = self.known.get(piece)
-            if found is None:
-                spelt = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
-                found = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], self.dtype).tobytes()
-                if piece != w:
-                    self.remember(piece, found)
-            out.append(found)
-        return b"".join(out)
+    def modelled(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, by the tokenizer's model."""
+        spelt = " ".join(pieces)
+        if not (spelt.isascii() and spelt.isprintable()):
+            spelt = spelt.encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.bare.encode(spelt, add_special_tokens=False).ids, np.int64)
+        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+        if len(ends) != len(pieces) or ends[-1] != len(ids):  # a model that doesn't mark the ends
+            return [np.array([t.id for t in self.bare.model.tokenize(p)], self.dtype).tobytes() for p in spelt.split(" ")]
+        flat, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+        return [flat[a * width : b * width] for a, b in zip([0, *ends], ends)]
+
+    def remembered(self, words: pa.Array, make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Ids of distinct words; those of new ones are made, and remembered when they come again and there is room."""
+        spelt = words.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, spelt))
+        lack = [k for k, x in enumerate(ids) if x is None and spelt[k]]
+        if lack:
+            new = [spelt[k] for k in lack]
+            known, seen, room = self.known, self.seen, len(self.known) < CACHE
+            for k, w, x in zip(lack, new, make(new)):
+                ids[k] = x
+                if room:
+                    at = hash(w) % SEEN
+                    if seen[at]:
+                        known[w] = x
+                    else:
+                        seen[at] = 1
+        return [x or b"" for x in ids]
+
+    def flat(self, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids in one array, and how many each word has."""
+        return np.frombuffer(b"".join(ids), self.dtype), np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+
+    def pieces(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Pieces of Latin words, one after the other, and the offsets of each word's."""
+        low = pc.utf8_lower(words)
+        alpha = pc.utf8_is_alpha(low).to_numpy(zero_copy_only=False)
+        rest = low.filter(pa.array(~alpha))
+        stem, end = pc.utf8_slice_codeunits(rest, 0, -1), pc.utf8_slice_codeunits(rest, -1)
+        two = pc.and_(pc.utf8_is_alpha(stem), pc.is_in(end, pa.array(_ENDS))).to_numpy(zero_copy_only=False)
+        odd = [self.split.findall(w) for w in rest.filter(pa.array(~two)).to_pylist()]
+        n, kind = np.ones(len(words), np.int64), np.flatnonzero(~alpha)
+        n[kind[two]], n[kind[~two]] = 2, [len(x) for x in odd]
+        offsets = np.concatenate(([0], np.cumsum(n)))
+        parts = [low.filter(pa.array(alpha)), stem.filter(pa.array(two)), end.filter(pa.array(two)), pa.array([p for x in odd for p in x], pa.string())]
+        at = offsets[:-1][kind[~two]]
+        places = [offsets[:-1][alpha], offsets[:-1][kind[two]], offsets[:-1][kind[two]] + 1, np.concatenate([np.arange(a, a + len(x)) for a, x in zip(at.tolist(), odd)] or [at])]
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(places)))), offsets
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """flat() of distinct words."""
+        if self.split is None:
+            return self.flat(self.remembered(words, self.whole))
+        raw, bounds = _utf8(words)  # other: beyond U+023F, or U+0130, whose lower case is two characters
+        high = np.flatnonzero((raw >= 0xC9) | (raw == 0xC4) & (np.append(raw[1:], 0) == 0xB0))
+        other = np.zeros(len(words), bool)
+        other[np.searchsorted(bounds, high, "right") - 1] = True
+        pieces, offsets = self.pieces(words.filter(pa.array(~other)) if len(high) else words)
+        pieces = pieces.dictionary_encode()
+        flat, size = _gathered(*self.flat(self.remembered(pieces.dictionary, self.modelled)), pieces.indices.to_numpy(), offsets)
+        if not len(high):
+            return flat, size
+        rest, lengths = self.flat(self.remembered(words.filter(pa.array(other)), self.whole))
+        order = np.argsort(np.concatenate((np.flatnonzero(~other), np.flatnonzero(other))))
+        return _gathered(np.concatenate((flat, rest)), np.concatenate((size, lengths)), order, np.arange(len(order) + 1))
 
     def encode(self, text: str) -> bytes:
-        """The text's ids, as packed little-endian numbers. Words beyond CACHE are encoded each time."""
-        if _ODD.search(text):
-            return self.whole([text])[0]
-        words = text.split()
-        known = self.known
-        missing = set(words).difference(known)
-        if not missing:
-            return b"".join(map(known.__getitem__, words))
-        plain = [w for w in missing if max(w) < "\u0250"] if self.split else []
-        found = {w: self.word(w) for w in plain}
-        if len(plain) < len(missing):
-            rest = list(missing.difference(plain))
-            found.update(zip(rest, self.whole(rest)))
-        out = b"".join([known[w] if w in known else found[w] for w in words])
-        for w, ids in found.items():
-            self.remember(w, ids)
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The texts' ids, as packed little-endian numbers; nulls are empty."""
+        texts = texts.fill_null("")
+        raw, bounds = _utf8(texts)  # odd: may hold special tokens, or separators that only some count as white space
+        odd = np.flatnonzero((raw >= 0x1C) & (raw < 0x20) | (raw == ord("<")) & (np.append(raw[1:], 0) == ord("|")))
+        odd = np.unique(np.searchsorted(bounds, odd, "right") - 1)
+        lists = pc.utf8_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        flat, size = _gathered(*self.words(words.dictionary), words.indices.to_numpy(), lists.offsets.to_numpy())
+        ends = np.concatenate(([0], np.cumsum(size))).tolist()
+        out = [flat[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+        for k in odd.tolist():
+            out[k] = self.whole([texts[k].as_py()])[0]
         return out
 
 
+def _utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of texts, and where each begins and the last ends."""
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data else np.zeros(0, np.uint8)
+    return raw, bounds - bounds[0]
+
+
+def _gathered(flat: np.ndarray, size: np.ndarray, which: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of `size` items, taken by number, in one array; and the items of each list of such numbers, by its offsets."""
+    n = size[which]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    at = np.repeat((np.cumsum(size) - size)[which] - ends[:-1], n) + np.arange(ends[-1])
+    return flat[at], np.diff(ends[offsets - offsets[0]])
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -119,86 +190,106 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, text) to (doc_id, ids binary, width int): each document's ids and the end id, as packed numbers of width bytes."""
+def _unpacked(ids: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(ids, "<u2" if width == 2 else "<u4")
 
-    def make():
-        e = encoder(path)
-        end = np.array([end_id], e.dtype).tobytes()
-        return lambda doc_id, text: [(doc_id, e.encode(text or "") + end, e.dtype.itemsize)]
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, ids binary, width int")
+def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a document, and how often each occurs."""
+    s = np.sort(ids, kind="stable")
+    at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    return s[at], np.diff(np.append(at, len(s)))
 
 
-def _unpacked(ids: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(ids, "<u2" if width == 2 else "<u4")
+def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, text) to (doc_id, ids binary, width int, counts): each document's ids and the end id, as packed numbers of width bytes.
+
+    Each task adds one row without ids, whose counts are its number of documents, of ids, and the documents with each id.
+    """
+    arrow = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("width", pa.int32()), ("counts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
+        width, end = e.dtype.itemsize, np.array([end_id], e.dtype).tobytes()
+        df = np.zeros(max(end_id + 1, e.size), np.int64)
+        docs = length = 0
+        for batch in batches:
+            doc_ids, texts = batch.columns
+            out = [ids + end for ids in e.encode_all(texts)]
+            for ids in out:
+                terms, _ = _terms(_unpacked(ids, width))
+                df[terms] += 1
+                length += len(ids) // width
+            docs += len(out)
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(out, pa.binary()), pa.array([width] * len(out), pa.int32()), pa.nulls(len(out), pa.binary())], schema=arrow)
+        if docs:
+            counts = np.concatenate(([docs, length], df)).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([None], [None], [width], [counts]), arrow)], schema=arrow)
+        release()
+
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, width int, counts binary")
 
 
 def statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
-    """Document frequency by id, number and mean length of all documents.
+    """Document frequency by id, number and mean length of all documents, from the rows of counts.
 
-    Each task sums its own documents; what reaches the driver is bounded by the vocabulary.
+    Each task sums its own rows; what reaches the driver is bounded by the vocabulary.
     """
-    arrow = pa.schema([("id", pa.int64()), ("df", pa.int64())])
+    arrow = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(0, np.int64)
-        docs = length = 0
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = _unpacked(ids, width)
-                n = np.bincount(x) > 0
-                if len(n) > len(df):
-                    df = np.concatenate((df, np.zeros(len(n) - len(df), np.int64)))
-                df[: len(n)] += n
-                docs += 1
-                length += len(x)
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((at, [-1, -2]))), pa.array(np.concatenate((df[at], [docs, length])))], schema=arrow)
-
-    rows = tokens.select("ids", "width").mapInArrow(run, "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).collect()
-    found = {r.id: r.df for r in rows}
-    n, length = found.pop(-1, 0), found.pop(-2, 0)
-    df = np.zeros(max(found, default=0) + 1, np.int64)
-    for k, v in found.items():
-        df[k] = v
-    return df, n, length / max(1, n)
+            for counts in batch.column(0):
+                x = np.frombuffer(counts.as_buffer(), "<i8")
+                total = x + total if len(total) else x
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], schema=arrow)
+
+    rows = tokens.where("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    at, n = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    total = np.zeros(max(2, at.max(initial=0) + 1), np.int64)
+    total[at] = n
+    return total[2:], int(total[0]), float(total[1]) / max(1, int(total[0]))
 
 
 class Shard:
     """A BM25 inverted index of some documents, and which of their ids are still to be packed."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.docs, self.idf = docs, idf
+        self.docs = docs
         self.start = np.zeros(len(docs), np.int64)
         self.left = np.array([len(d) for d in docs], np.int64)
-        terms, counts = [], []
-        for d in docs:
-            n = np.bincount(d)
-            t = np.flatnonzero(n)
-            terms.append(t.astype(np.int32))
-            counts.append(n[t])
-        owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(t) for t in terms])
-        bounds = np.cumsum([0, *map(len, terms)])
+        terms, counts = zip(*map(_terms, docs))
+        sizes = [len(t) for t in terms]
+        owner = np.repeat(np.arange(len(docs)), sizes)
         flat, tf = np.concatenate(terms), np.concatenate(counts)
-        length = self.left[owner] / max(1.0, mean)
-        weight = (idf[flat] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))).astype(np.float32)
-        self.query = [terms[i][np.argsort(-weight[bounds[i] : bounds[i + 1]], kind="stable")[:TERMS]] for i in range(len(docs))]
+        shared = np.bincount(flat, minlength=len(idf)) > 1  # a term of one document finds no other
+        kept = shared[flat]
+        flat, tf, owner = flat[kept], tf[kept], owner[kept]
+        weight = idf[flat] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.left[owner] / max(1.0, mean)))
+        self.query, self.bounds = flat.astype(np.int64), np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(docs)))))
         order = np.argsort(flat, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
-        self.lists = np.searchsorted(flat[order], np.arange(len(idf) + 1))
+        self.lists = np.concatenate(([0], np.cumsum(np.bincount(flat, minlength=len(idf)))))
         self.next = 0
 
     def neighbours(self, seed: int) -> Iterator[int]:
-        """Unused documents by falling BM25 score for the seed's terms, ties by position; the rest follow in order."""
-        parts = [slice(self.lists[t], self.lists[t + 1]) for t in self.query[seed].tolist()]
-        docs, weight = np.concatenate([self.owner[p] for p in parts]), np.concatenate([self.weight[p] for p in parts])
-        free = self.left[docs] > 0
-        docs, weight = docs[free], weight[free]
-        if len(docs):
-            found, at = np.unique(docs, return_inverse=True)
-            score = np.bincount(at, weight)
-            yield from found[np.argsort(-score, kind="stable")].tolist()
+        """Unused documents by falling BM25 score for all the seed's terms, ties by position; the rest follow in order."""
+        terms = self.query[self.bounds[seed] : self.bounds[seed + 1]]
+        parts = list(zip(self.lists[terms].tolist(), self.lists[terms + 1].tolist()))
+        if parts:
+            score = np.bincount(np.concatenate([self.owner[a:b] for a, b in parts]), np.concatenate([self.weight[a:b] for a, b in parts]), len(self.left))
+            score[self.left == 0] = 0
+            ranked, at = 0, np.flatnonzero(score)
+            while ranked < len(at):  # the best come first; more are ranked where they don't fill the window
+                most = min(len(at), max(RANKED, 4 * ranked))
+                least = np.partition(score[at], len(at) - most)[len(at) - most]
+                best = at[score[at] >= least]
+                best = best[np.argsort(-score[best], kind="stable")]
+                yield from best[ranked:].tolist()
+                ranked = len(best)
         while (k := self.first()) is not None:
             yield k
 
@@ -248,7 +339,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     """
     tokens, _ = written(tokenize(docs, path, end_id))
     df, n, mean = statistics(tokens)
-    idf = tokens.sparkSession.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32))
+    idf = tokens.sparkSession.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     types = [pa.int64()] * 7 + [pa.binary()] * with_ids
     arrow = pa.schema([(c.split()[0], t) for c, t in zip(schema.split(", "), types)])
@@ -316,4 +407,4 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
         release()
 
     tokens.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return tokens.select("doc_id", "ids", "width").mapInArrow(run, schema)
+    return tokens.where("ids is not null").select("doc_id", "ids", "width").mapInArrow(run, schema)
