@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -178,8 +179,10 @@ def simhash_groups(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFr
 #: For deduplication at a similarity: shingles of a sample of one in SAMPLE texts that SEEN or more of them have count as
 #: frequent and come last in the order of shingles, at most FREQUENT of them.
 SAMPLE, SEEN, FREQUENT = 16, 4, 1_000_000
-#: A shingle that so many texts lead with is paired in full at once; over it, so many pairs a text in the first round.
-WHOLE, FIRST = 128, 4
+#: A shingle that so many texts lead with is paired in full at once; over it, each text with so many others at first.
+WHOLE, FIRST = 128, 3
+#: Bits of the parity sketch of a set of shingles, and texts that one task compares the others of a large key with.
+SKETCH, BLOCK = 1024, 4096
 
 
 def _mapped(df: DataFrame, make, schema: str, rows: int) -> DataFrame:
@@ -223,57 +226,111 @@ def _leading(hashes: np.ndarray, frequent: np.ndarray, similarity: float) -> np.
     return hashes[: len(hashes) - int(_least(similarity, len(hashes))) + 1]
 
 
-def _meet(similarity: float, whole: int, most: int):
-    """Streams rows (key, n, id, root) sorted by key and n; yields pairs of different roots whose sizes allow the similarity.
+def _sketch(hashes: np.ndarray) -> bytes:
+    """Parity of the hashes in each of SKETCH cells: two sets differ in at least as many elements as their sketches in bits."""
+    cells = np.bincount((hashes >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH)
+    return np.packbits(cells & 1).tobytes()
 
-    Rows (a, b, na, nb, kind): kind 0 from keys with up to `whole` texts, all pairs; kind 1 from larger keys. Where
-    those have over `most` pairs a text, the members (id, key, n, 0, 2) follow, for another round.
+
+def _batches(parts: Iterator[np.ndarray], names: list[str], most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Rows, as arrays, in batches of some `most` rows."""
+    size, out = 0, []
+    for part in parts:
+        out.append(part)
+        size += len(part)
+        if size >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T], names)
+            size, out = 0, []
+    if size:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T], names)
+
+
+def _meet(similarity: float, whole: int, first: int):
+    """Streams rows (key, n, id) sorted by key; yields pairs whose sizes allow the similarity.
+
+    Rows (a, b, na, nb, kind): kind 0 from keys of up to `whole` texts, all pairs. Of a larger key, kind 1 are the pairs
+    of texts that stand up to `first` rows apart; its members follow as (id, key, n, 0, 2). At most `whole` rows of a
+    key, or a batch's, are held at once.
     """
     names = ["a", "b", "na", "nb", "kind"]
 
-    def pairs(rows: np.ndarray):
-        n, ids, roots, m = rows[:, 1], rows[:, 2], rows[:, 3], len(rows)
-        kind, total = int(m > whole), 0
-        for d in range(1, m):
-            fits = n[:-d] >= similarity * n[d:] - 1e-9
-            if not fits.any():
-                return
-            at = np.flatnonzero(fits & (roots[:-d] != roots[d:]))
+    def pairs(rows: np.ndarray, kind: int, old: int = 0):
+        """Pairs of the rows of a key, the first `old` of which have been paired with one another."""
+        n, ids = rows[:, 1], rows[:, 2]
+        for d in range(1, len(rows) if kind == 0 else min(len(rows), first + 1)):
+            at = np.arange(max(0, old - d), len(rows) - d)
+            at = at[np.minimum(n[at], n[at + d]) >= similarity * np.maximum(n[at], n[at + d]) - 1e-9]
             swap = ids[at] > ids[at + d]
             x, y = np.where(swap, at + d, at), np.where(swap, at, at + d)
             yield np.stack((ids[x], ids[y], n[x], n[y], np.full(len(at), kind)), 1)
-            total += len(at)
-            if kind and total > most * m and d < m - 1:
-                yield np.stack((ids, rows[:, 0], n, np.zeros(m, np.int64), np.full(m, 2)), 1)
-                return
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+    def members(rows: np.ndarray):
+        yield np.stack((rows[:, 2], rows[:, 0], rows[:, 1], np.zeros(len(rows), np.int64), np.full(len(rows), 2)), 1)
 
-        def judged(rows: np.ndarray):
+    def found(batches: Iterator[pa.RecordBatch]):
+        held, large = np.zeros((0, 3), np.int64), False
+        for batch in batches:
+            rows = np.concatenate((held, np.stack([c.to_numpy() for c in batch.columns], 1)))
             edges = np.concatenate(([0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, [len(rows)]))
-            size, out = 0, []
             for k in np.flatnonzero(np.diff(edges) > 1):
-                for part in pairs(rows[edges[k] : edges[k + 1]]):
-                    out.append(part)
-                    size += len(part)
-                    if size > 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T], names)
-                        size, out = 0, []
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T], names)
+                group, last = rows[edges[k] : edges[k + 1]], k == len(edges) - 2
+                old = len(held) if k == 0 and large else 0
+                if len(group) > whole or old:
+                    yield from pairs(group, 1, old)
+                    yield from members(group[old:])
+                elif not last:
+                    yield from pairs(group, 0)
+            group = rows[edges[-2] :]
+            large = len(group) > whole or len(edges) == 2 and large
+            held = group[-first:] if large else group
+        if len(held) > 1 and not large:
+            yield from pairs(held, 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(found(batches), names)
+        release()
 
+    return run
+
+
+def _against(similarity: float):
+    """Streams rows (key, block, side, id, n, root, sketch) sorted so; yields the pairs (a, b) of different roots that may be as similar.
+
+    Of each key and block the rows of side 0 are held, some BLOCK of them, and those of side 1 compared with them.
+    """
+    share = (1 - similarity) / (1 + similarity)
+
+    def numbers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        words = np.frombuffer(b"".join(batch.column(6).to_pylist()), "<u8").reshape(-1, SKETCH // 64)
+        return np.stack([c.to_numpy() for c in batch.columns[:6]], 1), words
+
+    def near(x: np.ndarray, xw: np.ndarray, y: np.ndarray, yw: np.ndarray):
+        for k in range(len(x)):
+            n, m = x[k, 4], y[:, 4]
+            at = np.flatnonzero((y[:, 5] != x[k, 5]) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9))
+            apart = np.bitwise_count(yw[at] ^ xw[k]).sum(1, dtype=np.int64)
+            ids = y[at[apart <= share * (n + m[at]) + 1e-9], 3]
+            yield np.stack((np.minimum(ids, x[k, 3]), np.maximum(ids, x[k, 3])), 1)
+
+    def found(batches: Iterator[pa.RecordBatch]):
+        held, words, now = [], [], None
         for batch in batches:
-            rows = np.stack([c.to_numpy() for c in batch.columns], 1)
-            new = np.flatnonzero(rows[:, 0] != (held[-1][-1, 0] if held else rows[0, 0]))
-            if not len(new):
-                held.append(rows)
-                continue
-            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-            yield from judged(np.concatenate([*held, rows[:last]]))
-            held = [rows[last:]]
-        if held:
-            yield from judged(np.concatenate(held))
+            rows, sketches = numbers(batch)
+            cuts = [0, *(np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1).tolist(), len(rows)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                if tuple(rows[i, :2]) != now:
+                    held, words, now = [], [], tuple(rows[i, :2])
+                if rows[i, 2] == 0:
+                    held.append(rows[i:j])
+                    words.append(sketches[i:j])
+                elif held:
+                    held, words = [np.concatenate(held)], [np.concatenate(words)]
+                    yield from near(held[0], words[0], rows[i:j], sketches[i:j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(found(batches), ["a", "b"])
         release()
 
     return run
@@ -308,15 +365,34 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, s
     return cut(_mapped(both.select("a", "b", "one", "two"), make_check, "a long, b long", 64))
 
 
+def _rest(full: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members (key, id, n) of large keys that may be as similar and whose roots differ.
+
+    Of each key, the texts outside its largest root are dealt out in blocks of some BLOCK, and all members pass by each
+    block; only pairs that their sketches allow come out.
+    """
+    full, _ = written(full.join(roots, full.id == roots.node, "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")))
+    counts = full.groupBy("key", "root").agg(F.count("*").alias("c"))
+    keys = counts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("c"))
+    keys = keys.select("key", F.col("top.root").alias("top"), F.ceil((F.col("c") - F.col("top.c")) / BLOCK).cast("int").alias("blocks")).where("blocks > 0")
+    rows = full.join(keys, "key").join(nodes.select("id", "sketch"), "id")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("long")
+    some = F.when(F.col("root") != F.col("top"), F.array(F.struct(block.alias("block"), F.lit(0).cast("long").alias("side")))).otherwise(F.expr("cast(array() as array<struct<block:bigint,side:bigint>>)"))
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.cast("long").alias("block"), F.lit(1).cast("long").alias("side")))
+    rows = rows.select("key", "id", "n", "root", "sketch", F.explode(F.concat(some, every)).alias("to")).select("key", "to.block", "to.side", "id", "n", "root", "sketch")
+    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", "side", "id")
+    return rows.mapInArrow(_against(similarity), "a long, b long").distinct()
+
+
 def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = WHOLE) -> DataFrame:
     """doc_id of one document, the smallest, of each group of near duplicates of (doc_id, text).
 
     Prefix filter, without chance: in one order of all shingles, two sets that are as similar share one of their
     first n - ceil(similarity * n) + 1 shingles, so each of these is a join key. A pair that shares too few of them to
-    reach the similarity is dropped; the others are verified by their sets of shingle hashes (64 bits). A key of more
-    than `bucket` texts yields some pairs a text; what these don't join is paired again, with 16 times as many, until
-    every pair of the key has been verified or lies in one group, so large groups don't make all their pairs.
-    Texts without words are copies of one another. Rows without a doc_id are left out.
+    reach the similarity is dropped; the others are verified by their sets of shingle hashes (64 bits). Of a key of more
+    than `bucket` texts, each is paired with a few others first, others for each key, which joins most of a large group;
+    what that leaves apart is then compared with the key's other texts by sketches that lose no pair, so large groups
+    don't make all their pairs. Texts without words are copies of one another. Rows without a doc_id are left out.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id is not null")
@@ -325,7 +401,8 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, bu
     def make():
         def f(ids, texts):
             sets = [np.unique(shingle_hashes(t, words)) for t in texts.to_pylist()]
-            return ids, [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [len(x) for x in sets], [_leading(x, frequent.value, similarity).tobytes() if len(x) else b"" for x in sets]
+            digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            return ids, digests, [len(x) for x in sets], [_leading(x, frequent.value, similarity).tobytes() if len(x) else b"" for x in sets], [_sketch(x) for x in sets]
 
         return f
 
@@ -337,25 +414,23 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, bu
 
         return f
 
-    prints = _mapped(docs, make, "doc_id long, sig binary, n long, leading binary", 512)
-    nodes = cut(prints.groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("leading").alias("leading")))
-    rows = _mapped(nodes.select("id", "n", "leading").where("n > 0"), make_keys, "key long, n long, id long", 512).withColumn("root", F.col("id"))
+    prints = _mapped(docs, make, "doc_id long, sig binary, n long, leading binary, sketch binary", 512)
+    nodes = cut(prints.groupBy("sig").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "leading", "sketch"))))
+    rows = _mapped(nodes.select("id", "n", "leading").where("n > 0"), make_keys, "key long, n long, id long", 512)
+    # equal sizes, roughly, stand together; within these, each key has its own order
+    rows = rows.repartition("key").sortWithinPartitions("key", F.floor(F.log("n") / max(1e-6, -math.log(similarity))), F.xxhash64("key", "id"), "id").select("key", "n", "id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    met, _ = written(rows.mapInArrow(_meet(similarity, bucket, FIRST), "a long, b long, na long, nb long, kind long"))
     need = F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-9)
     rest = F.greatest(*(F.ceil(F.col(c) * similarity - 1e-9) - 1 for c in ("na", "nb")))
-    links, most = None, FIRST
-    while True:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-        met = rows.repartition("key").sortWithinPartitions("key", "n", "id").select("key", "n", "id", "root")
-        met, _ = written(met.mapInArrow(_meet(similarity, bucket if links is None else 0, most), "a long, b long, na long, nb long, kind long"))
-        close = met.where("kind < 2 and a <> b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"), F.max("kind").alias("kind")).where((F.col("kind") == 1) | (F.col("shared") + rest >= need))
-        found = _verified(cut(close.select("a", "b").distinct()), docs, nodes, words, similarity)
-        links = found if links is None else links.union(found)
-        roots = connected_components(links)
-        full = met.where("kind = 2").select(F.col("b").alias("key"), F.col("na").alias("n"), F.col("a").alias("id"))
-        if full.isEmpty():
-            break
-        most *= 16
-        rows = full.join(roots, full.id == roots.node, "left").select("key", "n", "id", F.coalesce("root", "id").alias("root"))
+    close = met.where("kind < 2").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"), F.max("kind").alias("kind")).where((F.col("kind") == 1) | (F.col("shared") + rest >= need))
+    links = _verified(cut(close.select("a", "b").distinct()), docs, nodes, words, similarity)
+    roots = connected_components(links)
+    full = met.where("kind = 2").select(F.col("b").alias("key"), F.col("a").alias("id"), F.col("na").alias("n"))
+    if full.limit(1).count():
+        roots = cut(roots)
+        found = _verified(cut(_rest(full, nodes, roots, similarity)), docs, nodes, words, similarity)
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
     return nodes.join(roots, nodes.id == roots.node, "left").where("root is null or root = id").select(F.col("id").alias("doc_id")).distinct()
 
 
