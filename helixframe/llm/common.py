@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch between the JVM and Python; bounds a worker's memory when texts are long.
 BATCH_ROWS = 512
+#: Tables between steps are written in at most so many files for each core of the cluster.
+TASKS_PER_CORE = 8
 #: UTF-8 white space that separates words in the contracts that split on [\x20\x09-\x0D]; bytes.split() splits on just these.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -80,37 +83,101 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+def _fewer(df: DataFrame) -> DataFrame:
+    """df in at most TASKS_PER_CORE partitions a core: whole partitions follow one another in a task, so it holds no more at once."""
+    return df.coalesce(max(TASKS_PER_CORE, TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """checkpoint(): computes df once, in the shared folder, and cuts its lineage."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _fewer(df).checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """df as Parquet in the shared folder, and its path; for wide intermediate tables."""
+    """df as Parquet in the shared folder, and its path; for wide intermediate tables, and where the size decides how they are joined.
+
+    What dropped() doesn't delete goes when the driver's Python ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/helixframe-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    top = f"{shared_dir(spark)}/helixframe-{spark.sparkContext.applicationId}"
+    if getattr(spark.sparkContext, "_helixframe_tables", None) != top:
+        spark.sparkContext._helixframe_tables = top
+        atexit.register(dropped, spark, top)
+    path = f"{top}/{uuid.uuid4().hex}"
+    _fewer(df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that written() made, if the JVM still runs."""
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the gateway is closed: nothing is left to delete it with
+        pass
+
+
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of an undirected graph that aren't the smallest of their component, and that smallest."""
+    node, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    one, two = at[: len(a)], at[len(a) :]
+    root = np.arange(len(node))
+    while True:
+        least = np.minimum(root[one], root[two])
+        new = root.copy()
+        for side in (one, two):
+            np.minimum.at(new, root[side], least)
+        while (jumped := new[new] < new).any():
+            new = np.where(jumped, new[new], new)
+        new = new[root]
+        if (new == root).all():
+            above = root != np.arange(len(node))
+            return node[above], node[root[above]]
+        root = new
+
+
+def _forest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of one task to (a, b, own): its nodes with the smallest of their component; own if the node came as an a."""
+    a = b = mine = np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def settle():
+        nonlocal a, b, mine, held, size
+        mine = np.unique(np.concatenate((mine, *(x for x, _ in held))))
+        a, b = _roots(*(np.concatenate(x) for x in zip((a, b), *held)))
+        held, size = [], 0
+
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        size += batch.num_rows
+        if size > max(1_000_000, 2 * len(a)):
+            settle()
+    if held:
+        settle()
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.isin(a, mine, assume_unique=True))], ["a", "b", "own"])
+    release()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """Roots of an undirected graph: edges (a, b) to (node, root), root the smallest node reachable.
+    """Roots of an undirected graph: edges (a, b) of long to (node, root), root the smallest node reachable.
 
-    Alternating large-star and small-star steps: each is a map-side combined minimum per node and a join that
-    adaptive execution can split at a hub, so no component meets in one task. Self-loops are allowed; nodes without
-    edges don't appear. Logarithmically many rounds, each cut by checkpoint().
+    Each round deals the edges out by their larger node, replaces those of each task by a forest of depth one, and
+    lets each node skip its parent. A node's parents meet in one task, its children don't, so a component of a third
+    of all nodes is dealt out evenly, and adaptive execution splits the join at its root; a forest that is small is
+    joined without a shuffle. It ends when no parent has a parent and no node two: after logarithmically many rounds,
+    each cut by a written table. Self-loops are allowed; nodes without edges don't appear.
     """
-    edge = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    spark = edges.sparkSession
+    edge, old = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), None
     while True:
-        now = edge.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
-        if tuple(now) == state or now[0] == 0:
-            return edge.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edge.select("b", "b")).groupBy("node").agg(F.min("root").alias("root"))
-        state = tuple(now)
-        both = edge.union(edge.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")).select("k", F.least("k", "m").alias("m"))
-        edge = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = edge.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
-        joined = edge.join(least, F.col("a") == F.col("k"))
-        edge = cut(joined.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct())
+        forest, path = written(edge.repartition("a").mapInArrow(_forest_of, "a long, b long, own boolean"))
+        if old:
+            dropped(spark, old)
+        above = forest.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        if not forest.where("not own").limit(1).count() and not forest.join(above, "b", "left_semi").limit(1).count():
+            return forest.select(F.col("a").alias("node"), F.col("b").alias("root")).union(forest.select("b", "b").distinct())
+        edge, old = forest.join(above, "b", "left").select("a", F.coalesce("c", "b").alias("b")), path

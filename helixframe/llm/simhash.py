@@ -19,7 +19,7 @@ from helixframe.llm.common import connected_components, cut, map_rows, release,
 
 SEED = 42
 #: A bucket of up to so many fingerprints is compared within one task; a larger one is keyed anew on more of its bits.
-BUCKET = 2048
+BUCKET = 16384
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
