@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import os
 import shutil
 import tempfile
 import uuid
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows of one Arrow batch between the JVM and Python; bounds a worker's memory when texts are long.
+#: Rows of one Arrow batch between the JVM and Python, the same for all operators; Spark also ends a batch at 64 MB.
 BATCH_ROWS = 512
 #: Tables between steps are written in at most so many files for each core of the cluster.
 TASKS_PER_CORE = 8
@@ -32,13 +33,31 @@ def release() -> None:
         pass
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in whose session Arrow batches have BATCH_ROWS rows, whichever operator's plan runs first."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
+def numbers(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[np.ndarray]:
+    """The rows of batches of whole numbers, as arrays of some `rows` rows or what is left."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(np.stack([c.to_numpy() for c in batch.columns], 1).astype(np.int64, copy=False))
+        size += batch.num_rows
+        if size >= rows:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if size:
+        yield np.concatenate(held)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str) -> DataFrame:
     """Applies a Python function to every row, a batch at a time.
 
     make() runs once per task and returns a function of the row's columns that yields result tuples;
-    the result has `schema`. A batch holds BATCH_ROWS rows, so memory doesn't grow with the partition.
+    the result has `schema`. A batch holds BATCH_ROWS rows or 64 MB, so memory doesn't grow with the partition.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +68,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), arrow)], schema=arrow)
         release()
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def filter_rows(df: DataFrame, make: Callable[[], Callable[..., bool]], columns: list[str]) -> DataFrame:
@@ -57,7 +76,6 @@ def filter_rows(df: DataFrame, make: Callable[[], Callable[..., bool]], columns:
 
     The function runs in mapInArrow over whole batches, so nothing is shuffled and rows without a key stay apart.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     at = [df.columns.index(c) for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,15 +84,19 @@ def filter_rows(df: DataFrame, make: Callable[[], Callable[..., bool]], columns:
             yield batch.filter(pa.array([bool(f(*row)) for row in zip(*(batch.column(i).to_pylist() for i in at))], pa.bool_()))
         release()
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     sc = spark.sparkContext
     place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place and sc._jsc.sc().getCheckpointDir().isDefined():
+        place = os.path.dirname(sc._jsc.sc().getCheckpointDir().get())  # the folder that was set; Spark adds one of its own
     if not place:
         place = getattr(sc, "_helixframe_dir", None)
+        if place is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if place is None:
             place = sc._helixframe_dir = tempfile.mkdtemp(prefix="helixframe-")
             atexit.register(shutil.rmtree, place, True)

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import release, written
+from helixframe.llm.common import release, small_batches, written
 
 #: Tokens of a window; the id that ends a document.
 WINDOW, END_ID = 2048, 1
@@ -227,8 +227,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([None], [None], [width], [counts]), arrow)], schema=arrow)
         release()
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, width int, counts binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, width int, counts binary")
 
 
 def statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
@@ -406,5 +405,4 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
             yield batch_of(rows)
         release()
 
-    tokens.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return tokens.where("ids is not null").select("doc_id", "ids", "width").mapInArrow(run, schema)
+    return small_batches(tokens).where("ids is not null").select("doc_id", "ids", "width").mapInArrow(run, schema)

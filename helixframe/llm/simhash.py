@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from helixframe.llm.common import connected_components, cut, map_rows, release, written
+from helixframe.llm.common import connected_components, cut, map_rows, numbers, release, small_batches, written
 
 SEED = 42
 #: A bucket of up to so many fingerprints is compared within one task; a larger one is keyed anew on more of its bits.
@@ -123,9 +123,10 @@ def _compare(distance: int, bucket: int):
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*links), arrow)], schema=arrow)
 
-        for batch in batches:
-            yield from judged(np.stack([c.to_numpy() for c in batch.columns], 1).astype(np.int64), False)
+        for rows in numbers(batches, 20_000):
+            yield from judged(rows, False)
         yield from judged(np.zeros((0, 3), np.int64), True)
+        release()
 
     return run
 
@@ -142,14 +143,13 @@ def links(fps: DataFrame, distance: int = 4, bucket: int = BUCKET) -> DataFrame:
     done = None
     while True:
         rows = rows.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-        out = cut(rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(_compare(distance, bucket), "a long, b long, kind int"))
+        out = cut(small_batches(rows).repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(_compare(distance, bucket), "a long, b long, kind int"))
         done = out.where("kind = 0") if done is None else done.union(out.where("kind = 0"))
         more = out.where("kind = 1")
         if more.isEmpty():
             return done.select("a", "b").distinct()
-        finer = F.udf(lambda m: [_signed(x) for x in masks(m & (2**64 - 1), distance)], "array<long>")
-        split = more.select("a").distinct().select("a", finer("a").alias("finer"))
+        made = [(r.a, [_signed(x) for x in masks(r.a & (2**64 - 1), distance)]) for r in more.select("a").distinct().collect()]  # of each level at most 15 times the one before
+        split = spark.createDataFrame(made, "a long, finer array<long>")
         rows = more.join(F.broadcast(split), "a").select(F.col("b").alias("fp"), F.explode("finer").alias("mask"))
 
 
@@ -185,9 +185,8 @@ WHOLE, FIRST = 128, 3
 SKETCH, BLOCK = 1024, 4096
 
 
-def _mapped(df: DataFrame, make, schema: str, rows: int) -> DataFrame:
-    """mapInArrow of a function from a batch's columns, as lists, to columns of the result; batches of so many rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def _mapped(df: DataFrame, make, schema: str) -> DataFrame:
+    """mapInArrow of a function from a batch's columns to columns of the result."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +196,7 @@ def _mapped(df: DataFrame, make, schema: str, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(f(*batch.columns), arrow)], schema=arrow)
         release()
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def _least(share: float, n):
@@ -212,7 +211,7 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
         return lambda texts: [np.concatenate([np.unique(shingle_hashes(t, words)) for t in texts.to_pylist()]).view("<i8")]
 
     some = docs.where(F.xxhash64("doc_id") % SAMPLE == 0).select("text")
-    counts = _mapped(some, make, "shingle long", 512).groupBy("shingle").count().where(F.col("count") >= SEEN)
+    counts = _mapped(some, make, "shingle long").groupBy("shingle").count().where(F.col("count") >= SEEN)
     found = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT).select("shingle").toArrow().column(0).to_numpy()
     return np.sort(found.astype("<i8").view("<u8"))
 
@@ -269,8 +268,8 @@ def _meet(similarity: float, whole: int, first: int):
 
     def found(batches: Iterator[pa.RecordBatch]):
         held, large = np.zeros((0, 3), np.int64), False
-        for batch in batches:
-            rows = np.concatenate((held, np.stack([c.to_numpy() for c in batch.columns], 1)))
+        for rows in numbers(batches, 4096):
+            rows = np.concatenate((held, rows))
             edges = np.concatenate(([0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, [len(rows)]))
             for k in np.flatnonzero(np.diff(edges) > 1):
                 group, last = rows[edges[k] : edges[k + 1]], k == len(edges) - 2
@@ -358,11 +357,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, s
         return f
 
     some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = _mapped(docs.join(some, "doc_id", "left_semi"), make_set, "id long, sig binary, set binary", 64)
+    sets = _mapped(docs.join(some, "doc_id", "left_semi"), make_set, "id long, sig binary, set binary")
     sets = sets.join(nodes.select("id", "sig"), ["id", "sig"], "left_semi").dropDuplicates(["id", "sig"])
     sets, _ = written(sets.select("id", "set"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("one")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("two")), "b")
-    return cut(_mapped(both.select("a", "b", "one", "two"), make_check, "a long, b long", 64))
+    return cut(_mapped(both.select("a", "b", "one", "two"), make_check, "a long, b long"))
 
 
 def _rest(full: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
@@ -394,9 +393,8 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, bu
     what that leaves apart is then compared with the key's other texts by sketches that lose no pair, so large groups
     don't make all their pairs. Texts without words are copies of one another. Rows without a doc_id are left out.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    frequent = spark.sparkContext.broadcast(_frequent(docs, words))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
 
     def make():
         def f(ids, texts):
@@ -414,12 +412,11 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, bu
 
         return f
 
-    prints = _mapped(docs, make, "doc_id long, sig binary, n long, leading binary, sketch binary", 512)
+    prints = _mapped(docs, make, "doc_id long, sig binary, n long, leading binary, sketch binary")
     nodes = cut(prints.groupBy("sig").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "leading", "sketch"))))
-    rows = _mapped(nodes.select("id", "n", "leading").where("n > 0"), make_keys, "key long, n long, id long", 512)
+    rows = _mapped(nodes.select("id", "n", "leading").where("n > 0"), make_keys, "key long, n long, id long")
     # equal sizes, roughly, stand together; within these, each key has its own order
     rows = rows.repartition("key").sortWithinPartitions("key", F.floor(F.log("n") / max(1e-6, -math.log(similarity))), F.xxhash64("key", "id"), "id").select("key", "n", "id")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     met, _ = written(rows.mapInArrow(_meet(similarity, bucket, FIRST), "a long, b long, na long, nb long, kind long"))
     need = F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-9)
     rest = F.greatest(*(F.ceil(F.col(c) * similarity - 1e-9) - 1 for c in ("na", "nb")))
