@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +18,7 @@ PER_CLASS, BITS, WIDTH, PASSES, RATE = 800, 15, 16, 5, 0.5
 REFUSED = 0.01
 UNKNOWN = "und"
 _MIX = np.uint32(2654435761)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SPACE = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 

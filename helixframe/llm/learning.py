@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Most labels that a classifier has.
+LABELS = 1000
+
+
 def fold(folds: int) -> Column:
     """crc32 of doc_id as text, modulo the number of folds; null ids have none."""
     return F.crc32(F.col("doc_id").cast("string")) % folds
@@ -15,17 +19,20 @@ def fold(folds: int) -> Column:
 def sample(docs: DataFrame, labelled: DataFrame, per_class: int) -> list[tuple[str, object]]:
     """(text, label) of at most per_class rows for each of the few labels, the first by a hash of doc_id.
 
-    labelled has doc_id and label. Ids are chosen before texts are read, so what the driver gathers is bounded by
-    per_class whole texts a label.
+    labelled has doc_id and label. Ids are chosen before texts are read, and of rows that share an id the least text is
+    taken, so what the driver gathers is bounded by per_class whole texts a label. Over LABELS labels are an error.
     """
-    labels = [r[0] for r in labelled.select("label").where("label is not null").distinct().orderBy("label").limit(1000).collect()]
+    labels = [r[0] for r in labelled.select("label").where("label is not null").distinct().orderBy("label").limit(LABELS + 1).collect()]
+    if len(labels) > LABELS:
+        raise ValueError(f"over {LABELS} labels")
     chosen = None
     for label in labels:
         top = labelled.where(F.col("label") == F.lit(label)).select("doc_id", "label").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = top if chosen is None else chosen.union(top)
     if chosen is None:
         return []
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").collect()
+    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    rows = found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     return [(r.text, r.label) for r in sorted(rows, key=lambda r: (r.doc_id, r.label, r.text))]
 
 
