@@ -9,7 +9,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -39,22 +41,23 @@ class Stream:
     sequence: int = 0
     pages: list[bytes] = field(default_factory=list)
 
-    def page(self, packets: list[bytes], granule: int, last: bool = False) -> None:
-        """Appends one packet run; ends exactly with its last packet, whose granule position is given."""
-        lacing = b"".join(b"\xff" * (len(p) // 255) + bytes([len(p) % 255]) for p in packets)
+    def write(self, packets: list[bytes], positions: list[int], last: bool = False) -> None:
+        """Appends pages with the packets, the first of which starts a page and the last of which ends one.
+
+        A page's granule position is that of the last packet that ends on it, NO_GRANULE if none does.
+        """
+        sizes = [len(p) // 255 + 1 for p in packets]
+        lacing = b"".join(b"\xff" * (n - 1) + bytes([len(p) % 255]) for n, p in zip(sizes, packets))
+        ends = list(accumulate(sizes))
         body, at = b"".join(packets), 0
-        ends = set()
-        total = 0
-        for p in packets:
-            total += len(p) // 255 + 1
-            ends.add(total)
         for i in range(0, len(lacing), PAGE_SEGMENTS):
             part = lacing[i : i + PAGE_SEGMENTS]
-            done = i + len(part) == len(lacing)
-            flags = (CONTINUED if i and i not in ends else 0) | (FIRST if self.sequence == 0 else 0) | (LAST if last and done else 0)
-            head = HEADER.pack(CAPTURE, 0, flags, granule if done else NO_GRANULE, self.serial, self.sequence, 0, len(part))
+            j = i + len(part)
+            ended = bisect_right(ends, j)
+            granule = positions[ended - 1] if ended and ends[ended - 1] > i else NO_GRANULE
+            flags = CONTINUED * (i > 0 and lacing[i - 1] == 255) | FIRST * (self.sequence == 0) | LAST * (last and j == len(lacing))
             size = sum(part)
-            page = head + part + body[at : at + size]
+            page = HEADER.pack(CAPTURE, 0, flags, granule, self.serial, self.sequence, 0, len(part)) + part + body[at : at + size]
             self.pages.append(page[:22] + struct.pack("<I", checksum(page)) + page[26:])
             at += size
             self.sequence += 1
@@ -63,16 +66,17 @@ class Stream:
 def encode(payload: bytes) -> bytes:
     """An Ogg file with the payload as samples; granule positions count samples."""
     data, marks = Stream(DATA), Stream(MARKS)
-    data.page([MAGIC[DATA] + struct.pack("<IQ", RATE, len(payload))], 0)
-    marks.page([MAGIC[MARKS] + struct.pack("<I", MARK)], 0)
+    data.write([MAGIC[DATA] + struct.pack("<IQ", RATE, len(payload))], [0])
+    marks.write([MAGIC[MARKS] + struct.pack("<I", MARK)], [0])
     out = [*data.pages, *marks.pages]
     data.pages, marks.pages = [], []
     for at in range(0, len(payload), MARK):
         block = payload[at : at + MARK]
         end, last = at + len(block), at + MARK >= len(payload)
-        # 15 packets of 4096 bytes have 255 segments and so fill a page; the 16th of a block starts the next
-        data.page([block[i : i + PACKET] for i in range(0, len(block), PACKET)], end, last)
-        marks.page([struct.pack("<II", at // MARK, zlib.crc32(block))], end, last)
+        # 15 packets of 4096 bytes have 255 segments and so fill a page; the 16th of a block is on the next
+        starts = range(0, len(block), PACKET)
+        data.write([block[i : i + PACKET] for i in starts], [min(end, at + i + PACKET) for i in starts], last)
+        marks.write([struct.pack("<II", at // MARK, zlib.crc32(block))], [end], last)
         out += [*data.pages, *marks.pages]
         data.pages, marks.pages = [], []
     return b"".join(out)
@@ -80,10 +84,11 @@ def encode(payload: bytes) -> bytes:
 
 @dataclass
 class Logical:
-    """A logical stream as read: packets and, for each page end that has one, its granule position."""
+    """A logical stream as read: packets, and for each page on which a packet ends its granule position and packets so far."""
 
     packets: list[bytes] = field(default_factory=list)
     granules: list[int] = field(default_factory=list)
+    ends: list[int] = field(default_factory=list)
     pages: int = 0
     expected: int = 0
     open: bytearray | None = None
@@ -91,7 +96,11 @@ class Logical:
 
 
 def demultiplex(media: bytes) -> dict[int, Logical]:
-    """Logical streams by serial number. Raises ValueError on a bad capture pattern, checksum, gap or continuation."""
+    """Logical streams by serial number.
+
+    Raises ValueError on a bad capture pattern, checksum, gap or continuation, and on a granule position that is missing
+    where a packet ends, given where none does, or less than the one before.
+    """
     streams: dict[int, Logical] = {}
     at = 0
     while at < len(media):
@@ -120,10 +129,14 @@ def demultiplex(media: bytes) -> dict[int, Logical]:
             if size < 255:
                 s.packets.append(bytes(part))
                 part = None
+        finished = any(size < 255 for size in lacing)
+        if finished != (granule != NO_GRANULE) or finished and s.granules and granule < s.granules[-1]:
+            raise ValueError(f"byte {at}: the granule position is wrong")
         s.open = part
         s.expected, s.pages, s.ended = sequence + 1, s.pages + 1, bool(flags & LAST)
-        if granule != NO_GRANULE:
+        if finished:
             s.granules.append(granule)
+            s.ends.append(len(s.packets))
         at = end
     for serial, s in streams.items():
         if s.open is not None or not s.ended:
@@ -132,7 +145,11 @@ def demultiplex(media: bytes) -> dict[int, Logical]:
 
 
 def decode(media: bytes) -> tuple[bytes, str]:
-    """The payload and a feature string: pages, packets, markers, end time in ms, sample mean, peak and zero crossings."""
+    """The payload and a feature string: pages, packets, markers, end time, a digest of all pages' times, sample sum, peak and zero crossings.
+
+    A page's time, in ms, is its granule position, the samples up to the end of its last packet, over the rate. Every
+    position must equal the samples that the packets so far hold.
+    """
     import numpy as np
 
     streams = demultiplex(media)
@@ -142,14 +159,16 @@ def decode(media: bytes) -> tuple[bytes, str]:
         raise ValueError("a stream has another codec")
     rate, total = struct.unpack_from("<IQ", head, len(MAGIC[DATA]))
     payload = b"".join(data.packets[1:])
-    if len(payload) != total or data.granules[-1] != total or marks.granules != [0, *(min(total, x + MARK) for x in range(0, total, MARK))]:
+    so_far = [0, *accumulate(map(len, data.packets[1:]))]
+    if len(payload) != total or data.granules != [so_far[n - 1] for n in data.ends] or so_far[-1] != total or marks.granules != [0, *(min(total, x + MARK) for x in range(0, total, MARK))]:
         raise ValueError("granule positions and samples differ")
     for k, p in enumerate(marks.packets[1:]):
         if struct.unpack("<II", p) != (k, zlib.crc32(payload[k * MARK : (k + 1) * MARK])):
             raise ValueError(f"marker {k} differs")
     x = np.frombuffer(payload, np.uint8)
     crossings = int(np.count_nonzero((x[1:] > 127) != (x[:-1] > 127)))
-    return payload, f"pages={data.pages}+{marks.pages};packets={len(data.packets) - 1};marks={len(marks.packets) - 1};end_ms={data.granules[-1] * 1000 // rate};sum={int(x.sum(dtype=np.int64))};peak={int(x.max())};crossings={crossings}"
+    times = [g * 1000 // rate for g in data.granules]
+    return payload, f"pages={data.pages}+{marks.pages};packets={len(data.packets) - 1};marks={len(marks.packets) - 1};end_ms={times[-1]};times={zlib.crc32(",".join(map(str, times)).encode()):08x};sum={int(x.sum(dtype=np.int64))};peak={int(x.max())};crossings={crossings}"
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
