@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import math
 import re
 from collections import defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import map_rows
+from helixframe.llm.common import map_rows, written
 
 #: Fixed lists of element names by their role in a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -21,30 +22,42 @@ SKIPPED = frozenset("nav footer aside form button select dialog menu svg math ca
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split())
 #: Start tags that end an open element of these names, up to the nearest of the second list.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words in class, id and role that mark what isn't the article.
+#: Words in class, id and role that mark what isn't the article, alone or as a part of a name.
 MARKS = frozenset(
-    "nav navbar navigation menu submenu sidebar sidenav footer foot masthead banner topbar header ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe subscription signup login share sharing social related recommended breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond pagination pager widget toolbar search form skip copyright contentinfo complementary dialog".split()
+    "nav navbar navigation menu submenu sidebar sidenav ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr "
+    "newsletter subscribe subscription signup login share sharing social related recommended breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond pagination pager popup modal footer foot contentinfo".split()
 )
+#: Words that also name parts of articles: within one they count if they are the whole name, or if the part is mostly links.
+WEAK_MARKS = frozenset("masthead banner topbar header notice notices alert overlay widget toolbar search form skip copyright complementary dialog".split())
+#: Characters of a container path; what is above is then a digest.
+PATH = 400
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>?|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _BREAK, _DIGITS, _WORD = re.compile(r"\s+"), re.compile(r"\d+"), re.compile(r"[a-z]+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
-    """A structural element: its name, its generalised path of tags and classes, and whether it is set aside."""
+    """A structural element: its name, its generalised path of tags and classes, and whether it is set aside.
+
+    suspect: a weak mark within an article. length, linked: characters of its blocks, then of all blocks below it.
+    """
 
     tag: str
     path: str
     parent: Node | None
     aside: bool
-    p: int = 0
+    depth: int = 0
+    article: bool = False
+    suspect: bool = False
+    length: int = 0
+    linked: int = 0
+    kept: int = 0
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    """A run of text between block boundaries: its nodes, white space already folded, and how much of it is linked."""
+    """A run of text between block boundaries: its node, white space already folded, and how much of it is linked."""
 
     node: Node
     text: str
@@ -55,18 +68,36 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): entities.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(raw)} if raw and "=" in raw or "hidden" in raw else {}
 
 
-def _set_aside(tag: str, at: dict[str, str], inside_article: bool) -> bool:
+def _set_aside(tag: str, at: dict[str, str], inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element is set aside, and whether that depends on what it holds."""
     if tag in SKIPPED or tag == "header" and not inside_article:
-        return True
+        return True, False
     if "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", ""):
-        return True
-    return tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(_WORD.findall(f"{at.get('class', '')} {at.get('id', '')} {at.get('role', '')}".lower()))
+        return True, False
+    if not at or tag in ("html", "body", "article", "main"):
+        return False, False
+    names = f"{at.get('class', '')} {at.get('id', '')} {at.get('role', '')}".lower().split()
+    words = {w for n in names for w in _WORD.findall(n)}
+    if not MARKS.isdisjoint(words) or not WEAK_MARKS.isdisjoint(names) or not inside_article and not WEAK_MARKS.isdisjoint(words):
+        return True, False
+    return False, not WEAK_MARKS.isdisjoint(words)
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The page's text blocks in order. Tolerates unclosed and stray tags; comments, scripts and styles have no text."""
+def _below(path: str, name: str) -> str:
+    if len(path) > PATH:
+        path = "#" + hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+    return f"{path}>{name}" if path else name
+
+
+def parsed(page: str | None) -> tuple[list[Block], list[Node]]:
+    """The page's text blocks in order, and its elements, each after its parent, with the sums of what is below them.
+
+    Tolerates unclosed and stray tags; comments, scripts and styles have no text. Time is in proportion to the page,
+    but for searches of open elements by stray end tags.
+    """
     root = Node("", "", None, False)
     node, out, text, linked, anchors = root, [], [], 0, 0
+    nodes = [root]
     source, at = page or "", 0
 
     def flush():
@@ -90,7 +121,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if tag == "a":
             anchors = 0 if m[1] else 1
-        if tag in INLINE:
+        if tag in INLINE or tag in VOID and tag not in ("br", "hr"):
             continue
         flush()
         if m[1]:
@@ -118,41 +149,65 @@ def blocks(page: str | None) -> list[Block]:
         a = _attributes(m[3])
         classes = ".".join(sorted({_DIGITS.sub("#", c) for c in a.get("class", "").lower().split()}))
         name = f"{tag}.{classes}" if classes else tag
-        inside = "article" in node.path or "main" in node.path
-        node = Node(tag, f"{node.path}>{name}" if node.path else name, node, node.aside or _set_aside(tag, a, inside))
+        inside = node.article or tag in ("article", "main")
+        aside, suspect = _set_aside(tag, a, inside)
+        node = Node(tag, _below(node.path, name), node, node.aside or aside, node.depth + 1, inside, suspect)
+        nodes.append(node)
         anchors = 0
     flush()
-    return out
+    for b in out:
+        b.node.length += len(b.text)
+        b.node.linked += b.linked
+    for x in reversed(nodes[1:]):
+        x.parent.length += x.length
+        x.parent.linked += x.linked
+    for x in nodes[1:]:
+        x.aside = x.aside or x.parent.aside or x.suspect and 2 * x.linked >= x.length
+    for b in out:
+        b.node.kept += 0 if b.node.aside else max(0, len(b.text) - 2 * b.linked)
+    for x in reversed(nodes[1:]):
+        x.parent.kept += x.kept
+    return out, nodes
 
 
-def container_scores(page: str | None) -> dict[str, float]:
-    """Score of each container path of a page: the text below it that isn't set aside or linked, times its share squared.
+def blocks(page: str | None) -> list[Block]:
+    """The page's text blocks in order."""
+    return parsed(page)[0]
 
-    Containers with the same path count together; of nested ones with the same text, the deeper scores a little more.
-    The score is a logarithm, so that one long page doesn't outvote a host.
+
+#: Elements that hold text but are never an article's container.
+_PARTS = frozenset("p li h1 h2 h3 h4 h5 h6 pre blockquote ul ol dl dd dt tr tbody".split())
+
+
+def container_scores(page: str | None) -> dict[str, tuple[float, int]]:
+    """Score and depth of each container path of a page: the text below it that isn't set aside or linked, times its share squared.
+
+    Containers with the same path count together. The score is a logarithm, so that one long page doesn't outvote a host.
     """
-    good, everything = defaultdict(int), defaultdict(int)
-    for b in blocks(page):
-        node, n = b.node, len(b.text)
-        kept = 0 if node.aside else max(0, n - 2 * b.linked)
-        while node is not None and node.parent is not None:
-            if node.tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "ul", "ol", "dl", "dd", "dt", "tr", "tbody"):
-                everything[node.path] += n
-                good[node.path] += kept
-            node = node.parent
-    return {p: math.log1p(n * (n / everything[p]) ** 2) * (1 + 0.001 * p.count(">")) for p, n in good.items() if n}
+    good, everything, depth = defaultdict(int), defaultdict(int), {}
+    for x in parsed(page)[1][1:]:
+        if x.kept and x.tag not in _PARTS:
+            good[x.path] += x.kept
+            everything[x.path] += x.length
+            depth[x.path] = x.depth
+    return {p: (math.log1p(n * (n / everything[p]) ** 2), depth[p]) for p, n in good.items()}
 
 
-def best(scores: dict[str, float]) -> str | None:
-    return max(scores, key=lambda p: (scores[p], p)) if scores else None
+def best(scores: dict[str, tuple[float, int]]) -> str | None:
+    """The path with the highest score; of nested containers with the same text, the deepest."""
+    return max(scores, key=lambda p: (round(scores[p][0], 9), scores[p][1], p)) if scores else None
 
 
 def extract(page: str | None, path: str | None) -> str:
     """Text of the containers with the path, or of the page's own best container where it has none."""
-    found = blocks(page)
+    found, nodes = parsed(page)
 
     def within(p: str) -> list[str]:
-        return [b.text for b in found if not b.node.aside and (b.node.path == p or b.node.path.startswith(p + ">"))]
+        inside = set()
+        for x in nodes[1:]:
+            if x.path == p or id(x.parent) in inside:
+                inside.add(id(x))
+        return [b.text for b in found if not b.node.aside and id(b.node) in inside]
 
     kept = within(path) if path else []
     if not kept:
@@ -167,28 +222,40 @@ def host(url):
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """The winning container path of each host: (host, path), the path with most summed score, ties by name.
+    """The winning container path of each host: (host, path), the path with most summed score, ties by depth, then name.
 
     Each page's scores are summed map-side before they are dealt out, so a host with a third of all pages costs its
     distinct paths only.
     """
 
     def make():
-        return lambda h, page: [(h, p, s) for p, s in container_scores(page).items()]
+        return lambda h, page: [(h, p, s, d) for p, (s, d) in container_scores(page).items()]
+
+    scored = map_rows(pages.select(host(F.col("url")).alias("host"), "html"), make, "host string, path string, score double, depth int")
+    summed = scored.groupBy("host", "path").agg(F.sum(F.round("score", 6).cast("decimal(20,6)")).alias("score"), F.max("depth").alias("depth"))
+    return summed.groupBy("host").agg(F.max(F.struct("score", "depth", "path")).alias("top")).select("host", "top.path")
+
 
-    scored = map_rows(pages.select(host(F.col("url")).alias("host"), "html"), make, "host string, path string, score double")
-    summed = scored.groupBy("host", "path").agg(F.sum(F.round("score", 6).cast("decimal(20,6)")).alias("score"))
-    return summed.groupBy("host").agg(F.max(F.struct("score", "path")).alias("top")).select("host", "top.path")
+#: Bytes of hosts and paths that are broadcast; with more, pages meet their host's path by page.
+BROADCAST_BYTES = 32 << 20
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) to (page_id, url, text, n_chars), the text of each host's winning container.
 
     Null html is empty; a page without the winning container uses its own best one; null urls vote together as one
-    host; repeated rows stay; other columns are not read; an empty table gives an empty result.
+    host; repeated rows stay; other columns are not read; an empty table gives an empty result. Pages are never dealt
+    out by host: the winners are broadcast if they are small, as counted; else their keys alone meet the hosts, and the
+    pages are joined by page and host, of which no value is frequent.
     """
+    winners, _ = written(votes(pages))
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    chosen = rows.join(votes(pages), "host", "left").select("page_id", "url", "html", "path")
+    size = winners.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        chosen = rows.join(F.broadcast(winners), "host", "left")
+    else:
+        keys = rows.select("page_id", "host").distinct().join(winners, "host").withColumnRenamed("page_id", "id").withColumnRenamed("host", "of")
+        chosen = rows.join(keys, rows["page_id"].eqNullSafe(keys["id"]) & (rows["host"] == keys["of"]), "left")
 
     def make():
         def f(page_id, url, page, path):
@@ -197,4 +264,4 @@ def main_text(pages: DataFrame) -> DataFrame:
 
         return f
 
-    return map_rows(chosen, make, "page_id long, url string, text string, n_chars long")
+    return map_rows(chosen.select("page_id", "url", "html", "path"), make, "page_id long, url string, text string, n_chars long")
