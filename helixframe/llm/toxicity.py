@@ -150,7 +150,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     rows stay; other columns are not read; an empty table gives an empty result.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def make():
+        model = shared.value
+
         def f(doc_id, text):
             found = model.sentences(text)
             p = model.score(found)
@@ -163,4 +167,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose text scores below the threshold; null and empty texts stay."""
-    return filter_rows(docs, lambda: lambda text: not text or model.score(model.sentences(text)) < threshold, ["text"])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        model = shared.value
+        return lambda text: not text or model.score(model.sentences(text)) < threshold
+
+    return filter_rows(docs, make, ["text"])

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import ClassVar
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,40 +80,60 @@ def windows(items: list[tuple[str, str | None]], size: int) -> dict[int, dict[tu
     return {m: {p: tuple(sorted(x)) for p, x in ps.items()} for m, ps in out.items()}
 
 
-def benchmark_parts(benchmark: DataFrame) -> list[list[tuple[str, str | None]]]:
-    """(item, text) of the benchmark in parts of at most PART_WINDOWS words, or one item; repeated rows once."""
+def benchmark_parts(benchmark: DataFrame) -> Iterator[list[tuple[str, str | None]]]:
+    """(item, text) of the benchmark in parts of at most PART_WINDOWS words, or one item; repeated rows once.
+
+    The driver holds one part at a time. Null texts and ids are as hits() says; an empty table is one empty part.
+    """
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").distinct()
-    parts, part, n = [], [], 0
+    part, n = [], 0
     for item, text in rows.orderBy("item", "text").toLocalIterator():
         k = max(1, len(words(text)))
         if part and n + k > PART_WINDOWS:
-            parts, part, n = [*parts, part], [], 0
+            yield part
+            part, n = [], 0
         part.append((item, text))
         n += k
-    parts.append(part)
-    return parts
+    yield part
+
+
+@dataclass
+class Search:
+    """A broadcast part of the benchmark; each worker process makes its machines once and keeps those of the latest part."""
+
+    patterns: Broadcast
+
+    latest: ClassVar[tuple] = (None, [])
+
+    def machines(self) -> list[WuManber]:
+        patterns = self.patterns.value
+        if Search.latest[0] is not patterns:
+            Search.latest = (patterns, [WuManber(m, p) for m, p in patterns.items()])
+        return Search.latest[1]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """(doc_id, text) and (item_id, text) to (doc_id, n_words, n_hit, items array, hit_words array<int>).
 
     items are ids, as sorted strings, of the items with a window in the document; hit_words the words that windows
-    cover. The benchmark is fetched in parts of at most PART_WINDOWS windows, a checked bound, and each part is one
-    pass over the documents; a benchmark that fits has one pass. Null texts have no words; items without an item_id
-    are searched as "null".
+    cover. The benchmark is broadcast in parts of at most PART_WINDOWS windows, and each part is one pass over the
+    documents; a benchmark that fits has one pass. Null texts have no words; items without an item_id are searched as
+    "null".
     """
-    parts = benchmark_parts(benchmark)
     state = docs.select("doc_id", "text", F.lit(None).cast("array<int>").alias("hit_words"), F.lit(None).cast("array<string>").alias("items"))
-    for k, part in enumerate(parts):
-        patterns, last = windows(part, size), k == len(parts) - 1
+    parts = benchmark_parts(benchmark)
+    part = next(parts)
+    while part is not None:
+        search = Search(docs.sparkSession.sparkContext.broadcast(windows(part, size)))
+        part = next(parts, None)
 
-        def make(patterns=patterns, last=last):
-            machines = [WuManber(m, p) for m, p in patterns.items()]
+        def make(search=search, last=part is None):
+            found = search.machines()
 
             def f(doc_id, text, hit_words, items):
                 w = words(text)
                 hit, who = set(hit_words or ()), set(items or ())
-                for x in machines:
+                for x in found:
                     for start, names in x.search(w):
                         hit.update(range(start, start + x.m))
                         who.update(names)
@@ -131,13 +155,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of docs, with all their columns, in whose text no window of the benchmark occurs; null texts stay."""
+    """The rows of docs, with all their columns, in whose text no window of the benchmark occurs.
+
+    Null and empty texts stay, repeated rows stay or go together, an empty table of either kind changes nothing.
+    """
     for part in benchmark_parts(benchmark):
-        patterns = windows(part, size)
+        search = Search(docs.sparkSession.sparkContext.broadcast(windows(part, size)))
 
-        def make(patterns=patterns):
-            machines = [WuManber(m, p) for m, p in patterns.items()]
-            return lambda text: not any(True for x in machines for _ in x.search(words(text)))
+        def make(search=search):
+            found = search.machines()
+            return lambda text: not any(True for x in found for _ in x.search(words(text)))
 
         docs = filter_rows(docs, make, ["text"])
     return docs
