@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import cut
+from helixframe.llm.common import cut, written
 
 #: Kinds in the order of results; "id" are spans that contexts discover.
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -29,7 +29,7 @@ NEEDED = (r"@", r"[0-9]\.[0-9]++\.[0-9]", r"[0-9](?:[\x20-]?[0-9]){12}", r"\+[0-
 TOKEN = r"(?<![^\s=:\"'(\[<,;])[^\s0-9=:\"'(\[<,;]*+[0-9][^\s\"')\]>,;]*+"
 #: Rounds of scoring; least seeds of a context, its least score; smoothing; weight of a context for its instances.
 ROUNDS, LEAST_SEEDS, LEAST_SCORE, SMOOTH, DAMP = 3, 3, 0.6, 1.0, 0.9
-#: Characters before a token that are searched for its context.
+#: Characters before a token that nearly always hold its context, the two words before it; where they don't, all are searched.
 REACH = 80
 
 
@@ -59,12 +59,18 @@ def _valid(kind: int, x: Column) -> Column:
     return F.lit(True)
 
 
+def _before(gap: Column) -> Column:
+    """The end of a text that holds its last two words, whole."""
+    end = F.right(gap, F.lit(REACH))
+    return F.when((F.length(gap) <= REACH) | end.rlike(r"\s\S+\s+\S+\s*$"), end).otherwise(F.regexp_extract(gap, r"((?:\S++\s++)?+\S*+\s*+)$", 1))
+
+
 def _found(kind: int, text: Column, pattern: str, needed: str) -> Column:
     """Array of (kind, k, gap, value, before): the k-th match, the length of the text between it and the one before, and that text's end."""
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     rows = F.transform(
         F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.size(gaps) - 1).alias("g")),
-        lambda x: F.struct(F.lit(kind).alias("kind"), F.length(x["g"]).alias("gap"), x["m"].alias("value"), (F.right(x["g"], F.lit(REACH)) if kind == EVERY else F.lit(None).cast("string")).alias("before")),
+        lambda x: F.struct(F.lit(kind).alias("kind"), F.length(x["g"]).alias("gap"), x["m"].alias("value"), (_before(x["g"]) if kind == EVERY else F.lit(None).cast("string")).alias("before")),
     )
     return F.when(text.rlike(needed), F.transform(rows, lambda x, i: F.struct(x["kind"].alias("kind"), i.alias("k"), x["gap"].alias("gap"), x["value"].alias("value"), x["before"].alias("before"))))
 
@@ -119,11 +125,12 @@ def score_contexts(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     a sum over many tasks and a join that adaptive execution splits.
     """
     edges = found.where("(seed or free) and size(contexts) > 0").select(F.explode("contexts").alias("context"), F.lower("value").alias("instance"), "seed")
-    edges = edges.groupBy("context", "instance").agg(F.max("seed").alias("seed"))
+    edges, _ = written(edges.groupBy("context", "instance").agg(F.max("seed").alias("seed")))
     seeds = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("base"))
     instances = seeds.select("instance", F.col("base").alias("score"))
     contexts = None
     for k in range(rounds):
+        instances, _ = written(instances)  # so the join has plain exchanges on both sides, or none where they are small
         contexts = edges.join(instances, "instance").groupBy("context").agg(F.sum(F.round("score", 9).cast("decimal(28,9)")).cast("double").alias("held"), F.count("*").alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"))
         contexts = contexts.select("context", (F.col("held") / (F.col("n") + SMOOTH)).alias("score"), "seeds").where(F.col("seeds") >= LEAST_SEEDS)
         if k < rounds - 1:
