@@ -2,9 +2,10 @@
 
 Words are hashed; of each window's k-mers the one with the least hash is its anchor, so equal windows have equal
 anchors. Anchors are the graph's nodes, the text from one anchor to the end of the next its edges. Spark counts them:
-anchors that occur in one document settle their windows at once. Runs of anchors that all occurrences enter and leave by
-the same edges are nonbranching paths, all of whose windows have the documents of the path. Only windows at branches
-are compared one by one, by two independent hashes of 64 and 32 bits, with their source.
+anchors that occur in one document settle their windows at once. Anchors that all occurrences enter and leave by the
+same edges are joined with their successors into nonbranching paths. Each occurrence of a path gives its coordinates and
+a digest of its words, and repeats its first document's only if the digest at that source's coordinates is the same.
+Windows at branches are compared one by one, by two independent hashes of 64 and 32 bits, with their source.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import map_rows, written
+from helixframe.llm.common import connected_components, map_rows, written
 
 #: Words of a window, words of a k-mer.
 WINDOW, KMER = 50, 16
@@ -95,9 +96,11 @@ def _with_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _settled(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """(doc_id, h, text, found) to window starts: `runs` are settled ranges that are repeated, `starts` with `one`, `two` are to be compared.
+    """(doc_id, h, text, found) to `paths`, occurrences of nonbranching paths, and `starts` of windows, with `one` and `two`, to be compared.
 
-    found has the document's anchors that another document has: index, first document, and whether it is nonbranching.
+    found has the document's anchors that another document has: index, first document, and path, null at branches. An
+    occurrence has the path, the first and last start of its windows, and a digest of its words, from the anchor before
+    the path to that after it: they are the same for all.
     """
 
     def make():
@@ -105,58 +108,94 @@ def _settled(docs: DataFrame, window: int, k: int) -> DataFrame:
             w = Words(text)
             w.hashed()
             at, first, last = w.anchors(window, k)
-            known = {x["j"]: (x["source"], x["single"]) for x in found}
-            low, high = at.copy(), at + k  # the path through an anchor, from the anchor before it to that after it
-            single = [j in known and known[j][1] for j in range(len(at))]
-            for j in range(len(at)):
-                if single[j] and j:
-                    low[j] = low[j - 1] if single[j - 1] else at[j - 1]
-            for j in range(len(at) - 1, -1, -1):
-                if single[j] and j < len(at) - 1:
-                    high[j] = high[j + 1] if single[j + 1] else at[j + 1] + k
-            runs, starts = [], []
-            for j in sorted(known):
-                source, is_single = known[j]
-                a, b = int(first[j]), int(last[j])
-                if is_single:
-                    c, d = max(a, int(low[j])), min(b, int(high[j]) - window)
+            path = {x["j"]: x["path"] for x in found}
+            paths, starts = [], []
+            for j in sorted(path):
+                if path[j] is None:
+                    starts += range(int(first[j]), int(last[j]) + 1)
+                elif path.get(j - 1) is None:
+                    end = j
+                    while path.get(end + 1) is not None:
+                        end += 1
+                    low, high = int(at[max(0, j - 1)]), int(at[min(end + 1, len(at) - 1)]) + k
+                    a, b = int(first[j]), int(last[end])
+                    c, d = max(a, low), min(b, high - window)
                     if c <= d:
-                        if source < doc_id:
-                            runs.append({"a": c, "b": d})
+                        digest = hashlib.blake2b(b" ".join(w.words[low:high]), digest_size=16).digest()
+                        paths.append({"path": path[j], "a": c, "b": d, "digest": digest})
                         starts += [*range(a, c), *range(d + 1, b + 1)]
-                        continue
-                starts += range(a, b + 1)
+                    else:
+                        starts += range(a, b + 1)
             s = np.array(starts, np.int64)
-            return [(doc_id, h, runs, starts, w.runs(s, s + window).view(np.int64).tolist(), (w.runs(s, s + window, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist())]
+            return [(doc_id, h, paths, starts, w.runs(s, s + window).view(np.int64).tolist(), (w.runs(s, s + window, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist())]
 
         return f
 
-    return map_rows(docs.select("doc_id", "text", "h", "found"), make, "doc_id long, h long, runs array<struct<a:int,b:int>>, starts array<int>, one array<long>, two array<int>")
+    return map_rows(docs.select("doc_id", "text", "h", "found"), make, "doc_id long, h long, paths array<struct<path:long,a:int,b:int,digest:binary>>, starts array<int>, one array<long>, two array<int>")
+
+
+def _compacted(places: DataFrame) -> DataFrame:
+    """(kmer, path) of the anchors that all occurrences enter and leave by the same edges; anchors that follow one another share a path."""
+    single = places.groupBy("kmer").agg(F.min("into").alias("into"), F.max("into").alias("into2"), F.min("out").alias("out"), F.max("out").alias("out2"), F.min("next").alias("next"))
+    single, _ = written(single.where("into = into2 and out = out2").select("kmer", "next"))
+    follows = single.where("next is not null").join(single.select(F.col("kmer").alias("next")), "next")
+    roots = connected_components(follows.select(F.col("kmer").alias("a"), F.col("next").alias("b")))
+    return single.join(roots, single.kmer == roots.node, "left").select("kmer", F.coalesce("root", "kmer").alias("path"))
+
+
+def _windows(rows: DataFrame) -> DataFrame:
+    """Starts (doc_id, h, start, one, two) of windows to those that an earlier document has: (doc_id, h, run)."""
+    sources, _ = written(rows.groupBy("one", "two").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last"))
+    return rows.join(sources, ["one", "two"]).where("source < doc_id").select("doc_id", "h", F.struct(F.col("start").alias("a"), F.col("start").alias("b")).alias("run"))
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> tuple[DataFrame, DataFrame]:
     """The table of all documents (doc_id, h, n_words, sha), and (doc_id, h, runs) of those that repeat an earlier one.
 
-    runs are ranges [a, b] of starts of windows that a document with a smaller doc_id also has. Anchors and windows
-    are counted with map-side partial sums, and joined back by sort-merge joins, which adaptive execution splits at
-    an anchor that a third of all documents have.
+    runs are ranges [a, b] of starts of windows that a document with a smaller doc_id also has. Null and wordless texts
+    have none, rows without a doc_id neither; rows that share one don't repeat one another; an empty table gives empty
+    ones. Anchors and windows are counted with map-side partial sums into written tables, and joined back by plain
+    joins, which adaptive execution splits at an anchor that a third of all documents have.
     """
     graph, _ = written(_graph(docs, window, k).withColumn("rid", F.monotonically_increasing_id()))
-    nodes = graph.select("rid", "doc_id", F.posexplode("kmers").alias("j", "kmer"), "edges")
-    shared = nodes.groupBy("kmer").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
-    edged = nodes.select("rid", "j", "kmer", F.get("edges", F.col("j")).alias("into"), F.get("edges", F.col("j") + 1).alias("out"))
-    places, _ = written(edged.join(shared, "kmer"))
-    single = places.groupBy("kmer").agg(((F.min("into") == F.max("into")) & (F.min("out") == F.max("out"))).alias("single"))
-    found = places.select("rid", "j", "kmer", "source").join(single, "kmer").groupBy("rid").agg(F.collect_list(F.struct("j", "source", "single")).alias("found"))
+    nodes = graph.select("rid", "doc_id", F.posexplode("kmers").alias("j", "kmer"), "kmers", "edges")
+    shared, _ = written(nodes.groupBy("kmer").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("kmer"))
+    nodes = nodes.select("rid", "j", "kmer", F.get("edges", F.col("j")).alias("into"), F.get("edges", F.col("j") + 1).alias("out"), F.get("kmers", F.col("j") + 1).alias("next"))
+    places, _ = written(nodes.join(shared, "kmer"))
+    paths, _ = written(_compacted(places))
+    found = places.select("rid", "j", "kmer").join(paths, "kmer", "left").groupBy("rid").agg(F.collect_list(F.struct("j", "path")).alias("found"))
     found, _ = written(found.join(graph.select("rid", "doc_id", "h"), "rid").drop("rid"))
     compared, _ = written(_settled(_with_texts(docs, found), window, k))
-    rows = compared.select("doc_id", "h", F.explode(F.arrays_zip("starts", "one", "two")).alias("w")).select("doc_id", "h", "w.starts", "w.one", "w.two")
-    sources = rows.groupBy("one", "two").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
-    again = rows.join(sources, ["one", "two"]).where("source < doc_id").select("doc_id", "h", F.struct(F.col("starts").alias("a"), F.col("starts").alias("b")).alias("run"))
-    runs, _ = written(again.union(compared.select("doc_id", "h", F.explode("runs"))).groupBy("doc_id", "h").agg(F.collect_set("run").alias("runs")))
+
+    occurrences = compared.select("doc_id", "h", F.explode("paths").alias("p")).select("doc_id", "h", "p.*")
+    sources, _ = written(occurrences.groupBy("path").agg(F.min(F.struct("doc_id", F.col("a").alias("at"), "digest")).alias("source")).select("path", "source.*").withColumnsRenamed({"doc_id": "source", "digest": "told"}))
+    judged = occurrences.join(sources, "path").where("source < doc_id")
+    same = judged.where("digest = told").select("doc_id", "h", F.struct("a", "b").alias("run"))
+    rows = compared.select("doc_id", "h", F.explode(F.arrays_zip("starts", "one", "two")).alias("w")).select("doc_id", "h", F.col("w.starts").alias("start"), "w.one", "w.two")
+    other = judged.where("digest <> told").select("path").distinct()
+    if other.limit(1).count():  # two texts under one hash: all windows of such paths are compared
+        doubtful, _ = written(occurrences.join(other, "path").groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "b")).alias("runs")))
+        rows = rows.union(_starts(_with_texts(docs, doubtful), window))
+    runs, _ = written(_windows(rows).union(same).groupBy("doc_id", "h").agg(F.collect_set("run").alias("runs")))
     return graph.select("doc_id", "h", "n_words", "sha"), runs
 
 
+def _starts(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, h, text, runs) to the windows that start in the runs: (doc_id, h, start, one, two)."""
+
+    def make():
+        def f(doc_id, text, h, runs):
+            w = Words(text)
+            w.hashed()
+            s = np.array(sorted({i for r in runs for i in range(r["a"], r["b"] + 1)}), np.int64)
+            one, two = w.runs(s, s + window).view(np.int64).tolist(), (w.runs(s, s + window, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
+            return [(doc_id, h, *x) for x in zip(s.tolist(), one, two)]
+
+        return f
+
+    return map_rows(docs.select("doc_id", "text", "h", "runs"), make, "doc_id long, h long, start int, one long, two int")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
 
