@@ -19,15 +19,18 @@ def _held_out(result: DataFrame, folds: int, out: int) -> DataFrame:
 
 
 def op1_simhash(spark, sf_dir):
+    """Near-duplicate groups of all documents. Null and wordless texts have fingerprint 0 and are one group; ties and repeated rows stay; an empty table gives no rows."""
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
 def op2_langid(spark, sf_dir):
+    """Languages of all documents. Null texts and texts without letters are und; repeated rows stay; rows without a doc_id count as held out; an empty table gives no rows."""
     docs = _table(spark, sf_dir, "documents")
     return _held_out(langid.identify(docs, langid.fit(docs)), 4, 2).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op3_ogg(spark, sf_dir):
+    """All texts through Ogg files and back. Null texts are empty, empty ones 64 zero bytes; repeated rows stay; an empty table gives no rows."""
     return ogg.round_trip(_table(spark, sf_dir, "documents"))
 
 
@@ -39,34 +42,41 @@ def tokenizer_path() -> str:
 
 
 def op4_packing(spark, sf_dir):
+    """All documents in sequences of 2048 ids. Null and empty texts are the end id; repeated rows are packed each; an empty table gives no rows."""
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op5_pii(spark, sf_dir):
+    """Personal data of all texts. Null and empty texts have none; overlapping kinds all count; repeated rows stay; an empty table gives no rows."""
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
 def op6_debruijn(spark, sf_dir):
+    """Repeated windows of all texts removed. Null and wordless texts lose nothing; rows that share a doc_id don't repeat one another; an empty table gives no rows."""
     return debruijn.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
 def op7_wumanber(spark, sf_dir):
+    """Benchmark windows in all texts. Null texts have no words; repeated rows of either table count as they are; an empty benchmark hits nothing, empty documents give no rows."""
     return wumanber.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op8_toxicity(spark, sf_dir):
+    """Toxicity of all texts. Null and empty texts get the score of a sentence without evidence; repeated rows stay; without labels all scores are one constant; an empty table gives no rows."""
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
     return _held_out(scored, 5, 0).select("doc_id", "held_out", "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
 
 
 def op9_nbsvm(spark, sf_dir):
+    """Quality of all texts. Null and empty texts have no n-grams and get the offset's score; repeated rows stay; without labels all scores are one constant; an empty table gives no rows."""
     docs = _table(spark, sf_dir, "documents")
     scored = nbsvm.score(docs, nbsvm.fit(docs, _table(spark, sf_dir, "labels")))
     return _held_out(scored, 5, 0).select("doc_id", "held_out", "score", "predicted")
 
 
 def op10_htmltext(spark, sf_dir):
+    """Main text of all pages. Null and empty html have none; null urls are one host; ties go to the deeper container, then by name; repeated rows stay; an empty table gives no rows."""
     return htmltext.main_text(_table(spark, sf_dir, "pages"))
 
 
