@@ -11,6 +11,21 @@ from helixframe.operators.intervals import window_join
 #: Reach of a cassette's junctions; how far deletion ends, junctions at deletions, and cassette junctions may be off.
 CASSETTE_REACH, DELETION_SLACK, JUNCTION_SLACK, CASSETTE_SLACK = 50, 2, 5, 5
 SMALL = ("snp", "sub", "ins")
+#: What assessments say beside their status.
+NOTES = {
+    "extra_structure": "the edit is there, and a structural event beside it",
+    "extra_sequence": "the edit is there, and another sequence event beside it",
+    "disrupted": "no edit; a structural event lies on its place",
+    "other_sequence": "no edit; another sequence event lies on its place",
+    "beside_deletion": "the deletion is there, and another event beside it",
+    "beside_junction": "a junction shows the deletion, and other events lie beside it",
+    "by_junction": "only junctions show the deletion",
+    "odd_junction": "no deletion; a junction with other ends lies on its place",
+    "odd_event": "no deletion; another event lies on its place",
+    "one_end": "one end of the cassette is missing",
+    "beside_cassette": "the cassette is there, and another event beside it",
+    "ends": "the deletion's ends are off by %d and %d bases",
+}
 ASSESSMENT = "edit_id string, kind string, seq_id string, start long, end long, status string, matched array<string>, unexpected array<string>, left_diff long, right_diff long, expected_size long, observed_size long, notes array<string>"
 
 
@@ -39,15 +54,15 @@ def _small(edits: DataFrame, rows: DataFrame) -> DataFrame:
     rough = ("junction", "deletion", "element")
     g = edits.join(rows, "edit_id", "left").groupBy(*edits.columns).agg(
         has("match").alias("hit"), has("mismatch").alias("miss"), has(*rough).alias("rough"), has("other").alias("odd"), ids("match").alias("m"), ids("mismatch").alias("x"), ids(*rough, "other").alias("o"),
-        F.array_sort(F.collect_set(F.when(F.col("role") == "mismatch", F.concat(F.lit("mismatched allele: expected "), "alt", F.lit(", observed "), "observed")))).alias("alleles"),
+        F.array_sort(F.collect_set(F.when(F.col("role") == "mismatch", F.concat(F.lit("other bases: "), "observed", F.lit(" in place of "), "alt")))).alias("alleles"),
     )
     hit, miss, rough_, odd = F.col("hit"), F.col("miss"), F.col("rough"), F.col("odd")
     status = F.when(rough_, "unexpected_structure").when(hit, F.when(miss | odd, "partial").otherwise("complete")).when(miss, "partial").otherwise("missing")
     note = (
-        F.when(rough_ & (hit | miss), "additional unexpected structural event at target locus")
-        .when(hit & (miss | odd), "additional discordant sequence event at target locus")
-        .when(rough_, "target site disrupted by unexpected structural variant")
-        .when(odd & ~miss & ~hit, "expected edit absent with unexpected sequence event at target locus")
+        F.when(rough_ & (hit | miss), NOTES["extra_structure"])
+        .when(hit & (miss | odd), NOTES["extra_sequence"])
+        .when(rough_, NOTES["disrupted"])
+        .when(odd & ~miss & ~hit, NOTES["other_sequence"])
     )
     notes = F.array_compact(F.concat(F.when(hit, F.array().cast("array<string>")).otherwise(F.col("alleles")), F.array(note)))
     none = F.lit(None).cast("long")
@@ -72,12 +87,12 @@ def _deletions(edits: DataFrame, rows: DataFrame) -> DataFrame:
     joined = F.size("j") > 0
     status = F.when(has, F.when(more, "unexpected_structure").when(exact, "complete").otherwise("partial")).when(joined & ~more, "complete").when(more, "unexpected_structure").otherwise("missing")
     note = (
-        F.when(has & more, "additional unexpected event at deletion locus")
-        .when(has & ~exact, F.format_string("boundary or size discrepancy: left diff %d bp, right diff %d bp", b["l"], b["r"]))
-        .when(~has & joined & more, "expected deletion junction present with additional unexpected events at deletion locus")
-        .when(~has & joined, "deletion supported by junction evidence")
-        .when(~has & F.col("any_j"), "aberrant junction at deletion locus")
-        .when(~has & more, "unexpected variant at deletion locus")
+        F.when(has & more, NOTES["beside_deletion"])
+        .when(has & ~exact, F.format_string(NOTES["ends"], b["l"], b["r"]))
+        .when(~has & joined & more, NOTES["beside_junction"])
+        .when(~has & joined, NOTES["by_junction"])
+        .when(~has & F.col("any_j"), NOTES["odd_junction"])
+        .when(~has & more, NOTES["odd_event"])
     )
     return g.select("edit_id", "kind", "seq_id", "start", "end", status.alias("status"), matched.alias("matched"), unexpected.alias("unexpected"), b["l"].alias("left_diff"), b["r"].alias("right_diff"), span.alias("expected_size"), b["n"].alias("observed_size"), F.array_compact(F.array(note)).alias("notes"))
 
@@ -94,7 +109,7 @@ def _cassettes(edits: DataFrame, rows: DataFrame) -> DataFrame:
     matched = F.array_sort(F.array_distinct(F.array_compact(F.array(F.when(l_ok, F.col("l.event_id")), F.when(r_ok, F.col("r.event_id"))))))
     unexpected = F.array_except("all", matched)
     status = F.when(l_ok & r_ok, F.when(F.size(unexpected) > 0, "unexpected_structure").otherwise("complete")).when(l_ok | r_ok, "partial").when(F.size("all") > 0, "unexpected_structure").otherwise("missing")
-    note = F.when(l_ok != r_ok, "only one cassette junction observed").when(l_ok & r_ok & (F.size(unexpected) > 0), "additional unexpected event at cassette locus")
+    note = F.when(l_ok != r_ok, NOTES["one_end"]).when(l_ok & r_ok & (F.size(unexpected) > 0), NOTES["beside_cassette"])
     none = F.lit(None).cast("long")
     return g.select("edit_id", "kind", "seq_id", "start", "end", status.alias("status"), matched.alias("matched"), unexpected.alias("unexpected"), F.col("l.d").alias("left_diff"), F.col("r.d").alias("right_diff"), none.alias("expected_size"), none.alias("observed_size"), F.array_compact(F.array(note)).alias("notes"))
 
