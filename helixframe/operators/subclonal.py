@@ -90,3 +90,44 @@ def flags(limits: Limits = Limits()) -> Column:
 
 def reportable(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("class").isin(*REPORTED))
+
+
+def authorised(kind: Column, ref: Column, alt: Column) -> Column:
+    """Whether a change is of a kind that is judged at low frequency: a base for a base, or one or two bases exchanged, added or lost."""
+    r, a, k = F.length(ref), F.length(alt), F.upper(kind)
+    return F.when(k == "SNP", (r == 1) & (a == 1) & (ref != alt)).when(k == "SUB", r.between(1, 2) & (r == a) & (ref != alt)).when(k == "INS", a.between(1, 2)).when(k == "DEL", r.between(1, 2)).otherwise(False)
+
+
+def candidates(seen: DataFrame, starter: str, edited: str, limits: Limits = Limits(), consensus: float = 0.75) -> DataFrame:
+    """Alleles of observations (pileup.OBSERVATION) that either sample has in enough reads below consensus: counts of both.
+
+    One row a read and position comes first, so a read counts once: its base, the bases inserted after it, and the
+    deletions that begin there. An allele's reference reads show the reference base (and for insertions, none); the rest
+    of the position's reads are other. Returns contig, pos, kind, allele and allele_counts' columns with _s and _e.
+    """
+    by = ["sample", "contig", "pos"]
+    what, bases = F.col("what"), F.upper("bases")
+    reads = seen.where(what.isin("base", "ins", "del")).groupBy(*by, "read_id", "minus").agg(
+        F.max(F.when(what == "base", bases)).alias("base"), F.max(F.upper("ref")).alias("ref"),
+        F.collect_set(F.when((what == "ins") & F.length("bases").between(1, 2), bases)).alias("ins"), F.bool_or(what == "ins").alias("any_ins"), F.collect_set(F.when((what == "del") & F.col("size").between(1, 2), F.col("size"))).alias("gone"),
+    )
+    one = lambda k, x: F.struct(F.lit(k).alias("kind"), x.cast("string").alias("allele"))
+    snp = F.when(F.col("base").isin(*"ACGT") & (F.col("base") != F.col("ref")), F.array(one("SNP", F.col("base")))).otherwise(F.array().cast("array<struct<kind:string,allele:string>>"))
+    own = reads.select(*by, "minus", F.explode(F.concat(snp, F.transform("ins", lambda x: one("INS", x)), F.transform("gone", lambda x: one("DEL", x)))).alias("a")).select(*by, "minus", "a.*")
+    strands = {"fwd": ~F.col("minus"), "rev": F.col("minus")}
+    alts = own.groupBy(*by, "kind", "allele").agg(*(F.count_if(s).alias(f"alt_{n}") for n, s in strands.items()))
+    same = F.coalesce(F.col("base") == F.col("ref"), F.lit(False))
+    whole = reads.groupBy(*by).agg(*(F.count_if(s & same & c).alias(f"{k}_{n}") for n, s in strands.items() for k, c in (("ref", F.lit(True)), ("bare", ~F.col("any_ins")))), *(F.count_if(s).alias(f"all_{n}") for n, s in strands.items()))
+    rows = alts.join(whole, by)
+    depth, alt = F.col("all_fwd") + F.col("all_rev"), F.col("alt_fwd") + F.col("alt_rev")
+    share = alt.cast("double") / depth.cast("double")
+    keys = rows.where((alt >= limits.min_alt) & (share >= limits.min_af) & (share < consensus) & F.col("sample").isin(starter, edited)).select("contig", "pos", "kind", "allele").distinct()
+    out = keys
+    for s, name in (("s", starter), ("e", edited)):
+        there, count = whole.where(F.col("sample") == name).drop("sample"), alts.where(F.col("sample") == name).drop("sample")
+        side = out.join(there, ["contig", "pos"], "left").join(count, ["contig", "pos", "kind", "allele"], "left")
+        n = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+        ref = lambda d: F.when(F.col("kind") == "INS", n(f"bare_{d}")).otherwise(n(f"ref_{d}"))
+        made = {f"{k}_{d}_{s}": v for d in ("fwd", "rev") for k, v in (("ref", ref(d)), ("alt", n(f"alt_{d}")), ("other", F.greatest(F.lit(0).cast("long"), n(f"all_{d}") - ref(d) - n(f"alt_{d}"))))}
+        out = side.select(*out.columns, *(v.alias(k) for k, v in made.items()))
+    return out
