@@ -3,6 +3,7 @@ records are lines, so those scans split like any text."""
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,8 @@ def read_reference(spark: SparkSession, paths: list[str]) -> DataFrame:
         first = head[0].value if head else ">"
         if not first.startswith((">", "LOCUS")):
             raise ValueError(f"{p} is neither FASTA nor GenBank")
+        if not head:
+            raise ValueError(f"{p} has no records")
         parts.append((read_fasta if first.startswith(">") else read_genbank)(spark, p))
     every = reduce(DataFrame.unionByName, parts)
     twice = [r.seq_id for r in every.groupBy("seq_id").count().where("count > 1").orderBy("seq_id").limit(5).collect()]
@@ -99,11 +102,11 @@ def read_gd(spark: SparkSession, path: str) -> DataFrame:
     rows = _lines(spark, path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.monotonically_increasing_id().alias("ord"), F.split("value", "\t").alias("p"))
     kind = F.get("p", F.lit(0))
     arity = F.create_map(*[F.lit(x) for kv in GD_ARITY.items() for x in kv])
-    rest = F.slice("p", 4, 10_000)
+    rest = F.slice("p", F.lit(4), F.greatest(F.size("p"), F.lit(1)))
     n = F.try_element_at(arity, kind)
     enough = F.coalesce(n <= F.size(rest), F.lit(False))
     fields = _required(enough, F.slice(rest, F.lit(1), n), F.concat(F.lit("malformed record: "), F.array_join("p", " ")))
-    pairs = F.filter(F.slice(rest, n + 1, 10_000), lambda x: x.contains("="))
+    pairs = F.filter(F.slice(rest, n + 1, F.greatest(F.size("p"), F.lit(1))), lambda x: x.contains("="))
     attrs = F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_extract(x, "^[^=]*=(.*)$", 1).alias("v"))))
     parents = F.when(F.get("p", F.lit(2)).isin(*NULLS), F.array().cast("array<int>")).otherwise(F.transform(F.split(F.get("p", F.lit(2)), ","), lambda x: x.cast("int")))
     return rows.select("ord", kind.alias("kind"), F.get("p", F.lit(1)).cast("int").alias("id"), parents.alias("parent_ids"), fields.alias("fields"), attrs.alias("attrs"))
@@ -116,7 +119,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """
     p = F.split("value", "\t")
     rows = _lines(spark, path).where(~F.col("value").rlike(r"^@[A-Z][A-Z]\t")).select(p.alias("p")).where(F.size("p") >= 11)
-    tag = lambda name: F.regexp_extract(F.array_join(F.slice("p", 12, 1000), "\t"), rf"(?:^|\t){name}:i:(-?\d+)", 1).try_cast("int")
+    tag = lambda name: F.regexp_extract(F.array_join(F.slice("p", F.lit(12), F.size("p")), "\t"), rf"(?:^|\t){name}:i:(-?\d+)", 1).try_cast("int")
     at = lambda i: F.get("p", F.lit(i))
     out = rows.select(at(0).alias("qname"), at(1).cast("int").alias("flag"), at(2).alias("contig"), (at(3).cast("long") - 1).alias("start_0"), at(4).cast("int").alias("q"), at(5).alias("cigar"), at(9).alias("seq"), at(10).alias("qual"), tag("AS").alias("score"), tag("XS").alias("other_score"))
     out = out.where(F.col("flag").bitwiseAND(0x100) == 0)
@@ -136,6 +139,8 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 
     Lines are numbered by partition sizes, the one place where an RDD is needed; a file must have whole records.
     """
+    if any(p.strip().lower().endswith((".gz", ".bgz")) for p in path.split(",")):
+        raise ValueError(f"{path}: compressed reads are one task each; unpack them first")
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1], x[0][1]))
     rows = spark.createDataFrame(lines, "file string, n long, value string")
     first = rows.groupBy("file").agg(F.min("n").alias("low"))
@@ -192,6 +197,18 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([tuple(t.get(n) for n in names) for t in table], ", ".join(f"{n} string" for n in names))
 
 
+def strict_gd(records: DataFrame, kinds: tuple[str, ...] = (), attributes: bool = True) -> DataFrame:
+    """Records as a comparison wants them: of some kinds (all if none are given), with or without attributes, none rejected."""
+    out = records.where(F.col("kind").isin(*kinds)) if kinds else records
+    out = out.where(~F.map_contains_key("attrs", "reject"))
+    return out if attributes else out.withColumn("attrs", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+
+
+def beside(path: str | None, manifest: str) -> str | None:
+    """A path of a manifest, which counts from the manifest's folder unless it is absolute or has a scheme."""
+    return path if path is None or "://" in path else os.path.join(os.path.dirname(manifest), path)
+
+
 #: Columns of a site, 1-based and closed, as all readers of search tools return them.
 SITE = ("guide", "seq_id", "start", "end", "strand", "target", "mismatches", "bulge_type", "bulge_size", "score_cfd", "score_hsu")
 
@@ -210,6 +227,25 @@ def read_sites_v2(spark: SparkSession, path: str) -> DataFrame:
     return _site(rows, guide=at(0), seq_id=F.regexp_extract(at(1), r"^(\S+)", 1), start=at(2).cast("long") + 1, end=at(2).cast("long") + length, strand=at(4), target=F.upper(at(3)), mismatches=at(5), bulge_type=F.coalesce(F.lower(at(6)), F.lit("none")), bulge_size=F.coalesce(at(7).cast("int"), F.lit(0)))
 
 
+def read_sites(spark: SparkSession, path: str, layout: str = "v2") -> DataFrame:
+    """Sites of a search tool by the layout of its table: v2 and v3 (columns by position), half_open or closed (by name)."""
+    known = {"v2": read_sites_v2, "v3": read_sites_v2, "half_open": read_sites_half_open, "closed": read_sites_closed}
+    if layout not in known:
+        raise ValueError(f"layout {layout!r}: one of {', '.join(known)}")
+    return known[layout](spark, path)
+
+
+def second_pass_names(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(keep, seen), tables of name, of all alignments of a SAM file: names that are aligned again, and all names."""
+    from helixframe.operators.junctions import flagged_reads
+
+    p = F.split("value", "\t")
+    rows = _lines(spark, path).where(~F.col("value").rlike(r"^@[A-Z][A-Z]\t")).select(p.alias("p")).where(F.size("p") >= 11)
+    rows = rows.select(F.get("p", F.lit(0)).alias("qname"), F.get("p", F.lit(1)).cast("int").alias("flag"), F.get("p", F.lit(5)).alias("cigar")).where(F.col("flag").bitwiseAND(0x100) == 0)
+    marked = flagged_reads(rows)
+    return marked.where("second_pass").select("name").distinct(), marked.select("name").distinct()
+
+
 def read_sites_half_open(spark: SparkSession, path: str) -> DataFrame:
     """A header with aliases, half-open intervals, orientation FWD or RVS, scores NA where missing."""
     t = _table(spark, path)
