@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import identity, sequence, statistics
-from helixframe.operators import classify, cohort, differential, intervals, junctions, pileup, sites, subclonal
+from helixframe.operators import classify, cohort, constructs, differential, emission, intervals, junctions, pileup, review, sites, subclonal
+from helixframe.sources import products
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -364,9 +365,9 @@ def _dna(spark, sf_dir, table="documents", ident="doc_id"):
     return _t(spark, sf_dir, table).select(F.col(ident).cast("string").alias("seq_id"), F.translate(letters, *_BASES).alias("seq"))
 
 
-@query(f"SELECT CAST(item_id AS VARCHAR) AS seq_id, reverse(translate({_DNA_SQL}, 'ACGT', 'TGCA')) AS rc, round(len(regexp_replace({_DNA_SQL}, '[^GC]', '', 'g')) / nullif(len({_DNA_SQL}), 0), 9) AS gc FROM benchmark")
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS seq_id, reverse(translate({_DNA_SQL}, 'ACGT', 'TGCA')) AS rc, round(len(regexp_replace({_DNA_SQL}, '[^GC]', '', 'g')) / nullif(len({_DNA_SQL}), 0), 9) AS gc FROM documents")
 def reverse_complements(spark, sf_dir):
-    d = _dna(spark, sf_dir, "benchmark", "item_id")
+    d = _dna(spark, sf_dir)
     return d.select("seq_id", sequence.reverse_complement("seq").alias("rc"), F.round(sequence.gc_fraction("seq"), 9).alias("gc"))
 
 
@@ -377,37 +378,38 @@ def _hamming_sql(column: str, guide: str, start: int) -> str:
     return " + ".join(f"CAST(substr({column}, {start + i}, 1) <> '{c}' AS INT)" for i, c in enumerate(guide))
 
 
-_WINDOWS = f"WITH d AS (SELECT CAST(item_id AS VARCHAR) AS seq_id, {_DNA_SQL} AS seq FROM benchmark), w AS (SELECT seq_id, i AS start, substr(seq, i, 23) AS w FROM (SELECT seq_id, seq, unnest(range(1, len(seq) - 21)) AS i FROM d)) "
+_WINDOWS = f"WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS seq_id, {_DNA_SQL} AS seq FROM documents), w AS (SELECT seq_id, i AS start, substr(seq, i, 23) AS w FROM (SELECT seq_id, seq, unnest(range(1, len(seq) - 21)) AS i FROM d)) "
 
 
 @query(
-    _WINDOWS + f"SELECT seq_id, start, start + 22 AS \"end\", '+' AS strand, substr(w, 1, 20) AS target, substr(w, 21, 3) AS pam, {_hamming_sql('w', _GUIDE, 1)} AS mismatches FROM w WHERE w LIKE '%GG' AND {_hamming_sql('w', _GUIDE, 1)} <= 13 "
-    f"UNION ALL SELECT seq_id, start, start + 22, '-', reverse(translate(substr(w, 4, 20), 'ACGT', 'TGCA')), reverse(translate(substr(w, 1, 3), 'ACGT', 'TGCA')), {_hamming_sql('w', 'ATGGACTGATGTCAACGTAC', 4)} FROM w WHERE w LIKE 'CC%' AND {_hamming_sql('w', 'ATGGACTGATGTCAACGTAC', 4)} <= 13"
+    _WINDOWS + f"SELECT seq_id, start, start + 22 AS \"end\", '+' AS strand, substr(w, 1, 20) AS target, substr(w, 21, 3) AS pam, {_hamming_sql('w', _GUIDE, 1)} AS mismatches FROM w WHERE w LIKE '%GG' AND {_hamming_sql('w', _GUIDE, 1)} <= 11 "
+    f"UNION ALL SELECT seq_id, start, start + 22, '-', reverse(translate(substr(w, 4, 20), 'ACGT', 'TGCA')), reverse(translate(substr(w, 1, 3), 'ACGT', 'TGCA')), {_hamming_sql('w', 'ATGGACTGATGTCAACGTAC', 4)} FROM w WHERE w LIKE 'CC%' AND {_hamming_sql('w', 'ATGGACTGATGTCAACGTAC', 4)} <= 11"
 )
 def hamming_scan(spark, sf_dir):
-    return sites.scan(_dna(spark, sf_dir, "benchmark", "item_id"), _GUIDE, sites.CAS9, 13)
+    return sites.scan(_dna(spark, sf_dir), _GUIDE, sites.CAS9, 11)
 
 
 @query()
 def bulge_scan(spark, sf_dir):
     """Sites with bulges; tested against a search of all alignments."""
-    return sites.scan_bulges(_dna(spark, sf_dir, "benchmark", "item_id"), _GUIDE, sites.CAS9, 9, 1, 1)
+    return sites.scan_bulges(_dna(spark, sf_dir), _GUIDE, sites.CAS9, 7, 1, 1)
 
 
-@query(_WINDOWS + "SELECT seq_id, start, regexp_matches(w, '^[AG][CT][ACG]') AS fits FROM w")
+@query(_WINDOWS + "SELECT seq_id, count(*) AS windows, count(*) FILTER (regexp_matches(w, '^[AG][CT][ACG]')) AS fits FROM w GROUP BY 1")
 def iupac_filter(spark, sf_dir):
-    rows = sites.windows(_dna(spark, sf_dir, "benchmark", "item_id"), 23)
-    return rows.select("seq_id", "start", sequence.iupac_match(F.substring("window", 1, 3), "RYV").alias("fits"))
+    rows = sites.windows(_dna(spark, sf_dir), 23)
+    return rows.groupBy("seq_id").agg(F.count("*").alias("windows"), F.count_if(sequence.iupac_match(F.substring("window", 1, 3), "RYV")).alias("fits"))
 
 
 @query(
-    f"WITH d AS (SELECT CAST(item_id AS VARCHAR) AS seq_id, {_DNA_SQL} AS seq FROM benchmark), q AS (SELECT DISTINCT substr(seq, 1, 14) AS query FROM d WHERE len(seq) >= 14), "
-    "b AS (SELECT query, query AS s, false AS minus FROM q UNION ALL SELECT query, reverse(translate(query, 'ACGT', 'TGCA')), true FROM q), k AS (SELECT seq_id, i AS start, substr(seq, i, 14) AS s FROM (SELECT seq_id, seq, unnest(range(1, len(seq) - 12)) AS i FROM d)) "
+    f"WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS seq_id, {_DNA_SQL} AS seq FROM documents), z AS (SELECT {_DNA_SQL} AS seq FROM benchmark), q AS (SELECT DISTINCT substr(seq, i, 20) AS query FROM (SELECT seq, unnest(range(1, len(seq) - 18)) AS i FROM z)), "
+    "b AS (SELECT query, query AS s, false AS minus FROM q UNION ALL SELECT query, reverse(translate(query, 'ACGT', 'TGCA')), true FROM q), k AS (SELECT seq_id, i AS start, substr(seq, i, 20) AS s FROM (SELECT seq_id, seq, unnest(range(1, len(seq) - 18)) AS i FROM d)) "
     "SELECT query, seq_id, start, minus FROM b JOIN k USING (s)"
 )
 def kmer_seed_join(spark, sf_dir):
-    d = _dna(spark, sf_dir, "benchmark", "item_id")
-    return sites.kmer_placements(d.where("length(seq) >= 14").select(F.substring("seq", 1, 14).alias("query")), d)
+    """Every 20 letters in a row of a benchmark item, placed in all documents on both strands."""
+    seeds = sites.windows(_dna(spark, sf_dir, "benchmark", "item_id"), 20).select(F.col("window").alias("query")).distinct()
+    return sites.kmer_placements(seeds, _dna(spark, sf_dir), 20)
 
 
 @query("SELECT p_partkey, 'EV_' || substr(sha256('part|' || p_partkey || '|' || p_brand || '|' || p_size), 1, 32) AS event_id FROM part")
@@ -430,7 +432,7 @@ def junction_support(spark, sf_dir):
 
 @query(
     "WITH p AS (SELECT l_orderkey, l_linenumber AS k, CAST(l_quantity AS BIGINT) AS a, CAST(l_quantity AS BIGINT) + l_linenumber * 7 AS b, count(*) OVER (PARTITION BY l_orderkey) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS r FROM lineitem) "
-    "SELECT x.l_orderkey, count(*) AS pairs, count(*) FILTER (greatest(x.b, y.b) - least(x.a, y.a) <= 40) AS near FROM p x JOIN p y ON x.l_orderkey = y.l_orderkey AND x.r < y.r AND x.n BETWEEN 2 AND 6 GROUP BY 1"
+    "SELECT x.l_orderkey, count(*) AS pairs, count(*) FILTER (greatest(x.b, y.b) - least(x.a, y.a) <= 40) AS near FROM p x JOIN p y ON x.l_orderkey = y.l_orderkey AND x.r < y.r GROUP BY 1"
 )
 def read_piece_pairs(spark, sf_dir):
     rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").alias("q"), F.col("l_quantity").cast("long").alias("a"), (F.col("l_quantity").cast("long") + F.col("l_linenumber") * 7).alias("b"))
@@ -457,12 +459,12 @@ def best_score_ties(spark, sf_dir):
     return junctions.best_with_ties(_t(spark, sf_dir, "orders"), ["o_custkey"], "o_orderpriority").select("o_custkey", "o_orderkey", "o_orderpriority")
 
 
-@query("SELECT user_id, count(DISTINCT event_type) AS n_clones, CASE WHEN count(DISTINCT event_type) = 1 THEN 'clone_specific' WHEN count(DISTINCT event_type) = 5 THEN 'shared_all' ELSE 'shared_subset' END AS scope FROM events WHERE event_id % 7 = 0 GROUP BY 1")
+@query("SELECT user_id, count(DISTINCT event_type) AS n_clones, CASE WHEN count(DISTINCT event_type) = 1 THEN 'clone_specific' WHEN count(DISTINCT event_type) = 5 THEN 'shared_all' ELSE 'shared_subset' END AS scope FROM events GROUP BY 1")
 def recurrence(spark, sf_dir):
     return cohort.recurrence(_t(spark, sf_dir, "events"), "user_id", "event_type", 5)
 
 
-@query("SELECT user_id, " + ", ".join(f"CAST(max(CASE WHEN event_type = '{c}' THEN 1 ELSE 0 END) AS INTEGER) AS clone_{c}" for c in ("click", "error", "purchase", "signup", "view")) + " FROM events WHERE event_id % 7 = 0 GROUP BY 1")
+@query("SELECT user_id, " + ", ".join(f"CAST(max(CASE WHEN event_type = '{c}' THEN 1 ELSE 0 END) AS INTEGER) AS clone_{c}" for c in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1")
 def recurrence_matrix(spark, sf_dir):
     return cohort.presence_matrix(_t(spark, sf_dir, "events"), "user_id", "event_type", ["click", "error", "purchase", "signup", "view"])
 
@@ -481,11 +483,147 @@ def spread_summary(spark, sf_dir):
     return cohort.spread(_t(spark, sf_dir, "events"), ["event_type"], "value").withColumns({c: F.round(c, 9) for c in ("q1", "median", "q3")})
 
 
-@query("SELECT p_brand, CASE WHEN count(DISTINCT p_size) = 1 THEN CAST(min(p_size) AS VARCHAR) ELSE 'NOT_EVALUABLE' END AS p_size FROM part WHERE p_partkey <= 40 GROUP BY 1")
+@query("SELECT p_brand, CASE WHEN count(DISTINCT p_size) = 1 THEN CAST(min(p_size) AS VARCHAR) ELSE 'NOT_EVALUABLE' END AS p_size FROM part GROUP BY 1")
 def merged_metrics(spark, sf_dir):
     return cohort.merged_metrics(_t(spark, sf_dir, "part"), ["p_brand"], "p_size")
 
 
+# --- emission, constructs, review -------------------------------------------------------------------------------------
+
+
+@query(
+    _SPANS + "SELECT e.o_orderkey FROM s e JOIN orders o ON o.o_orderkey = e.o_orderkey WHERE o.o_orderstatus = 'F' AND (o.o_orderkey % 3 = 0 OR NOT EXISTS (SELECT 1 FROM s d JOIN orders p ON p.o_orderkey = d.o_orderkey WHERE p.o_orderstatus = 'P' AND d.key = e.key AND d.a <= e.b AND e.a <= d.b))"
+)
+def calls_outside_deletions(spark, sf_dir):
+    """Orders in status F as calls, every third an insertion, that no order in status P, a deletion, overlaps."""
+    s = _order_spans(spark, sf_dir).join(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    s = s.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, "INS").otherwise("SNP").alias("kind"), F.col("key").alias("seq_id"), F.col("a").alias("start"), F.col("b").alias("end"), "o_orderstatus")
+    out = emission.outside_deletions(s.where("o_orderstatus = 'F'").drop("o_orderstatus"), s.where("o_orderstatus = 'P'").select("seq_id", "start", "end"))
+    return out.select(F.col("id").alias("o_orderkey"))
+
+
+@query(
+    "WITH x AS (SELECT o_orderkey, o_custkey AS seq_id, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS p, o_orderstatus AS st FROM orders), r AS (SELECT o_orderkey AS ord, seq_id, p - 30 AS a, p + 30 AS b FROM x WHERE st = 'P') "
+    "SELECT o_orderkey, min(ord) FILTER (p BETWEEN a AND b) AS inside, min(ord) FILTER (least(abs(p - a), abs(p - b)) <= 20) AS terminus FROM x LEFT JOIN r USING (seq_id) WHERE st = 'F' GROUP BY 1"
+)
+def repeat_lookup(spark, sf_dir):
+    """For orders in status F, the first order in status P within 30 days, and the first one such a span's end is near."""
+    x = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("seq_id"), _day("o_orderdate").alias("p"), "o_orderstatus")
+    copies = x.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("ord"), "seq_id", (F.col("p") - 30).alias("start"), (F.col("p") + 30).alias("end"), F.lit(1).alias("strand"), F.lit("r").alias("name"))
+    rows = x.where("o_orderstatus = 'F'").select("o_orderkey", "seq_id", "p")
+    rows = emission.with_repeat(emission.with_repeat(rows, copies, "o_orderkey", "seq_id", "p", "r1"), copies, "o_orderkey", "seq_id", "p", "r2", 20)
+    return rows.select("o_orderkey", F.col("r1.ord").alias("inside"), F.col("r2.ord").alias("terminus"))
+
+
+_GATE = "WITH g AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) AS p1, l_suppkey * 7 % 120 AS p2, l_partkey % 40 AS a1, l_partkey % 40 + 10 + l_partkey % 50 AS b1, l_suppkey % 90 AS a2, l_suppkey % 90 + 10 + l_suppkey % 60 AS b2, l_tax > 0.07 AS bal, l_discount > 0.09 AS con FROM lineitem), "
+
+
+@query(
+    _GATE + "d AS (SELECT *, least(abs(p1 - a1), abs(p1 - b1)) AS o1, least(abs(p2 - a2), abs(p2 - b2)) AS o2, a1 = a2 AND b1 = b2 AS same FROM g) SELECT fate, count(*) AS n FROM (SELECT CASE WHEN same AND o1 > 5 AND o2 > 5 THEN 'drop' "
+    "WHEN NOT same AND NOT (a1 <= b2 AND a2 <= b1) AND (o1 > 20 OR o2 > 20) AND abs(p1 - p2) > greatest(b1 - a1, b2 - a2) AND NOT bal AND NOT con THEN 'drop' ELSE 'tag' END AS fate FROM d) GROUP BY 1"
+)
+def repeat_gate(spark, sf_dir):
+    """What the gate of junctions between repeats says of line items, whose numbers make positions and copies."""
+    g = _t(spark, sf_dir, "lineitem")
+    copy = lambda a, w: F.struct(a.alias("start"), (a + 10 + w).alias("end"))
+    one, two = copy(F.col("l_partkey") % 40, F.col("l_partkey") % 50), copy(F.col("l_suppkey") % 90, F.col("l_suppkey") % 60)
+    fate = emission.repeat_gate(F.col("l_quantity").cast("long"), one, F.col("l_suppkey") * 7 % 120, two, F.col("l_tax") > 0.07, F.col("l_discount") > 0.09)
+    return g.select(fate.alias("fate")).groupBy("fate").agg(F.count("*").alias("n"))
+
+
+@query(
+    "SELECT o_orderkey, string_agg(CASE WHEN l_returnflag IS NOT NULL THEN CAST(ln AS VARCHAR) || l_returnflag END, ',' ORDER BY ln) AS found, coalesce(string_agg(CASE WHEN l_returnflag IS NULL THEN CAST(ln AS VARCHAR) END, ',' ORDER BY CAST(ln AS VARCHAR)), '') AS unresolved "
+    "FROM (SELECT DISTINCT o.o_orderkey, o.ln, l.l_returnflag FROM (SELECT o_orderkey, unnest([1, 2, 3, 9]) AS ln FROM orders) o LEFT JOIN (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber = o.ln) GROUP BY 1"
+)
+def evidence_resolution(spark, sf_dir):
+    """Each order names lines 1, 2, 3 and 9 as its evidence; those that it has are found with their flag."""
+    events = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("event_id"), F.array(*(F.lit(str(k)) for k in (1, 2, 3, 9))).alias("parent_ids"))
+    lines = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("id")).agg(F.min("l_returnflag").alias("kind"))
+    out = emission.resolved_parents(events, lines, ["o_orderkey"])
+    found = F.array_join(F.transform("found", lambda x: F.concat(x["id"], x["kind"])), ",")
+    return out.select("o_orderkey", F.when(F.size("found") > 0, found).alias("found"), F.array_join("unresolved", ",").alias("unresolved"))
+
+
+@query(
+    "WITH c AS (SELECT l_partkey AS k1, CAST(l_quantity AS BIGINT) AS p1, l_linestatus = 'F' AS m1, l_suppkey AS k2, CAST(round(l_tax * 100) AS BIGINT) AS p2, l_returnflag = 'R' AS m2 FROM lineitem), d AS (SELECT CASE WHEN s THEN k2 ELSE k1 END AS seq_id1, CASE WHEN s THEN p2 ELSE p1 END AS pos1, CASE WHEN s THEN NOT m2 ELSE m1 END AS minus1, "
+    "CASE WHEN s THEN k1 ELSE k2 END AS seq_id2, CASE WHEN s THEN p1 ELSE p2 END AS pos2, CASE WHEN s THEN NOT m1 ELSE m2 END AS minus2 FROM (SELECT *, (k1 > k2 OR (k1 = k2 AND p1 > p2)) AS s FROM c)) SELECT seq_id1, pos1, minus1, seq_id2, pos2, minus2, 0 AS overlap, count(*) AS seed_reads FROM d GROUP BY ALL"
+)
+def candidate_merge(spark, sf_dir):
+    """Line items as junctions of part and supplier, in canonical direction, counted."""
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("seq_id1"), F.col("l_quantity").cast("long").alias("pos1"), (F.col("l_linestatus") == "F").alias("minus1"), F.col("l_suppkey").alias("seq_id2"), F.round(F.col("l_tax") * 100).cast("long").alias("pos2"), (F.col("l_returnflag") == "R").alias("minus2"), F.lit(0).alias("overlap"), F.lit(1).alias("seed_reads"))
+    return constructs.merged_candidates(rows)
+
+
+@query(
+    "WITH x AS (SELECT DISTINCT o_custkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS d FROM orders), g AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY o_custkey ORDER BY d) <= 40 THEN 0 ELSE 1 END AS b FROM x), "
+    "c AS (SELECT *, sum(b) OVER (PARTITION BY o_custkey ORDER BY d) AS chain FROM g) SELECT o_custkey, CAST(chain AS BIGINT) AS chain, min(d) AS low, max(d) AS high, count(*) AS n FROM c GROUP BY 1, 2"
+)
+def register_chains(spark, sf_dir):
+    """A customer's order days in chains whose steps are 40 days at most."""
+    x = _t(spark, sf_dir, "orders").select("o_custkey", _day("o_orderdate").alias("d")).distinct()
+    out = constructs.register_chains(x, ["o_custkey"], "d", 40)
+    return out.groupBy("o_custkey", "chain").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("n"))
+
+
+@query(
+    f"WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS seq_id, {_DNA_SQL} AS seq FROM documents WHERE text IS NOT NULL), e AS (SELECT seq_id, seq, len(seq) // 2 + 1 AS p, len(seq) // 3 + 1 AS q FROM d WHERE len(seq) > 0), "
+    "f AS (SELECT seq_id, seq, p, q, substr(seq, greatest(1, p - 35), least(p, 36)) AS l, reverse(translate(substr(seq, greatest(1, q - 35), least(q, 36)), 'ACGT', 'TGCA')) AS r FROM e) SELECT seq_id, l || substr(r, 4) AS sequence, len(l) AS breakpoint FROM f"
+)
+def junction_constructs(spark, sf_dir):
+    """Each document's letters as a contig: the sequence of a junction of its middle and its first third, with three shared bases."""
+    d = _dna(spark, sf_dir).where("length(seq) > 0")
+    half, third = F.floor(F.length("seq") / 2) + 1, F.floor(F.length("seq") / 3) + 1
+    rows = d.select(F.col("seq_id").alias("seq_id1"), half.alias("pos1"), F.lit(True).alias("minus1"), F.col("seq_id").alias("seq_id2"), third.alias("pos2"), F.lit(True).alias("minus2"), F.lit(3).alias("overlap"))
+    out = constructs.constructs(rows, d.dropDuplicates(["seq_id"]), 36)
+    return out.select(F.col("seq_id1").alias("seq_id"), "sequence", F.col("breakpoint").cast("long").alias("breakpoint"))
+
+
+@query(
+    "SELECT l_partkey, count(*) FILTER (k = 'ref') AS raw_ref, count(*) FILTER (k = 'alt') AS raw_alt, count(*) FILTER (k = 'other') AS raw_other, count(*) FILTER (k = 'ref' AND u) AS unique_ref, count(*) FILTER (k = 'alt' AND u) AS unique_alt, count(*) FILTER (k = 'other' AND u) AS unique_other, "
+    "count(*) FILTER (k = 'ref' AND u AND g) AS good_ref, count(*) FILTER (k = 'alt' AND u AND g) AS good_alt, count(*) FILTER (k = 'other' AND u AND g) AS good_other, count(DISTINCT l_returnflag) AS n_bases FROM (SELECT l_partkey, l_returnflag, CASE l_returnflag WHEN 'A' THEN 'ref' WHEN 'R' THEN 'alt' ELSE 'other' END AS k, l_quantity >= 10 AS u, l_linenumber >= 3 AS g FROM lineitem) GROUP BY 1"
+)
+def locus_evidence(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem")
+    out = review.locus_counters(rows, ["l_partkey"], F.col("l_returnflag"), F.lit("A"), F.lit("R"), F.col("l_quantity"), F.col("l_linenumber"), 10, 3)
+    return out.withColumn("n_bases", F.size("histogram").cast("long")).drop("histogram")
+
+
+@query(
+    "WITH p AS (SELECT l_partkey % 30 AS a1, l_suppkey % 30 AS a2, l_linenumber % 2 = 0 AS s, CAST(l_quantity AS BIGINT) % 30 AS b1, CAST(round(l_tax * 300) AS BIGINT) AS b2, l_returnflag = 'R' AS t, l_linenumber % 3 AS ao, l_orderkey % 3 AS bo FROM lineitem), "
+    "q AS (SELECT *, greatest(abs(a1 - b1), abs(a2 - b2)) AS st, greatest(abs(a1 - b2), abs(a2 - b1)) AS cr, least(abs(a1 - b1), abs(a2 - b2), abs(a1 - b2), abs(a2 - b1)) AS one FROM p) "
+    "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN least(st, cr) <= 5 THEN CASE WHEN NOT (s = t) THEN 'TOPOLOGY' WHEN ao <> bo THEN 'OVERLAP_DIFFERS' ELSE (CASE WHEN least(st, cr) <= 0 THEN 'EXACT' ELSE 'NEAR' END) || (CASE WHEN cr < st THEN '_SWAPPED' ELSE '' END) END WHEN one <= 5 THEN 'DISCORDANT_BREAKEND' ELSE 'UNRELATED' END AS reason FROM q) GROUP BY 1"
+)
+def pair_reasons(spark, sf_dir):
+    """Why two junctions that a line item's numbers make agree or don't."""
+    l, long = _t(spark, sf_dir, "lineitem"), lambda c: c.cast("long")  # noqa: E741
+    rows = l.select((F.col("l_partkey") % 30).alias("a1"), (F.col("l_suppkey") % 30).alias("a2"), *((F.col("l_linenumber") % 2 == 0).alias(c) for c in ("as1", "as2")), (long(F.col("l_quantity")) % 30).alias("b1"), long(F.round(F.col("l_tax") * 300)).alias("b2"), *((F.col("l_returnflag") == "R").alias(c) for c in ("bs1", "bs2")), (F.col("l_linenumber") % 3).alias("ao"), (F.col("l_orderkey") % 3).alias("bo"))
+    return rows.select(review.pair_reason(0, 5).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(
+    "SELECT o_orderpriority AS kind, o_orderkey % 4 AS size, count(*) AS n, count(*) FILTER (CASE o_orderpriority WHEN '1-URGENT' THEN len(r) = 1 AND len(a) = 1 AND r <> a WHEN '2-HIGH' THEN len(r) BETWEEN 1 AND 2 AND len(r) = len(a) AND r <> a WHEN '3-MEDIUM' THEN len(a) BETWEEN 1 AND 2 WHEN '5-LOW' THEN len(r) BETWEEN 1 AND 2 ELSE false END) AS judged "
+    "FROM (SELECT *, repeat('A', o_orderkey % 4) AS r, repeat('C', o_custkey % 4) AS a FROM orders) GROUP BY ALL"
+)
+def authorised_kinds(spark, sf_dir):
+    kinds = {"1-URGENT": "SNP", "2-HIGH": "SUB", "3-MEDIUM": "INS", "4-NOT SPECIFIED": "MOB", "5-LOW": "DEL"}
+    o = _t(spark, sf_dir, "orders").withColumns({"r": F.expr("repeat('A', cast(o_orderkey % 4 as int))"), "a": F.expr("repeat('C', cast(o_custkey % 4 as int))")})
+    kind = F.element_at(F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv)), F.col("o_orderpriority"))
+    return o.groupBy(F.col("o_orderpriority").alias("kind"), (F.col("o_orderkey") % 4).alias("size")).agg(F.count("*").alias("n"), F.count_if(subclonal.authorised(kind, F.col("r"), F.col("a"))).alias("judged"))
+
+
+@query(
+    "WITH k AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'SNP' WHEN 1 THEN 'SUB' WHEN 2 THEN 'INS' WHEN 3 THEN 'DEL' WHEN 4 THEN 'MOB' ELSE 'JC' END AS kind, p_size % 20 AS pos, upper(p_brand) AS seq FROM part) SELECT p_partkey, "
+    "CASE kind WHEN 'SNP' THEN CASE WHEN pos BETWEEN 1 AND len(seq) THEN substr(seq, CAST(pos AS INTEGER), 1) ELSE '.' END WHEN 'SUB' THEN '2' WHEN 'INS' THEN '.' WHEN 'DEL' THEN '2bp' ELSE 'none' END AS ref, "
+    "CASE kind WHEN 'SNP' THEN '2' WHEN 'SUB' THEN 'x' WHEN 'INS' THEN '2' WHEN 'DEL' THEN 'none' WHEN 'MOB' THEN '2' ELSE 'x:y' END AS alt, CASE WHEN kind IN ('SNP', 'SUB') THEN CASE WHEN pos BETWEEN 1 AND len(seq) THEN substr(seq, CAST(pos AS INTEGER), CASE WHEN kind = 'SUB' THEN 2 ELSE 1 END) ELSE '.' END ELSE '.' END AS genomic FROM k"
+)
+def display_alleles(spark, sf_dir):
+    """What tables show of records that parts make: the brand is the sequence, the size a position."""
+    names = F.array(*map(F.lit, ("SNP", "SUB", "INS", "DEL", "MOB", "JC")))
+    p = _t(spark, sf_dir, "part").withColumn("kind", F.element_at(names, (F.col("p_partkey") % 6 + 1).cast("int")))
+    fields = F.array(F.lit("s"), (F.col("p_size") % 20).cast("string"), F.lit("2"), F.lit("x"), F.lit("y"))
+    return p.select("p_partkey", products.display_alleles(F.col("kind"), fields, F.col("p_brand")).alias("d")).select("p_partkey", "d.ref", "d.alt", "d.genomic")
+
+
 # --- the composed audit -----------------------------------------------------------------------------------------------
 
 _KINDS = {"1-URGENT": "SNP", "2-HIGH": "DEL", "3-MEDIUM": "INS", "4-NOT SPECIFIED": "MOB", "5-LOW": "JC"}
