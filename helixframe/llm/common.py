@@ -188,7 +188,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Roots of an undirected graph: edges (a, b) of long to (node, root), root the smallest node reachable.
 
     Each round deals the edges out by their larger node, replaces those of each task by a forest of depth one, and
-    lets each node skip its parent. A node's parents meet in one task, its children don't, so a component of a third
+    lets each node skip its parent to that one's least parent. A node's parents meet in one task, its children don't, so a component of a third
     of all nodes is dealt out evenly, and adaptive execution splits the join at its root; a forest that is small is
     joined without a shuffle. It ends when no parent has a parent and no node two: after logarithmically many rounds,
     each cut by a written table. Self-loops are allowed; nodes without edges don't appear.
@@ -199,7 +199,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         forest, path = written(edge.repartition("a").mapInArrow(_forest_of, "a long, b long, own boolean"))
         if old:
             dropped(spark, old)
-        above = forest.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        above = forest.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("c"))  # one parent each, so the join adds no rows
         if not forest.where("not own").limit(1).count() and not forest.join(above, "b", "left_semi").limit(1).count():
             return forest.select(F.col("a").alias("node"), F.col("b").alias("root")).union(forest.select("b", "b").distinct())
         edge, old = forest.join(above, "b", "left").select("a", F.coalesce("c", "b").alias("b")), path
