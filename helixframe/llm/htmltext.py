@@ -40,7 +40,8 @@ _BREAK, _DIGITS, _WORD = re.compile(r"\s+"), re.compile(r"\d+"), re.compile(r"[a
 class Node:
     """A structural element: its name, its generalised path of tags and classes, and whether it is set aside.
 
-    suspect: a weak mark within an article. length, linked: characters of its blocks, then of all blocks below it.
+    suspect: a weak mark within an article. length, linked, kept, counted: characters of all blocks below it, of links
+    there, of what isn't set aside, and of all but what an article itself sets aside.
     """
 
     tag: str
@@ -53,6 +54,7 @@ class Node:
     length: int = 0
     linked: int = 0
     kept: int = 0
+    counted: int = 0
 
 
 @dataclass(slots=True)
@@ -165,8 +167,10 @@ def parsed(page: str | None) -> tuple[list[Block], list[Node]]:
         x.aside = x.aside or x.parent.aside or x.suspect and 2 * x.linked >= x.length
     for b in out:
         b.node.kept += 0 if b.node.aside else max(0, len(b.text) - 2 * b.linked)
+        b.node.counted += 0 if b.node.aside and b.node.article else len(b.text)
     for x in reversed(nodes[1:]):
         x.parent.kept += x.kept
+        x.parent.counted += x.counted
     return out, nodes
 
 
@@ -188,7 +192,7 @@ def container_scores(page: str | None) -> dict[str, tuple[float, int]]:
     for x in parsed(page)[1][1:]:
         if x.kept and x.tag not in _PARTS:
             good[x.path] += x.kept
-            everything[x.path] += x.length
+            everything[x.path] += x.counted
             depth[x.path] = x.depth
     return {p: (math.log1p(n * (n / everything[p]) ** 2), depth[p]) for p, n in good.items()}
 
