@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Kinds of events by what they cover.
+#: Fixed values of the record format: kinds of events by what they cover.
 POINT_KINDS, SPAN_KINDS, JUNCTION_KINDS = ("SNP", "INS", "MOB"), ("SUB", "DEL", "AMP", "CON", "INV"), ("JC",)
 STRUCTURAL_KINDS = ("MOB", "JC", "AMP", "CON", "INV")
 PRODUCT_KINDS = ("SNP", "SUB", "INS", "DEL", "MOB", "AMP", "CON", "INV", "JC")

@@ -61,17 +61,23 @@ def gc_fraction(seq: Column | str) -> Column:
     return F.try_divide(gc.cast("double"), F.length(F.regexp_replace(s, "[^ACGT]", "")).cast("double"))
 
 
+def _slide(s: Column, start: Column, size: Column, reach: Column) -> Column:
+    here, there = F.substring(s, start, reach), F.substring(s, start + size, reach)
+    pairs = F.arrays_zip(F.split(here, "").alias("a"), F.split(there, "").alias("b"))
+    same = F.transform(pairs, lambda p: F.coalesce((F.upper(p["a"]) == F.upper(p["b"])) & (p["b"] != ""), F.lit(False)))
+    first = F.array_position(same, F.lit(False))
+    return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("long")
+
+
 def slide(seq: Column | str, start: Column, size: Column, reach: int = 1024) -> Column:
     """How far a run of `size` bases at 1-based start can move right with an equal result.
 
-    It is the length of the longest run from start that repeats with period size, looked for in `reach` bases.
+    It is the length of the longest run from start that repeats with period size, looked for in `reach` bases first
+    and, where it goes on beyond them, in the whole sequence.
     """
     s = _column(seq)
-    here, there = F.substring(s, start, F.lit(reach)), F.substring(s, start + size, F.lit(reach))
-    pairs = F.arrays_zip(F.split(here, "").alias("a"), F.split(there, "").alias("b"))
-    same = F.transform(pairs, lambda p: F.coalesce((F.upper(p["a"]) == F.upper(p["b"])) & (p["b"] != ""), F.lit(False)))
-    first = F.array_position(same, F.lit(False))
-    return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("long")
+    near = _slide(s, start, size, F.lit(reach))
+    return F.when(near < reach, near).otherwise(_slide(s, start, size, F.length(s)))
 
 
 def right_aligned_deletion(seq: Column | str, start: Column, size: Column) -> Column:
@@ -86,7 +92,9 @@ def right_aligned_insertion(seq: Column | str, after: Column, bases: Column, rea
     """
     n = F.length(bases)
     context = F.concat(bases, F.substring(_column(seq), after + 1, F.lit(reach)))
-    k = slide(context, F.lit(1), n, reach)
+    whole = F.concat(bases, F.substring(_column(seq), after + 1, F.length(_column(seq))))
+    near = _slide(context, F.lit(1), n, F.lit(reach))
+    k = F.when(near < reach, near).otherwise(_slide(whole, F.lit(1), n, F.length(whole)))
     turned = F.substring(context, (k % n).cast("int") + 1, n)
     wrapped = F.concat(F.substring(bases, (k % n).cast("int") + 1, n), F.substring(bases, F.lit(1), (k % n).cast("int")))
     return F.struct((after + k).alias("position"), F.when(n > 0, wrapped).otherwise(turned).alias("bases"))

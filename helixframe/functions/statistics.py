@@ -87,10 +87,18 @@ def benjamini_hochberg(df: DataFrame, p: str, q: str, by: list[str] | None = Non
     """Adds the false-discovery q-value of a p-value column, over all rows or within groups.
 
     Distinct p-values are counted first (map-side), so that the ordered pass sees one row for each of them and not the
-    table; a rank is the cumulative count, and tied p-values share the q-value of the last.
+    table; a rank is the cumulative count, and tied p-values share the q-value of the last. Over all rows, the ordered
+    passes run by ranges of p, so they never meet in one task.
     """
     by = by or []
     counts = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_n"))
+    if not by:
+        from helixframe.operators.ranks import least_from, running_sum
+
+        ranked = running_sum(counts, [p], "_n", "_rank")
+        m = ranked.agg(F.max("_rank")).first()[0] or 0
+        valued = ranked.withColumn("_v", F.least(F.lit(1.0), F.col(p) * F.lit(float(m)) / F.col("_rank").cast("double")))
+        return df.join(least_from(valued, [p], "_v", q).select(p, q), p, "left")
     up, down = W.partitionBy(*by).orderBy(p), W.partitionBy(*by).orderBy(F.col(p).desc())
     ranked = counts.withColumn("_rank", F.sum("_n").over(up)).withColumn("_m", F.sum("_n").over(W.partitionBy(*by)))
     value = F.least(F.lit(1.0), F.col(p) * F.col("_m").cast("double") / F.col("_rank").cast("double"))

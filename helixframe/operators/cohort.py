@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.ranks import running_sum
+
 
 def recurrence(observed: DataFrame, event: str, clone: str, clones: int) -> DataFrame:
     """(event, n_clones, scope): clone_specific, shared_subset or shared_all; repeated rows of a clone count once."""
@@ -45,7 +47,6 @@ def merged_metrics(rows: DataFrame, by: list[str], value: str, missing: str = "N
 
 
 def numbered(rows: DataFrame, order: list[str], prefix: str, digits: int, name: str) -> DataFrame:
-    """Adds display ids prefix_0001, … in a total order; for final tables of a few thousand rows."""
-    from pyspark.sql import Window as W
-
-    return rows.withColumn(name, F.format_string(f"{prefix}_%0{digits}d", F.row_number().over(W.orderBy(*order))))
+    """Adds display ids prefix_0001, … in a total order, counted by ranges of it."""
+    counted = running_sum(rows.withColumn("_one", F.lit(1)), order, "_one", "_number")
+    return counted.withColumn(name, F.format_string(f"{prefix}_%0{digits}d", F.col("_number"))).drop("_one", "_number")

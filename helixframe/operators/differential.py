@@ -167,5 +167,9 @@ def difference(edited: DataFrame, starter: DataFrame, contigs: DataFrame, domain
         return df.where(chosen).select(F.col("event_id").alias("id"), "kind", group.alias("group"), at(1).try_cast("long").alias("p"), second.alias("q"))
 
     pairs = tolerant_candidates(keyed(left), keyed(right), ["kind", "group"], "p", "q")
-    matched = one_to_one(pairs.join(keyed(left).select(F.col("id").alias("edited_id"), "kind", "group"), "edited_id"), ["kind", "group"])
+    # two edited events can only want the same starter event within twice the tolerance, so wider gaps part the blocks
+    order = W.partitionBy("kind", "group").orderBy("p", "id")
+    apart = F.coalesce(F.col("p") - F.lag("p").over(order) > 2 * TOLERANCE, F.lit(True))
+    blocks = keyed(left).withColumn("stretch", F.sum(apart.cast("int")).over(order)).select(F.col("id").alias("edited_id"), "kind", "group", "stretch")
+    matched = one_to_one(pairs.join(blocks, "edited_id"), ["kind", "group", "stretch"])
     return left.join(matched.select(F.col("edited_id").alias("event_id")), "event_id", "left_anti")

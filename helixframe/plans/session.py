@@ -27,10 +27,12 @@ def local_session(app: str = "helixframe", cpus: str = "*", shuffle_partitions:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, unless their path already has its folder; once for each context."""
+    """Sends this package to the Python workers, once for each context; local ones have the driver's folders, and others those of PYTHONPATH."""
     root = Path(__file__).resolve().parents[2]
-    path = {Path(p or ".").resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), "."]}
     context = spark.sparkContext
+    path = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if context.master.startswith("local["):
+        path.add(Path(".").resolve())
     if root in path or getattr(context, "_helixframe_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="helixframe-py-")
@@ -44,6 +46,8 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not folder:
             folder = tempfile.mkdtemp(prefix="helixframe-cut-")
             atexit.register(shutil.rmtree, folder, True)

@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Most lines of a table that the driver puts into one file.
+LINES = 1_000_000
+
+
 def _text(x: Column, missing: str) -> Column:
     return F.coalesce(x.cast("string"), F.lit(missing))
 
@@ -106,6 +110,9 @@ def publish(folder: str, files: dict[str, str]) -> None:
 
 
 def rendered(table: tuple[list[str], DataFrame], order: list[str] | None = None) -> str:
-    """A small table of lines as text, with its header."""
+    """A table of at most LINES lines as text, with its header; a longer one is an error, as it belongs into a folder of files."""
     names, lines = table
-    return "\n".join(["\t".join(names), *sorted(r.value for r in lines.collect())]) + "\n"
+    rows = lines.limit(LINES + 1).collect()
+    if len(rows) > LINES:
+        raise ValueError(f"over {LINES} lines: write the table itself")
+    return "\n".join(["\t".join(names), *sorted(r.value for r in rows)]) + "\n"

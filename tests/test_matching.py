@@ -29,3 +29,35 @@ def test_matching_is_maximum_and_cheapest():
         got = cheapest_matching(edges)
         assert len({a for a, _ in got}) == len({b for _, b in got}) == len(got)
         assert (-len(got), (sum(cost[p][0] for p in got), sum(cost[p][1] for p in got))) == all_best(edges)
+
+
+def test_running_sums_and_minima(spark):
+    import random
+
+    from helixframe.functions import statistics
+    from helixframe.operators import cohort, ranks
+
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(50), rng.random()) for i in range(400)]
+    table = spark.createDataFrame(rows, "id long, n int, v double").repartition(7)
+    got = {r.id: r.s for r in ranks.running_sum(table, ["id"], "n", "s").collect()}
+    assert got == {i: sum(n for _, n, _ in rows[: i + 1]) for i in range(400)}
+    got = {r.id: r.m for r in ranks.least_from(table, ["id"], "v", "m").collect()}
+    assert got == {i: min(v for _, _, v in rows[i:]) for i in range(400)}
+    assert ranks.running_sum(table.limit(0), ["id"], "n", "s").count() == 0
+    names = [r.name for r in cohort.numbered(table, ["v"], "X", 4, "name").orderBy("v").collect()]
+    assert names == [f"X_{k:04d}" for k in range(1, 401)]
+    p = sorted(v for _, _, v in rows)
+    q = {v: min(min(1.0, p[j] * 400 / (j + 1)) for j in range(i, 400)) for i, v in enumerate(p)}
+    got = {r.v: r.q for r in statistics.benjamini_hochberg(table, "v", "q").collect()}
+    assert all(abs(got[v] - q[v]) < 1e-12 for v in q)
+
+
+def test_alignment_beyond_the_reach(spark):
+    from pyspark.sql import functions as F
+
+    from helixframe.functions import sequence
+
+    row = spark.createDataFrame([("G" + "AC" * 1500 + "T",)], "seq string")
+    got = row.select(sequence.right_aligned_deletion("seq", F.lit(2), F.lit(2)).alias("d"), sequence.right_aligned_insertion("seq", F.lit(1), F.lit("AC")).alias("i")).first()
+    assert got.d == 3000 and (got.i.position, got.i.bases) == (3001, "AC")
