@@ -624,6 +624,98 @@ def display_alleles(spark, sf_dir):
     return p.select("p_partkey", products.display_alleles(F.col("kind"), fields, F.col("p_brand")).alias("d")).select("p_partkey", "d.ref", "d.alt", "d.genomic")
 
 
+@query(
+    "WITH r AS (SELECT l_partkey, l_orderkey, bool_or(l_returnflag = 'R') AS a, bool_or(l_returnflag = 'A') AS f, bool_or(l_linestatus = 'F') AS m FROM lineitem GROUP BY 1, 2), k AS (SELECT l_partkey, m, CASE WHEN a THEN 'alt' WHEN f THEN 'ref' ELSE 'other' END AS k FROM r) "
+    "SELECT l_partkey, " + ", ".join(f"count(*) FILTER (k = '{k}' AND {'m' if d == 'rev' else 'NOT m'}) AS {k}_{d}" for k in ("ref", "alt", "other") for d in ("fwd", "rev")) + " FROM k GROUP BY 1"
+)
+def read_allele_counts(spark, sf_dir):
+    """Orders as reads over parts: each counts once, as alt before ref, by strand."""
+    rows, flag = _t(spark, sf_dir, "lineitem"), F.col("l_returnflag")
+    return subclonal.allele_counts(rows, ["l_partkey"], "l_orderkey", flag == "R", flag == "A", F.col("l_linestatus") == "F")
+
+
+_DAYS = "WITH x AS (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS d, o_orderstatus AS st FROM orders) "
+
+
+@query(_DAYS + "SELECT o_orderkey FROM x j WHERE st = 'F' AND NOT EXISTS (SELECT 1 FROM x m WHERE m.st = 'P' AND m.o_custkey = j.o_custkey AND abs(m.d - j.d) <= 20)")
+def companion_mask(spark, sf_dir):
+    """Orders in status F, as junctions, without one in status P, an element's insertion, within 20 days."""
+    x = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("seq_id"), _day("o_orderdate").alias("pos"), "o_orderstatus")
+    return classify.masked_companions(x.where("o_orderstatus = 'F'"), x.where("o_orderstatus = 'P'").select("seq_id", "pos")).select(F.col("event_id").alias("o_orderkey"))
+
+
+@query(_SPANS + "SELECT DISTINCT e.o_orderkey AS event_id, i.o_orderkey AS edit_id FROM s e JOIN s i ON e.key = i.key AND e.a <= i.b AND i.a <= e.b JOIN orders x ON x.o_orderkey = e.o_orderkey JOIN orders y ON y.o_orderkey = i.o_orderkey WHERE x.o_orderstatus = 'F' AND y.o_orderstatus = 'P'")
+def intended_overlap(spark, sf_dir):
+    s = _order_spans(spark, sf_dir).join(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    side = lambda st, name: s.where(F.col("o_orderstatus") == st).select(F.col("o_orderkey").alias(name), F.col("key").alias("seq_id"), F.col("a").alias("start"), F.col("b").alias("end"))
+    return classify.intended_hits(side("F", "event_id"), side("P", "edit_id"))
+
+
+@query(
+    "WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey % 3 AS number, l_linenumber % 4 + 1 AS pos, CAST(l_quantity AS BIGINT) AS m, l_suppkey % 3 AS d FROM lineitem), b AS (SELECT *, 12 + number * 3 AS bp, number = 2 AS br, 30 + l_orderkey % 15 AS primary_score, pos - 1 AS lo, pos - 1 + m + d AS hi, m - d AS score FROM a), "
+    "c AS (SELECT *, CASE WHEN m < 28 THEN 'short_cover' WHEN NOT (hi > lo AND bp - lo >= 3 AND hi - bp >= 3) THEN 'not_spanning' WHEN score < primary_score OR (score = primary_score AND NOT br) THEN 'worse_than_primary' END AS r FROM b), "
+    "e AS (SELECT *, max(CASE WHEN r IS NULL THEN score END) OVER (PARTITION BY l_orderkey) AS best FROM c) SELECT number, coalesce(r, CASE WHEN score < best THEN 'worse_than_competing' ELSE 'kept' END) AS fate, count(*) AS n FROM e GROUP BY ALL"
+)
+def second_pass_fates(spark, sf_dir):
+    """Line items as alignments of orders, the reads, to three constructs: which are evidence, and why others aren't."""
+    l = _t(spark, sf_dir, "lineitem")  # noqa: E741
+    cigar = F.concat(F.col("l_quantity").cast("long").cast("string"), F.lit("M"), F.when(F.col("l_suppkey") % 3 > 0, F.concat((F.col("l_suppkey") % 3).cast("string"), F.lit("D"))).otherwise(""))
+    sam = l.select(F.col("l_orderkey").cast("string").alias("qname"), F.lit(0).alias("flag"), F.concat(F.lit("jc"), (F.col("l_partkey") % 3).cast("string")).alias("rname"), (F.col("l_linenumber") % 4 + 1).alias("pos"), cigar.alias("cigar"))
+    built = spark.range(3).select(F.col("id").alias("number"), (12 + F.col("id") * 3).cast("int").alias("breakpoint"), (F.col("id") == 2).alias("both_repeats"))
+    primary = l.select("l_orderkey").distinct().select(F.col("l_orderkey").cast("string").alias("name"), F.lit(0).alias("mate"), (30 + F.col("l_orderkey") % 15).cast("int").alias("primary"))
+    out = constructs.judged_alignments(sam, built, primary)
+    return out.groupBy("number", F.coalesce("reject", F.lit("kept")).alias("fate")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, CASE WHEN r IS NULL THEN 'cell' ELSE r END AS reads, CASE WHEN p > 0 AND m > 0 THEN 'BOTH' WHEN p + m > 0 THEN 'ONE' ELSE 'NONE' END AS strands, CASE WHEN s >= 14 THEN 'LONG' WHEN s >= 3 THEN 'SHORT' ELSE 'UNANCHORED' END AS sides, "
+    "CASE WHEN c = 0 THEN 'UNIQUE' WHEN c = 1 OR y THEN 'ONE_REPEAT' ELSE 'REPEATS' END AS places FROM (SELECT l_orderkey, l_linenumber, l_linenumber % 3 AS p, l_partkey % 3 AS m, CASE WHEN l_suppkey % 15 >= 10 THEN 'STRONG' WHEN l_suppkey % 15 >= 3 THEN 'MODERATE' WHEN l_suppkey % 15 >= 1 THEN 'WEAK' ELSE 'NONE' END AS r, CAST(l_quantity AS BIGINT) % 20 AS s, l_partkey % 4 AS c, l_returnflag = 'R' AS y FROM lineitem)"
+)
+def evidence_classes(spark, sf_dir):
+    l = _t(spark, sf_dir, "lineitem")  # noqa: E741
+    c = review.evidence_classes(F.col("l_suppkey") % 15, F.col("l_linenumber") % 3, F.col("l_partkey") % 3, F.col("l_quantity").cast("long") % 20, F.col("l_partkey") % 4, F.col("l_returnflag") == "R")
+    return l.select("l_orderkey", "l_linenumber", c.alias("c")).select("l_orderkey", "l_linenumber", "c.*")
+
+
+@query(
+    _SPANS + "SELECT relevance, structure, count(*) AS n FROM (SELECT CASE WHEN apart = 0 THEN 'ON_TARGET' WHEN apart <= 60 THEN 'FLANKING' ELSE 'ELSEWHERE' END AS relevance, CASE WHEN k = 0 THEN 'STRUCTURAL' WHEN k = 1 THEN CASE WHEN a <= 9500 AND b >= 9520 THEN 'DELETES_TARGET' ELSE 'DELETION' END ELSE 'SEQUENCE' END AS structure "
+    "FROM (SELECT a, b, greatest(0, a - 9520, 9500 - b) AS apart, o_orderkey % 3 AS k FROM s)) GROUP BY ALL"
+)
+def locus_relevance(spark, sf_dir):
+    kind = F.element_at(F.array(F.lit("JC"), F.lit("DEL"), F.lit("SNP")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    near, structure = review.locus_relevance(F.col("a"), F.col("b"), F.lit(9500), F.lit(9520), 60, kind)
+    return _order_spans(spark, sf_dir).groupBy(near.alias("relevance"), structure.alias("structure")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "SELECT o_custkey, o_orderkey, CASE WHEN n = 0 THEN 'NONE' ELSE m END AS matched_event_ids, CASE WHEN o_orderkey % 5 = 0 THEN 'NA' WHEN abs(o_orderkey % 9 - 4) <= 2 THEN 'PASS' ELSE 'FAIL(' || (o_orderkey % 9 - 4) || 'bp)' END AS left_boundary_status, upper(CASE WHEN n > 0 THEN 'complete' ELSE 'missing' END) AS status "
+    "FROM (SELECT o.o_custkey, o.o_orderkey, count(l.l_orderkey) AS n, string_agg(CAST(o.o_orderkey * 10 + l.l_linenumber AS VARCHAR), ',' ORDER BY l.l_linenumber, l.l_partkey) AS m FROM orders o LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber, 0 AS l_partkey FROM lineitem WHERE l_returnflag = 'R') l ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2)"
+)
+def edit_outcomes(spark, sf_dir):
+    """Orders as edits that their returned lines, the events, match: rows of the table of edit outcomes."""
+    lines = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber").distinct()
+    event = F.concat_ws("_", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    events = lines.select(event.alias("event_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    matched = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(event)).alias("matched"))
+    none, empty = F.lit(None).cast("long"), F.expr("cast(array() as array<string>)")
+    o = _t(spark, sf_dir, "orders").join(matched, "o_orderkey", "left")
+    off = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey") % 9 - 4)
+    edits = o.select(F.col("o_orderkey").alias("edit_id"), F.lit("snp").alias("kind"), F.col("o_custkey").alias("seq_id"), F.lit(1).alias("start"), F.lit(1).alias("end"), F.when(F.size("matched") > 0, "complete").otherwise("missing").alias("status"), F.coalesce("matched", empty).alias("matched"), empty.alias("unexpected"), off.alias("left_diff"), none.alias("right_diff"), none.alias("expected_size"), none.alias("observed_size"), empty.alias("notes"))
+    return products.edit_outcomes(edits, events).select(F.col("seq_id").alias("o_custkey"), F.col("edit_id").alias("o_orderkey"), "matched_event_ids", "left_boundary_status", "status")
+
+
+@query(
+    "SELECT user_id AS event_id, count(DISTINCT event_type) AS n_clones, CASE WHEN count(DISTINCT event_type) = 1 THEN 'clone_specific' WHEN count(DISTINCT event_type) = 5 THEN 'shared_all' ELSE 'shared_subset' END AS scope, 's' AS seq_id, CAST(min(user_id) AS BIGINT) AS position, "
+    "CAST(min(user_id) + 1 AS BIGINT) AS \"end\", '2bp' AS ref, 'none' AS alt, " + ", ".join(f"CAST(max(CASE WHEN event_type = '{c}' THEN 1 ELSE 0 END) AS INTEGER) AS clone_{c}" for c in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1"
+)
+def batch_matrix(spark, sf_dir):
+    """Users as deletions that clones, the types of their events, have."""
+    records = _t(spark, sf_dir, "events").select(F.col("event_type").alias("clone_id"), F.col("user_id").alias("event_id"), F.lit("DEL").alias("kind"), F.array(F.lit("s"), F.col("user_id").cast("string"), F.lit("2")).alias("fields"))
+    clones = ["click", "error", "purchase", "signup", "view"]
+    out = products.batch_matrix(products.clone_observations(records), clones)
+    return out.select("event_id", "n_clones", "scope", "seq_id", "position", "end", "ref", "alt", *(f"clone_{c}" for c in clones))
+
+
 # --- the composed audit -----------------------------------------------------------------------------------------------
 
 _KINDS = {"1-URGENT": "SNP", "2-HIGH": "DEL", "3-MEDIUM": "INS", "4-NOT SPECIFIED": "MOB", "5-LOW": "JC"}
