@@ -344,9 +344,36 @@ def bh_fdr(spark, sf_dir):
     return statistics.benjamini_hochberg(p, "p", "q").select("o_orderkey", F.round("q", 9).alias("q"))
 
 
-@query()
+def _q_sql(p: str, q: str) -> str:
+    """q-values of a column of table v, as a column of its rows."""
+    return f"min(least(1e0, {p} * {p}_m / {p}_k)) OVER (ORDER BY {p} DESC) AS {q}"
+
+
+def _rank_sql(p: str) -> str:
+    return f"rank() OVER (ORDER BY {p}) + count(*) OVER (PARTITION BY {p}) - 1 AS {p}_k, count(*) OVER () AS {p}_m"
+
+
+def _tail_sql(s: str) -> str:
+    return (
+        f"b{s} AS (SELECT user_id, least(1e0, coalesce(sum(exp({_choose('n', 'k')} + k * ln(0.005e0) + (n - k) * ln(0.995e0))), 1e0)) AS pe{s} FROM (SELECT user_id, depth_{s} AS n, unnest(range(alt_{s}, depth_{s} + 1)) AS k FROM c WHERE depth_{s} > 0) GROUP BY 1)"
+    )
+
+
+_CLASSES = (
+    _COUNTS + ", x AS (SELECT user_id, alt_e + alt_s AS m, depth_e AS r, depth_s AS q, alt_e AS a, unnest(range(greatest(0, alt_e + alt_s - depth_s), least(depth_e, alt_e + alt_s) + 1)) AS k FROM c), "
+    f"f AS (SELECT user_id, CASE WHEN min(r) = 0 OR min(q) = 0 OR min(m) = 0 OR min(r + q - m) = 0 THEN 1e0 ELSE least(1e0, sum(p) FILTER (p <= o * (1 + 1e-7))) END AS pd FROM (SELECT *, exp({_choose('r', 'k')} + {_choose('q', '(m - k)')} - {_choose('(r + q)', 'm')}) AS p, exp({_choose('r', 'a')} + {_choose('q', '(m - a)')} - {_choose('(r + q)', 'm')}) AS o FROM x) GROUP BY user_id), "
+    + _tail_sql("s") + ", " + _tail_sql("e") + ", "
+    f"w AS (SELECT c.*, coalesce(alt_s / nullif(depth_s, 0), 0e0) AS af_s, coalesce(alt_e / nullif(depth_e, 0), 0e0) AS af_e, CASE WHEN depth_s = 0 THEN 0e0 ELSE {_HS} END AS hs, CASE WHEN depth_e = 0 THEN 0e0 ELSE {_LE} END AS le, coalesce(pes, 1e0) AS pes, coalesce(pee, 1e0) AS pee, pd FROM c LEFT JOIN f ON f.user_id = c.user_id LEFT JOIN bs ON bs.user_id = c.user_id LEFT JOIN be ON be.user_id = c.user_id), "
+    f"v AS (SELECT *, {_rank_sql('pes')}, {_rank_sql('pee')}, {_rank_sql('pd')} FROM w), u AS (SELECT *, {_q_sql('pes', 'qs')}, {_q_sql('pee', 'qe')}, {_q_sql('pd', 'qd')}, af_e - af_s AS delta, greatest(-1e0, af_e - af_s - sqrt((af_e - le) * (af_e - le) + (hs - af_s) * (hs - af_s))) AS low FROM v), "
+    "t AS (SELECT *, depth_s >= 20 AND alt_s >= 3 AND af_s >= 0.05 AND qs <= 0.01 AS ins, depth_e >= 20 AND alt_e >= 3 AND af_e >= 0.05 AND qe <= 0.01 AND af_e <= 0.7499 AS ine, qd <= 0.01 AS differs FROM u) "
+    "SELECT class, count(*) AS n FROM (SELECT CASE WHEN ine AND depth_s < 20 THEN 'INDETERMINATE_STARTER_DEPTH' WHEN ine AND NOT ins AND differs AND delta >= 0.05 AND low > 0 THEN 'EDITED_SPECIFIC' WHEN ins AND ine AND differs AND delta >= 0.05 AND low > 0 THEN 'EDITED_ENRICHED' "
+    "WHEN ins AND (NOT ine OR NOT differs OR delta < 0.05) THEN CASE WHEN differs AND delta <= -0.05 THEN 'DEPLETED_IN_EDITED' ELSE 'PRE_EXISTING_IN_STARTER' END WHEN ine AND NOT ins AND alt_s >= 1 THEN 'AMBIGUOUS_STARTER_TRACE' ELSE 'NOT_SUBCLONAL' END AS class FROM t) GROUP BY 1"
+)
+
+
+@query(_CLASSES)
 def subclonal_classes(spark, sf_dir):
-    """Classes of users as alleles; the exact tests are checked by fisher_exact and binom_tail, the rules in tests."""
+    """Classes of users as alleles."""
     c = _counts(spark, sf_dir)
     wide = c.select("user_id", *(F.col(f"{k}_{s}").alias(f"{k}_fwd_{s}") for k in ("ref", "alt") for s in "se"), *(F.lit(0).cast("long").alias(f"{k}_rev_{s}") for k in ("ref", "alt") for s in "se"), *(F.lit(0).cast("long").alias(f"other_{d}_{s}") for d in ("fwd", "rev") for s in "se"))
     out = subclonal.evaluate(wide)

@@ -173,3 +173,26 @@ def test_run(spark, tmp_path):
     names, rows = products.repeat_ambiguous(spark.createDataFrame([("RESOLVED", ["c", "d"], 3)], "state string, reference_contigs array<string>, overlap int"), "s1")
     assert rows.first().value.split("\t")[:3] == ["s1", "c,d", "RESOLVED"] and len(names) == 31
     assert writers.rendered((names, rows)).startswith("sample_id")
+
+
+def test_folding(spark):
+    from helixframe.operators import folding
+
+    key = "seq_id1 string, pos1 long, minus1 boolean, seq_id2 string, pos2 long, minus2 boolean, overlap int"
+    support = "reads long, plus long, minus long, best_min long, best_min_plus long, best_min_minus long, min_side1 long, min_side2 long, seed_reads long"
+    rows = [
+        (1, "c", 100, True, "c", 900, False, 0, 5, 3, 2, 12, 12, 9, 0, 4, 2),
+        (2, "c", 903, False, "c", 98, True, 0, 7, 4, 3, 15, 11, 15, 6, 5, 1),
+        (3, "c", 100, True, "c", 930, False, 0, 1, 1, 0, 3, 3, 0, 3, 3, 1),
+        (4, "c", 100, False, "c", 900, False, 0, 1, 1, 0, 3, 3, 0, 3, 3, 1),
+    ]
+    table = spark.createDataFrame(rows, f"id int, {key}, {support}")
+    got = {tuple(r.ids): r for r in folding.fold_directions(table).collect()}
+    assert set(got) == {(1, 2), (3,), (4,)}
+    r = got[1, 2]
+    assert (r.id, r.pos1, r.reads, r.plus, r.minus, r.best_min, r.best_min_minus, r.min_side1, r.min_side2, r.seed_reads) == (2, 903, 12, 7, 5, 15, 15, 6, 4, 2)
+    assert folding.fold_directions(table.limit(0)).count() == 0
+    clustered = table.select("id", *(c.split()[0] for c in key.split(", "))).withColumn("cluster", F.when(F.col("id") < 3, 1).otherwise(F.col("id")))
+    assert sorted((r.pos1, r.seed_reads) for r in folding.seed_candidates(clustered).collect()) == [(100, 1), (100, 1), (100, 2)]
+    copies = spark.createDataFrame([("j", 1, 10, 1, False, 4), ("j", 2, 9, 1, True, 9), ("j", 3, 8, 1, True, 2), ("j", 4, 5, 1, True, 0), ("k", 5, 3, 1, False, None)], "j string, id int, reads long, seed_reads long, outside boolean, distance long")
+    assert sorted((r.j, r.id) for r in folding.displayed_copies(copies, ["j"]).collect()) == [("j", 3), ("k", 5)]
