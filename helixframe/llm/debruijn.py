@@ -84,8 +84,8 @@ def _graph(docs: DataFrame, window: int, k: int) -> DataFrame:
     return map_rows(docs.select("doc_id", "text", "h"), make, "doc_id long, h long, n_words long, sha string, kmers array<long>, edges array<long>")
 
 
-#: Documents whose keys may be broadcast, some 20 MB; with more of them, the texts are joined by key in full.
-BROADCAST_KEYS = 500_000
+#: Documents whose keys may be broadcast, some 10 MB; with more of them, the texts are joined by key in full.
+BROADCAST_KEYS = 200_000
 
 
 def _with_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
