@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import identity, sequence, statistics
 from helixframe.operators import classify, cohort, constructs, differential, emission, intervals, junctions, pileup, review, sites, subclonal
+from helixframe.plans import gates
 from helixframe.sources import products
 
 QUERIES: dict = {}
@@ -743,6 +744,23 @@ def batch_matrix(spark, sf_dir):
     return out.select("event_id", "n_clones", "scope", "seq_id", "position", "end", "ref", "alt", *(f"clone_{c}" for c in clones))
 
 
+_SIDES = _DAYS.rstrip() + ", y AS (SELECT o_orderkey AS id, o_custkey AS k, d, o_orderkey % 2 = 0 AS m, st FROM x JOIN orders USING (o_orderkey, o_custkey)) "
+
+
+def _bucket_sql(own: str, other: str, side: str) -> str:
+    return (
+        f"SELECT '{side}' AS side, id, CASE WHEN id <> first THEN 'duplicate' WHEN best = 0 THEN 'exact' WHEN best = 1 THEN 'jitter' WHEN best = 2 THEN 'strand' ELSE 'only' END AS bucket FROM (SELECT a.id, a.first, min(CASE WHEN b.m = a.m AND b.d = a.d THEN 0 WHEN b.m = a.m THEN 1 WHEN b.m IS NOT NULL THEN 2 END) AS best "
+        f"FROM (SELECT *, min(id) OVER (PARTITION BY k, d, m) AS first FROM y WHERE st = '{own}') a LEFT JOIN (SELECT * FROM y WHERE st = '{other}') b ON a.k = b.k AND abs(a.d - b.d) <= 15 GROUP BY 1, 2)"
+    )
+
+
+@query(_SIDES + _bucket_sql("F", "O", "a") + " UNION ALL " + _bucket_sql("O", "F", "b"))
+def discrepancy_buckets(spark, sf_dir):
+    """Orders in status F against those in status O: places are days, strands whether the key is even."""
+    y = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"), _day("o_orderdate").alias("d"), (F.col("o_orderkey") % 2 == 0).alias("m"), "o_orderstatus")
+    return gates.discrepancies(y.where("o_orderstatus = 'F'"), y.where("o_orderstatus = 'O'"), ["k"], "d", "m", 15)
+
+
 # --- the composed audit -----------------------------------------------------------------------------------------------
 
 _KINDS = {"1-URGENT": "SNP", "2-HIGH": "DEL", "3-MEDIUM": "INS", "4-NOT SPECIFIED": "MOB", "5-LOW": "JC"}

@@ -196,3 +196,19 @@ def test_folding(spark):
     assert sorted((r.pos1, r.seed_reads) for r in folding.seed_candidates(clustered).collect()) == [(100, 1), (100, 1), (100, 2)]
     copies = spark.createDataFrame([("j", 1, 10, 1, False, 4), ("j", 2, 9, 1, True, 9), ("j", 3, 8, 1, True, 2), ("j", 4, 5, 1, True, 0), ("k", 5, 3, 1, False, None)], "j string, id int, reads long, seed_reads long, outside boolean, distance long")
     assert sorted((r.j, r.id) for r in folding.displayed_copies(copies, ["j"]).collect()) == [("j", 3), ("k", 5)]
+
+
+def test_gates(spark):
+    from helixframe.plans import gates
+
+    rows = "id int, k string, at long, m boolean"
+    a = spark.createDataFrame([(1, "c", 10, True), (2, "c", 50, True), (3, "c", 90, True), (4, "c", 200, True), (5, "c", 10, True)], rows)
+    b = spark.createDataFrame([(1, "c", 10, True), (2, "c", 52, True), (3, "c", 91, False)], rows)
+    found = gates.discrepancies(a, b, ["k"], "at", "m", 5)
+    assert {(r.side, r.id): r.bucket for r in found.collect()} == {("a", 1): "exact", ("a", 2): "jitter", ("a", 3): "strand", ("a", 4): "only", ("a", 5): "duplicate", ("b", 1): "exact", ("b", 2): "jitter", ("b", 3): "strand"}
+    assert not gates.comparison_gate(found, {"a_only": 1}).passed
+    good = gates.comparison_gate(found, {"a_only": 1, "a_jitter": 1, "b_jitter": 1, "a_strand": 1, "b_strand": 1, "a_duplicate": 1})
+    assert good.passed and '"a_only": 1' in good.to_json()
+    tables = {"a": a, "b": b}
+    verdict = gates.release_gate(tables, [("a", "id", "b", "id")], {"b": ["id"], "a": ["at"]}, {"a": (F.col("k"), "^x")})
+    assert verdict.counts == {"a.id not in b": 2, "b repeats id": 0, "a repeats at": 1, "a holds ^x": 0} and not verdict.passed
