@@ -106,7 +106,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _fewer(df: DataFrame) -> DataFrame:
-    """df in at most TASKS_PER_CORE partitions a core: whole partitions follow one another in a task, so it holds no more at once."""
+    """df in at most TASKS_PER_CORE partitions a core: whole partitions follow one another in a task, so it holds no more at once.
+
+    Where executors come and go by demand, the cores of the moment say nothing, and df stays as it is.
+    """
+    if df.sparkSession.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
+        return df
     return df.coalesce(max(TASKS_PER_CORE, TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism))
 
 
