@@ -189,6 +189,11 @@ def _forest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
+def local_forests(edges: DataFrame, by: str) -> DataFrame:
+    """Edges (a, b) to stars (a, b) that join the same nodes, for the edges of each value of a column that holds few of them."""
+    return edges.select("a", "b", by).repartition(by).select("a", "b").mapInArrow(_forest_of, "a long, b long, own boolean").select("a", "b")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Roots of an undirected graph: edges (a, b) of long to (node, root), root the smallest node reachable.
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import connected_components, map_rows, written
+from helixframe.llm.common import connected_components, local_forests, map_rows, written
 
 #: Words of a window, words of a k-mer.
 WINDOW, KMER = 50, 16
@@ -135,11 +135,15 @@ def _settled(docs: DataFrame, window: int, k: int) -> DataFrame:
 
 
 def _compacted(places: DataFrame) -> DataFrame:
-    """(kmer, path) of the anchors that all occurrences enter and leave by the same edges; anchors that follow one another share a path."""
-    single = places.groupBy("kmer").agg(F.min("into").alias("into"), F.max("into").alias("into2"), F.min("out").alias("out"), F.max("out").alias("out2"), F.min("next").alias("next"))
-    single, _ = written(single.where("into = into2 and out = out2").select("kmer", "next"))
+    """(kmer, path) of the anchors that all occurrences enter and leave by the same edges; anchors that follow one another share a path.
+
+    All anchors of a path have the same documents, so the pairs that follow one another are first joined within the
+    first of these, home, and then over all.
+    """
+    single = places.groupBy("kmer").agg(F.min("rid").alias("home"), F.min("into").alias("into"), F.max("into").alias("into2"), F.min("out").alias("out"), F.max("out").alias("out2"), F.min("next").alias("next"))
+    single, _ = written(single.where("into = into2 and out = out2").select("kmer", "next", "home"))
     follows = single.where("next is not null").join(single.select(F.col("kmer").alias("next")), "next")
-    roots = connected_components(follows.select(F.col("kmer").alias("a"), F.col("next").alias("b")))
+    roots = connected_components(local_forests(follows.select(F.col("kmer").alias("a"), F.col("next").alias("b"), "home"), "home"))
     return single.join(roots, single.kmer == roots.node, "left").select("kmer", F.coalesce("root", "kmer").alias("path"))
 
 
