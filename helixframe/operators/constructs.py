@@ -172,3 +172,31 @@ def second_pass(pieces: DataFrame, contigs: DataFrame, length: int, budget: Colu
     ranked = junctions.rank_and_cap(merged_candidates(pieces).withColumns({"_all": F.lit(1), "_length": 2 * length - F.greatest("overlap", F.lit(0))}), ["_all"], "seed_reads", "_length", KEY, budget)
     built = distinct_constructs(constructs(ranked.drop("_all", "_length", "total"), contigs, length))
     return built.withColumn("number", F.col("rank").cast("long")).drop("rank")
+
+
+def clip_candidates(clips: DataFrame, contigs: DataFrame, least: int = 12, concrete: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Clipped ends of reads (id, seq_id, pos, left, bases) placed exactly in the contigs: (candidates, repeats).
+
+    pos is the 1-based aligned base beside the clip, left whether the clip comes before it. Equal clips are searched
+    once, on both strands, from `least` bases on. candidates has id and KEY for each place of a clip with at most
+    `concrete` places that doesn't just go on where its read was aligned; repeats (id, places) has the clips with more,
+    none of whose places is told from the others.
+    """
+    from helixframe.operators.sites import kmer_placements
+
+    long = clips.where(F.length("bases") >= least).withColumn("query", F.upper("bases"))
+    placed = kmer_placements(long.select("query").distinct(), contigs, least)
+    places = placed.groupBy("query").agg(F.count("*").alias("places"))
+    few = placed.join(places.where(F.col("places") <= concrete), "query").select("query", F.col("seq_id").alias("_c"), "start", F.col("minus").alias("_rc"))
+    size = F.length("query")
+    rows = long.join(few, "query").withColumns({"_low": F.col("start"), "_high": F.col("start") + size - 1})
+    goes_on = ~F.col("_rc") & (F.col("_c") == F.col("seq_id")) & F.when(F.col("left"), (F.col("pos") - F.col("_high")).isin(0, 1)).otherwise((F.col("_low") - F.col("pos")).isin(0, 1))
+    rows = rows.where(~goes_on)
+    # a clip after the read is left towards its own start, one before the read is entered from its own end
+    far = F.when(F.col("left") == F.col("_rc"), F.col("_low")).otherwise(F.col("_high"))
+    clip = F.struct(F.col("_c").alias("c"), far.alias("p"), F.when(F.col("left"), ~F.col("_rc")).otherwise(F.col("_rc")).alias("m"))
+    own = F.struct(F.col("seq_id").alias("c"), F.col("pos").alias("p"), (~F.col("left")).alias("m"))
+    one, two = F.when(F.col("left"), clip).otherwise(own), F.when(F.col("left"), own).otherwise(clip)
+    sides = {f"{n}{k}": s[c] for k, s in ((1, one), (2, two)) for n, c in (("seq_id", "c"), ("pos", "p"), ("minus", "m"))}
+    out = rows.select("id", *(v.alias(k) for k, v in sides.items()), F.lit(0).alias("overlap")).select("id", *KEY)
+    return out, long.join(places.where(F.col("places") > concrete), "query").select("id", "places")

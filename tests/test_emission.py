@@ -212,3 +212,25 @@ def test_gates(spark):
     tables = {"a": a, "b": b}
     verdict = gates.release_gate(tables, [("a", "id", "b", "id")], {"b": ["id"], "a": ["at"]}, {"a": (F.col("k"), "^x")})
     assert verdict.counts == {"a.id not in b": 2, "b repeats id": 0, "a repeats at": 1, "a holds ^x": 0} and not verdict.passed
+
+
+def test_clip_candidates(spark):
+    rng = random.Random(9)
+    seq = "".join(rng.choice("ACGT") for _ in range(600))
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    seq = seq + seq[100:115] + "T" + seq[100:115]
+    contigs = spark.createDataFrame([("c", seq)], "seq_id string, seq string")
+    rows = [
+        (1, "c", 50, False, seq[399:415]),  # read ends at 50 and goes on at 400
+        (2, "c", 50, False, rc(seq[399:415])),  # on the other strand
+        (3, "c", 300, True, seq[399:415]),  # comes from 400..415 and is aligned from 300
+        (4, "c", 300, True, rc(seq[399:415])),
+        (5, "c", 50, False, seq[50:66]),  # only goes on
+        (6, "c", 50, False, seq[99:104]),  # too short
+        (7, "c", 50, False, seq[100:115]),  # three places
+    ]
+    clips = spark.createDataFrame(rows, "id int, seq_id string, pos long, left boolean, bases string")
+    found, repeats = constructs.clip_candidates(clips, contigs, concrete=2)
+    got = {r.id: (r.pos1, r.minus1, r.pos2, r.minus2) for r in found.collect()}
+    assert got == {1: (50, True, 400, False), 2: (50, True, 415, True), 3: (415, True, 300, False), 4: (400, False, 300, False)}
+    assert [tuple(r) for r in repeats.collect()] == [(7, 3)]
