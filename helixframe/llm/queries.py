@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import debruijn, htmltext, langid, nbsvm, ogg, packing, pii, simhash, toxicity, wumanber
+from helixframe.llm import chat, debruijn, htmltext, langid, merkle, nbsvm, ogg, packing, pii, simhash, toxicity, wumanber
 from helixframe.llm.learning import fold
 
 
@@ -80,5 +80,17 @@ def op10_htmltext(spark, sf_dir):
     return htmltext.main_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_ogg, op4_packing, op5_pii, op6_debruijn, op7_wumanber, op8_toxicity, op9_nbsvm, op10_htmltext)}
-ORACLES = {"op7_wumanber": wumanber.SQL}
+def op11_chat(spark, sf_dir):
+    """All conversations and the awkward one, formatted and read back. Null roles and texts are empty, a null conv_id is one conversation; ties stand by role and text, repeated rows stay; an empty table leaves conversation -7."""
+    odd = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat.AWKWARD).alias("text"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.conversations(chat.format_turns(turns.unionByName(odd))))
+
+
+def op12_merkle(spark, sf_dir):
+    """The Merkle manifest of all documents. Null fields are marked, null langs a tree of their own; rows of one doc_id stand by their leaves, repeated rows stay; an empty table gives no rows."""
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_ogg, op4_packing, op5_pii, op6_debruijn, op7_wumanber, op8_toxicity, op9_nbsvm, op10_htmltext, op11_chat, op12_merkle)}
+ORACLES = {"op7_wumanber": wumanber.SQL, "op11_chat": chat.SQL, "op12_merkle": merkle.SQL}
