@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat, debruijn, htmltext, langid, merkle, nbsvm, ogg, packing, pii, simhash, toxicity, wumanber
+from helixframe.llm import chat, debruijn, htmltext, langid, merkle, nbsvm, ogg, packing, pii, simhash, toxicity, trie, wumanber
 from helixframe.llm.learning import fold
 
 
@@ -92,5 +92,10 @@ def op12_merkle(spark, sf_dir):
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_ogg, op4_packing, op5_pii, op6_debruijn, op7_wumanber, op8_toxicity, op9_nbsvm, op10_htmltext, op11_chat, op12_merkle)}
-ORACLES = {"op7_wumanber": wumanber.SQL, "op11_chat": chat.SQL, "op12_merkle": merkle.SQL}
+def op13_trie(spark, sf_dir):
+    """The prefix trie of all rebuilt conversations. Null roles and texts are empty, rows without a conv_id belong to none; tied turns stand by their digest, repeated rows stay; an empty table has no nodes."""
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_ogg, op4_packing, op5_pii, op6_debruijn, op7_wumanber, op8_toxicity, op9_nbsvm, op10_htmltext, op11_chat, op12_merkle, op13_trie)}
+ORACLES = {"op7_wumanber": wumanber.SQL, "op11_chat": chat.SQL, "op12_merkle": merkle.SQL, "op13_trie": trie.SQL}
