@@ -17,18 +17,24 @@ from helixframe.llm.common import map_rows, written
 #: Fixed lists of element names by their role in a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 SKIPPED = frozenset("nav footer aside form button select dialog menu svg math canvas object template head audio video".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split())
 #: Start tags that end an open element of these names, up to the nearest of the second list.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words in class, id and role that mark what isn't the article, alone or as a part of a name.
+#: Words in class, id and role that mark what isn't the article, alone or as a part of a name; within an article, of a
+#: name whose other parts are marks or PARTS_OF_LAYOUT as well ("related-posts", but not "related-work").
 MARKS = frozenset(
     "nav navbar navigation menu submenu sidebar sidenav ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr "
     "newsletter subscribe subscription signup login share sharing social related recommended breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond pagination pager popup modal footer foot contentinfo".split()
 )
-#: Words that also name parts of articles: within one they count if they are the whole name, or if the part is mostly links.
+#: Words that also name parts of articles: within one they count if they are the whole name. Any mark there counts if the part is mostly links.
 WEAK_MARKS = frozenset("masthead banner topbar header notice notices alert overlay widget toolbar search form skip copyright complementary dialog".split())
+#: Words that say what kind of box an element is and nothing of what it holds.
+PARTS_OF_LAYOUT = frozenset(
+    "area article articles author avatar bar block body bottom box btn button buttons card cards column container content count cta date entries entry feed field group holder icon icons inner item items label left line link links list "
+    "main meta module outer panel post posts rail right row section slot stories story tab tabs tag tags thread title toggle top unit view widgets wrap wrapper".split()
+)
 #: Characters of a container path; what is above is then a digest.
 PATH = 400
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>?|[^<]+|<", re.S)
@@ -40,7 +46,7 @@ _BREAK, _DIGITS, _WORD = re.compile(r"\s+"), re.compile(r"\d+"), re.compile(r"[a
 class Node:
     """A structural element: its name, its generalised path of tags and classes, and whether it is set aside.
 
-    suspect: a weak mark within an article. length, linked, kept, counted: characters of all blocks below it, of links
+    suspect: a mark within an article that may be of its subject. length, linked, kept, counted: characters of all blocks below it, of links
     there, of what isn't set aside, and of all but what an article itself sets aside.
     """
 
@@ -72,17 +78,20 @@ def _attributes(raw: str) -> dict[str, str]:
 
 def _set_aside(tag: str, at: dict[str, str], inside_article: bool) -> tuple[bool, bool]:
     """Whether an element is set aside, and whether that depends on what it holds."""
-    if tag in SKIPPED or tag == "header" and not inside_article:
+    if tag in SKIPPED or tag in ("header", "noscript") and not inside_article:
         return True, False
     if "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", ""):
         return True, False
     if not at or tag in ("html", "body", "article", "main"):
         return False, False
     names = f"{at.get('class', '')} {at.get('id', '')} {at.get('role', '')}".lower().split()
-    words = {w for n in names for w in _WORD.findall(n)}
-    if not MARKS.isdisjoint(words) or not WEAK_MARKS.isdisjoint(names) or not inside_article and not WEAK_MARKS.isdisjoint(words):
-        return True, False
-    return False, not WEAK_MARKS.isdisjoint(words)
+    words = [set(_WORD.findall(n)) for n in names]
+    marked, weakly = not MARKS.isdisjoint(set().union(*words)), not WEAK_MARKS.isdisjoint(set().union(*words))
+    if not inside_article:
+        return marked or weakly, False
+    layout = MARKS | WEAK_MARKS | PARTS_OF_LAYOUT
+    named = not WEAK_MARKS.isdisjoint(names) or any(not MARKS.isdisjoint(w) and w <= layout for w in words)
+    return named, not named and (marked or weakly)
 
 
 def _below(path: str, name: str) -> str:

@@ -206,3 +206,20 @@ def test_html(spark):
     assert htmltext.main_text(table).count() == 6 and htmltext.main_text(table.limit(0)).count() == 0
     top = {r.host: r.path for r in htmltext.votes(table).collect()}
     assert top["a.example"] == "html>body>div>div.post.post-#"
+
+
+@pytest.mark.parametrize("tag", ["section id='related-work'", "div class='social-history'", "p class='share-price'", "h2 id='foot-care'", "p id='login-flow'", "div class='search-results'", "noscript"])
+def test_html_keeps_article_text_under_marked_names(tag):
+    page = f"<body><nav>menu</nav><article><p>Before it, some words.</p><{tag}>The text itself.</{tag.split()[0]}><p>After it, more words.</p></article><footer>f</footer></body>"
+    assert htmltext.extract(page, None) == "Before it, some words. The text itself. After it, more words."
+
+
+@pytest.mark.parametrize("tag", ["div class='comments'", "section id='comment-list'", "div class='related-posts'", "div class='share-buttons'", "ul id='social_links-2'", "div class='ad-slot wide'", "div class='newsletter-box'", "div role='search'"])
+def test_html_drops_named_parts_within_articles(tag):
+    page = f"<body><article><p>Before it, some words.</p><{tag}>Something else.</{tag.split()[0]}><p>After it, more words.</p></article><noscript>Turn scripts on.</noscript></body>"
+    assert htmltext.extract(page, None) == "Before it, some words. After it, more words."
+
+
+def test_html_drops_marked_parts_that_are_mostly_links():
+    page = "<body><article><p>Some words of the article.</p><div class='related-work'><a href=x>Another title</a> <a href=y>And one more</a></div></article></body>"
+    assert htmltext.extract(page, None) == "Some words of the article."
