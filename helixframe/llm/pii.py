@@ -7,6 +7,8 @@ their contexts, in turn; contexts that end with a high score mark further identi
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -178,7 +180,10 @@ def redact(docs: DataFrame) -> DataFrame:
     doc_id, null included, and a hash of the text; rows alike in both have the same spans. n_chars, where there is
     such a column, is counted anew.
     """
-    found = spans(docs).where("size(spans) > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("k")))).alias("_s")).dropDuplicates(["_id", "_h"])
+    own = lambda name: f"__{name}_{uuid.uuid4().hex}"  # noqa: E731  no column of docs has it
+    at, hashed, where = own("id"), own("hash"), own("spans")
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("k"))))
+    found = spans(docs).where("size(spans) > 0").select(F.col("doc_id").alias(at), F.col("h").alias(f"{hashed}_of"), ordered.alias(where)).dropDuplicates([at, f"{hashed}_of"])
     first = F.array().cast("array<struct<a:int,b:int,k:int>>")
 
     def merged(out: Column, s: Column) -> Column:
@@ -186,14 +191,14 @@ def redact(docs: DataFrame) -> DataFrame:
         joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"), last["k"].alias("k"))))
         return F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["b"] > s["a"]), joined).otherwise(F.concat(out, F.array(s)))
 
-    overlaps = F.exists(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size("_s"))), lambda i: F.coalesce(F.try_element_at("_s", i)["a"] < F.try_element_at("_s", i - 1)["b"], F.lit(False)))
-    found = found.withColumn("_s", F.when(overlaps, F.aggregate("_s", first, merged)).otherwise(F.col("_s")))
+    overlaps = F.exists(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(where))), lambda i: F.coalesce(F.try_element_at(where, i)["a"] < F.try_element_at(where, i - 1)["b"], F.lit(False)))
+    found = found.withColumn(where, F.when(overlaps, F.aggregate(where, first, merged)).otherwise(F.col(where)))
     names = F.array(*map(F.lit, KINDS))
-    text, s = F.col("text"), F.col("_s")
+    text, s = F.col("text"), F.col(where)
     pieces = F.transform(s, lambda x, i: F.concat(F.substring(text, F.coalesce(F.get(s, i - 1)["b"], F.lit(0)) + 1, x["a"] - F.coalesce(F.get(s, i - 1)["b"], F.lit(0))), F.lit("["), F.upper(F.element_at(names, x["k"] + 1)), F.lit("]")))
     clean = F.when(s.isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(s, -1)["b"] + 1, F.length(text))))
-    keyed = docs.withColumns({"_h": F.xxhash64(F.coalesce("text", F.lit("")))})
-    joined = keyed.join(found.withColumnRenamed("_h", "_g"), keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left").withColumn("text", clean)
+    keyed = docs.withColumn(hashed, F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col(at)) & (F.col(hashed) == F.col(f"{hashed}_of")), "left").withColumn("text", clean)
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(s.isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return joined.select(*docs.columns)
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -1,6 +1,7 @@
 """Personal data against brute force with Python's regular expressions, discovery by context, and redaction."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -79,3 +80,35 @@ def test_redaction(spark, staff):
     got = {r.doc_id: r.text for r in out.where("doc_id is not null").collect()}
     assert got[0] is None and got[2] == "[EMAIL][EMAIL]" and got[3] == "[EMAIL]@d.e x@y..z [IP].[IP] 256.1.1.1 [IP]" and got[10] == "Call [PHONE]. é [IP]."
     assert {r.text for r in out.where("doc_id is null").collect()} == {"[EMAIL] and [IP]", None}
+
+
+def test_redaction_leaves_other_columns_alone(spark):
+    """Whatever they are called: every name that the operator gives to columns of its own, now or before, and awkward ones."""
+    names = ["_h", "_g", "_id", "_s", "h", "rid", "kind", "start", "end", "value", "context", "contexts", "free", "spans", "words", "before", "score", "a.b", "x y", "k"]
+    rows = [(1, "write to a@b.cd", 15, *names), (1, "write to a@b.cd", 15, *names), (2, None, None, *names), (None, "", 0, *names)]
+    table = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, n_chars int"] + [f"`{n}` string" for n in names]))
+    out = pii.redact(table)
+    assert out.columns == table.columns
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got == sorted([(1, "write to [EMAIL]", 16, *names)] * 2 + [(2, None, None, *names), (None, "", 0, *names)], key=str)
+
+
+def test_precision_and_recall_of_discovered_ids(spark):
+    """Ids of three forms behind two phrases whose other instances are emails and phones, among tokens with digits behind other words."""
+    draw = random.Random(11)
+    rows, planted = [], {}
+    for i in range(400):
+        phrase = draw.choice(["staff contact:", "reach owner"])
+        rows.append((i, f"Entry {i}. {phrase} " + draw.choice([f"u{i}@example.org", f"+49 30 {draw.randint(1000000, 9999999)}"]) + " is known."))
+    for i in range(400, 600):
+        phrase = draw.choice(["staff contact:", "reach owner"])
+        text = f"Entry {i}. {phrase} "
+        value = draw.choice([f"AB-{i}-{draw.randint(100, 999)}", f"usr_{draw.randint(10000, 99999)}", f"{draw.randint(10, 99)}/{i}/{draw.randint(10, 99)}x"])
+        planted[i] = (len(text), len(text) + len(value))
+        rows.append((i, f"{text}{value} is known."))
+    for i in range(600, 1000):
+        rows.append((i, f"Entry {i}. " + draw.choice(["built with", "chapter no", "as of", "release tag"]) + f" v{draw.randint(100, 999)}.{i}.0-rc and more."))
+    got = {r.doc_id: [x.split(":")[1:] for x in r.spans.split(",") if x.startswith("id:")] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {(i, int(a), int(b)) for i, spans in got.items() for a, b in spans}
+    true = {(i, *span) for i, span in planted.items()}
+    assert len(found & true) >= 0.9 * len(true) and len(found & true) >= 0.9 * len(found)
