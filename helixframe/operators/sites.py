@@ -1,17 +1,27 @@
-"""Guide-site search in sequences: mismatches and bulges next to a PAM, on both strands."""
+"""Guide-site search in sequences: mismatches and bulges next to a PAM, on both strands; exact places of many strings.
+
+Sequences reach the workers as bytes, in pieces, and each piece is one pass of array operations: positions with a PAM are
+found first and only those are compared with the guide; strings are found by rolling hashes of all their places at once.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence
 
-#: Bases of a piece of a contig; pieces overlap by the length of a site, so that one long contig is many rows.
-PIECE = 4096
+#: Bases of a piece of a contig; pieces overlap by what a site needs, and only contigs of more than one are dealt out.
+PIECE = 1 << 20
+#: Distinct seeds that are sent to the workers, 8 bytes each; with more, every place meets the seeds in a join instead.
+SENT_SEEDS = 4_000_000
+#: Rows of a batch that goes back.
+ROWS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -25,103 +35,217 @@ class Nuclease:
 
 CAS9, CAS12A = Nuclease("SpCas9", "NGG", 3), Nuclease("Cas12a", "TTTV", 5)
 
+_BYTES = np.arange(256, dtype=np.uint8)
+_UPPER = np.where((_BYTES >= 97) & (_BYTES <= 122), _BYTES - 32, _BYTES).astype(np.uint8)
+#: The base of a letter as one bit; U is T, others none.
+_BIT = np.zeros(256, np.uint8)
+_TURNED = _UPPER.copy()
+for _i, (_letters, _pair) in enumerate((("Aa", "T"), ("Cc", "G"), ("Gg", "C"), ("TtUu", "A"))):
+    for _c in _letters:
+        _BIT[ord(_c)], _TURNED[ord(_c)] = 1 << _i, ord(_pair)
+
+
+def _bits(pattern: str) -> list[int]:
+    """The bases that each IUPAC code stands for, as bits."""
+    return [int(sum(_BIT[ord(b)] for b in sequence.IUPAC[c])) for c in pattern.upper()]
+
+
+def pieces(contigs: DataFrame, overlap: int, piece: int = PIECE) -> DataFrame:
+    """(seq_id, off, data): contigs as bytes, cut every `piece` letters, each piece with `overlap` letters more.
+
+    Bytes are cut without walking along them, as characters must be; letters beyond ASCII are `?` first. Short contigs
+    stay where they are; the pieces of long ones are dealt out.
+    """
+    plain = F.when(F.octet_length("seq") == F.char_length("seq"), F.col("seq")).otherwise(F.regexp_replace("seq", r"[^\x00-\x7F]", "?"))
+    rows = contigs.select("seq_id", plain.cast("binary").alias("data"))
+    short = rows.where(F.length("data") <= piece).select("seq_id", F.lit(0).cast("long").alias("off"), "data")
+    starts = F.sequence(F.lit(0).cast("long"), F.length("data").cast("long") - 1, F.lit(piece).cast("long"))
+    long = rows.where(F.length("data") > piece).select("seq_id", "data", F.explode(starts).alias("off"))
+    return short.union(long.select("seq_id", "off", F.substring("data", (F.col("off") + 1).cast("int"), F.lit(piece + overlap)).alias("data")).repartition("seq_id", "off"))
+
+
+def _map_pieces(rows: DataFrame, make: Callable[[np.ndarray], Iterator[list[pa.Array]]], schema: str, piece: int) -> DataFrame:
+    """Applies make to each piece's bytes; it yields columns, whose first is a 0-based place in the piece's own part.
+
+    The result has seq_id, start (1-based in the contig) and the other columns, as in `schema`.
+    """
+    names = [c.split()[0].strip("`") for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for seq_id, off, data in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2)):
+                for at, *others in make(np.frombuffer(data.as_buffer(), np.uint8) if data.is_valid else np.zeros(0, np.uint8)):
+                    own = np.flatnonzero(at < piece)
+                    for i in range(0, len(own), ROWS):
+                        take = pa.array(own[i : i + ROWS])
+                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(seq_id.as_py(), pa.string()), len(take)), pa.array(at[own[i : i + ROWS]] + (off + 1)), *(c.take(take) for c in others)], names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _strings(data: np.ndarray, at: np.ndarray, length: int, turn: bool = False) -> pa.Array:
+    """Substrings of a length at some places, upper case, or their reverse complements."""
+    found = (_TURNED if turn else _UPPER)[data[at[:, None] + (np.arange(length)[::-1] if turn else np.arange(length))]]
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(np.arange(0, (len(at) + 1) * length, length or 1, dtype=np.int32)[: len(at) + 1]), pa.py_buffer(found.tobytes()))
+
 
 def windows(contigs: DataFrame, length: int, piece: int = PIECE) -> DataFrame:
-    """(seq_id, start, window): every substring of a length, 1-based starts, contigs cut into overlapping pieces first."""
-    pieces = contigs.where(F.length("seq") >= length).select("seq_id", F.col("seq"), F.explode(F.sequence(F.lit(0).cast("long"), F.length("seq").cast("long") - length, F.lit(piece).cast("long"))).alias("off"))
-    pieces = pieces.select("seq_id", "off", F.upper(F.substring("seq", (F.col("off") + 1).cast("int"), F.lit(piece + length - 1))).alias("piece"))
-    rows = pieces.select("seq_id", "off", "piece", F.explode(F.sequence(F.lit(1), F.length("piece") - length + 1)).alias("i"))
-    return rows.select("seq_id", (F.col("off") + F.col("i")).alias("start"), F.substring("piece", F.col("i"), F.lit(length)).alias("window"))
+    """(seq_id, start, window): every substring of a length, upper case, 1-based starts."""
+
+    def make(data):
+        for i in range(0, len(data) - length + 1, ROWS):
+            at = np.arange(i, min(i + ROWS, len(data) - length + 1))
+            yield at, _strings(data, at, length)
+
+    return _map_pieces(pieces(contigs, length - 1, piece), make, "seq_id string, start long, window string", piece)
 
 
 def _layout(nuclease: Nuclease, n: int, minus: bool) -> tuple[int, int, str]:
-    """1-based starts of protospacer and PAM in a window, and the PAM as the top strand reads it."""
+    """0-based places of protospacer and PAM in a window, and the PAM as the top strand reads it."""
     k = len(nuclease.pam)
-    after = (nuclease.side == 3) != minus
-    return (1, n + 1, nuclease.pam) if after and not minus else (1, n + 1, sequence.reverse_complement_iupac(nuclease.pam)) if after else (k + 1, 1, nuclease.pam if not minus else sequence.reverse_complement_iupac(nuclease.pam))
+    pam = sequence.reverse_complement_iupac(nuclease.pam) if minus else nuclease.pam
+    return (0, n, pam) if (nuclease.side == 3) != minus else (k, 0, pam)
 
 
-def scan(contigs: DataFrame, guide: str, nuclease: Nuclease = CAS9, most: int = 4) -> DataFrame:
-    """Sites with at most so many mismatches and a fitting PAM.
+def _motif(bits: np.ndarray, offset: int, pattern: str, windows: int) -> np.ndarray:
+    """Starts of windows with the pattern at an offset; the most telling letter is looked for first."""
+    codes = sorted(enumerate(_bits(pattern)), key=lambda x: x[1].bit_count())
+    at = None
+    for i, code in codes:
+        here = bits[offset + i : offset + i + windows] if at is None else bits[at + (offset + i)]
+        fits = np.flatnonzero(here & code)
+        at = fits if at is None else at[fits]
+    return np.arange(windows) if at is None else at
 
-    Returns seq_id, start, end (1-based, protospacer and PAM), strand, target and pam as the guide reads them,
-    mismatches. The PAM is tested first; mismatches are a sum written out by position. The reverse strand is the same
-    scan of the top strand with guide and PAM turned around. Windows with other letters than A, C, G, T mismatch there.
-    """
-    guide = guide.upper().replace("U", "T")
-    n, size = len(guide), len(guide) + len(nuclease.pam)
-    rows = windows(contigs, size)
-    strands = []
-    for minus in (False, True):
-        proto, pam, pattern = _layout(nuclease, n, minus)
-        turned = guide.translate(sequence.COMPLEMENT)[::-1] if minus else guide
-        target, found = F.substring("window", proto, F.lit(n)), F.substring("window", pam, F.lit(len(nuclease.pam)))
-        hit = rows.where(found.rlike(f"^{sequence.iupac_regex(pattern)}$")).withColumn("mismatches", sequence.hamming("window", turned, proto)).where(F.col("mismatches") <= most)
-        turn = sequence.reverse_complement if minus else (lambda x: x)
-        strands.append(hit.select("seq_id", "start", (F.col("start") + size - 1).alias("end"), F.lit("-" if minus else "+").alias("strand"), turn(target).alias("target"), turn(found).alias("pam"), "mismatches"))
-    return strands[0].unionByName(strands[1])
-
-
-def bulged(window: Column, guide: str, bulge: int) -> Column:
-    """Least mismatches of a guide against a window with `bulge` extra (positive) or missing (negative) bases.
 
-    Extra bases of the target (a DNA bulge) or unpaired bases of the guide (an RNA bulge) lie together, not at an end.
-    The place moves along the guide: each step trades one base behind it for one ahead; the least sum counts.
-    """
-    n = len(guide)
-    skip, drop = max(bulge, 0), max(-bulge, 0)
-    bases = F.array(*map(F.lit, guide))
+def _wrong(bits: np.ndarray, at: np.ndarray, guide: list[int]) -> np.ndarray:
+    """Mismatches of a guide's bits at each place."""
+    return sum(((bits[at + i] & code == 0).astype(np.int32) for i, code in enumerate(guide)), np.zeros(len(at), np.int32))
 
-    def wrong(i, shift: int):
-        at = F.lit(i) if isinstance(i, int) else i
-        return (F.substring(window, at + 1 + shift, F.lit(1)) != F.get(bases, at)).cast("int")
 
-    first = reduce(lambda a, b: a + b, [wrong(0, 0), *(wrong(i, skip - drop) for i in range(1 + drop, n))])
-    if n - drop < 3:
-        return first
-    start = F.struct(first.alias("now"), first.alias("least"))
+def _bulged(bits: np.ndarray, at: np.ndarray, guide: list[int], bulge: int) -> np.ndarray:
+    """Least mismatches of a guide at each place, with `bulge` extra (positive) or missing (negative) bases of the target.
 
-    def step(acc, cut):
-        now = acc["now"] + wrong(cut, 0) - wrong(cut + drop, skip - drop)
-        return F.struct(now.alias("now"), F.least(acc["least"], now).alias("least"))
+    Extra bases of the target (a DNA bulge) or unpaired bases of the guide (an RNA bulge) lie together, not at an end.
+    What is before the bulge is compared as it stands, what is behind it moved by the bulge; the best place counts.
+    """
+    n, drop = len(guide), max(-bulge, 0)
+    inner = range(1, n - drop)
+    if not inner:
+        return np.full(len(at), n, np.int32)
+    straight = np.stack([bits[at + i] & guide[i] == 0 for i in range(n - drop)])
+    moved = np.stack([bits[at + i + bulge] & guide[i] == 0 for i in range(1 + drop, n)])
+    before = np.cumsum(straight, 0, dtype=np.int32)
+    behind = np.cumsum(moved[::-1], 0, dtype=np.int32)[::-1]
+    return (before[[c - 1 for c in inner]] + behind[[c - 1 for c in inner]]).min(0)
+
+
+def _sites(contigs: DataFrame, guide: str, nuclease: Nuclease, most: int, bulge: int, piece: int) -> DataFrame:
+    guide = guide.upper().replace("U", "T")
+    n, k = len(guide) + bulge, len(nuclease.pam)
+    size = n + k
+
+    def make(data):
+        bits = _BIT[data]
+        for minus in (False, True):
+            proto, pam, pattern = _layout(nuclease, n, minus)
+            codes = _bits(guide.translate(sequence.COMPLEMENT)[::-1] if minus else guide)
+            found = _motif(bits, pam, pattern, max(0, len(data) - size + 1))
+            for i in range(0, len(found), ROWS):
+                at = found[i : i + ROWS]
+                wrong = _bulged(bits, at + proto, codes, bulge) if bulge else _wrong(bits, at + proto, codes)
+                at, wrong = at[wrong <= most], wrong[wrong <= most]
+                yield at, pa.array(at), pa.repeat(pa.scalar("-" if minus else "+"), len(at)), _strings(data, at + proto, n, minus), _strings(data, at + pam, k, minus), pa.array(wrong)
+
+    found = _map_pieces(pieces(contigs, size - 1, piece), make, 'seq_id string, start long, `end` long, strand string, target string, pam string, mismatches int', piece)
+    return found.withColumn("end", F.col("start") + size - 1)
+
+
+def scan(contigs: DataFrame, guide: str, nuclease: Nuclease = CAS9, most: int = 4, piece: int = PIECE) -> DataFrame:
+    """Sites with at most so many mismatches and a fitting PAM.
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(n - drop - 2)), start, step, lambda acc: acc["least"])
+    Returns seq_id, start, end (1-based, protospacer and PAM), strand, target and pam as the guide reads them,
+    mismatches. The reverse strand is the same search of the top strand with guide and PAM turned around. Letters other
+    than A, C, G, T mismatch; U is T. Null sequences have no sites.
+    """
+    return _sites(contigs, guide, nuclease, most, 0, piece)
 
 
-def scan_bulges(contigs: DataFrame, guide: str, nuclease: Nuclease = CAS9, most: int = 4, dna: int = 1, rna: int = 1) -> DataFrame:
+def scan_bulges(contigs: DataFrame, guide: str, nuclease: Nuclease = CAS9, most: int = 4, dna: int = 1, rna: int = 1, piece: int = PIECE) -> DataFrame:
     """scan() and, for bulges up to the given sizes, sites with one bulge: adds bulge_type (none, DNA, RNA) and bulge_size.
 
     Sites with and without a bulge are listed side by side, as their spans differ.
     """
-    guide = guide.upper().replace("U", "T")
-    out = scan(contigs, guide, nuclease, most).withColumn("bulge_type", F.lit("none")).withColumn("bulge_size", F.lit(0))
-    for name, sign, limit in (("DNA", 1, dna), ("RNA", -1, rna)):
-        for size in range(1, limit + 1):
-            n = len(guide) + sign * size
-            rows = windows(contigs, n + len(nuclease.pam))
-            for minus in (False, True):
-                proto, pam, pattern = _layout(nuclease, n, minus)
-                turned = guide.translate(sequence.COMPLEMENT)[::-1] if minus else guide
-                target, found = F.substring("window", proto, F.lit(n)), F.substring("window", pam, F.lit(len(nuclease.pam)))
-                hit = rows.where(found.rlike(f"^{sequence.iupac_regex(pattern)}$")).withColumn("t", target).withColumn("mismatches", bulged(F.col("t"), turned, sign * size)).where(F.col("mismatches") <= most)
-                turn = sequence.reverse_complement if minus else (lambda x: x)
-                out = out.unionByName(hit.select("seq_id", "start", (F.col("start") + n + len(nuclease.pam) - 1).alias("end"), F.lit("-" if minus else "+").alias("strand"), turn(F.col("t")).alias("target"), turn(found).alias("pam"), "mismatches", F.lit(name).alias("bulge_type"), F.lit(size).alias("bulge_size")))
+    kinds = [("none", 0, 0), *(("DNA", k, k) for k in range(1, dna + 1)), *(("RNA", k, -k) for k in range(1, rna + 1))]
+    out = None
+    for name, size, bulge in kinds:
+        found = _sites(contigs, guide, nuclease, most, bulge, piece).withColumns({"bulge_type": F.lit(name), "bulge_size": F.lit(size)})
+        out = found if out is None else out.unionByName(found)
     return out
 
 
+def rolled(data: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of the k letters from each place on: hashes of half as many letters, put together, as often as needed."""
+    if len(data) < k:
+        return np.zeros(0, np.uint64)
+    done, out, power, width = 0, np.zeros(len(data), np.uint64), np.full(1, 0x9E3779B97F4A7C15, np.uint64), 1
+    part = data.astype(np.uint64) + np.uint64(1)
+    while k:
+        if k & 1:
+            m = len(data) - done - width + 1
+            out = out[:m] * power + part[done : done + m]
+            done += width
+        k >>= 1
+        if k:
+            part = part[:-width] * power + part[width:]
+            power, width = power * power, width * 2
+    return out
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    return ((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)
+
+
 def kmer_placements(queries: DataFrame, contigs: DataFrame, k: int = 12, piece: int = PIECE) -> DataFrame:
     """Exact places of query strings in contigs: (query, seq_id, start, minus), 1-based.
 
-    Distinct queries of at least k letters and their reverse complements meet the contigs' k-mers by an equi join on
-    their first k letters, and the rest is compared. A k-mer that a query shares with many places is a long list on
-    the contigs' side only.
+    Distinct queries of at least k letters and their reverse complements are found by a hash of their first k letters.
+    Up to SENT_SEEDS of these, as counted, go to the workers, where a table of bits and a sorted array pass only places
+    with such a hash; these meet the queries in an equi join and are compared in full. With more seeds, all places do.
     """
+    spark = contigs.sparkSession
     distinct = queries.select("query").where(F.length("query") >= k).distinct()
     both = distinct.select("query", F.lit(False).alias("minus"), F.col("query").alias("q")).union(distinct.select("query", F.lit(True), sequence.reverse_complement("query")))
-    seeds = both.withColumn("kmer", F.substring("q", 1, k))
-    pieces = contigs.select("seq_id", F.explode(F.sequence(F.lit(0).cast("long"), F.length("seq").cast("long"), F.lit(piece).cast("long"))).alias("off"), "seq")
-    longest = distinct.agg(F.coalesce(F.max(F.length("query")), F.lit(k))).first()[0]
-    pieces = pieces.select("seq_id", "off", F.substring("seq", (F.col("off") + 1).cast("int"), F.lit(piece + longest - 1)).alias("piece"))
-    at = pieces.where(F.length("piece") >= k).select("seq_id", "off", "piece", F.explode(F.sequence(F.lit(1), F.least(F.lit(piece), F.length("piece") - k + 1))).alias("i"))
-    kmers = at.select("seq_id", (F.col("off") + F.col("i")).alias("start"), F.substring("piece", F.col("i"), F.lit(longest)).alias("text"), F.substring("piece", F.col("i"), F.lit(k)).alias("kmer"))
-    return seeds.join(kmers, "kmer").where(F.startswith("text", "q")).select("query", "seq_id", "start", "minus")
+
+    def hashed(batches):
+        for batch in batches:
+            heads = [np.frombuffer(q.encode("ascii", "replace")[:k], np.uint8) for q in batch.column(2).to_pylist()]
+            keys = rolled(np.concatenate(heads), k)[::k] if heads else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.view(np.int64))], ["query", "minus", "q", "seed"])
+
+    seeds = both.mapInArrow(hashed, "query string, minus boolean, q string, seed long")
+    longest, n = distinct.agg(F.coalesce(F.max(F.length("query")), F.lit(k)), F.count("*")).first()
+    sent = None
+    if 2 * n <= SENT_SEEDS:
+        some = np.unique(seeds.select("seed").toArrow().column(0).to_numpy().view(np.uint64))
+        table = np.zeros(1 << 24, np.bool_)
+        table[_spread(some)] = True
+        sent = spark.sparkContext.broadcast((some, np.packbits(table)))
+
+    def make(data):
+        hashes = rolled(data, k)
+        at = np.arange(len(hashes))
+        if sent is not None:
+            some, table = sent.value
+            slot = _spread(hashes)
+            at = np.flatnonzero(table[slot >> np.uint64(3)] >> (7 - (slot & np.uint64(7)).astype(np.uint8)) & 1)
+            if len(some):
+                found = np.minimum(np.searchsorted(some, hashes[at]), len(some) - 1)
+                at = at[some[found] == hashes[at]]
+        for i in range(0, len(at), ROWS):
+            part = at[i : i + ROWS]
+            text = data.tobytes() if i == 0 else text
+            yield part, pa.array(hashes[part].view(np.int64)), pa.array([text[a : a + longest].decode("ascii") for a in part.tolist()], pa.string())
+
+    places = _map_pieces(pieces(contigs, longest - 1, piece), make, "seq_id string, start long, seed long, text string", piece)
+    return seeds.join(places, "seed").where(F.startswith("text", "q")).select("query", "seq_id", "start", "minus")

@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,31 +166,57 @@ def test_site_scan(spark, nuclease):
     contigs = spark.createDataFrame([("c", seq)], "seq_id string, seq string")
     pieces = sites.windows(contigs, 13, 64)
     assert sorted((r.start, r.window) for r in pieces.collect()) == [(i + 1, seq[i : i + 13]) for i in range(len(seq) - 12)]
-    got = {(r.start, r.end, r.strand, r.target, r.pam, r.mismatches) for r in sites.scan(contigs, guide, nuclease, 5).collect()}
-    assert got == brute_sites(seq, guide, nuclease.pam, nuclease.side, 5) and got
+    for piece in (64, sites.PIECE):
+        found = [(r.start, r.end, r.strand, r.target, r.pam, r.mismatches) for r in sites.scan(contigs, guide, nuclease, 5, piece).collect()]
+        assert set(found) == brute_sites(seq, guide, nuclease.pam, nuclease.side, 5) and found and len(found) == len(set(found))
+    odd = spark.createDataFrame([("u", "acguugAGG" + "é" * 3), ("n", "ACGTNGAGG"), ("short", "AG"), ("empty", ""), ("null", None)], "seq_id string, seq string")
+    got = {(r.seq_id, r.target, r.mismatches) for r in sites.scan(odd, "ACGUTG", sites.CAS9, 1).collect()}
+    assert got == {("u", "ACGUUG", 0), ("n", "ACGTNG", 1)}
 
 
 def test_bulges(spark):
     rng = random.Random(8)
     for bulge in (1, 2, -1, -2):
         guide = "".join(rng.choice("ACGT") for _ in range(9))
-        windows = ["".join(rng.choice("ACGT") for _ in range(len(guide) + bulge)) for _ in range(60)]
-        df = spark.createDataFrame([(w,) for w in windows], "w string")
-        for r in df.select("w", sites.bulged(F.col("w"), guide, bulge).alias("m")).collect():
-            n, skip, drop = len(guide), max(bulge, 0), max(-bulge, 0)
-            want = min(sum(a != b for a, b in zip(r.w[:c] + r.w[c + skip :], guide[:c] + guide[c + drop :])) for c in range(1, n - drop))
-            assert r.m == want
+        seq = "".join(rng.choice("ACGT") for _ in range(300))
+        wrong = sites._bulged(sites._BIT[np.frombuffer(seq.encode(), np.uint8)], np.arange(280), sites._bits(guide), bulge)
+        n, skip, drop = len(guide), max(bulge, 0), max(-bulge, 0)
+        for i in range(280):
+            w = seq[i : i + n + bulge]
+            assert wrong[i] == min(sum(a != b for a, b in zip(w[:c] + w[c + skip :], guide[:c] + guide[c + drop :])) for c in range(1, n - drop))
+
+
+def test_bulge_scan(spark):
+    """Every window of a bulge's length next to a PAM, on both strands, against all places of the bulge."""
+    rng = random.Random(12)
+    seq, guide, comp = "".join(rng.choice("ACGT") for _ in range(700)), "GTACGTTGAC", str.maketrans("ACGT", "TGCA")
+    want = set()
+    for bulge in (0, 1, -1):
+        n, skip, drop = len(guide), max(bulge, 0), max(-bulge, 0)
+        for i in range(len(seq) - n - bulge - 2):
+            for strand, w in (("+", seq[i : i + n + bulge + 3]), ("-", seq[i : i + n + bulge + 3].translate(comp)[::-1])):
+                t, pam = w[:-3], w[-3:]
+                least = min(sum(a != b for a, b in zip(t[:c] + t[c + skip :], guide[:c] + guide[c + drop :])) for c in range(1, n - drop)) if bulge else sum(a != b for a, b in zip(t, guide))
+                if pam[1:] == "GG" and least <= 3:
+                    want.add((i + 1, i + n + bulge + 3, strand, t, pam, least, {0: "none", 1: "DNA", -1: "RNA"}[bulge], abs(bulge)))
+    contigs = spark.createDataFrame([("c", seq)], "seq_id string, seq string")
+    for piece in (50, sites.PIECE):
+        assert {tuple(r)[1:] for r in sites.scan_bulges(contigs, guide, sites.CAS9, 3, 1, 1, piece).collect()} == want
 
 
-def test_kmer_placements(spark):
+def test_kmer_placements(spark, monkeypatch):
     rng = random.Random(9)
     seq = "".join(rng.choice("ACGT") for _ in range(500)) + "N" + "ACGTT" * 20
     queries = [seq[10:30], seq[100:112], "ACGTTACGTTACGTT", "A" * 11]
     comp = str.maketrans("ACGT", "TGCA")
     queries.append(seq[200:220].translate(comp)[::-1])
-    got = {(r.query, r.start, r.minus) for r in sites.kmer_placements(spark.createDataFrame([(q,) for q in queries], "query string"), spark.createDataFrame([("c", seq)], "seq_id string, seq string"), 12, 50).collect()}
+    table, contigs = spark.createDataFrame([(q,) for q in queries], "query string"), spark.createDataFrame([("c", seq), ("n", None)], "seq_id string, seq string")
+    got = {(r.query, r.start, r.minus) for r in sites.kmer_placements(table, contigs, 12, 50).collect()}
     want = {(q, i + 1, minus) for q in queries if len(q) >= 12 for minus, s in ((False, q), (True, q.translate(comp)[::-1])) for i in range(len(seq)) if seq.startswith(s, i)}
     assert got == want
+    monkeypatch.setattr(sites, "SENT_SEEDS", 0)
+    assert {(r.query, r.start, r.minus) for r in sites.kmer_placements(table, contigs, 12, 50).collect()} == want
+    assert sites.kmer_placements(table.limit(0), contigs, 12).count() == 0
 
 
 def test_clusters(spark):
