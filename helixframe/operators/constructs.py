@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import reverse_complement
-from helixframe.operators import junctions
+from helixframe.operators import junctions, segments
 from helixframe.operators.emission import TERMINUS_REACH, TERMINUS_SLACK, with_repeat
 
 #: Least read bases that an alignment to a construct covers, least bases on each side, least matched bases of a piece.
@@ -105,9 +105,9 @@ def distinct_constructs(built: DataFrame) -> DataFrame:
 
 def register_chains(rows: DataFrame, by: list[str], pos: str, tolerance: int = TERMINUS_SLACK) -> DataFrame:
     """Adds chain, a number in the group: rows in order of position, a new chain where the one before is farther away."""
-    order = W.partitionBy(*by).orderBy(pos)
-    gap = F.coalesce(F.col(pos) - F.lag(pos).over(order) > tolerance, F.lit(True))
-    return rows.withColumn("chain", F.sum(gap.cast("int")).over(order.rangeBetween(W.unboundedPreceding, 0)))
+    gaps = segments.previous(rows, by, pos, {"_before": F.col(pos)})
+    begins = F.coalesce(F.col(pos) - F.col("_before") > tolerance, F.lit(True))
+    return segments.running(gaps, by, pos, {"chain": ("sum", begins.cast("int"))}, ties=True).drop("_before")
 
 
 def slid(rows: DataFrame, repeats: DataFrame, ident: str = "id") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.functions import identity, sequence
+from helixframe.operators import segments
 from helixframe.operators.intervals import band_join
 from helixframe.plans.session import cut
 
@@ -168,8 +169,6 @@ def difference(edited: DataFrame, starter: DataFrame, contigs: DataFrame, domain
 
     pairs = tolerant_candidates(keyed(left), keyed(right), ["kind", "group"], "p", "q")
     # two edited events can only want the same starter event within twice the tolerance, so wider gaps part the blocks
-    order = W.partitionBy("kind", "group").orderBy("p", "id")
-    apart = F.coalesce(F.col("p") - F.lag("p").over(order) > 2 * TOLERANCE, F.lit(True))
-    blocks = keyed(left).withColumn("stretch", F.sum(apart.cast("int")).over(order)).select(F.col("id").alias("edited_id"), "kind", "group", "stretch")
+    blocks = segments.stretches(keyed(left), ["kind", "group"], "p", 2 * TOLERANCE).select(F.col("id").alias("edited_id"), "kind", "group", "stretch")
     matched = one_to_one(pairs.join(blocks, "edited_id"), ["kind", "group", "stretch"])
     return left.join(matched.select(F.col("edited_id").alias("event_id")), "event_id", "left_anti")

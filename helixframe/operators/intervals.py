@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.functions.geometry import interval_distance
+from helixframe.operators import segments
 
 
 def _bin(x: Column, width: int) -> Column:
@@ -55,8 +56,7 @@ def nearest(points: DataFrame, features: DataFrame, on: list[str], at: str, star
     """For each point, the closest feature that ends before it and the closest that begins after it, by an as-of union.
 
     Adds up_name, up_end, down_name, down_start, null where there is none. Of features with the same end the last name
-    counts, of those with the same start the first. Rows are dealt by the keys; with few keys and many points, give
-    a key with more values, such as a stretch of the sequence whose features include the flanking ones.
+    counts, of those with the same start the first. Rows are dealt by key and segment of the axis.
     """
     mark = lambda df, pos, kind, ids: df.select(*on, F.col(pos).alias("_pos"), F.lit(kind).alias("_kind"), *ids)
     other = [c for c in points.columns if c not in on]
@@ -67,21 +67,20 @@ def nearest(points: DataFrame, features: DataFrame, on: list[str], at: str, star
     starts = features.select(*on, F.col(start).alias("_pos"), F.lit(0).alias("_kind"), none, F.col(name).cast("string").alias("_name"))
     # up: rows before in order of (position, point before end at the same place); down: rows after, mirrored
     rows = asked.unionByName(ends).unionByName(starts)
-    forward = W.partitionBy(*on).orderBy("_pos", "_kind", "_name").rowsBetween(W.unboundedPreceding, -1)
-    backward = W.partitionBy(*on).orderBy(F.col("_pos").desc(), F.col("_kind").desc(), F.col("_name").desc()).rowsBetween(W.unboundedPreceding, -1)
-    is_end, is_start = F.col("_kind") == 2, F.col("_kind") == 0
-    rows = rows.withColumn("_up", F.last(F.when(is_end, F.struct("_name", "_pos")), True).over(forward)).withColumn("_down", F.last(F.when(is_start, F.struct("_name", "_pos")), True).over(backward))
+    found = F.struct("_pos", "_name")
+    rows = segments.running(rows, on, "_pos", {"_up": ("max", F.when(F.col("_kind") == 2, found))}, ["_kind", "_name"])
+    rows = segments.running(rows, on, "_pos", {"_down": ("min", F.when(F.col("_kind") == 0, found))}, ["_kind", "_name"], backward=True)
     return rows.where("_kind = 1").select(*on, "_row.*", F.col("_up._name").alias("up_name"), F.col("_up._pos").alias("up_end"), F.col("_down._name").alias("down_name"), F.col("_down._pos").alias("down_start"))
 
 
 def islands(df: DataFrame, by: list[str], at: str, breaks: Column) -> DataFrame:
     """Adds island: a number that grows at each row, in order of position, where breaks is true."""
-    return df.withColumn("island", F.sum(F.when(breaks, 1).otherwise(0)).over(W.partitionBy(*by).orderBy(at).rowsBetween(W.unboundedPreceding, 0)))
+    return segments.running(df, by, at, {"island": ("sum", F.when(breaks, 1).otherwise(0))})
 
 
 def adjacent_runs(df: DataFrame, by: list[str], at: str) -> DataFrame:
     """Adds run: rows of a group with consecutive positions share one. Positions are distinct in a group."""
-    return df.withColumn("run", F.col(at) - F.row_number().over(W.partitionBy(*by).orderBy(at)))
+    return segments.running(df, by, at, {"run": ("sum", F.lit(1))}).withColumn("run", F.col(at) - F.col("run"))
 
 
 def depth_of(intervals: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
@@ -91,7 +90,7 @@ def depth_of(intervals: DataFrame, by: list[str], start: str, end: str) -> DataF
     """
     one = intervals.select(*by, F.col(start).alias("pos"), F.lit(1).alias("d")).union(intervals.select(*by, (F.col(end) + 1).alias("pos"), F.lit(-1).alias("d")))
     steps = one.groupBy(*by, "pos").agg(F.sum("d").alias("d"))
-    return steps.select(*by, "pos", F.sum("d").over(W.partitionBy(*by).orderBy("pos")).alias("depth"))
+    return segments.running(steps, by, "pos", {"depth": ("sum", F.col("d"))}).select(*by, "pos", "depth")
 
 
 def dense(df: DataFrame, by: list[str], at: str, bounds: DataFrame, values: list[str]) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from helixframe.operators import segments
+
 
 def is_mosaic(length: Column, a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Whether two pieces of a read [start, end) make a junction.
@@ -65,22 +69,25 @@ def clusters(rows: DataFrame, by: list[str], side1: str, side2: str, ident: str,
 
     A row joins the first cluster whose first member lies within the tolerance on both sides, else it begins one. The
     order matters, so a group is one sequential pass; groups are cut where side1 leaves a gap over the tolerance,
-    as no cluster can span that.
+    as no cluster can span that. Firsts wait by their bin of side2, while side1 is within reach.
     """
-    order = W.partitionBy(*by).orderBy(side1, side2, ident)
-    gap = F.coalesce(F.col(side1) - F.lag(side1).over(order) > tolerance, F.lit(True))
-    cut = rows.withColumn("_stretch", F.sum(gap.cast("int")).over(order))
+    cut = segments.stretches(rows, by, side1, tolerance, "_stretch")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([side1, side2, ident], kind="stable")
-        firsts: list[tuple] = []
+        firsts: dict[int, deque] = defaultdict(deque)
         found = []
-        for a, b, k in pdf[[side1, side2, ident]].itertuples(index=False, name=None):
-            first = next((f for f in firsts if abs(f[0] - a) <= tolerance and abs(f[1] - b) <= tolerance), None)
-            if first is None:
-                first = (a, b, k)
-                firsts.append(first)
-            found.append(first[2])
+        for n, (a, b, k) in enumerate(pdf[[side1, side2, ident]].itertuples(index=False, name=None)):
+            near = []
+            for at in range((b - tolerance) // (tolerance + 1), (b + tolerance) // (tolerance + 1) + 1):
+                queue = firsts.get(at, ())
+                while queue and a - queue[0][1] > tolerance:
+                    queue.popleft()
+                near += [f for f in queue if abs(f[2] - b) <= tolerance]
+            first = min(near, default=(n, a, b, k))
+            if first[0] == n:
+                firsts[b // (tolerance + 1)].append(first)
+            found.append(first[3])
         return pdf.assign(cluster=found).drop(columns="_stretch")
 
     kinds = dict(rows.dtypes)

@@ -5,9 +5,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixframe.operators import classify, cohort, intervals, junctions, pileup, sites, subclonal
+from helixframe.operators import classify, cohort, elements, intervals, junctions, pileup, segments, sites, subclonal
 
 
 def test_interval_joins(spark):
@@ -269,3 +270,37 @@ def test_allele_counts(spark):
     r = subclonal.allele_counts(df, ["pos"], "read", F.col("base") == "C", F.col("base") == "A", F.col("minus")).first()
     assert (r.alt_fwd, r.alt_rev, r.ref_fwd, r.ref_rev, r.other_fwd, r.other_rev) == (1, 1, 0, 1, 1, 0)
     assert Counter(b for *_, b, _ in rows)["C"] == 2
+
+
+def test_segments_agree_with_windows(spark):
+    """Scans over segments of 8 positions against windows over whole groups: sums, extremes, both directions, ties, gaps and neighbours."""
+    rng = random.Random(21)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(-40, 200), i, rng.choice([None, *range(9)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, p long, i long, v long")
+    whole = W.partitionBy("k").orderBy("p", "i")
+    upto, back = whole.rowsBetween(W.unboundedPreceding, 0), W.partitionBy("k").orderBy(F.col("p").desc(), F.col("i").desc()).rowsBetween(W.unboundedPreceding, 0)
+    tied = W.partitionBy("k").orderBy("p").rangeBetween(W.unboundedPreceding, 0)
+    want = df.select("i", F.coalesce(F.sum("v").over(upto), F.lit(0)).alias("s"), F.max("v").over(upto).alias("m"), F.min("v").over(back).alias("n"), F.coalesce(F.sum("v").over(tied), F.lit(0)).alias("t"), F.lag("i").over(whole).alias("l"), F.sum("v").over(W.partitionBy("k").orderBy("p").rangeBetween(-11, 11)).alias("r"))
+    got = segments.running(df, ["k"], "p", {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}, ["i"], 8)
+    got = segments.running(got, ["k"], "p", {"n": ("min", F.col("v"))}, ["i"], 8, backward=True)
+    got = segments.running(got, ["k"], "p", {"t": ("sum", F.col("v"))}, width=8, ties=True)
+    got = segments.around(segments.previous(got, ["k"], "p", {"l": F.col("i")}, ["i"], 8), ["k"], "p", 11, {"r": F.col("v")}, 8).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    stretch = {r.i: (r.k, r.stretch) for r in segments.stretches(df, ["k"], "p", 3, width=8).collect()}
+    for k in ("a", "b", None):
+        at, begin = None, None
+        for p, i in sorted((p, i) for key, p, i, _ in rows if key == k):
+            begin = p if at is None or p - at > 3 else begin
+            at = p
+            assert stretch[i] == (k, begin)
+
+
+def test_insertions_by_their_rule(spark):
+    rng = random.Random(22)
+    rows = [(i, i + 1000, rng.choice("xy"), rng.randrange(400), rng.randrange(4), rng.randrange(4, 9), rng.random() < 0.5, rng.randrange(3, 6)) for i in range(150)]
+    df = spark.createDataFrame(rows, "i long, j long, seq_id string, plus long, least int, total int, exact boolean, dup long")
+    want = []
+    for r in sorted(rows, key=lambda r: (-r[4], -r[5], r[7] if r[6] else 0, r[3], r[0])):
+        if all(r[2] != w[2] or abs(r[3] - w[3]) > elements.PAIR_DISTANCE for w in want):
+            want.append(r)
+    assert sorted(map(tuple, elements.insertions(df).collect())) == sorted(want)
