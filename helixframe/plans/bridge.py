@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import identity, sequence, statistics
-from helixframe.operators import classify, cohort, constructs, differential, emission, intervals, junctions, pileup, review, sites, subclonal
+from helixframe.operators import classify, cohort, constructs, differential, emission, families, intervals, junctions, pileup, review, sites, subclonal
 from helixframe.plans import gates
 from helixframe.sources import products
 
@@ -465,10 +465,83 @@ def junction_support(spark, sf_dir):
 def read_piece_pairs(spark, sf_dir):
     rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").alias("q"), F.col("l_quantity").cast("long").alias("a"), (F.col("l_quantity").cast("long") + F.col("l_linenumber") * 7).alias("b"))
     pairs, overflow = junctions.read_pairs(rows, ["l_orderkey"], ["k", "p", "s", "q"])
-    rest, _ = junctions.read_pairs(rows.join(overflow, "l_orderkey", "left_semi"), ["l_orderkey"], ["k", "p", "s", "q"], 2**31 - 1)
-    pairs = pairs.unionByName(rest)
     near = F.greatest("b", "b_2") - F.least("a", "a_2") <= 40
-    return pairs.groupBy("l_orderkey").agg(F.count("*").alias("pairs"), F.count_if(near).alias("near"))
+    # the pieces of a read with many have few shapes: pairs of shapes are counted instead, each as often as it occurs
+    shapes = rows.join(overflow, "l_orderkey", "left_semi").groupBy("l_orderkey", "a", "b").agg(F.count("*").alias("n"))
+    second = shapes.select("l_orderkey", F.col("a").alias("a_2"), F.col("b").alias("b_2"), F.col("n").alias("n_2"))
+    unlike = shapes.join(second, "l_orderkey").where(F.struct("a", "b") < F.struct("a_2", "b_2")).withColumn("times", F.col("n") * F.col("n_2"))
+    alike = shapes.withColumns({"a_2": F.col("a"), "b_2": F.col("b"), "times": (F.col("n") * (F.col("n") - 1) / 2).cast("long")})
+    counted = [pairs.withColumn("times", F.lit(1).cast("long")), unlike, alike]
+    some = [c.groupBy("l_orderkey").agg(F.sum("times").alias("pairs"), F.coalesce(F.sum(F.when(near, F.col("times"))), F.lit(0)).alias("near")) for c in counted]
+    return some[0].union(some[1]).union(some[2]).groupBy("l_orderkey").agg(F.sum("pairs").alias("pairs"), F.sum("near").alias("near"))
+
+
+_SHAPES_SQL = """
+WITH p AS (
+  SELECT l_partkey AS q, CASE WHEN l_linenumber % 2 = 1 THEN 0 ELSE 40 END AS a, CASE WHEN l_linenumber % 2 = 1 THEN 40 + l_linenumber % 3 ELSE 100 END AS b, l_returnflag = 'R' AS rev, l_linestatus AS c, l_suppkey * 7 AS s, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem
+), f AS (
+  SELECT q, a, b, rev, list({'c': c, 's': s} ORDER BY c, s) AS copies, count(*) AS n FROM p WHERE n > 20 GROUP BY q, a, b, rev
+), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY a, b, rev) AS k, count(*) OVER (PARTITION BY q) AS m FROM f),
+x AS (
+  SELECT y.q, y.b - z.a AS overlap, y.n AS na, z.n AS nb, CASE WHEN y.n = 1 THEN z.copies ELSE y.copies END AS many,
+         CASE WHEN y.n = 1 THEN list_filter(z.copies, lambda v: NOT (v.c = y.copies[1].c AND NOT y.rev AND NOT z.rev AND y.copies[1].s + (y.b - y.a) = v.s AND y.b = z.a))
+              ELSE list_filter(y.copies, lambda v: NOT (v.c = z.copies[1].c AND NOT y.rev AND NOT z.rev AND v.s + (y.b - y.a) = z.copies[1].s AND y.b = z.a)) END AS kept
+  FROM r y JOIN r z ON y.q = z.q AND y.k < z.k WHERE y.m * (y.m - 1) / 2 <= 28 AND y.a = 0 AND z.b = 100 AND (y.n > 1 OR z.n > 1)
+), s AS (
+  SELECT q, CASE WHEN na > 1 AND nb > 1 THEN 'BOTH_SIDES_MULTICOPY' WHEN len(kept) = 0 THEN 'TRIVIAL_CONTINUATION_ONLY' ELSE '' END AS rejection, overlap, CASE WHEN na > 1 AND nb > 1 THEN na + nb ELSE len(many) END AS places, CASE WHEN na > 1 AND nb > 1 THEN 0 ELSE len(kept) END AS eligible FROM x
+  UNION ALL SELECT q, 'RESOURCE_LIMIT_STAGE2_FAMILY_GEOMETRY', 0, m, 0 FROM r WHERE k = 1 AND m * (m - 1) / 2 > 28
+)
+SELECT q AS l_partkey, rejection, CAST(overlap AS BIGINT) AS overlap, count(*) AS seeds, CAST(sum(places) AS BIGINT) AS places, CAST(sum(eligible) AS BIGINT) AS eligible FROM s GROUP BY 1, 2, 3"""
+
+
+@query(_SHAPES_SQL)
+def family_pair_seeds(spark, sf_dir):
+    """Order lines as pieces of reads, a part's lines a read: parts with over 20 lines are paired by families of pieces, those with over 28 pairs of families stop at the limit."""
+    odd = F.col("l_linenumber") % 2 == 1
+    pieces = _t(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").cast("string").alias("qname"), F.lit(1).alias("mate"), F.col("l_linestatus").alias("seq_id"), (F.col("l_suppkey") * 7).alias("start"), F.when(odd, 0).otherwise(40).alias("read_start"), F.when(odd, 40 + F.col("l_linenumber") % 3).otherwise(100).alias("read_end"), F.lit(100).alias("read_len"), (F.col("l_returnflag") == "R").alias("reverse"),
+    ).withColumn("span", F.col("read_end") - F.col("read_start"))
+    contigs = pieces.select("seq_id", F.lit("A").alias("seq")).distinct()
+    repeats = contigs.select("seq_id", F.lit(1).alias("start"), F.lit(70).alias("end"), F.lit(1).alias("strand"), F.lit("r").alias("name"), F.lit(0).alias("ord"))
+    seeds, _ = families.family_seeds(pieces, repeats, contigs, 20, 28)
+    part = F.element_at(F.split(F.regexp_replace("id", ":.*", ""), ":"), 1).cast("long").alias("l_partkey")
+    return seeds.groupBy(part, F.coalesce("rejection", F.lit("")).alias("rejection"), "overlap").agg(F.count("*").alias("seeds"), F.sum("placement_count").alias("places"), F.sum(F.size("eligible")).cast("long").alias("eligible"))
+
+
+_FAMILY_SQL = """
+WITH s AS (
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, l_orderkey AS mol, l_partkey AS p, l_linestatus = 'F' AS m, CAST(l_quantity AS BIGINT) AS al, 5 + l_linenumber * 4 AS cl, l_returnflag AS g, l_partkey % 24 < 18 AS anchored,
+         CASE WHEN l_partkey % 24 < 9 THEN [xor(l_partkey, 1), l_partkey + 100000] ELSE [l_partkey + 100000, l_partkey + 200000] END AS e, NOT (l_partkey % 24 >= 21 AND l_quantity >= 48) AS complete, l_partkey // 2 AS fam FROM lineitem
+), b AS (SELECT fam, bool_or(NOT complete) AS bad FROM s GROUP BY fam),
+t AS (SELECT s.*, CASE WHEN bad THEN 'RESOURCE_LIMIT_INCOMPLETE_FAMILY' END AS lim FROM s JOIN b USING (fam)),
+x AS (SELECT id AS oi, mol AS om, p AS op, g, unnest(e) AS place FROM t WHERE lim IS NULL AND anchored),
+h AS (SELECT place, count(*) AS n FROM x GROUP BY 1),
+u AS (SELECT t.*, CASE WHEN lim IS NULL AND anchored AND coalesce(n, 0) > 36 THEN 'RESOURCE_LIMIT_RECIPROCAL_CANDIDATES' ELSE lim END AS lim2, n FROM t LEFT JOIN h ON h.place = t.p),
+v AS (SELECT u.id, min(x.op) AS copy, arg_min(x.om, x.oi) AS who FROM u JOIN x ON x.place = u.p AND x.g = u.g AND x.oi <> u.id AND x.om <> u.mol AND list_contains(u.e, x.op) WHERE u.lim2 IS NULL AND u.anchored GROUP BY u.id HAVING min(x.op) = max(x.op)),
+w AS (SELECT u.*, CASE WHEN lim2 IS NOT NULL THEN [] WHEN v.copy IS NOT NULL THEN [v.copy] ELSE e END AS e2, v.who FROM u LEFT JOIN v USING (id)),
+k AS (SELECT *, CASE WHEN lim2 IS NULL AND anchored THEN e2 ELSE [] END AS kc, CASE WHEN lim2 IS NULL AND anchored THEN -1 ELSE fam END AS kf FROM w),
+m AS (SELECT p, kc, kf, mol, arg_min(m, (m::INT * 1000 + cl) * 1000 + al) AS minus, max(al) AS al, max(cl) AS cl, bool_and(anchored) AS anchored, count(lim2) AS lims, list(who) FILTER (who IS NOT NULL) AS bys, list(e2) AS es FROM k GROUP BY 1, 2, 3, 4),
+f AS (
+  SELECT p, kc, kf, list_distinct(flatten(flatten(list(es)))) AS copies, count(*) AS molecules, count(*) FILTER (NOT minus) AS plus, count(*) FILTER (minus) AS minus, max(least(al, cl)) AS best, coalesce(max(least(al, cl)) FILTER (NOT minus), 0) AS bp, coalesce(max(least(al, cl)) FILTER (minus), 0) AS bm,
+         min(al) AS s1, min(cl) AS s2, bool_and(anchored) AS anchored, sum(lims) AS lims, list(mol) AS mols, flatten(list(bys) FILTER (bys IS NOT NULL)) AS bys FROM m GROUP BY 1, 2, 3
+), q AS (SELECT *, anchored AND plus > 0 AND minus > 0 AND best >= 14 AND bp >= 9 AND bm >= 9 AND least(s1, s2) >= 3 AS good FROM f)
+SELECT p AS l_partkey, CASE WHEN lims > 0 THEN 'RESOURCE_LIMIT' WHEN len(copies) = 1 AND good AND len(list_filter(bys, lambda y: NOT list_contains(mols, y))) > 0 THEN 'RESOLVED' WHEN len(copies) > 1 AND good THEN 'SUPPORTED_AMBIGUOUS' ELSE 'CANDIDATE' END AS state,
+       CAST(len(copies) AS INTEGER) AS feasible, molecules, plus, minus, best AS best_min, coalesce(list_max(copies), 0) AS last_copy FROM q"""
+
+
+@query(_FAMILY_SQL)
+def repeat_families(spark, sf_dir):
+    """Order lines as seeds anchored at their part: other parts are copies, some of which name each other, and parts with large quantities are incomplete."""
+    part = F.col("l_partkey")
+    place = lambda p: F.struct(F.lit("c").alias("seq_id"), p.cast("long").alias("pos"), F.lit(False).alias("minus"))
+    eligible = F.when(part % 24 < 9, F.array(place(part.bitwiseXOR(F.lit(1))), place(part + 100000))).otherwise(F.array(place(part + 100000), place(part + 200000)))
+    seeds = _t(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.lit("STAGE2_MOSAIC").alias("source"), place(part).alias("anchor"), eligible.alias("observed"), eligible.alias("eligible"), F.lit(2).cast("long").alias("placement_count"), F.floor(part / 2).cast("string").alias("family"),
+        (~((part % 24 >= 21) & (F.col("l_quantity") >= 48))).alias("complete"), F.lit(0).cast("long").alias("overlap"), F.col("l_orderkey").alias("molecule"), (F.col("l_linestatus") == "F").alias("molecule_minus"), (5 + F.col("l_linenumber") * 4).cast("long").alias("clip_length"), F.col("l_quantity").cast("long").alias("aligned_length"),
+        F.lit(0).alias("mapq"), F.lit(None).cast("int").alias("score"), F.col("l_returnflag").alias("geometry"), (part % 24 < 18).alias("anchored"), F.lit(None).cast("string").alias("rejection"), F.lit(None).cast("string").alias("limit"),
+    )
+    out = families.repeat_families(seeds, 2**40, 36)
+    return out.select(F.col("anchor.pos").alias("l_partkey"), "state", F.size("feasible").alias("feasible"), "molecules", "plus", "minus", F.col("best_min"), F.coalesce(F.array_max(F.transform("feasible", lambda x: x["pos"])), F.lit(0)).alias("last_copy"))
 
 
 @query(
