@@ -13,6 +13,7 @@ from helixframe.operators.constructs import KEY
 from helixframe.operators.elements import element_end
 from helixframe.operators.emission import TERMINUS_REACH, TERMINUS_SLACK, with_repeat
 from helixframe.operators.junctions import clusters
+from helixframe.plans.session import cut
 
 #: Reads by which copies may differ and still count as equally supported.
 TIE_GAP = 2
@@ -159,7 +160,7 @@ def fold_copies(junctions: DataFrame, repeats: DataFrame, contigs: DataFrame) ->
     so components over stretches of sides part the work, and each is one sequential pass. Returns the shown member's id
     and KEY, merged support, seed_reads, ids, and members. Null positions share no side; an empty table gives none.
     """
-    marked = _annotated(junctions.withColumn("reads", F.col("plus") + F.col("minus")), repeats, contigs)
+    marked = cut(_annotated(junctions.withColumn("reads", F.col("plus") + F.col("minus")), repeats, contigs))
     sides = marked.select("id", F.explode(F.array(*(F.struct(F.col(f"seq_id{k}").alias("seq_id"), F.col(f"pos{k}").alias("pos"), F.col(f"minus{k}").alias("minus")) for k in "12"))).alias("s")).select("id", "s.*")
     near = segments.stretches(sides, ["seq_id", "minus"], "pos", TERMINUS_SLACK)
     links = near.join(near.groupBy("seq_id", "minus", "stretch").agg(F.min("id").alias("b")), ["seq_id", "minus", "stretch"]).select(F.col("id").alias("a"), "b")

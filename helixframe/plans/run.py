@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import checks
 from helixframe.functions.geometry import PRODUCT_KINDS, event_intervals
-from helixframe.operators import classify, differential, pileup, sites
+from helixframe.operators import classify, differential, sites
+from helixframe.plans import evidence
 from helixframe.plans.audit import Audit, audit
 from helixframe.sources import products, readers, writers
 
@@ -110,12 +111,23 @@ def run_batch(spark: SparkSession, manifest: str, starter: str, reference: list[
     return matrix
 
 
-def run_evidence(spark: SparkSession, sam: str, reference: list[str], out: str) -> DataFrame:
-    """Small variants of one sample's alignments, as records in Parquet."""
+def run_evidence(spark: SparkSession, sam: str | dict[str, str], reference: list[str], out: str, repeats: DataFrame | None = None) -> DataFrame:
+    """Records of alignments, by sample (sam: a SAM file, or one for each sample's name), as Parquet.
+
+    Repeats are those given, else those of a GenBank file beside the reference, if there is one.
+    """
     contigs = readers.read_reference(spark, reference)
-    calls = pileup.call_variants(readers.read_sam(spark, sam).withColumns({"sample": F.lit("sample"), "read_id": F.xxhash64("qname", "flag")}), contigs.withColumnRenamed("seq_id", "contig"))
-    calls.write.mode("overwrite").parquet(out)
-    return calls
+    files = {"sample": sam} if isinstance(sam, str) else sam
+    reads = None
+    for name, path in files.items():
+        part = readers.read_sam(spark, path).withColumn("sample", F.lit(name))
+        reads = part if reads is None else reads.unionByName(part)
+    annotated = sibling_annotation(reference[0]) if repeats is None else None
+    if annotated:
+        repeats = readers.read_repeats(spark, annotated)
+    found = evidence.records(reads.withColumn("read_id", F.xxhash64("qname", "flag")), contigs, repeats)
+    found.write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
 
 
 def run_sites(spark: SparkSession, reference: list[str], guide: str, out: str, pam: str = "NGG", mismatches: int = 4) -> DataFrame:

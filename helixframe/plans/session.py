@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +42,8 @@ def ship(spark: SparkSession) -> None:
     context._helixframe_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint(): computes a small table once and cuts its plan, in spark.checkpoint.dir or, where that is unset (tests), a temporary folder."""
+def _folder(df: DataFrame) -> str:
+    """The checkpoint folder, from spark.checkpoint.dir or, where that is unset (tests on local masters), a temporary one."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -52,4 +53,17 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="helixframe-cut-")
             atexit.register(shutil.rmtree, folder, True)
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """checkpoint(): computes a small table once and cuts its plan, in the shared folder."""
+    _folder(df)
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A large table that several steps read, written once as Parquet in the shared folder, so that each reads its columns only."""
+    path = f"{_folder(df)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
