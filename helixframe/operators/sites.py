@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence
+from helixframe.plans.session import cut
 
-#: Bases of a piece of a contig; pieces overlap by what a site needs, and only contigs of more than one are dealt out.
+#: Bases of a piece of a contig; pieces overlap by what a site needs.
 PIECE = 1 << 20
 #: Distinct seeds that are sent to the workers, 8 bytes each; with more, every place meets the seeds in a join instead.
 SENT_SEEDS = 4_000_000
@@ -53,15 +54,15 @@ def _bits(pattern: str) -> list[int]:
 def pieces(contigs: DataFrame, overlap: int, piece: int = PIECE) -> DataFrame:
     """(seq_id, off, data): contigs as bytes, cut every `piece` letters, each piece with `overlap` letters more.
 
-    Bytes are cut without walking along them, as characters must be; letters beyond ASCII are `?` first. Short contigs
-    stay where they are; the pieces of long ones are dealt out.
+    Bytes are cut without walking along them, as characters must be; letters beyond ASCII are `?` first. Where the input
+    has fewer partitions than the cluster has cores, the pieces are dealt out; else they stay where they are.
     """
-    plain = F.when(F.octet_length("seq") == F.char_length("seq"), F.col("seq")).otherwise(F.regexp_replace("seq", r"[^\x00-\x7F]", "?"))
-    rows = contigs.select("seq_id", plain.cast("binary").alias("data"))
-    short = rows.where(F.length("data") <= piece).select("seq_id", F.lit(0).cast("long").alias("off"), "data")
-    starts = F.sequence(F.lit(0).cast("long"), F.length("data").cast("long") - 1, F.lit(piece).cast("long"))
-    long = rows.where(F.length("data") > piece).select("seq_id", "data", F.explode(starts).alias("off"))
-    return short.union(long.select("seq_id", "off", F.substring("data", (F.col("off") + 1).cast("int"), F.lit(piece + overlap)).alias("data")).repartition("seq_id", "off"))
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.char_length("seq") - 1, F.lit(0)).cast("long"), F.lit(piece).cast("long"))
+    rows = contigs.select("seq_id", "seq").where(F.col("seq").isNotNull()).select("seq_id", "seq", F.explode(starts).alias("off"))
+    plain = F.when(F.octet_length("seq") == F.char_length("seq"), F.col("seq")).otherwise(F.regexp_replace("seq", r"[^\x00-\x7F]", "?")).cast("binary")
+    parts = rows.select("seq_id", "off", F.substring(plain, (F.col("off") + 1).cast("int"), F.lit(piece + overlap)).alias("data"))
+    cores = contigs.sparkSession.sparkContext.defaultParallelism
+    return parts.repartition(4 * cores, "seq_id", "off") if contigs.rdd.getNumPartitions() < cores else parts
 
 
 def _map_pieces(rows: DataFrame, make: Callable[[np.ndarray], Iterator[list[pa.Array]]], schema: str, piece: int) -> DataFrame:
@@ -214,7 +215,7 @@ def kmer_placements(queries: DataFrame, contigs: DataFrame, k: int = 12, piece:
     with such a hash; these meet the queries in an equi join and are compared in full. With more seeds, all places do.
     """
     spark = contigs.sparkSession
-    distinct = queries.select("query").where(F.length("query") >= k).distinct()
+    distinct = cut(queries.select("query").where(F.length("query") >= k).distinct())  # read four times below
     both = distinct.select("query", F.lit(False).alias("minus"), F.col("query").alias("q")).union(distinct.select("query", F.lit(True), sequence.reverse_complement("query")))
 
     def hashed(batches):
