@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import identity, sequence, statistics
-from helixframe.operators import classify, cohort, constructs, differential, emission, families, intervals, junctions, pileup, review, sites, subclonal
+from helixframe.operators import classify, cohort, constructs, differential, emission, families, intended, intervals, junctions, pileup, review, sites, subclonal
 from helixframe.plans import gates
+from helixframe.plans.audit import audit
+from helixframe.plans.session import cut
 from helixframe.sources import products
 
 QUERIES: dict = {}
@@ -834,6 +836,79 @@ def discrepancy_buckets(spark, sf_dir):
     return gates.discrepancies(y.where("o_orderstatus = 'F'"), y.where("o_orderstatus = 'O'"), ["k"], "d", "m", 15)
 
 
+# --- records of two samples and declared edits ------------------------------------------------------------------------
+
+_DOMAIN = identity.DOMAIN.hex().upper()
+_BYTES8 = "lpad(hex({0}), 16, '0')"
+_EVENT_SQL = f"""
+WITH o AS (
+  SELECT o_orderstatus AS st, o_orderkey AS id, o_custkey AS k, r_name AS s, o_orderkey % 3 AS kind, substr('ACGT', CAST(o_orderkey % 4 + 1 AS INT), 1) AS alt, CASE WHEN o_orderstatus = 'O' THEN o_custkey % 3 * 4 ELSE 0 END AS off FROM orders JOIN region ON r_regionkey = o_custkey % 5
+), n AS (SELECT *, '{_DOMAIN}' AS head, lpad(hex(strlen(s)), 8, '0') || hex(s) || upper(sha256(s)) AS c FROM o),
+p AS (
+  SELECT *, CASE kind WHEN 0 THEN head || '01' || c || {_BYTES8.format("100 * k + 70")} || hex(alt)
+                      WHEN 1 THEN head || '09' || c || {_BYTES8.format("100 * k + off")} || '01' || c || {_BYTES8.format("100 * k + 50 + off")} || '02' || {_BYTES8.format("0::BIGINT")}
+                      ELSE head || '05' || c || {_BYTES8.format("100 * k + 20 + off")} || '00000003' || hex('IS1') || '01' || {_BYTES8.format("4::BIGINT")} END AS image FROM n
+), e AS (SELECT st, 'DV1_' || substr(sha256(unhex(image)), 1, 32) AS event_id, kind, any_value(k) AS k, any_value(s) AS s, any_value(alt) AS alt, any_value(off) AS off, min(id) AS first_id, count(*) AS n_ids FROM p GROUP BY 1, 2, 3),
+f AS (SELECT * FROM e WHERE st = 'F' AND event_id NOT IN (SELECT event_id FROM e WHERE st = 'O')),
+d AS (SELECT * FROM f WHERE kind = 0 OR NOT EXISTS (SELECT 1 FROM e z WHERE z.st = 'O' AND z.kind = f.kind AND z.k = f.k AND z.off <= 5)),
+j AS (
+  SELECT c_custkey AS edit_id, c_custkey AS k, 'snp' AS kind, list(event_id ORDER BY event_id) FILTER (alt = 'A') AS hits, list(event_id ORDER BY event_id) FILTER (alt <> 'A') AS others FROM customer LEFT JOIN d ON d.k = c_custkey AND d.kind = 0 WHERE c_custkey % 3 = 0 GROUP BY 1
+  UNION ALL SELECT -1 - c_custkey, c_custkey, 'mob', list(event_id ORDER BY event_id) FILTER (event_id IS NOT NULL), NULL FROM customer LEFT JOIN d ON d.k = c_custkey AND d.kind = 2 WHERE c_custkey % 7 = 0 GROUP BY 1, 2
+), a AS (
+  SELECT edit_id, kind, CASE WHEN len(hits) > 0 THEN CASE WHEN len(others) > 0 THEN 'partial' ELSE 'complete' END WHEN len(others) > 0 THEN 'partial' ELSE 'missing' END AS status,
+         coalesce(CASE WHEN len(hits) > 0 THEN hits ELSE others END, []) AS matched, coalesce(CASE WHEN len(hits) > 0 THEN others END, []) AS unexpected FROM j
+), g AS (SELECT unnest(matched) AS event_id, status FROM a UNION ALL SELECT unnest(unexpected), 'unexpected' FROM a),
+u AS (SELECT * FROM d WHERE event_id NOT IN (SELECT event_id FROM g GROUP BY 1 HAVING bool_and(status = 'complete')))
+"""
+_NAMES = "CASE kind WHEN 0 THEN 'SNP' WHEN 1 THEN 'JC' ELSE 'MOB' END"
+
+
+def _records(spark, sf_dir, status: str) -> DataFrame:
+    """Orders in a status as records on regions: substitutions, junctions and elements at places of their customer."""
+    text = lambda c: c.cast("string")
+    at = F.col("o_custkey") * 100
+    off = F.when(F.col("o_orderstatus") == "O", F.col("o_custkey") % 3 * 4).otherwise(0)
+    seq, kind = F.col("r_name"), F.col("o_orderkey") % 3
+    fields = F.when(kind == 0, F.array(seq, text(at + 70), F.substring(F.lit("ACGT"), (F.col("o_orderkey") % 4 + 1).cast("int"), F.lit(1))))
+    fields = fields.when(kind == 1, F.array(seq, text(at + off), F.lit("1"), seq, text(at + 50 + off), F.lit("-1"), F.lit("0"))).otherwise(F.array(seq, text(at + 20 + off), F.lit("IS1"), F.lit("1"), F.lit("4")))
+    rows = _t(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status).join(F.broadcast(_t(spark, sf_dir, "region")), F.col("o_custkey") % 5 == F.col("r_regionkey"))
+    return rows.select(F.col("o_orderkey").alias("id"), F.when(kind == 0, "SNP").when(kind == 1, "JC").otherwise("MOB").alias("kind"), fields.alias("fields"))
+
+
+def _pair(spark, sf_dir):
+    contigs = _t(spark, sf_dir, "region").select(F.col("r_name").alias("seq_id"), F.col("r_name").alias("seq"))
+    return _records(spark, sf_dir, "F"), _records(spark, sf_dir, "O"), contigs
+
+
+def _edits(spark, sf_dir) -> DataFrame:
+    """Declared edits at customers' places: substitutions by A, and others where an element may be."""
+    c = _t(spark, sf_dir, "customer").join(F.broadcast(_t(spark, sf_dir, "region")), F.col("c_custkey") % 5 == F.col("r_regionkey"))
+    at = F.col("c_custkey") * 100
+    edit = lambda ident, a, b, alt, kind: [ident.alias("edit_id"), F.col("r_name").alias("seq_id"), a.alias("start"), b.alias("end"), F.lit(".").alias("ref"), F.lit(alt).alias("alt"), F.lit(kind).alias("kind")]
+    return c.where("c_custkey % 3 = 0").select(*edit(F.col("c_custkey"), at + 70, at + 70, "A", "snp")).union(c.where("c_custkey % 7 = 0").select(*edit(-1 - F.col("c_custkey"), at + 15, at + 35, ".", "mob")))
+
+
+@query(_EVENT_SQL + f"SELECT event_id, {_NAMES} AS kind, first_id, n_ids FROM d")
+def difference_events(spark, sf_dir):
+    """Records of orders in status F that those in status O lack, exactly or within the tolerance, by their identities."""
+    out = differential.difference(*_pair(spark, sf_dir))
+    return out.select("event_id", "kind", F.element_at("ids", 1).alias("first_id"), F.size("ids").cast("long").alias("n_ids"))
+
+
+@query(_EVENT_SQL + "SELECT edit_id, kind, status, array_to_string(matched, ',') AS matched, array_to_string(unexpected, ',') AS unexpected FROM a")
+def edit_assessments(spark, sf_dir):
+    """Declared edits at customers, judged by the events of the difference."""
+    judged = intended.assess(_edits(spark, sf_dir), cut(differential.difference(*_pair(spark, sf_dir))))
+    return judged.select("edit_id", "kind", "status", F.array_join("matched", ",").alias("matched"), F.array_join("unexpected", ",").alias("unexpected"))
+
+
+@query(_EVENT_SQL + f"SELECT event_id, {_NAMES} AS kind, s AS seq_id, k AS custkey FROM u")
+def unintended_events(spark, sf_dir):
+    """What the whole audit of the two samples leaves beside the declared edits."""
+    found = audit(*_pair(spark, sf_dir), _edits(spark, sf_dir))
+    return found.unintended.select("event_id", "kind", F.get("fields", F.lit(0)).alias("seq_id"), F.floor(F.get("fields", F.lit(1)).cast("long") / 100).alias("custkey"))
+
+
 # --- the composed audit -----------------------------------------------------------------------------------------------
 
 _KINDS = {"1-URGENT": "SNP", "2-HIGH": "DEL", "3-MEDIUM": "INS", "4-NOT SPECIFIED": "MOB", "5-LOW": "JC"}
