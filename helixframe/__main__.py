@@ -24,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
     for p in (add("audit", "edited", "starter"), add("batch", "manifest", "starter")):
         p.add_argument("--intended")
         p.add_argument("--guide")
-        p.add_argument("--pam", default="NGG")
+        p.add_argument("--pam", help="the editor's usual one if it isn't given")
         p.add_argument("--editor", default="cas9")
         p.add_argument("--mismatches", type=int, default=4)
         p.add_argument("--within", type=int, default=50)

@@ -77,11 +77,13 @@ def tolerant_candidates(edited: DataFrame, starter: DataFrame, discrete: list[st
     return pairs.where(most <= tolerance).select("edited_id", "starter_id", most.alias("max_delta"), total.alias("sum_delta"))
 
 
-def cheapest_matching(edges: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+def cheapest_matching(edges: list[tuple[int, int, int, int]], undo: int = -1) -> list[tuple[int, int]]:
     """A maximum matching of least cost, costs (max_delta, sum_delta) summed and compared in this order.
 
     Costs become one number, the first part scaled beyond any sum of the second, and shortest augmenting paths are
     found by relaxation, matched edges running backwards at their negated cost. Equal costs prefer the lesser pair.
+    With undo 1, a matched edge costs once more when it is taken back: still a maximum matching, but each path keeps
+    earlier choices where it can.
     """
     scale = sum(e[3] for e in edges) + 1
     cost = {}
@@ -102,7 +104,7 @@ def cheapest_matching(edges: list[tuple[int, int, int, int]]) -> list[tuple[int,
                         best["R", b] = (d, a)
                         changed = True
                 if used.get(b) == a and ("R", b) in best:
-                    d = best["R", b][0] - c
+                    d = best["R", b][0] + undo * c
                     if ("L", a) not in best or d < best["L", a][0]:
                         best["L", a] = (d, b)
                         changed = True
@@ -116,14 +118,14 @@ def cheapest_matching(edges: list[tuple[int, int, int, int]]) -> list[tuple[int,
             b = best["L", a][1]
 
 
-def one_to_one(candidates: DataFrame, block: list[str]) -> DataFrame:
-    """The matched pairs of candidates, each block on its own: (block, edited_id, starter_id).
+def one_to_one(candidates: DataFrame, block: list[str], undo: int = -1) -> DataFrame:
+    """The matched pairs of candidates, each block on its own: (block, edited_id, starter_id); undo as in cheapest_matching.
 
     Blocks are the discrete columns with a stretch of positions that no candidate leaves; they stay small.
     """
 
     def matched(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        pairs = cheapest_matching(list(rows[["edited_id", "starter_id", "max_delta", "sum_delta"]].itertuples(index=False, name=None)))
+        pairs = cheapest_matching(list(rows[["edited_id", "starter_id", "max_delta", "sum_delta"]].itertuples(index=False, name=None)), undo)
         return pd.DataFrame([(*key, a, b) for a, b in pairs], columns=[*block, "edited_id", "starter_id"])
 
     kinds = dict(candidates.dtypes)
@@ -158,6 +160,13 @@ def difference(edited: DataFrame, starter: DataFrame, contigs: DataFrame, domain
     events = lambda df: coalesce_events(canonical(df, contigs, domain), ["event_id"], ["kind", "fields"], "id")
     e, s = cut(events(edited)), cut(events(starter))  # a few thousand rows, used again below
     left, right = e.join(s.select("event_id"), "event_id", "left_anti"), s.join(e.select("event_id"), "event_id", "left_anti")
+    pairs = _tolerant_pairs(left.withColumnRenamed("event_id", "_n"), right.withColumnRenamed("event_id", "_n"))
+    matched = one_to_one(pairs, ["kind", "group", "stretch"])
+    return left.join(matched.select(F.col("edited_id").alias("event_id")), "event_id", "left_anti")
+
+
+def _tolerant_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Candidates of records (_n, kind, fields) that tolerance may match, with kind, group and stretch, in which they lie apart from others."""
     at = lambda i: F.get("fields", F.lit(i))
 
     def keyed(df: DataFrame) -> DataFrame:
@@ -165,10 +174,34 @@ def difference(edited: DataFrame, starter: DataFrame, contigs: DataFrame, domain
         group = F.when(kind == "DEL", at(0)).when(kind == "MOB", F.concat_ws("|", at(0), at(2), at(3), at(4))).when(kind == "JC", F.concat_ws("|", at(0), at(2), at(3), at(5), at(6)))
         second = F.when(kind == "DEL", at(1).try_cast("long") + size - 1).when(kind == "JC", at(4).try_cast("long")).otherwise(at(1).try_cast("long"))
         chosen = (kind.isin("MOB", "JC")) | ((kind == "DEL") & (size > 2))
-        return df.where(chosen).select(F.col("event_id").alias("id"), "kind", group.alias("group"), at(1).try_cast("long").alias("p"), second.alias("q"))
+        return df.where(chosen).select(F.col("_n").alias("id"), "kind", group.alias("group"), at(1).try_cast("long").alias("p"), second.alias("q"))
 
     pairs = tolerant_candidates(keyed(left), keyed(right), ["kind", "group"], "p", "q")
-    # two edited events can only want the same starter event within twice the tolerance, so wider gaps part the blocks
+    # two edited records can only want the same starter one within twice the tolerance, so wider gaps part the blocks
     blocks = segments.stretches(keyed(left), ["kind", "group"], "p", 2 * TOLERANCE).select(F.col("id").alias("edited_id"), "kind", "group", "stretch")
-    matched = one_to_one(pairs.join(blocks, "edited_id"), ["kind", "group", "stretch"])
-    return left.join(matched.select(F.col("edited_id").alias("event_id")), "event_id", "left_anti")
+    return pairs.join(blocks, "edited_id")
+
+
+def subtract_records(edited: DataFrame, starter: DataFrame) -> DataFrame:
+    """Records (id, kind, fields) of edited without those that starter has, record for record: nothing is coalesced first.
+
+    Equal records cancel one for one, by id; a junction's sides count in order of sequence and position. Of the rest,
+    junctions, elements and deletions over two bases are matched within the tolerance, where taking back a match costs
+    as much as it saved. Records of kind UN stay, and cancel nothing; null fields make records equal like any others.
+    """
+    at = lambda i: F.get("fields", F.lit(i))
+    one, two = (F.struct(at(i).alias("s"), at(i + 1).try_cast("long").alias("p"), at(i + 2).alias("t")) for i in (0, 3))
+    text = lambda x: F.array(x["s"], x["p"].cast("string"), x["t"])
+    sides = F.concat(text(F.least(one, two)), text(F.greatest(one, two)), F.slice("fields", 7, 1))
+    order = W.partitionBy("_k").orderBy("id")
+
+    def ranked(df: DataFrame) -> DataFrame:
+        rows = df.where("kind <> 'UN'").withColumn("fields", F.when(F.col("kind") == "JC", sides).otherwise(F.col("fields")))
+        return rows.withColumn("_k", F.array_join(F.concat(F.array("kind"), "fields"), "\t", "\0")).withColumn("_r", F.row_number().over(order))
+
+    e, s = cut(ranked(edited.select("id", "kind", "fields"))), cut(ranked(starter.select("id", "kind", "fields")))
+    left, right = e.join(s.select("_k", "_r"), ["_k", "_r"], "left_anti"), s.join(e.select("_k", "_r"), ["_k", "_r"], "left_anti")
+    pairs = _tolerant_pairs(left.withColumnRenamed("id", "_n"), right.withColumnRenamed("id", "_n"))
+    matched = one_to_one(pairs, ["kind", "group", "stretch"], 1).select(F.col("edited_id").alias("id"))
+    kept = left.select("id").join(matched, "id", "left_anti").union(edited.where("kind = 'UN'").select("id"))
+    return edited.join(kept, "id", "left_semi")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import identity, sequence, statistics
 from helixframe.operators import classify, cohort, constructs, differential, emission, families, intended, intervals, junctions, pileup, review, sites, subclonal
-from helixframe.plans import gates
+from helixframe.plans import evidence, gates
 from helixframe.plans.audit import audit
 from helixframe.plans.session import cut
 from helixframe.sources import products
@@ -836,6 +836,21 @@ def discrepancy_buckets(spark, sf_dir):
     return gates.discrepancies(y.where("o_orderstatus = 'F'"), y.where("o_orderstatus = 'O'"), ["k"], "d", "m", 15)
 
 
+@query(
+    f"WITH g AS (SELECT CAST(item_id AS VARCHAR) AS seq_id, {_DNA_SQL} AS seq FROM benchmark), c AS (SELECT seq_id, seq, unnest(range(50, len(seq) - 29, 97)) AS pos FROM g) "
+    "SELECT CAST(row_number() OVER (ORDER BY seq_id, pos) AS INTEGER) AS id, 'SNP' AS kind, seq_id, pos, translate(substr(seq, pos, 1), 'ACGT', 'CGTA') AS alt FROM c"
+)
+def evidence_records(spark, sf_dir):
+    """Reads of changed copies of the benchmark's items, in steps of three bases on both strands, through the whole evidence plan."""
+    items = _dna(spark, sf_dir, "benchmark", "item_id")
+    at = F.transform(F.split("seq", ""), lambda b, i: F.when((i % 97 == 49) & (i < F.char_length("seq") - 30), F.translate(b, "ACGT", "CGTA")).otherwise(b))
+    changed = items.withColumn("genome", F.array_join(at, "")).where(F.char_length("seq") >= 30)
+    reads = changed.select(F.col("seq_id").alias("contig"), "genome", F.explode(F.sequence(F.lit(0), F.char_length("seq") - 30, F.lit(3))).alias("start"))
+    reads = reads.select(F.lit("s").alias("sample"), "contig", F.col("start").cast("long").alias("start_0"), (F.col("start") % 2 == 1).alias("minus"), F.substring("genome", F.col("start") + 1, F.lit(30)).alias("seq"), F.lit("30M").alias("cigar"), F.lit(40).alias("mapq"), F.xxhash64("contig", "start").alias("read_id"))
+    out = evidence.records(reads, items.where(F.char_length("seq") > 0))
+    return out.select("id", "kind", F.get("fields", F.lit(0)).alias("seq_id"), F.get("fields", F.lit(1)).cast("long").alias("pos"), F.get("fields", F.lit(2)).alias("alt"))
+
+
 # --- records of two samples and declared edits ------------------------------------------------------------------------
 
 _DOMAIN = identity.DOMAIN.hex().upper()

@@ -6,6 +6,7 @@ import glob
 import os
 import shlex
 
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,12 +66,13 @@ def tables(found: Audit, contigs: DataFrame, within: int, version: int, annotati
     }
 
 
-def run_audit(spark: SparkSession, edited: str, starter: str, reference: list[str], out: str, intended: str | None = None, guide: str | None = None, pam: str = "NGG", editor: str = "cas9", mismatches: int = 4, within: int = 50, hypothesis: bool = False, version: int = 2) -> Audit:
+def run_audit(spark: SparkSession, edited: str, starter: str, reference: list[str], out: str, intended: str | None = None, guide: str | None = None, pam: str | None = None, editor: str = "cas9", mismatches: int = 4, within: int = 50, hypothesis: bool = False, version: int = 2) -> Audit:
     """Compares two files of records and publishes the tables, a summary, provenance and a report into one folder."""
     contigs = readers.read_reference(spark, reference)
     edits = readers.read_intended(spark, intended) if intended else None
     guide = checks.spacer(guide) if guide and checks.editor(editor) != "dsb" else None
-    nuclease = sites.Nuclease(editor, checks.pam(pam), 5 if editor == "cas12a" else 3)
+    usual = sites.CAS12A if editor == "cas12a" else sites.CAS9
+    nuclease = sites.Nuclease(editor, checks.pam(pam or usual.pam), usual.side)
     checks.within("mismatches", mismatches, 0, 10)
     found = audit(readers.read_gd(spark, edited), readers.read_gd(spark, starter), contigs, edits, guide, nuclease, mismatches, within, hypothesis)
     files = {name: writers.rendered(t) for name, t in tables(found, contigs, within, version).items()}
@@ -82,7 +84,7 @@ def run_audit(spark: SparkSession, edited: str, starter: str, reference: list[st
     return found
 
 
-def run_batch(spark: SparkSession, manifest: str, starter: str, reference: list[str], out: str, intended: str | None = None, guide: str | None = None, pam: str = "NGG", **settings) -> DataFrame:
+def run_batch(spark: SparkSession, manifest: str, starter: str, reference: list[str], out: str, intended: str | None = None, guide: str | None = None, pam: str | None = None, **settings) -> DataFrame:
     """Audits every clone of a manifest, whose r1 is a file of records, against one starter; a clone's own edits, guide and PAM go before the given ones.
 
     A clone that fails is named in the report and doesn't stop the others. The matrix of all clones is one table.
@@ -93,7 +95,7 @@ def run_batch(spark: SparkSession, manifest: str, starter: str, reference: list[
         try:
             records = readers.beside(row.r1, manifest)
             run_audit(spark, records, starter, reference, os.path.join(out, name), readers.beside(row.intended_tsv, manifest) or intended, row.spacer or guide, row.pam or pam, **settings)
-        except Exception as e:
+        except (ValueError, OSError, AnalysisException, SparkRuntimeException) as e:  # what a clone's own files bring about; a lost cluster is no clone's failure
             failed[name] = str(e).splitlines()[0][:200]
             continue
         clones.append(name)
