@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import reverse_complement
 from helixframe.operators import junctions, segments
-from helixframe.operators.emission import TERMINUS_REACH, TERMINUS_SLACK, with_repeat
+from helixframe.operators.emission import TERMINUS_REACH, TERMINUS_SLACK, continues_clip, with_repeat
 
 #: Least read bases that an alignment to a construct covers, least bases on each side, least matched bases of a piece.
 LEAST_COVER, LEAST_SIDE, LEAST_PIECE = 28, 3, 5
@@ -167,10 +167,11 @@ def judged_alignments(sam: DataFrame, built: DataFrame, primary: DataFrame) -> D
     return rows.withColumn("reject", F.coalesce("reject", F.when(F.col("score") < best, "worse_than_competing")))
 
 
-def second_pass(pieces: DataFrame, contigs: DataFrame, length: int, budget: Column) -> DataFrame:
-    """Pieces of reads, paired as candidates (KEY, seed_reads), to the numbered constructs that reads are aligned to again."""
-    ranked = junctions.rank_and_cap(merged_candidates(pieces).withColumns({"_all": F.lit(1), "_length": 2 * length - F.greatest("overlap", F.lit(0))}), ["_all"], "seed_reads", "_length", KEY, budget)
-    built = distinct_constructs(constructs(ranked.drop("_all", "_length", "total"), contigs, length))
+def second_pass(pieces: DataFrame, contigs: DataFrame, length: int, budget: int) -> DataFrame:
+    """Pieces of reads, paired as candidates (KEY, seed_reads), to the numbered constructs that reads are aligned to again; budget is their length in all."""
+    sized = merged_candidates(pieces).withColumn("_length", 2 * length - F.greatest("overlap", F.lit(0)))
+    ranked = junctions.rank_and_cap_all(sized, "seed_reads", "_length", KEY, budget)
+    built = distinct_constructs(constructs(ranked.drop("_length", "total"), contigs, length))
     return built.withColumn("number", F.col("rank").cast("long")).drop("rank")
 
 
@@ -190,7 +191,7 @@ def clip_candidates(clips: DataFrame, contigs: DataFrame, least: int = 12, concr
     few = placed.join(places.where(F.col("places") <= concrete), "query").select("query", F.col("seq_id").alias("_c"), "start", F.col("minus").alias("_rc"))
     size = F.length("query")
     rows = long.join(few, "query").withColumns({"_low": F.col("start"), "_high": F.col("start") + size - 1})
-    goes_on = ~F.col("_rc") & (F.col("_c") == F.col("seq_id")) & F.when(F.col("left"), (F.col("pos") - F.col("_high")).isin(0, 1)).otherwise((F.col("_low") - F.col("pos")).isin(0, 1))
+    goes_on = ~F.col("_rc") & (F.col("_c") == F.col("seq_id")) & continues_clip(F.col("left"), F.col("pos"), F.col("start") - 1, size)
     rows = rows.where(~goes_on)
     # a clip after the read is left towards its own start, one before the read is entered from its own end
     far = F.when(F.col("left") == F.col("_rc"), F.col("_low")).otherwise(F.col("_high"))

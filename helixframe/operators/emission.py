@@ -75,15 +75,6 @@ def continues_clip(clip_left: Column, aligned_pos: Column, hit_0: Column, length
     return F.when(clip_left, (aligned_pos - hit_0 - length).isin(0, 1)).otherwise((hit_0 + 1 - aligned_pos).isin(0, 1))
 
 
-def continues_piece(a: str, b: str) -> Column:
-    """Whether piece b of a read (struct seq_id, pos, minus, read_start, read_end) only continues piece a: no junction.
-
-    pos and minus are those of the ends that would be joined.
-    """
-    x, y = F.col(a), F.col(b)
-    return (x["seq_id"] == y["seq_id"]) & x["minus"] & ~y["minus"] & (x["pos"] + 1 == y["pos"]) & (x["read_end"] == y["read_start"])
-
-
 def resolved_parents(events: DataFrame, evidence: DataFrame, by: list[str]) -> DataFrame:
     """events with parent_ids (array) to found, the (id, kind) of the evidence behind them, sorted, and unresolved ids.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.operators import segments
+from helixframe.operators.ranks import running_sum
 
 
 def is_mosaic(length: Column, a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -110,6 +111,18 @@ def rank_and_cap(rows: DataFrame, by: list[str], seeds: str, length: str, order:
     return ranked.withColumn("_over", F.max(over).over(upto)).where("not _over").drop("_over")
 
 
+def rank_and_cap_all(rows: DataFrame, seeds: str, length: str, order: list[str], budget: int, most: int = 5000) -> DataFrame:
+    """rank_and_cap of a whole table as one group, by ranges of the order instead of in one task.
+
+    Ranks and sums only grow along the order, so the first candidate beyond a bound parts the list without a search.
+    """
+    top = rows.agg(F.max(seeds).alias("_most"))  # one row
+    some = rows.where(F.col(seeds) > 0).crossJoin(F.broadcast(top)).where((F.col("_most") < 2) | (F.col(seeds) >= 2)).drop("_most")
+    keyed = some.withColumns({"_down": -F.col(seeds), "_one": F.lit(1)})
+    summed = running_sum(running_sum(keyed, ["_down", *order], "_one", "rank"), ["_down", *order], length, "total")
+    return summed.where((F.col("rank") == 1) | (F.col("rank") <= most) & (F.col("total") <= budget)).drop("_down", "_one")
+
+
 def best_with_ties(rows: DataFrame, by: list[str], score: str) -> DataFrame:
     """The rows with a group's greatest score; the maximum is combined map-side and joined back."""
     top = rows.groupBy(*by).agg(F.max(score).alias(score))

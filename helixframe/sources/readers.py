@@ -1,5 +1,5 @@
-"""Scans of the domain's text formats as DataFrames. Reference sequences are whole files of some megabytes; reads and
-records are lines, so those scans split like any text."""
+"""Scans of the domain's text formats as DataFrames: all by lines, so that files are split like any text; a row holds one
+record at most."""
 
 from __future__ import annotations
 
@@ -7,8 +7,11 @@ import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from helixframe.operators import segments
+
 #: Fixed values of the record format: positional fields of each kind.
 GD_ARITY = {"SNP": 3, "SUB": 4, "INS": 3, "DEL": 3, "MOB": 5, "AMP": 4, "CON": 4, "INV": 3, "JC": 7, "UN": 3, "RA": 5, "MC": 5}
 NULLS = ("", ".", "na", "NA")
@@ -24,24 +27,58 @@ def _required(rows: Column, value: Column, message: Column | str) -> Column:
     return F.when(rows, value).otherwise(F.raise_error(text))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n, value): lines with their number in the file, from 0, however files are split.
+
+    A line's number within its split comes from its row's; what splits hold, a row each, gives the numbers at which
+    they begin.
+    """
+    block = F.col("_metadata.file_block_start").alias("_block")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), block, F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    splits = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    begins = splits.select("file", "_block", "_first", before.alias("_begin"))
+    return lines.join(F.broadcast(begins), ["file", "_block"]).select("file", (F.col("_begin") + F.col("_id") - F.col("_first")).alias("n"), "value")
+
+
+def _joined(values: Column) -> Column:
+    """A group's lines, (n, value) or null, one after another; a row of it is one record's, not its file's."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(values)), lambda x: x["value"]), "")
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(seq_id, seq): the first word after each >, and the letters of its lines, upper case."""
-    files = spark.read.text(path, wholetext=True)
-    records = files.select(F.explode(F.slice(F.split("value", r"(?m)^>"), 2, 2_000_000_000)).alias("r"))
-    return records.select(F.regexp_extract("r", r"^\s*(\S*)", 1).alias("seq_id"), F.upper(F.regexp_replace(F.regexp_replace("r", r"^[^\n]*", ""), r"\s", "")).alias("seq"))
+    """(seq_id, seq): the first word after each >, and the letters of its lines, upper case.
+
+    Files are read by lines, in splits; which record a line belongs to is carried over the splits' borders.
+    """
+    head = F.startswith("value", F.lit(">"))
+    lines = segments.running(numbered_lines(spark, path), ["file"], "n", {"rec": ("sum", head.cast("int"))}).where("rec > 0")
+    name = F.max(F.when(head, F.regexp_extract("value", r"^>\s*(\S*)", 1)))
+    letters = F.when(~head, F.struct("n", F.upper(F.regexp_replace("value", r"\s", "")).alias("value")))
+    return lines.groupBy("file", "rec").agg(name.alias("seq_id"), _joined(letters).alias("seq")).select("seq_id", "seq")
+
+
+def _genbank_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with the record that they belong to, which // ends, and its section: the word that began the line at which it begins."""
+    word = F.regexp_extract("value", r"^([A-Z]+)", 1)
+    ends = F.col("value").rlike(r"^//\s*$")
+    lines = segments.running(numbered_lines(spark, path), ["file"], "n", {"rec": ("sum", ends.cast("int")), "_s": ("max", F.when((word != "") | ends, F.struct("n", word.alias("word"))))})
+    return lines.where(~ends).withColumn("section", F.col("_s.word")).drop("_s")
 
 
 def _genbank_records(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True)
-    parts = files.select(F.explode(F.split(F.regexp_replace("value", "\r", ""), r"(?m)^//\s*$")).alias("r")).where(F.col("r").rlike(r"(?m)^LOCUS"))
+    """(file, rec, seq_id, r): each record's text without its sequence; VERSION names it before LOCUS does."""
+    told = _genbank_lines(spark, path).where(~F.col("section").eqNullSafe("ORIGIN"))
+    parts = told.groupBy("file", "rec").agg(_joined(F.struct("n", F.concat("value", F.lit("\n")).alias("value"))).alias("r")).where(F.col("r").rlike(r"(?m)^LOCUS"))
     locus, version = F.regexp_extract("r", r"(?m)^LOCUS\s+(\S+)", 1), F.regexp_extract("r", r"(?m)^VERSION\s+(\S+)", 1)
-    return parts.select(F.when(version != "", version).otherwise(locus).alias("seq_id"), "r")
+    return parts.select("file", "rec", F.when(version != "", version).otherwise(locus).alias("seq_id"), "r")
 
 
 def read_genbank(spark: SparkSession, path: str) -> DataFrame:
-    """(seq_id, seq) of GenBank records; VERSION names a record before LOCUS does."""
-    origin = F.regexp_extract("r", r"(?ms)^ORIGIN[^\n]*\n(.*)", 1)
-    return _genbank_records(spark, path).select("seq_id", F.upper(F.regexp_replace(origin, "[^A-Za-z]", "")).alias("seq"))
+    """(seq_id, seq) of GenBank records; a record without a sequence has an empty one."""
+    bases = _genbank_lines(spark, path).where(F.col("section").eqNullSafe("ORIGIN") & ~F.startswith("value", F.lit("ORIGIN")))
+    seqs = bases.groupBy("file", "rec").agg(_joined(F.struct("n", F.upper(F.regexp_replace("value", "[^A-Za-z]", "")).alias("value"))).alias("seq"))
+    return _genbank_records(spark, path).join(seqs, ["file", "rec"], "left").select("seq_id", F.coalesce("seq", F.lit("")).alias("seq"))
 
 
 def read_reference(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -135,16 +172,10 @@ def cigar_counts(cigar: Column) -> Column:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(file, rec, qname, seq, qual): four lines a record, by their number in the file.
-
-    Lines are numbered by partition sizes, the one place where an RDD is needed; a file must have whole records.
-    """
+    """(file, rec, qname, seq, qual): four lines a record, by their number in the file; a file must have whole records."""
     if any(p.strip().lower().endswith((".gz", ".bgz")) for p in path.split(",")):
         raise ValueError(f"{path}: compressed reads are one task each; unpack them first")
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1], x[0][1]))
-    rows = spark.createDataFrame(lines, "file string, n long, value string")
-    first = rows.groupBy("file").agg(F.min("n").alias("low"))
-    rows = rows.join(F.broadcast(first), "file").select("file", F.floor((F.col("n") - F.col("low")) / 4).alias("rec"), ((F.col("n") - F.col("low")) % 4).alias("k"), "value")
+    rows = numbered_lines(spark, path).select("file", F.floor(F.col("n") / 4).alias("rec"), (F.col("n") % 4).alias("k"), "value")
     part = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
     whole = rows.groupBy("file", "rec").agg(part(0).alias("name"), part(1).alias("seq"), part(3).alias("qual"))
     name = _required(F.col("qual").isNotNull() & F.startswith("name", F.lit("@")), F.regexp_extract("name", r"^@(\S+)", 1), F.concat(F.lit("broken record in "), "file"))

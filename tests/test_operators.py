@@ -304,3 +304,12 @@ def test_insertions_by_their_rule(spark):
         if all(r[2] != w[2] or abs(r[3] - w[3]) > elements.PAIR_DISTANCE for w in want):
             want.append(r)
     assert sorted(map(tuple, elements.insertions(df).collect())) == sorted(want)
+
+
+def test_rank_of_a_whole_table(spark):
+    rng = random.Random(23)
+    for most, budget, top in ((5000, 700, 4), (12, 10**6, 4), (5000, 300, 2)):
+        df = spark.createDataFrame([(i, rng.randrange(top), rng.randrange(1, 40)) for i in range(120)], "k long, seeds int, len int")
+        want = junctions.rank_and_cap(df.withColumn("g", F.lit(1)), ["g"], "seeds", "len", ["k"], F.lit(budget), most).select("k", "rank", "total")
+        got = junctions.rank_and_cap_all(df, "seeds", "len", ["k"], budget, most).select("k", "rank", "total")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -1,5 +1,7 @@
 """Readers and writers on small files."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ def put(tmp_path):
 
 def test_references(spark, put):
     fa, gb = put("a.fa", ">c1 first\nacgt\nAC\n\n>c2\nGG\n"), put("b.gb", GENBANK)
-    assert [(r.seq_id, r.seq) for r in readers.read_reference(spark, [fa, gb]).collect()] == [("c1", "ACGTAC"), ("c2", "GG"), ("AB1.2", "ACGT" * 7 + "AC")]
+    assert {r.seq_id: r.seq for r in readers.read_reference(spark, [fa, gb]).collect()} == {"c1": "ACGTAC", "c2": "GG", "AB1.2": "ACGT" * 7 + "AC"}
     with pytest.raises(ValueError, match="c1"):
         readers.read_reference(spark, [fa, put("d.fa", ">c1\nA\n")])
     with pytest.raises(ValueError, match="neither"):
@@ -108,3 +110,28 @@ def test_writers(spark, tmp_path):
     assert [p.name for p in (tmp_path / "out").iterdir()] == ["b.tsv"] and len(list(tmp_path.iterdir())) == 1
     text = writers.report("T", {"One": spark.range(3).withColumn("x", F.lit(None)), "Two": "words"}, 2)
     assert "## 1. One" in text and "The first 2 of 3 rows." in text and text.endswith("words\n")
+
+
+def test_lines_over_splits(spark, put):
+    """Files cut into splits of a few bytes: numbers of lines, records of sequences and reads as if read whole."""
+    rng = random.Random(17)
+    seqs = {f"c{i}": "".join(rng.choice("ACGTN") for _ in range(rng.randrange(0, 400))) for i in range(6)}
+    fasta = "".join(f">{k} some words\n" + "".join(f"{v[i:i + 30]}\r\n" for i in range(0, len(v), 30)) for k, v in seqs.items())
+    genbank = "".join(f"LOCUS       {k} 1 bp\nFEATURES             Location\n     CDS             1..3\n                     /locus_tag=\"t{k}\"\nORIGIN\n" + "".join(f"{i + 1:9} {v[i:i + 10].lower()} {v[i + 10:i + 20].lower()}\n" for i in range(0, len(v), 20)) + "//\n" for k, v in seqs.items())
+    reads = [(f"r{i}", "ACGT" * rng.randrange(1, 9)) for i in range(90)]
+    fastq = "".join(f"@{n}/1 x\n{s}\n+\n{'I' * len(s)}\n" for n, s in reads)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, "96")
+        path = put("s.fa", fasta)
+        assert spark.read.text(path).rdd.getNumPartitions() > 5
+        assert [(r.n, r.value) for r in readers.numbered_lines(spark, path).orderBy("n").collect()] == list(enumerate(fasta.replace("\r", "").splitlines()))
+        assert {r.seq_id: r.seq for r in readers.read_fasta(spark, path).collect()} == seqs
+        gb = put("s.gb", genbank)
+        assert {r.seq_id: r.seq for r in readers.read_genbank(spark, gb).collect()} == seqs
+        assert sorted(r.locus_tag for r in readers.read_features(spark, gb).collect()) == sorted(f"t{k}" for k in seqs)
+        assert sorted((r.qname, r.seq, r.qual) for r in readers.read_fastq(spark, put("s.fq", fastq)).collect()) == sorted((f"{n}/1", s, "I" * len(s)) for n, s in reads)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
