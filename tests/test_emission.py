@@ -121,7 +121,7 @@ def test_subclonal_candidates(spark):
                 seen.append((sample, "c", 7, "ins", "GG", None, minus, r, None, None))
     from helixframe.operators.pileup import OBSERVATION
 
-    got = {(r.kind, r.allele): r for r in subclonal.candidates(spark.createDataFrame(seen, OBSERVATION), "s", "e").collect()}
+    got = {(r.kind, r.allele): r for r in subclonal.candidates(spark.createDataFrame([(*x, None, None) for x in seen], OBSERVATION), "s", "e").collect()}
     assert set(got) == {("SNP", "T"), ("INS", "GG")}
     r = got["SNP", "T"]
     assert (r.alt_fwd_s + r.alt_rev_s, r.alt_fwd_e + r.alt_rev_e, r.ref_fwd_e + r.ref_rev_e, r.other_fwd_e + r.other_rev_e) == (1, 4, 16, 0)
