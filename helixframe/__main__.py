@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--editor", default="cas9")
         p.add_argument("--mismatches", type=int, default=4)
         p.add_argument("--within", type=int, default=50)
+        p.add_argument("--annotation", help="a GenBank file; one beside the reference if it isn't given")
         p.add_argument("--hypothesis", action="store_true")
         p.add_argument("--version", type=int, choices=(1, 2), default=2)
     add("evidence", "sam")

@@ -11,6 +11,34 @@ from pyspark.sql import functions as F
 KIND_NUMBER = {"SNP": 1, "SUB": 2, "INS": 3, "DEL": 4, "MOB": 5, "AMP": 6, "CON": 7, "INV": 8, "JC": 9}
 #: The default domain of ids; ids of different domains never meet.
 DOMAIN = b"helixframe-ev1"
+#: Between a sample's name and an id of its own, where many samples share a table; neither holds it.
+SCOPE = "\x1f"
+
+
+def scoped(*names: Column | str) -> Column:
+    """An id within a sample's, which no other sample has."""
+    return F.concat_ws(SCOPE, *names)
+
+
+def scope(x: Column | str) -> Column:
+    """The sample of a scoped id; null for ids without one."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.when(x.contains(SCOPE), F.substring_index(x, SCOPE, 1))
+
+
+def bare(x: Column | str) -> Column:
+    """A scoped id without its sample; other ids as they are."""
+    return F.substring_index(x, SCOPE, -1)
+
+
+def all_bare(text: Column | str) -> Column:
+    """A text without the samples of any ids in it, which begin after a comma, a tab or nothing."""
+    return F.regexp_replace(text, f"[^\\t,]*{SCOPE}", "")
+
+
+def scoped_fields(sample: Column | str, kind: Column, fields: Column) -> Column:
+    """Fields of a record with its sequences' ids scoped: its first field, and a junction's fourth."""
+    return F.transform(fields, lambda x, i: F.when((i == 0) | ((i == 3) & (kind == "JC")), scoped(sample, x)).otherwise(x))
 
 
 def big_endian(x: Column, width: int = 8) -> Column:

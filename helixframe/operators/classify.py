@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.functions.geometry import is_structural
+from helixframe.functions.geometry import event_intervals, is_structural
+from helixframe.functions.identity import bare
 from helixframe.operators.intervals import best_of, window_join
 
 #: Reach of a site, greatest mismatches.
@@ -85,20 +86,21 @@ def evidence_summary(parents: Column) -> Column:
     return F.struct(*(F.when(F.array_contains(parents, k.upper()), 1).alias(k) for k in ("ra", "mc", "jc")))
 
 
-def gene_context(points: DataFrame, features: DataFrame) -> DataFrame:
+def gene_context(points: DataFrame, features: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """points (point_id, seq_id, pos) with feature_type, label and consequence.
 
     The overlapping feature of the highest order (CDS, tRNA, rRNA, gene, others; ties by ord), else the neighbours on
-    both sides. features has ord, seq_id, start, end, feature_type, label.
+    both sides. features has ord, seq_id, start, end, feature_type, label, and the columns `keep`, which an overlapping
+    feature adds (strings; null between features).
     """
     from helixframe.operators.intervals import nearest
 
     p = points.withColumn("_p", F.col("pos"))
-    f = features.select("seq_id", F.col("start").alias("_a"), F.col("end").alias("_b"), "feature_type", "label", "ord")
+    f = features.select("seq_id", F.col("start").alias("_a"), F.col("end").alias("_b"), "feature_type", "label", "ord", *keep)
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, FEATURE_ORDER)), F.col("feature_type")), F.lit(0))
     rank = F.when(rank == 0, len(FEATURE_ORDER) + 1).otherwise(rank)
     inside = best_of(window_join(p, f, ["seq_id"], ("pos", "_p"), ("_a", "_b"), 0, 1000), ["point_id"], [rank, F.col("ord")])
-    inside = inside.select("point_id", "feature_type", "label", F.concat(F.lit("within "), "feature_type").alias("consequence"))
+    inside = inside.select("point_id", "feature_type", "label", *keep, F.concat(F.lit("within "), "feature_type").alias("consequence"))
     named = features.select("seq_id", "start", "end", F.coalesce("label", F.lit("unknown")).alias("name"))
     rest = nearest(points.join(inside, "point_id", "left_anti"), named, ["seq_id"], "pos", "start", "end", "name")
     up, down = F.col("pos") - F.col("up_end"), F.col("down_start") - F.col("pos")
@@ -107,5 +109,24 @@ def gene_context(points: DataFrame, features: DataFrame) -> DataFrame:
         .when(up.isNotNull(), F.format_string("intergenic (+%d bp downstream of %s)", up, "up_name"))
         .when(down.isNotNull(), F.format_string("intergenic (%d bp upstream of %s)", down, "down_name"))
     )
-    flanked = rest.select("point_id", F.when(text.isNotNull(), "intergenic").alias("feature_type"), F.when(text.isNotNull(), F.concat_ws("/", "up_name", "down_name")).alias("label"), text.alias("consequence"))
+    flanked = rest.select("point_id", F.when(text.isNotNull(), "intergenic").alias("feature_type"), F.when(text.isNotNull(), F.concat_ws("/", "up_name", "down_name")).alias("label"), *(F.lit(None).cast("string").alias(c) for c in keep), text.alias("consequence"))
     return points.join(inside.unionByName(flanked), "point_id", "left")
+
+
+def annotations(events: DataFrame, features: DataFrame) -> DataFrame:
+    """(event_id, gene_name, locus_tag, feature_type, consequence) of events (event_id, seq_id, position) among features.
+
+    features has ord, seq_id, start, end, feature_type, locus_tag and gene_name. Within a feature its own names count,
+    between features the neighbours' names, without a locus. Sequences without features have nulls.
+    """
+    named = features.withColumn("label", F.coalesce("gene_name", "locus_tag"))
+    points = events.select(F.col("event_id").alias("point_id"), bare("seq_id").alias("seq_id"), F.col("position").alias("pos"))
+    found = gene_context(points, named, ("locus_tag", "gene_name"))
+    between = F.col("feature_type") == "intergenic"
+    return found.select(F.col("point_id").alias("event_id"), F.when(between, F.col("label")).otherwise(F.col("gene_name")).alias("gene_name"), "locus_tag", "feature_type", "consequence")
+
+
+def links_by_point(events: DataFrame, sites: DataFrame, within: int = NEAR_DISTANCE) -> DataFrame:
+    """associate() of events (event_id, kind, fields) by points alone: a record is where it begins, whatever its length; a junction is at both sides."""
+    sides = events.select("event_id", "kind", F.posexplode(event_intervals(F.col("kind"), F.col("fields"))).alias("k", "s"))
+    return associate(sides.select("event_id", "kind", (F.col("k") + 1).alias("side"), "s.seq_id", "s.start", F.col("s.start").alias("end")), sites, within)

@@ -151,34 +151,38 @@ def missing_references(rows: DataFrame, key: str, table: DataFrame, target: str)
     return rows.select(key).where(F.col(key).isNotNull()).distinct().join(table.select(F.col(target).alias(key)).distinct(), key, "left_anti")
 
 
-def difference(edited: DataFrame, starter: DataFrame, contigs: DataFrame, domain: bytes = identity.DOMAIN) -> DataFrame:
-    """Events of edited that starter lacks: (event_id, kind, fields, ids).
+def difference(edited: DataFrame, starter: DataFrame, contigs: DataFrame, domain: bytes = identity.DOMAIN, by: tuple[str, ...] = ()) -> DataFrame:
+    """Events of edited that starter lacks: (by, event_id, kind, fields, ids).
 
     Records are GD mutations (id, kind, fields). Equal preimages are one event; events of both samples go; then
     junctions, element insertions and deletions of more than two bases are matched one to one within the tolerance.
+    Columns `by` (strings) of edited tell samples apart, each of which is compared with the whole starter, on its own.
     """
-    events = lambda df: coalesce_events(canonical(df, contigs, domain), ["event_id"], ["kind", "fields"], "id")
-    e, s = cut(events(edited)), cut(events(starter))  # a few thousand rows, used again below
-    left, right = e.join(s.select("event_id"), "event_id", "left_anti"), s.join(e.select("event_id"), "event_id", "left_anti")
-    pairs = _tolerant_pairs(left.withColumnRenamed("event_id", "_n"), right.withColumnRenamed("event_id", "_n"))
-    matched = one_to_one(pairs, ["kind", "group", "stretch"])
-    return left.join(matched.select(F.col("edited_id").alias("event_id")), "event_id", "left_anti")
-
-
-def _tolerant_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Candidates of records (_n, kind, fields) that tolerance may match, with kind, group and stretch, in which they lie apart from others."""
+    events = lambda df, keys: coalesce_events(canonical(df, contigs, domain), [*keys, "event_id"], ["kind", "fields"], "id")
+    e, s = cut(events(edited, by)), cut(events(starter, ()))  # a few thousand rows a sample, used again below
+    e = e.withColumn("_n", identity.scoped(*by, "event_id"))
+    left = e.join(s.select("event_id"), "event_id", "left_anti")
+    pairs = _tolerant_pairs(left, s.withColumnRenamed("event_id", "_n"), by)
+    # a starter event that the sample has itself is taken already
+    taken = e.select(*by, F.col("event_id").alias("starter_id"))
+    matched = one_to_one(pairs.join(taken, [*by, "starter_id"], "left_anti"), [*by, "kind", "group", "stretch"])
+    return left.join(matched.select(F.col("edited_id").alias("_n")), "_n", "left_anti").select(*by, "event_id", "kind", "fields", "ids")
+
+
+def _tolerant_pairs(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Candidates of records (_n, kind, fields) that tolerance may match, with left's columns `by`, kind, group and stretch, in which they lie apart from others."""
     at = lambda i: F.get("fields", F.lit(i))
 
-    def keyed(df: DataFrame) -> DataFrame:
+    def keyed(df: DataFrame, *more: str) -> DataFrame:
         kind, size = F.col("kind"), at(2).try_cast("long")
         group = F.when(kind == "DEL", at(0)).when(kind == "MOB", F.concat_ws("|", at(0), at(2), at(3), at(4))).when(kind == "JC", F.concat_ws("|", at(0), at(2), at(3), at(5), at(6)))
         second = F.when(kind == "DEL", at(1).try_cast("long") + size - 1).when(kind == "JC", at(4).try_cast("long")).otherwise(at(1).try_cast("long"))
         chosen = (kind.isin("MOB", "JC")) | ((kind == "DEL") & (size > 2))
-        return df.where(chosen).select(F.col("_n").alias("id"), "kind", group.alias("group"), at(1).try_cast("long").alias("p"), second.alias("q"))
+        return df.where(chosen).select(F.col("_n").alias("id"), *more, "kind", group.alias("group"), at(1).try_cast("long").alias("p"), second.alias("q"))
 
     pairs = tolerant_candidates(keyed(left), keyed(right), ["kind", "group"], "p", "q")
     # two edited records can only want the same starter one within twice the tolerance, so wider gaps part the blocks
-    blocks = segments.stretches(keyed(left), ["kind", "group"], "p", 2 * TOLERANCE).select(F.col("id").alias("edited_id"), "kind", "group", "stretch")
+    blocks = segments.stretches(keyed(left, *by), [*by, "kind", "group"], "p", 2 * TOLERANCE).select(F.col("id").alias("edited_id"), *by, "kind", "group", "stretch")
     return pairs.join(blocks, "edited_id")
 
 

@@ -6,15 +6,16 @@ import glob
 import os
 import shlex
 
-from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import checks
 from helixframe.functions.geometry import PRODUCT_KINDS, event_intervals
+from helixframe.functions.identity import all_bare, scope
 from helixframe.operators import classify, differential, sites
 from helixframe.plans import evidence
-from helixframe.plans.audit import Audit, audit
+from helixframe.plans.audit import Audit, audit, audit_clones
+from helixframe.plans.session import cut, kept
 from helixframe.sources import products, readers, writers
 
 #: Settings of the external aligner's three passes.
@@ -43,73 +44,132 @@ def _placed(events: DataFrame) -> DataFrame:
     return events.withColumn("_i", first).select(*events.columns, F.col("_i.seq_id").alias("seq_id"), F.col("_i.start").alias("position"), F.col("_i.end").alias("end"))
 
 
-def tables(found: Audit, contigs: DataFrame, within: int, version: int, annotations: DataFrame | None = None) -> dict[str, tuple[list[str], DataFrame]]:
-    """The product tables of an audit, by file name: header and lines."""
+def evidence_of(records: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, id, evidence): of each record with parents, which kinds of evidence these are."""
+    asked = records.select(*by, "id", F.explode("parent_ids").alias("_parent"))
+    kinds = records.select(*by, F.col("id").alias("_parent"), F.col("kind").alias("_kind"))
+    return asked.join(kinds, [*by, "_parent"]).groupBy(*by, "id").agg(products.evidence_text(F.collect_set("_kind")).alias("evidence"))
+
+
+def tables(found: Audit, contigs: DataFrame, within: int, version: int, features: DataFrame | None = None, proofs: DataFrame | None = None, editor: str = "cas9", hypothesis: bool = False) -> dict[str, tuple[list[str], DataFrame]]:
+    """The product tables of an audit, by file name: header and lines (clone_id, value); clone_id is null unless ids are scoped.
+
+    features are read_features' rows, for genes; proofs (scope, id, evidence) what evidence_of tells by record, the scope
+    null for a single sample.
+    """
     spark = contigs.sparkSession
-    if annotations is None:
-        annotations = spark.createDataFrame([], "event_id string, gene_name string, locus_tag string, feature_type string")
     events = _placed(found.events)
-    if "id" not in events.columns:
-        events = events.withColumn("id", F.element_at("ids", 1) if "ids" in events.columns else F.col("event_id"))
-    evidence = F.lit("NA") if "evidence" not in events.columns else F.col("evidence")
-    variants = products.post_edit_variants(events.withColumn("evidence", evidence), found.assessments, found.unintended, contigs, annotations)
+    events = events.withColumns({"id": F.element_at("ids", 1), "_scope": scope("event_id")})
+    if proofs is None:
+        proofs = spark.createDataFrame([], "scope string, id int, evidence string")
+    told = proofs.select(F.coalesce("scope", F.lit("")).alias("_p"), F.col("id").alias("_id"), "evidence")
+    events = events.join(told, (F.coalesce("_scope", F.lit("")) == F.col("_p")) & (F.col("id") == F.col("_id")), "left").withColumn("evidence", F.coalesce("evidence", products.evidence_text(F.lit(None).cast("array<string>")))).drop("_p", "_id", "_scope")
+    if features is None:
+        genes = spark.createDataFrame([], "event_id string, gene_name string, locus_tag string, feature_type string")
+    else:
+        genes = classify.annotations(events, features)
+    variants = products.post_edit_variants(events, found.assessments, found.unintended, contigs, genes)
     sides = found.unintended.select("event_id", "kind", F.posexplode(event_intervals(F.col("kind"), F.col("fields"))).alias("k", "s")).select("event_id", "kind", (F.col("k") + 1).alias("side"), "s.seq_id", "s.start", "s.end")
     near = classify.associate(sides.select("event_id", "kind", "side", "seq_id", "start", "end"), found.sites, within).join(events.select("event_id", "id", "position"), "event_id")
-    shown = lambda c: F.get("fields", F.lit(c))
-    plain = _placed(found.unintended).join(events.select("event_id", F.col("id").cast("string").alias("gd_id")), "event_id")
-    return {
-        "edit_outcomes.tsv": products.table("edit_outcomes", products.edit_outcomes(found.assessments, events), version),
-        "post_edit_variants.tsv": products.table("post_edit_variants", variants, version),
-        "mutation_offtarget_links.tsv": products.table("mutation_offtarget_links", products.links(near, within), version),
-        "offtarget_sites.tsv": writers.sites(found.sites),
-        "unintended.tsv": writers.unintended(plain.withColumn("size", shown(2)), event_ids=version == 2),
+    rest = products.unintended_rows(_placed(found.unintended), contigs, editor)
+    of = lambda df, key: df.withColumn("clone_id", scope(key))
+    keep = ("clone_id",)
+    lines = {
+        "edit_outcomes.tsv": products.table("edit_outcomes", of(products.edit_outcomes(found.assessments, events), "edit_id"), version, keep),
+        "post_edit_variants.tsv": products.table("post_edit_variants", of(variants, "event_id"), version, keep),
+        "mutation_offtarget_links.tsv": products.table("mutation_offtarget_links", of(products.links(near, within), "event_id"), version, keep),
+        "offtarget_sites.tsv": writers.sites(of(found.sites, "seq_id"), keep),
+        "unintended.tsv": writers.unintended(of(rest, "event_id"), hypothesis, version == 2, keep),
     }
+    return {name: (names, rows.withColumn("value", all_bare("value"))) for name, (names, rows) in lines.items()}
+
 
+def _features(spark: SparkSession, reference: list[str], annotation: str | None) -> DataFrame | None:
+    """Features of a GenBank file: the given one, else one beside the reference, if there is one."""
+    path = annotation or sibling_annotation(reference[0])
+    return readers.read_features(spark, path) if path else None
 
-def run_audit(spark: SparkSession, edited: str, starter: str, reference: list[str], out: str, intended: str | None = None, guide: str | None = None, pam: str | None = None, editor: str = "cas9", mismatches: int = 4, within: int = 50, hypothesis: bool = False, version: int = 2) -> Audit:
+
+def run_audit(spark: SparkSession, edited: str, starter: str, reference: list[str], out: str, intended: str | None = None, guide: str | None = None, pam: str | None = None, editor: str = "cas9", mismatches: int = 4, within: int = 50, hypothesis: bool = False, version: int = 2, annotation: str | None = None) -> Audit:
     """Compares two files of records and publishes the tables, a summary, provenance and a report into one folder."""
     contigs = readers.read_reference(spark, reference)
     edits = readers.read_intended(spark, intended) if intended else None
-    guide = checks.spacer(guide) if guide and checks.editor(editor) != "dsb" else None
-    usual = sites.CAS12A if editor == "cas12a" else sites.CAS9
-    nuclease = sites.Nuclease(editor, checks.pam(pam or usual.pam), usual.side)
+    guide, nuclease = _search(guide, pam, editor)
     checks.within("mismatches", mismatches, 0, 10)
-    found = audit(readers.read_gd(spark, edited), readers.read_gd(spark, starter), contigs, edits, guide, nuclease, mismatches, within, hypothesis)
-    files = {name: writers.rendered(t) for name, t in tables(found, contigs, within, version).items()}
+    records = readers.read_gd(spark, edited)
+    found = audit(records, readers.read_gd(spark, starter), contigs, edits, guide, nuclease, mismatches, within, hypothesis)
+    proofs = evidence_of(records).withColumn("scope", F.lit(None).cast("string"))
+    made = tables(found, contigs, within, version, _features(spark, reference, annotation), proofs, editor, hypothesis)
+    files = {name: writers.rendered(t) for name, t in made.items()}
     files["summary.txt"] = "".join(f"{r.key}\t{r.value}\n" for r in found.summary().orderBy("key").collect())
     files["report.md"] = found.report()
-    status = checks.search_status(guide is not None, found.sites.limit(1).count())
-    files["provenance.tsv"] = products.provenance("1", os.environ.get("GIT_COMMIT", "NA"), checks.file_sha256(reference[0]) if os.path.isfile(reference[0]) else None, None, status, checks.utc_now())
+    files["provenance.tsv"] = _provenance(reference, checks.search_status(guide is not None, found.sites.limit(1).count()))
     writers.publish(out, files)
     return found
 
 
-def run_batch(spark: SparkSession, manifest: str, starter: str, reference: list[str], out: str, intended: str | None = None, guide: str | None = None, pam: str | None = None, **settings) -> DataFrame:
+def _search(guide: str | None, pam: str | None, editor: str) -> tuple[str | None, sites.Nuclease]:
+    """What is searched: a checked guide, none for editors that no guide directs, and the PAM given or usual for the editor."""
+    guide = checks.spacer(guide) if guide and checks.editor(editor) != "dsb" else None
+    usual = sites.CAS12A if editor == "cas12a" else sites.CAS9
+    return guide, sites.Nuclease(editor, checks.pam(pam or usual.pam), usual.side)
+
+
+def _provenance(reference: list[str], status: str) -> str:
+    digest = checks.file_sha256(reference[0]) if os.path.isfile(reference[0]) else None
+    return products.provenance("1", os.environ.get("GIT_COMMIT", "NA"), digest, None, status, checks.utc_now())
+
+
+def _broken(records: DataFrame, edits: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(clone_id, why): what stops a clone's audit and nobody else's, the least message of each clone."""
+    ids = contigs.select(F.col("seq_id").alias("_s"), F.lit(True).alias("_there"))
+    product = records.where(F.col("wrong").isNull() & F.col("kind").isin(*PRODUCT_KINDS))
+    named = product.select("clone_id", F.explode(F.array_compact(F.array(F.get("fields", F.lit(0)), F.when(F.col("kind") == "JC", F.get("fields", F.lit(3)))))).alias("_s")).distinct()
+    unknown = named.join(ids, "_s", "left_anti").select("clone_id", F.concat(F.lit("unknown sequence "), "_s").alias("why"))
+    wrong = records.where("wrong is not null").select("clone_id", "wrong").union(edits.where("wrong is not null").select("clone_id", "wrong"))
+    return unknown.union(wrong).groupBy("clone_id").agg(F.min("why").alias("why"))
+
+
+def run_batch(spark: SparkSession, manifest: str, starter: str, reference: list[str], out: str, intended: str | None = None, guide: str | None = None, pam: str | None = None, editor: str = "cas9", mismatches: int = 4, within: int = 50, hypothesis: bool = False, version: int = 2, annotation: str | None = None) -> DataFrame:
     """Audits every clone of a manifest, whose r1 is a file of records, against one starter; a clone's own edits, guide and PAM go before the given ones.
 
-    A clone that fails is named in the report and doesn't stop the others. The matrix of all clones is one table.
+    All clones are one plan: their files are one scan, and each product table is one table, written as text by clone
+    (out/<table>/clone_id=<clone>), each part with its header. A clone that fails is a row of the report and of
+    out/failures, and doesn't stop the others. Returns the matrix of all clones, which is one table as well.
     """
-    contigs, clones, failed, parts = readers.read_reference(spark, reference), [], {}, []
-    for row in readers.read_manifest(spark, manifest).collect():  # one row a clone
-        name = checks.clone_id(row.clone_id)
+    contigs, rows, failed = readers.read_reference(spark, reference), [], {}
+    checks.within("mismatches", mismatches, 0, 10)
+    for row in readers.read_manifest(spark, manifest).collect():  # settings, one row a clone: only checked here
         try:
-            records = readers.beside(row.r1, manifest)
-            run_audit(spark, records, starter, reference, os.path.join(out, name), readers.beside(row.intended_tsv, manifest) or intended, row.spacer or guide, row.pam or pam, **settings)
-        except (ValueError, OSError, AnalysisException, SparkRuntimeException) as e:  # what a clone's own files bring about; a lost cluster is no clone's failure
-            failed[name] = str(e).splitlines()[0][:200]
-            continue
-        clones.append(name)
-        parts.append(readers.read_gd(spark, records).withColumn("clone_id", F.lit(name)))
-    if not parts:
+            own, nuclease = _search(row.spacer or guide, row.pam or pam, editor)
+            paths = [readers.beside(row.r1, manifest), readers.beside(row.intended_tsv, manifest) or intended]
+            if absent := [p for p in paths if p and readers.named_file(spark, p) is None]:
+                raise ValueError(f"no file {absent[0]}")
+            rows.append((checks.clone_id(row.clone_id), *paths, own, nuclease.pam))
+        except ValueError as e:
+            failed[row.clone_id] = str(e)
+    plan = spark.createDataFrame(rows, "clone_id string, r1 string, edits string, guide string, pam string")
+    records = kept(readers.read_gd_of_clones(spark, plan.select("clone_id", F.col("r1").alias("path"))))
+    edits = cut(readers.read_intended_of_clones(spark, plan.where("edits is not null").select("clone_id", F.col("edits").alias("path"))))
+    bad = cut(_broken(records, edits, contigs))
+    failed |= {r.clone_id: r.why for r in bad.collect()}
+    clones = [r[0] for r in rows if r[0] not in failed]
+    if not clones:
         raise ValueError("every clone failed: " + "; ".join(f"{c}: {why}" for c, why in failed.items()))
-    records = parts[0]
-    for p in parts[1:]:
-        records = records.unionByName(p)
-    known = differential.canonical(readers.read_gd(spark, starter).where(F.col("kind").isin(*PRODUCT_KINDS)), contigs).select("event_id").distinct()
-    named = differential.canonical(records.where(F.col("kind").isin(*PRODUCT_KINDS)), contigs).join(known, "event_id", "left_anti")
+    records, edits, plan = (df.join(F.broadcast(bad.select("clone_id")), "clone_id", "left_anti") for df in (records, edits, plan))
+    side = (sites.CAS12A if editor == "cas12a" else sites.CAS9).side
+    known = readers.read_gd(spark, starter)
+    found = audit_clones(records, known, contigs, edits, plan.select("clone_id", "guide", "pam"), side, mismatches, within, hypothesis)
+    proofs = evidence_of(records, ("clone_id",)).withColumnRenamed("clone_id", "scope")
+    for name, (header, lines) in tables(found, contigs, within, version, _features(spark, reference, annotation), proofs, editor, hypothesis).items():
+        writers.by_clone(lines, header, plan.select("clone_id"), os.path.join(out, name))
+    spark.createDataFrame(sorted(failed.items()), "clone_id string, why string").coalesce(1).write.mode("overwrite").csv(os.path.join(out, "failures"), sep="\t", header=True)
+    own = differential.canonical(records.where(F.col("kind").isin(*PRODUCT_KINDS)), contigs)
+    named = own.join(differential.canonical(known.where(F.col("kind").isin(*PRODUCT_KINDS)), contigs).select("event_id").distinct(), "event_id", "left_anti")
     matrix = products.batch_matrix(products.clone_observations(named), clones)
     names = matrix.columns
-    writers.publish(os.path.join(out, "cohort"), {"batch_variants.tsv": writers.rendered((names, writers.tsv_lines(matrix, {n: F.col(n) for n in names}, "NA"))), "batch_report.md": products.batch_report(matrix, clones, failed)})
+    status = checks.search_status(any(r[3] for r in rows), found.sites.limit(1).count())
+    writers.publish(os.path.join(out, "cohort"), {"batch_variants.tsv": writers.rendered((names, writers.tsv_lines(matrix, {n: F.col(n) for n in names}, "NA"))), "batch_report.md": products.batch_report(matrix, clones, failed), "provenance.tsv": _provenance(reference, status)})
     return matrix
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.geometry import is_structural
+from helixframe.functions.identity import bare
 from helixframe.sources import writers
 
 #: Columns by table, and those that version 2 adds.
@@ -31,10 +32,28 @@ def columns(table: str, version: int = 2) -> list[str]:
     return COLUMNS[table] + (MORE[table] if version == 2 else [])
 
 
-def table(name: str, rows: DataFrame, version: int = 2) -> tuple[list[str], DataFrame]:
+def table(name: str, rows: DataFrame, version: int = 2, keep: tuple[str, ...] = ()) -> tuple[list[str], DataFrame]:
     """Header and lines of a table whose rows have its columns; null is NA."""
     names = columns(name, version)
-    return names, writers.tsv_lines(rows, {n: F.col(n) for n in names}, "NA")
+    return names, writers.tsv_lines(rows, {n: F.col(n) for n in names}, "NA", keep)
+
+
+def unintended_rows(classed: DataFrame, contigs: DataFrame, editor: str) -> DataFrame:
+    """Rows of the table of unintended events: classed has event_id, kind, fields, class, hypothesis, distance, mismatches, pam,
+    and seq_id, position and end. Alleles are bases only: other kinds than SNP, SUB and INS show dots."""
+    at = lambda i: F.get("fields", F.lit(i))
+    kind, second = F.col("kind"), lambda i: F.when(F.col("kind") == "JC", at(i))
+    rows = classed.join(contigs.select(F.col("seq_id").alias("_c"), F.col("seq").alias("_seq")), bare("seq_id") == F.col("_c"), "left")
+    alt = F.when(kind.isin("SNP", "INS"), at(2)).when(kind == "SUB", at(3))
+    return rows.select(
+        "event_id", "seq_id", "position", F.when(kind == "JC", F.col("position")).otherwise(F.col("end")).alias("end"), kind.alias("gd_type"), display_alleles(kind, F.col("fields"), F.col("_seq"))["genomic"].alias("ref"), F.coalesce(alt, F.lit(".")).alias("alt"), "class", "hypothesis",
+        F.lit(editor).alias("editor"), F.col("pam").alias("pam_profile"), F.col("mismatches").alias("offtarget_mismatch"), F.col("distance").alias("distance_to_site"), second(3).alias("side2_seq_id"), second(4).alias("side2_position"),
+    )
+
+
+def evidence_text(kinds: Column) -> Column:
+    """RA=1;MC=NA;JC=NA: which kinds of evidence are among an event's (an array, null for none); no evidence is NA, never 0."""
+    return F.concat_ws(";", *(F.concat(F.lit(f"{k}="), F.when(F.array_contains(kinds, k), "1").otherwise("NA")) for k in ("RA", "MC", "JC")))
 
 
 def display_alleles(kind: Column, fields: Column, seq: Column) -> Column:
@@ -92,7 +111,7 @@ def post_edit_variants(events: DataFrame, assessments: DataFrame, classed: DataF
     expected = assessments.select(F.explode("matched").alias("event_id")).distinct().withColumn("_m", F.lit(True))
     beside = assessments.select(F.explode("unexpected").alias("event_id")).distinct().withColumn("_u", F.lit(True))
     rows = events.join(expected, "event_id", "left").join(beside, "event_id", "left").join(classed.select("event_id", "class", "site_id", "distance", "mismatches", F.col("pam").alias("_pam")), "event_id", "left")
-    rows = rows.join(annotations.select("event_id", "gene_name", "locus_tag", "feature_type"), "event_id", "left").join(contigs.select("seq_id", F.col("seq").alias("_seq")), "seq_id", "left")
+    rows = rows.join(annotations.select("event_id", "gene_name", "locus_tag", "feature_type"), "event_id", "left").join(contigs.select(F.col("seq_id").alias("_c"), F.col("seq").alias("_seq")), bare("seq_id") == F.col("_c"), "left")
     size = F.when(F.col("kind") == "DEL", F.get("fields", F.lit(2)).try_cast("long"))
     relation = F.when(F.col("_m"), "EXPECTED").when(F.col("_u"), "UNEXPECTED").otherwise("UNRELATED")
     guide = F.when(F.col("_m"), "ON_TARGET").when(F.col("site_id").isNotNull(), "CANDIDATE_OFF_TARGET").otherwise("NONE")
@@ -100,7 +119,7 @@ def post_edit_variants(events: DataFrame, assessments: DataFrame, classed: DataF
     rows = rows.withColumns({"intended_relation": relation, "guide_relation": guide, "size_class": F.when(is_structural(F.col("kind"), size), "STRUCTURAL").otherwise("SMALL"), "_show": display_alleles(F.col("kind"), F.col("fields"), F.col("_seq"))})
     element = F.when(F.col("kind") == "MOB", F.format_string("%s(TSD=%s)", F.coalesce(F.get("fields", F.lit(2)), F.lit("IS")), F.coalesce(F.get("fields", F.lit(4)), F.lit("none")))).otherwise("NONE")
     return rows.select(
-        F.concat(F.lit("VAR_"), F.substring(F.sha2("event_id", 256), 1, 12)).alias("variant_id"), "seq_id", "position", "end", F.col("kind").alias("gd_type"), F.col("_show.ref").alias("ref"), F.col("_show.alt").alias("alt"), F.lit("EDITED_ONLY").alias("origin_status"),
+        F.concat(F.lit("VAR_"), F.substring(F.sha2(bare("event_id"), 256), 1, 12)).alias("variant_id"), "seq_id", "position", "end", F.col("kind").alias("gd_type"), F.col("_show.ref").alias("ref"), F.col("_show.alt").alias("alt"), F.lit("EDITED_ONLY").alias("origin_status"),
         "intended_relation", "size_class", review_priority(F.col("size_class"), F.col("intended_relation"), F.col("guide_relation")).alias("review_priority"), "guide_relation", off("mismatches").alias("guide_mismatches"), off("_pam").alias("pam"), off("distance").alias("dist_to_site"),
         element.alias("mobile_element"), "evidence", F.col("gene_name").alias("gene"), "locus_tag", "feature_type", F.coalesce("class", F.lit("none")).alias("legacy_class"), "event_id",
     )

@@ -4,6 +4,8 @@ record at most."""
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,7 @@ from helixframe.operators import segments
 #: Fixed values of the record format: positional fields of each kind.
 GD_ARITY = {"SNP": 3, "SUB": 4, "INS": 3, "DEL": 3, "MOB": 5, "AMP": 4, "CON": 4, "INV": 3, "JC": 7, "UN": 3, "RA": 5, "MC": 5}
 NULLS = ("", ".", "na", "NA")
+LOCAL = re.compile("^file:/+")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -27,7 +30,7 @@ def _required(rows: Column, value: Column, message: Column | str) -> Column:
     return F.when(rows, value).otherwise(F.raise_error(text))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, n, value): lines with their number in the file, from 0, however files are split.
 
     A line's number within its split comes from its row's; what splits hold, a row each, gives the numbers at which
@@ -134,19 +137,64 @@ def read_repeats(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("ord", "seq_id", "start", "end", "strand", name.alias("name"))
 
 
-def read_gd(spark: SparkSession, path: str) -> DataFrame:
-    """Records (ord, kind, id, parent_ids, fields, attrs); comments and metadata are left out, a wrong number of fields raises."""
-    rows = _lines(spark, path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.monotonically_increasing_id().alias("ord"), F.split("value", "\t").alias("p"))
+def _gd_rows(lines: DataFrame, *keep: str) -> DataFrame:
+    """Records (keep, kind, id, parent_ids, fields, attrs) of lines (keep, value), with wrong: what is wrong with a line, or null."""
+    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(*keep, F.split("value", "\t").alias("p"))
     kind = F.get("p", F.lit(0))
     arity = F.create_map(*[F.lit(x) for kv in GD_ARITY.items() for x in kv])
     rest = F.slice("p", F.lit(4), F.greatest(F.size("p"), F.lit(1)))
     n = F.try_element_at(arity, kind)
-    enough = F.coalesce(n <= F.size(rest), F.lit(False))
-    fields = _required(enough, F.slice(rest, F.lit(1), n), F.concat(F.lit("malformed record: "), F.array_join("p", " ")))
     pairs = F.filter(F.slice(rest, n + 1, F.greatest(F.size("p"), F.lit(1))), lambda x: x.contains("="))
     attrs = F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_extract(x, "^[^=]*=(.*)$", 1).alias("v"))))
-    parents = F.when(F.get("p", F.lit(2)).isin(*NULLS), F.array().cast("array<int>")).otherwise(F.transform(F.split(F.get("p", F.lit(2)), ","), lambda x: x.cast("int")))
-    return rows.select("ord", kind.alias("kind"), F.get("p", F.lit(1)).cast("int").alias("id"), parents.alias("parent_ids"), fields.alias("fields"), attrs.alias("attrs"))
+    parents = F.when(F.get("p", F.lit(2)).isin(*NULLS), F.array().cast("array<int>")).otherwise(F.transform(F.split(F.get("p", F.lit(2)), ","), lambda x: x.try_cast("int")))
+    id_ = F.get("p", F.lit(1)).try_cast("int")
+    right = F.coalesce((n <= F.size(rest)) & id_.isNotNull() & ~F.exists(parents, lambda x: x.isNull()), F.lit(False))
+    wrong = F.when(~right, F.concat(F.lit("malformed record: "), F.array_join("p", " ")))
+    return rows.select(*keep, kind.alias("kind"), id_.alias("id"), parents.alias("parent_ids"), F.slice(rest, F.lit(1), n).alias("fields"), attrs.alias("attrs"), wrong.alias("wrong"))
+
+
+def read_gd(spark: SparkSession, path: str) -> DataFrame:
+    """Records (ord, kind, id, parent_ids, fields, attrs); comments and metadata are left out, a malformed line raises."""
+    lines = _lines(spark, path).select(F.monotonically_increasing_id().alias("ord"), "value")
+    rows = _gd_rows(lines, "ord")
+    return rows.withColumn("fields", _required(F.col("wrong").isNull(), F.col("fields"), F.col("wrong"))).drop("wrong")
+
+
+def _files(spark: SparkSession, paths: DataFrame) -> tuple[list[str], DataFrame]:
+    """The distinct paths of (clone_id, path), of which a cohort has a few for each clone, and (clone_id, file) as scans name files."""
+    rows = paths.select("clone_id", "path").distinct().collect()
+    whole = {p: named_file(spark, p) for p in {r.path for r in rows}}
+    return sorted(whole), spark.createDataFrame([(r.clone_id, whole[r.path]) for r in rows], "clone_id string, file string")
+
+
+def named_file(spark: SparkSession, path: str) -> str | None:
+    """A file's path as scans name it; null where there is no such file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return LOCAL.sub("file:/", system.makeQualified(p).toUri().toString()) if system.exists(p) else None
+
+
+def _file(name: Column) -> Column:
+    """A scan's name of a file as named_file has it: a local one with one slash."""
+    return F.regexp_replace(name, LOCAL.pattern, "file:/")
+
+
+def read_gd_of_clones(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """Records of many clones (clone_id, path) in one scan: (clone_id, kind, id, parent_ids, fields, attrs, wrong).
+
+    A malformed line is a row that says so in `wrong`, and stops nothing. A file may be several clones'.
+    """
+    every, files = _files(spark, paths)
+    lines = spark.read.text(every).select(_file(F.col("_metadata.file_path")).alias("file"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    return _gd_rows(lines, "file").join(F.broadcast(files), "file").drop("file")
+
+
+def read_gd_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, key, value) of a record file's metadata lines, in their order; a file that doesn't give its version is of 1.0."""
+    text = F.trim(F.substring("value", 3, 1 << 30))
+    rows = numbered_lines(spark, path).where(F.startswith("value", F.lit("#="))).select(F.col("n").alias("ord"), F.regexp_extract(text, r"^(\S*)", 1).alias("key"), F.regexp_extract(text, r"^\S*\s*(.*?)\s*$", 1).alias("value"))
+    version = spark.createDataFrame([(-1, "GENOME_DIFF", "1.0")], "ord long, key string, value string")
+    return rows.unionByName(version.join(rows.where("key = 'GENOME_DIFF'").limit(1).select("key"), "key", "left_anti"))
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -205,11 +253,38 @@ def _first_of(df: DataFrame, *names: str) -> Column:
 def read_intended(spark: SparkSession, path: str) -> DataFrame:
     """Declared edits (edit_id, seq_id, start, end, ref, alt, kind); edits without an id get edit_<n>; empty intervals raise."""
     t = _table(spark, path)
-    start, end = _first_of(t, "start", "position").cast("long"), _first_of(t, "end").cast("long")
-    rows = t.select(F.monotonically_increasing_id().alias("n"), _first_of(t, "edit_id").alias("edit_id"), _first_of(t, "seq_id").alias("seq_id"), start.alias("start"), F.coalesce(end, start).alias("end"), _first_of(t, "ref").alias("ref"), _first_of(t, "alt").alias("alt"), F.lower(_first_of(t, "kind", "gd_type")).alias("kind"))
+    rows = _edits(t.withColumn("_n", F.monotonically_increasing_id() + 1), lambda *names: _first_of(t, *names))
+    return rows.withColumn("start", _required(F.col("wrong").isNull(), F.col("start"), F.col("wrong"))).drop("wrong")
+
+
+def _edits(rows: DataFrame, of: Callable[..., Column], *keep: str) -> DataFrame:
+    """Edits of rows numbered by _n, whose columns `of` gives by any of their names; wrong says what is wrong, or is null."""
+    start = of("start", "position").try_cast("long")
+    told = rows.select(*keep, F.coalesce(of("edit_id"), F.concat(F.lit("edit_"), F.col("_n").cast("string"))).alias("edit_id"), of("seq_id").alias("seq_id"), start.alias("start"), F.coalesce(of("end").try_cast("long"), start).alias("end"), of("ref").alias("ref"), of("alt").alias("alt"), F.lower(of("kind", "gd_type")).alias("kind"))
     ok = F.coalesce((F.col("start") >= 1) & (F.col("end") >= F.col("start")) & F.col("seq_id").isNotNull(), F.lit(False))
-    rows = rows.withColumn("start", _required(ok, F.col("start"), "an intended edit has no valid interval"))
-    return rows.select(F.coalesce("edit_id", F.concat(F.lit("edit_"), (F.col("n") + 1).cast("string"))).alias("edit_id"), "seq_id", "start", "end", "ref", "alt", "kind")
+    return told.withColumn("wrong", F.when(~ok, "an intended edit has no valid interval"))
+
+
+def read_intended_of_clones(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """Declared edits of many clones (clone_id, path) in one scan, each file with a header of its own; adds clone_id and wrong.
+
+    A clone's edits are few: they are numbered file by file.
+    """
+    every, files = _files(spark, paths)
+    if not every:
+        return spark.createDataFrame([], "clone_id string, edit_id string, seq_id string, start long, end long, ref string, alt string, kind string, wrong string")
+    lines = numbered_lines(spark, every).withColumn("file", _file(F.col("file"))).where(~F.startswith("value", F.lit("#")) & (F.trim("value") != ""))
+    heads = lines.groupBy("file").agg(F.min("n").alias("_h"), F.min_by("value", "n").alias("_names"))
+    rows = lines.join(heads, "file").where("n > _h").withColumn("_n", F.row_number().over(W.partitionBy("file").orderBy("n")))
+    names, cells = (F.transform(F.split(F.col(c), "\t"), lambda x: F.trim(x)) for c in ("_names", "value"))
+    filled = F.zip_with(F.transform(names, lambda x: F.lower(x)), F.slice(cells, F.lit(1), F.size(names)), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+    rows = rows.withColumn("_m", F.map_from_entries(filled))
+
+    def of(*names: str) -> Column:
+        value = F.coalesce(*(F.try_element_at("_m", F.lit(x)) for x in names))
+        return F.when(~value.isin(*NULLS), value)
+
+    return _edits(rows, of, "file").join(F.broadcast(files), "file").drop("file")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

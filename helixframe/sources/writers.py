@@ -26,15 +26,26 @@ def gd_lines(records: DataFrame) -> DataFrame:
     return records.select("ord", F.array_join(F.concat(F.array("kind", F.col("id").cast("string"), parents), "fields", attrs), "\t").alias("value"))
 
 
+def gd_metadata_lines(metadata: DataFrame) -> DataFrame:
+    """(ord, value): metadata (ord, key, value) as the lines that go before all records; a key without a value stands alone."""
+    return metadata.select("ord", F.concat(F.lit("#="), "key", F.when(F.coalesce("value", F.lit("")) != "", F.concat(F.lit("\t"), "value")).otherwise("")).alias("value"))
+
+
+def gd_text(records: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(value): a whole record file's lines in order, metadata first; sorted by ranges, for a text sink."""
+    both = gd_metadata_lines(metadata).select(F.lit(0).alias("_part"), "ord", "value").unionByName(gd_lines(records).select(F.lit(1).alias("_part"), "ord", "value"))
+    return both.orderBy("_part", "ord").select("value")
+
+
 def fasta_lines(contigs: DataFrame, width: int = 80) -> DataFrame:
     """(seq_id, value): each sequence with its name and lines of a width."""
     wrapped = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
     return contigs.select("seq_id", F.concat(F.lit(">"), "seq_id", F.lit("\n"), wrapped).alias("value"))
 
 
-def tsv_lines(df: DataFrame, columns: dict[str, Column], missing: str = "") -> DataFrame:
-    """(value): a table's lines without the header; null as the given text. Formats differ in theirs: '', NA or NONE."""
-    return df.select(F.concat_ws("\t", *(_text(c, missing).alias(n) for n, c in columns.items())).alias("value"))
+def tsv_lines(df: DataFrame, columns: dict[str, Column], missing: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, value): a table's lines without the header; null as the given text. Formats differ in theirs: '', NA or NONE."""
+    return df.select(*keep, F.concat_ws("\t", *(_text(c, missing).alias(n) for n, c in columns.items())).alias("value"))
 
 
 def exponent(x: Column, digits: int = 3) -> Column:
@@ -42,19 +53,22 @@ def exponent(x: Column, digits: int = 3) -> Column:
     return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}e", x.cast("double")), r"e([+-])0+(\d)", "e$1$2"), r"e\+", "e")
 
 
-def unintended(df: DataFrame, hypothesis: bool = False, event_ids: bool = True) -> tuple[list[str], DataFrame]:
+#: Columns of the table of unintended events.
+UNINTENDED = "seq_id position end gd_type ref alt class editor pam_profile offtarget_mismatch distance_to_site side2_seq_id side2_position".split()
+
+
+def unintended(df: DataFrame, hypothesis: bool = False, event_ids: bool = True, keep: tuple[str, ...] = ()) -> tuple[list[str], DataFrame]:
     """Header and lines of the table of unintended events; empty cells for nulls."""
-    names = ["gd_id", "kind", "seq_id", "position", "size", "ref", "alt", "class", "pam_profile", "mismatches", "distance", "site_id", "gene"]
-    names += ["hypothesis"] * hypothesis + ["event_id"] * event_ids
-    return names, tsv_lines(df, {n: F.col(n) if n in df.columns else F.lit(None) for n in names})
+    names = UNINTENDED + ["hypothesis"] * hypothesis + ["event_id"] * event_ids
+    return names, tsv_lines(df, {n: F.col(n) for n in names}, keep=keep)
 
 
-def sites(df: DataFrame) -> tuple[list[str], DataFrame]:
+def sites(df: DataFrame, keep: tuple[str, ...] = ()) -> tuple[list[str], DataFrame]:
     """Header and lines of candidate sites; scores with four decimals, NA where missing."""
     score = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.4f", F.col(c)))
     plain = ["site_id", "seq_id", "start", "end", "strand", "guide", "target", "pam", "mismatches", "bulge_type", "bulge_size"]
     columns = {n: F.col(n) for n in plain if n in df.columns} | {n: score(n) for n in ("score_cfd", "score_hsu") if n in df.columns}
-    return list(columns), tsv_lines(df, columns, "NA")
+    return list(columns), tsv_lines(df, columns, "NA", keep)
 
 
 def subclonal(df: DataFrame) -> tuple[list[str], DataFrame]:
@@ -84,6 +98,14 @@ def report(title: str, sections: dict[str, DataFrame | str], most: int = 200) ->
     return "\n".join(out) + "\n"
 
 
+def by_clone(lines: DataFrame, header: list[str], clones: DataFrame, out: str) -> None:
+    """Writes lines (clone_id, value) as text by clone into a folder; each of the clones has its header, with lines or without."""
+    heads = clones.select("clone_id", F.lit(0).alias("_k"), F.lit("\t".join(header)).alias("value"))
+    both = heads.unionByName(lines.select("clone_id", F.lit(1).alias("_k"), "value"))
+    ordered = both.repartition("clone_id").sortWithinPartitions("clone_id", "_k", "value")
+    ordered.select("clone_id", "value").write.mode("overwrite").partitionBy("clone_id").text(out)
+
+
 def publish(folder: str, files: dict[str, str]) -> None:
     """Puts files (name to text) into a local folder together: staged beside it, swapped by rename, put back on failure."""
     target = Path(folder)

@@ -165,8 +165,19 @@ def test_run(spark, tmp_path):
     assert {p: (v["gd_type"], v["intended_relation"], v["size_class"], v["review_priority"]) for p, v in variants.items()} == {"100": ("SNP", "EXPECTED", "SMALL", "LOW"), "200": ("DEL", "UNRELATED", "STRUCTURAL", "HIGH")}
     assert "offtarget_search_status\tNOT_PERFORMED" in lines["provenance.tsv"] and len(lines["unintended.tsv"]) == 2
     (tmp_path / "m.tsv").write_text("clone_id\tr1\tintended_tsv\nk1\tedited.gd\tintended.tsv\nk2\tstarter.gd\t.\nk3\tnone.gd\t.\n")
+    (tmp_path / "bad.gd").write_text(GD + "SNP\t1\t.\tc\t50\n")
+    (tmp_path / "far.gd").write_text(GD + "SNP\t1\t.\tq\t50\tA\n")
+    (tmp_path / "m.tsv").open("a").write("k4\tbad.gd\t.\nk5\tfar.gd\t.\nk6\tedited.gd\t.\n")
     matrix = run.run_batch(spark, path("m.tsv"), path("starter.gd"), [path("ref.fa")], path("batch")).collect()
-    assert sorted((r.position, r.n_clones, r.clone_k1, r.clone_k2, r.scope) for r in matrix) == [(100, 1, 1, 0, "clone_specific"), (200, 1, 1, 0, "clone_specific")]
+    batch = lambda table, clone: "".join(f.read_text() for f in sorted((tmp_path / "batch" / table / f"clone_id={clone}").glob("part-*"))).splitlines()
+    for name in ("edit_outcomes.tsv", "post_edit_variants.tsv", "unintended.tsv", "offtarget_sites.tsv", "mutation_offtarget_links.tsv"):
+        assert batch(name, "k1") == lines[name], name  # a clone's part is what the audit of its files alone gives
+        assert batch(name, "k2") == lines[name][:1], name
+        assert not (tmp_path / "batch" / name / "clone_id=k4").exists()
+    assert len(batch("unintended.tsv", "k6")) == 3 and len(batch("edit_outcomes.tsv", "k6")) == 1
+    why = dict(line.split("\t") for f in (tmp_path / "batch" / "failures").glob("part-*") for line in f.read_text().splitlines()[1:])
+    assert set(why) == {"k3", "k4", "k5"} and "no file" in why["k3"] and "malformed" in why["k4"] and "unknown sequence q" in why["k5"]
+    assert sorted((r.position, r.n_clones, r.clone_k1, r.clone_k2, r.clone_k6, r.scope) for r in matrix) == [(100, 2, 1, 0, 1, "shared_subset"), (200, 2, 1, 0, 1, "shared_subset")]
     assert "k3" in (tmp_path / "batch" / "cohort" / "batch_report.md").read_text()
     with pytest.raises(ValueError):
         readers.read_sites(spark, path("m.tsv"), "other")

@@ -103,8 +103,17 @@ def test_tables(spark, put):
 def test_writers(spark, tmp_path):
     r = spark.range(1).select(writers.exponent(F.lit(1e-5)), writers.exponent(F.lit(0.0)), writers.exponent(F.lit(123456.0))).first()
     assert tuple(r) == ("1.000e-5", "0.000e0", "1.235e5")
-    names, lines = writers.unintended(spark.createDataFrame([(1, "SNP", None)], "gd_id int, kind string, ref string"))
-    assert names[-1] == "event_id" and lines.first().value == "1\tSNP" + "\t" * 12
+    from helixframe.sources import products
+
+    refs = spark.createDataFrame([("c", "ACGTACGT")], "seq_id string, seq string")
+    seen = spark.createDataFrame([("e1", "SUB", ["c", "2", "3", "TT"], "c", 2, 4), ("e2", "JC", ["c", "3", "1", "d", "9", "-1", "0"], "c", 3, 3), ("e3", "DEL", ["c", "7", "2"], "c", 7, 8)], "event_id string, kind string, fields array<string>, seq_id string, position long, end long")
+    seen = seen.select("*", F.lit("structural").alias("class"), *(F.lit(None).cast(t).alias(c) for c, t in (("hypothesis", "string"), ("pam", "string"), ("mismatches", "int"), ("distance", "long"))))
+    names, lines = writers.unintended(products.unintended_rows(seen, refs, "cas9"))
+    assert names[-1] == "event_id" and len(names) == 14
+    assert sorted(r.value for r in lines.collect()) == ["c\t2\t4\tSUB\tCGT\tTT\tstructural\tcas9\t\t\t\t\t\te1", "c\t3\t3\tJC\t.\t.\tstructural\tcas9\t\t\t\td\t9\te2", "c\t7\t8\tDEL\t.\t.\tstructural\tcas9\t\t\t\t\t\te3"]
+    assert products.columns("post_edit_variants")[-1] == "event_id"
+    told = spark.createDataFrame([(["RA", "MC"],), (None,)], "k array<string>").select(products.evidence_text(F.col("k")).alias("t")).collect()
+    assert [r.t for r in told] == ["RA=1;MC=1;JC=NA", "RA=NA;MC=NA;JC=NA"]
     writers.publish(str(tmp_path / "out"), {"a.tsv": "x"})
     writers.publish(str(tmp_path / "out"), {"b.tsv": writers.rendered((names, lines))})
     assert [p.name for p in (tmp_path / "out").iterdir()] == ["b.tsv"] and len(list(tmp_path.iterdir())) == 1
@@ -112,6 +121,20 @@ def test_writers(spark, tmp_path):
     assert "## 1. One" in text and "The first 2 of 3 rows." in text and text.endswith("words\n")
 
 
+def test_metadata(spark, put, tmp_path):
+    """Metadata lines come back as they were, before the records; a file without a version gets one."""
+    text = "#=GENOME_DIFF\t1.0\n#=AUTHOR  some one\n# a comment\n#=FLAG\nSNP\t1\t2\tc\t5\tA\tx=1\nRA\t2\t.\tc\t5\t0\tC\tA\n"
+    path = put("m.gd", text)
+    rows = readers.read_gd_metadata(spark, path).orderBy("ord").collect()
+    assert [(r.key, r.value) for r in rows] == [("GENOME_DIFF", "1.0"), ("AUTHOR", "some one"), ("FLAG", "")]
+    out = [r.value for r in writers.gd_text(readers.read_gd(spark, path), readers.read_gd_metadata(spark, path)).collect()]
+    assert out == ["#=GENOME_DIFF\t1.0", "#=AUTHOR\tsome one", "#=FLAG", "SNP\t1\t2\tc\t5\tA\tx=1", "RA\t2\t.\tc\t5\t0\tC\tA"]
+    bare = readers.read_gd_metadata(spark, put("n.gd", "#=CREATED\tnow\nSNP\t1\t.\tc\t5\tA\n")).orderBy("ord").collect()
+    assert [(r.key, r.value) for r in bare] == [("GENOME_DIFF", "1.0"), ("CREATED", "now")]
+    with pytest.raises(Exception, match="malformed record"):
+        readers.read_gd(spark, put("o.gd", "SNP\tx\t.\tc\t5\tA\n")).collect()
+
+
 def test_lines_over_splits(spark, put):
     """Files cut into splits of a few bytes: numbers of lines, records of sequences and reads as if read whole."""
     rng = random.Random(17)
