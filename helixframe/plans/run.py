@@ -92,7 +92,7 @@ def _features(spark: SparkSession, reference: list[str], annotation: str | None)
 
 def run_audit(spark: SparkSession, edited: str, starter: str, reference: list[str], out: str, intended: str | None = None, guide: str | None = None, pam: str | None = None, editor: str = "cas9", mismatches: int = 4, within: int = 50, hypothesis: bool = False, version: int = 2, annotation: str | None = None) -> Audit:
     """Compares two files of records and publishes the tables, a summary, provenance and a report into one folder."""
-    contigs = readers.read_reference(spark, reference)
+    contigs = kept(readers.read_reference(spark, reference))
     edits = readers.read_intended(spark, intended) if intended else None
     guide, nuclease = _search(guide, pam, editor)
     checks.within("mismatches", mismatches, 0, 10)
@@ -137,7 +137,7 @@ def run_batch(spark: SparkSession, manifest: str, starter: str, reference: list[
     (out/<table>/clone_id=<clone>), each part with its header. A clone that fails is a row of the report and of
     out/failures, and doesn't stop the others. Returns the matrix of all clones, which is one table as well.
     """
-    contigs, rows, failed = readers.read_reference(spark, reference), [], {}
+    contigs, rows, failed = kept(readers.read_reference(spark, reference)), [], {}
     checks.within("mismatches", mismatches, 0, 10)
     for row in readers.read_manifest(spark, manifest).collect():  # settings, one row a clone: only checked here
         try:
@@ -166,7 +166,7 @@ def run_batch(spark: SparkSession, manifest: str, starter: str, reference: list[
     spark.createDataFrame(sorted(failed.items()), "clone_id string, why string").coalesce(1).write.mode("overwrite").csv(os.path.join(out, "failures"), sep="\t", header=True)
     own = differential.canonical(records.where(F.col("kind").isin(*PRODUCT_KINDS)), contigs)
     named = own.join(differential.canonical(known.where(F.col("kind").isin(*PRODUCT_KINDS)), contigs).select("event_id").distinct(), "event_id", "left_anti")
-    matrix = products.batch_matrix(products.clone_observations(named), clones)
+    matrix = kept(products.batch_matrix(products.clone_observations(named), clones))
     names = matrix.columns
     status = checks.search_status(any(r[3] for r in rows), found.sites.limit(1).count())
     writers.publish(os.path.join(out, "cohort"), {"batch_variants.tsv": writers.rendered((names, writers.tsv_lines(matrix, {n: F.col(n) for n in names}, "NA"))), "batch_report.md": products.batch_report(matrix, clones, failed), "provenance.tsv": _provenance(reference, status)})

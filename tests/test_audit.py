@@ -1,8 +1,11 @@
 """Intended edits, the composed audit, cohorts and streams."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from helixframe.operators import intended
+from helixframe.functions import identity
+from helixframe.operators import intended, sites
 from helixframe.plans import audit
 from helixframe.streaming import recurrence
 
@@ -57,6 +60,50 @@ def test_audit(spark):
     assert "SITE_000001" in a.report() and "e1" in a.report()
 
 
+def test_clones_as_alone(spark):
+    """Many clones in one plan: each has the events, assessments, sites and classes of an audit of its own."""
+    rng = random.Random(23)
+    guide = "GACTGACTGACTGACTGACT"
+    seq = "".join(rng.choice("ACGT") for _ in range(900)) + guide + "TGG" + "".join(rng.choice("ACGT") for _ in range(900))
+    refs = spark.createDataFrame([("c", seq), ("d", seq[::-1])], "seq_id string, seq string")
+
+    def drawn(k: int) -> list[tuple]:
+        out = []
+        for i in range(k):
+            p, c = rng.choice((100, 400, 930, 1500)) + rng.randrange(4), rng.choice("cd")
+            out.append(rng.choice([(i, "SNP", [c, str(p), "A"]), (i, "DEL", [c, str(p), str(rng.choice((1, 40, 41)))]), (i, "JC", ["c", str(p), "1", "d", str(p + 300 + rng.randrange(3)), "-1", "0"]), (i, "MOB", [c, str(p), "IS1", "1", "9"])]))
+        return out
+
+    kinds = "id int, kind string, fields array<string>"
+    starter = spark.createDataFrame(drawn(25), kinds)
+    clones = {name: drawn(n) for name, n in (("k1", 30), ("k2", 45), ("k3", 0), ("k.4", 12))}
+    clones["twin"] = clones["k1"]
+    edits = {"k1": [("e1", "c", 100, 103, None, "A", "snp"), ("e2", "c", 400, 440, None, ".", "del")], "k2": [("e1", "d", 930, 931, None, ".", "cassette")], "k3": [("e9", "c", 5, 5, None, "A", "snp")]}
+    guides = {"k1": (guide, "NGG"), "k2": (guide, "NGG"), "k.4": (guide, "NRG")}
+    everything = spark.createDataFrame([(c, *r) for c, rows in clones.items() for r in rows], f"clone_id string, {kinds}")
+    wanted = spark.createDataFrame([(c, *e) for c, rows in edits.items() for e in rows], f"clone_id string, {EDITS}")
+    asked = spark.createDataFrame([(c, *g) for c, g in guides.items()], "clone_id string, guide string, pam string")
+    every = audit.audit_clones(everything, starter, refs, wanted, asked, hypothesis=True)
+
+    def told(a: audit.Audit) -> dict[str, list]:
+        plain = lambda c, df: identity.all_bare(F.array_join(c, ",")) if dict(df.dtypes)[c].startswith("array") else identity.all_bare(F.col(c).cast("string"))
+        out = {}
+        for name, key in (("events", "event_id"), ("assessments", "edit_id"), ("sites", "seq_id"), ("unintended", "event_id")):
+            df = getattr(a, name)
+            for r in df.select(identity.scope(key).alias("_scope"), *(plain(c, df).alias(c) for c in sorted(df.columns))).collect():
+                out.setdefault(r._scope, {}).setdefault(name, []).append(tuple("" if x is None else x for x in r[1:]))
+        return {s: {n: sorted(rows) for n, rows in t.items()} for s, t in out.items()}
+
+    got = told(every)
+    assert set(got) == {"k1", "k2", "k3", "k.4", "twin"} and got["twin"]["events"] == got["k1"]["events"]
+    for name in ("k1", "k2", "k.4"):
+        mine = spark.createDataFrame(edits[name], EDITS) if name in edits else None
+        g = guides[name]
+        alone = audit.audit(spark.createDataFrame(clones[name], kinds), starter, refs, mine, g[0], sites.Nuclease("x", g[1]), hypothesis=True)
+        assert got[name] == told(alone)[None], name
+    assert [r[-3:] for r in got["k3"]["assessments"]] and set(got["k3"]) == {"assessments"}
+
+
 def test_cohort_tables(spark):
     refs = spark.createDataFrame([("c", "ACGT" * 50)], "seq_id string, seq string")
     rows = spark.createDataFrame([("x", 1, "SNP", ["c", "5", "G"]), ("y", 1, "SNP", ["c", "5", "G"]), ("y", 2, "SNP", ["c", "9", "G"]), ("x", 3, "SNP", ["c", "20", "A"])], "clone_id string, id int, kind string, fields array<string>")
