@@ -98,3 +98,21 @@ def right_aligned_insertion(seq: Column | str, after: Column, bases: Column, rea
     turned = F.substring(context, (k % n).cast("int") + 1, n)
     wrapped = F.concat(F.substring(bases, (k % n).cast("int") + 1, n), F.substring(bases, F.lit(1), (k % n).cast("int")))
     return F.struct((after + k).alias("position"), F.when(n > 0, wrapped).otherwise(turned).alias("bases"))
+
+
+#: What a mismatch costs at each of a spacer's 20 positions, the last next to the PAM (Hsu and others, 2013).
+POSITION_COST = (0.0, 0.0, 0.014, 0.0, 0.0, 0.395, 0.317, 0.0, 0.389, 0.079, 0.445, 0.508, 0.613, 0.851, 0.732, 0.828, 0.615, 0.804, 0.685, 0.583)
+
+
+def site_score(guide: Column, target: Column) -> Column:
+    """The published score of a site by its mismatches, 0 to 100: by position, crowding and number; null unless both have 20 letters.
+
+    Product tables leave it out, as it hasn't been held against an accepted implementation.
+    """
+    at = lambda x, i: F.upper(F.substring(x, i, F.lit(1)))
+    wrong = F.filter(F.sequence(F.lit(1), F.lit(20)), lambda i: at(guide, i) != at(target, i))
+    n = F.size(wrong).cast("double")
+    kept = F.aggregate(wrong, F.lit(1.0), lambda a, i: a * (1 - F.get(F.array(*map(F.lit, POSITION_COST)), i - 1)))
+    gap = F.when(n > 1, (F.array_max(wrong) - F.array_min(wrong)) / (n - 1)).otherwise(19.0)  # neighbours' gaps add up to the span
+    score = F.when(n == 0, 100.0).otherwise(100 * kept / ((19 - gap) / 19 * 4 + 1) / (n * n))
+    return F.when((F.length(guide) == 20) & (F.length(target) == 20), score)

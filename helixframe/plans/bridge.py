@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import identity, sequence, statistics
+from helixframe.functions.identity import all_bare, bare, scope
 from helixframe.operators import classify, cohort, constructs, differential, emission, families, intended, intervals, junctions, pileup, review, sites, subclonal
 from helixframe.plans import evidence, gates
-from helixframe.plans.audit import audit
+from helixframe.plans.audit import Audit, audit, audit_clones
 from helixframe.plans.session import cut
 from helixframe.sources import products
 
@@ -878,8 +879,8 @@ u AS (SELECT * FROM d WHERE event_id NOT IN (SELECT event_id FROM g GROUP BY 1 H
 _NAMES = "CASE kind WHEN 0 THEN 'SNP' WHEN 1 THEN 'JC' ELSE 'MOB' END"
 
 
-def _records(spark, sf_dir, status: str) -> DataFrame:
-    """Orders in a status as records on regions: substitutions, junctions and elements at places of their customer."""
+def _records(spark, sf_dir, status: str, *more) -> DataFrame:
+    """Orders in a status as records on regions: substitutions, junctions and elements at places of their customer; more columns go before."""
     text = lambda c: c.cast("string")
     at = F.col("o_custkey") * 100
     off = F.when(F.col("o_orderstatus") == "O", F.col("o_custkey") % 3 * 4).otherwise(0)
@@ -887,7 +888,7 @@ def _records(spark, sf_dir, status: str) -> DataFrame:
     fields = F.when(kind == 0, F.array(seq, text(at + 70), F.substring(F.lit("ACGT"), (F.col("o_orderkey") % 4 + 1).cast("int"), F.lit(1))))
     fields = fields.when(kind == 1, F.array(seq, text(at + off), F.lit("1"), seq, text(at + 50 + off), F.lit("-1"), F.lit("0"))).otherwise(F.array(seq, text(at + 20 + off), F.lit("IS1"), F.lit("1"), F.lit("4")))
     rows = _t(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status).join(F.broadcast(_t(spark, sf_dir, "region")), F.col("o_custkey") % 5 == F.col("r_regionkey"))
-    return rows.select(F.col("o_orderkey").alias("id"), F.when(kind == 0, "SNP").when(kind == 1, "JC").otherwise("MOB").alias("kind"), fields.alias("fields"))
+    return rows.select(*more, F.col("o_orderkey").alias("id"), F.when(kind == 0, "SNP").when(kind == 1, "JC").otherwise("MOB").alias("kind"), fields.alias("fields"))
 
 
 def _pair(spark, sf_dir):
@@ -924,6 +925,45 @@ def unintended_events(spark, sf_dir):
     return found.unintended.select("event_id", "kind", F.get("fields", F.lit(0)).alias("seq_id"), F.floor(F.get("fields", F.lit(1)).cast("long") / 100).alias("custkey"))
 
 
+# --- audits of many clones: the orders of each priority are one, all against the same starter
+
+_CLONE_SQL = (
+    _EVENT_SQL
+    + """, ce AS (SELECT 'p' || substr(o_orderpriority, 1, 1) AS clone_id, d.event_id, d.kind, d.k, d.s, d.alt FROM p JOIN orders ON o_orderkey = p.id JOIN d ON d.event_id = 'DV1_' || substr(sha256(unhex(p.image)), 1, 32) WHERE p.st = 'F' GROUP BY ALL),
+cj AS (
+  SELECT 'p' || (c_custkey % 5 + 1) AS clone_id, c_custkey AS edit_id, 'snp' AS kind, list(event_id ORDER BY event_id) FILTER (alt = 'A') AS hits, list(event_id ORDER BY event_id) FILTER (alt <> 'A') AS others FROM customer LEFT JOIN ce ON ce.k = c_custkey AND ce.kind = 0 AND ce.clone_id = 'p' || (c_custkey % 5 + 1) WHERE c_custkey % 3 = 0 GROUP BY 1, 2
+  UNION ALL SELECT 'p' || (c_custkey % 5 + 1), -1 - c_custkey, 'mob', list(event_id ORDER BY event_id) FILTER (event_id IS NOT NULL), NULL FROM customer LEFT JOIN ce ON ce.k = c_custkey AND ce.kind = 2 AND ce.clone_id = 'p' || (c_custkey % 5 + 1) WHERE c_custkey % 7 = 0 GROUP BY 1, 2
+), ca AS (
+  SELECT clone_id, edit_id, kind, CASE WHEN len(hits) > 0 THEN CASE WHEN len(others) > 0 THEN 'partial' ELSE 'complete' END WHEN len(others) > 0 THEN 'partial' ELSE 'missing' END AS status,
+         coalesce(CASE WHEN len(hits) > 0 THEN hits ELSE others END, []) AS matched, coalesce(CASE WHEN len(hits) > 0 THEN others END, []) AS unexpected FROM cj
+), cg AS (SELECT clone_id, unnest(matched) AS event_id, status FROM ca UNION ALL SELECT clone_id, unnest(unexpected), 'unexpected' FROM ca),
+cx AS (SELECT clone_id, event_id FROM cg GROUP BY 1, 2 HAVING bool_and(status = 'complete'))
+"""
+)
+
+
+def _clone_audit(spark, sf_dir) -> Audit:
+    starter, contigs = _pair(spark, sf_dir)[1:]
+    records = _records(spark, sf_dir, "F", F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1)).alias("clone_id"))
+    edits = _edits(spark, sf_dir)
+    owner = F.when(F.col("edit_id") >= 0, F.col("edit_id")).otherwise(-1 - F.col("edit_id"))
+    return audit_clones(records, starter, contigs, edits.withColumn("clone_id", F.concat(F.lit("p"), (owner % 5 + 1).cast("string"))))
+
+
+@query(_CLONE_SQL + "SELECT clone_id, CAST(edit_id AS VARCHAR) AS edit_id, kind, status, array_to_string(matched, ',') AS matched, array_to_string(unexpected, ',') AS unexpected FROM ca")
+def clone_assessments(spark, sf_dir):
+    """Each clone's declared edits, judged by its own events; all clones are one plan."""
+    judged = _clone_audit(spark, sf_dir).assessments
+    return judged.select(scope("edit_id").alias("clone_id"), bare("edit_id").alias("edit_id"), "kind", "status", all_bare(F.array_join("matched", ",")).alias("matched"), all_bare(F.array_join("unexpected", ",")).alias("unexpected"))
+
+
+@query(_CLONE_SQL + f"SELECT clone_id, event_id, {_NAMES} AS kind, s AS seq_id, k AS custkey, CASE WHEN kind = 0 THEN 'scattered_snv' ELSE 'structural' END AS class FROM ce WHERE NOT EXISTS (SELECT 1 FROM cx WHERE cx.clone_id = ce.clone_id AND cx.event_id = ce.event_id)")
+def clone_unintended(spark, sf_dir):
+    """What the audits of all clones, in one plan, leave beside each clone's edits, with its class."""
+    found = _clone_audit(spark, sf_dir).unintended
+    return found.select(scope("event_id").alias("clone_id"), bare("event_id").alias("event_id"), "kind", bare(F.get("fields", F.lit(0))).alias("seq_id"), F.floor(F.get("fields", F.lit(1)).cast("long") / 100).alias("custkey"), "class")
+
+
 # --- the composed audit -----------------------------------------------------------------------------------------------
 
 _KINDS = {"1-URGENT": "SNP", "2-HIGH": "DEL", "3-MEDIUM": "INS", "4-NOT SPECIFIED": "MOB", "5-LOW": "JC"}

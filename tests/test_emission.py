@@ -153,7 +153,9 @@ def test_run(spark, tmp_path):
     alt = lambda p: "ACGT"["ACGT".index(seq[p - 1]) - 1]
     (tmp_path / "ref.fa").write_text(f">c\n{seq}\n")
     (tmp_path / "starter.gd").write_text(GD + f"SNP\t1\t.\tc\t50\t{alt(50)}\n")
-    (tmp_path / "edited.gd").write_text(GD + f"SNP\t1\t.\tc\t50\t{alt(50)}\nSNP\t2\t.\tc\t100\t{alt(100)}\nDEL\t3\t.\tc\t200\t10\n")
+    (tmp_path / "edited.gd").write_text(GD + f"SNP\t1\t.\tc\t50\t{alt(50)}\nSNP\t2\t5,6\tc\t100\t{alt(100)}\nDEL\t3\t.\tc\t200\t10\nRA\t5\t.\tc\t100\t0\tA\tC\nMC\t6\t.\tc\t7\t9\t0\t0\n")
+    gene = lambda n, a, b: f"     CDS             {a}..{b}\n                     /locus_tag=\"{n}\"\n"
+    (tmp_path / "ref.gb").write_text("LOCUS       c 400 bp\nFEATURES             Location\n" + gene("b1", 90, 150) + gene("b2", 300, 390) + "ORIGIN\n//\n")
     (tmp_path / "intended.tsv").write_text(f"edit_id\tseq_id\tstart\tend\tref\talt\tkind\nE1\tc\t100\t100\t{seq[99]}\t{alt(100)}\tsnp\n")
     path = lambda n: str(tmp_path / n)
     run.run_audit(spark, path("edited.gd"), path("starter.gd"), [path("ref.fa")], path("out"), path("intended.tsv"))
@@ -163,6 +165,7 @@ def test_run(spark, tmp_path):
     assert outcome["status"] == "COMPLETE" and outcome["matched_event_ids"] == "2" and outcome["unexpected_events"] == "NONE"
     variants = {r["position"]: r for r in (dict(zip(lines["post_edit_variants.tsv"][0].split("\t"), x.split("\t"))) for x in lines["post_edit_variants.tsv"][1:])}
     assert {p: (v["gd_type"], v["intended_relation"], v["size_class"], v["review_priority"]) for p, v in variants.items()} == {"100": ("SNP", "EXPECTED", "SMALL", "LOW"), "200": ("DEL", "UNRELATED", "STRUCTURAL", "HIGH")}
+    assert {p: (v["evidence"], v["gene"], v["locus_tag"], v["feature_type"]) for p, v in variants.items()} == {"100": ("RA=1;MC=1;JC=NA", "NA", "b1", "CDS"), "200": ("RA=NA;MC=NA;JC=NA", "b1/b2", "NA", "intergenic")}
     assert "offtarget_search_status\tNOT_PERFORMED" in lines["provenance.tsv"] and len(lines["unintended.tsv"]) == 2
     (tmp_path / "m.tsv").write_text("clone_id\tr1\tintended_tsv\nk1\tedited.gd\tintended.tsv\nk2\tstarter.gd\t.\nk3\tnone.gd\t.\n")
     (tmp_path / "bad.gd").write_text(GD + "SNP\t1\t.\tc\t50\n")

@@ -104,3 +104,20 @@ def test_geometry_and_families(spark):
     names = {"IS1": "IS1 family", "is150_x": "IS3 family", "IS186B": "IS4 family", "Tn7": "Tn7 family", "IS9999": "IS9999 family", "foo": "Mobile Element", "IS110": "IS110 family"}
     df = spark.createDataFrame([(k,) for k in names], "n string")
     assert {r.n: r.f for r in df.select("n", classify.element_family(F.col("n")).alias("f")).collect()} == names
+
+
+def test_site_score(spark):
+    guide = "GACTGACTGACTGACTGACT"
+    turned = lambda *at: "".join("ACGT"[("ACGT".index(c) + 1) % 4] if i in at else c for i, c in enumerate(guide))
+    cases = [(), (0,), (19,), (5, 13), (2, 6, 19), tuple(range(20))]
+    rows = spark.createDataFrame([(k, guide.lower(), turned(*c)) for k, c in enumerate(cases)] + [(99, guide, "ACGT"), (98, None, guide)], "k int, g string, t string")
+    got = {r.k: r.s for r in rows.select("k", sequence.site_score(F.col("g"), F.col("t")).alias("s")).collect()}
+    for k, c in enumerate(cases):
+        want = 100.0
+        for i in c:
+            want *= 1 - sequence.POSITION_COST[i]
+        if c:
+            gaps = [b - a for a, b in zip(c, c[1:])]
+            want /= ((19 - (sum(gaps) / len(gaps) if gaps else 19)) / 19 * 4 + 1) * len(c) ** 2
+        assert got[k] == pytest.approx(want, abs=1e-9)
+    assert got[99] is None and got[98] is None

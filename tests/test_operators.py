@@ -313,3 +313,15 @@ def test_rank_of_a_whole_table(spark):
         want = junctions.rank_and_cap(df.withColumn("g", F.lit(1)), ["g"], "seeds", "len", ["k"], F.lit(budget), most).select("k", "rank", "total")
         got = junctions.rank_and_cap_all(df, "seeds", "len", ["k"], budget, most).select("k", "rank", "total")
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_annotations_and_point_links(spark):
+    """Genes by event, within and between features; links by where a record begins."""
+    features = spark.createDataFrame([(0, "c", 100, 200, "gene", "b1", "thrA"), (1, "c", 100, 200, "CDS", "b1", "thrA"), (2, "c", 300, 400, "CDS", "b2", None)], "ord int, seq_id string, start long, end long, feature_type string, locus_tag string, gene_name string")
+    events = spark.createDataFrame([("in", "k1\x1fc", 150), ("locus", "c", 300), ("between", "c", 250), ("before", "c", 50), ("after", "c", 500), ("none", "d", 5)], "event_id string, seq_id string, position long")
+    got = {r.event_id: tuple(r)[1:4] for r in classify.annotations(events, features).collect()}
+    assert got == {"in": ("thrA", "b1", "CDS"), "locus": (None, "b2", "CDS"), "between": ("thrA/b2", None, "intergenic"), "before": ("thrA", None, "intergenic"), "after": ("b2", None, "intergenic"), "none": (None, None, None)}
+    sites = spark.createDataFrame([("S1", "c", 160, 182, 1, "AGG"), ("S2", "d", 10, 32, 0, "TGG")], "site_id string, seq_id string, start long, end long, mismatches int, pam string")
+    records = spark.createDataFrame([("a", "DEL", ["c", "100", "200"]), ("b", "DEL", ["c", "150", "9"]), ("j", "JC", ["c", "190", "1", "d", "40", "-1", "0"]), ("s", "SNP", ["c", "170", "A"])], "event_id string, kind string, fields array<string>")
+    links = {(r.event_id, r.side, r.site_id, r.distance) for r in classify.links_by_point(records, sites, 10).collect()}
+    assert links == {("b", 1, "S1", 10), ("j", 1, "S1", 8), ("j", 2, "S2", 8), ("s", 1, "S1", 0)}
