@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from helixframe.functions import identity, sequence
 from helixframe.operators import segments
@@ -118,18 +121,56 @@ def cheapest_matching(edges: list[tuple[int, int, int, int]], undo: int = -1) ->
             b = best["L", a][1]
 
 
+def _apart(edges: list[tuple]) -> list[list[tuple]]:
+    """Edges (a, b, ...) by connected component, each in the order given."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for e in edges:
+        parent[root(("L", e[0]))] = root(("R", e[1]))
+    out: dict = {}
+    for e in edges:
+        out.setdefault(root(("L", e[0])), []).append(e)
+    return list(out.values())
+
+
 def one_to_one(candidates: DataFrame, block: list[str], undo: int = -1) -> DataFrame:
     """The matched pairs of candidates, each block on its own: (block, edited_id, starter_id); undo as in cheapest_matching.
 
-    Blocks are the discrete columns with a stretch of positions that no candidate leaves; they stay small.
+    Blocks are the discrete columns with a stretch of positions that no candidate leaves; they stay small. Sorted rows
+    stream through each task block by block, and a block's connected components are matched one after the other: no
+    path leaves a component, so the pairs are those of the whole block.
     """
-
-    def matched(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        pairs = cheapest_matching(list(rows[["edited_id", "starter_id", "max_delta", "sum_delta"]].itertuples(index=False, name=None)), undo)
-        return pd.DataFrame([(*key, a, b) for a, b in pairs], columns=[*block, "edited_id", "starter_id"])
-
-    kinds = dict(candidates.dtypes)
-    return candidates.groupBy(*block).applyInPandas(matched, ", ".join(f"{c} {kinds[c]}" for c in [*block, "edited_id", "starter_id"]))
+    names, n = [*block, "edited_id", "starter_id"], len(block)
+    arrow = to_arrow_schema(candidates.select(*names).schema)
+
+    def pairs(key: tuple | None, edges: list[tuple]) -> list[tuple]:
+        if len(edges) < 2:
+            return [(*key, a, b) for a, b, *_ in edges]
+        return [(*key, a, b) for part in _apart(edges) for a, b in cheapest_matching(part, undo)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), arrow)], schema=arrow)
+        now, edges = None, []
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:n] != now:
+                    out += pairs(now, edges)
+                    now, edges = row[:n], []
+                edges.append(row[n:])
+            if out:
+                yield table(out)
+        if edges:
+            yield table(pairs(now, edges))
+
+    # the rows are few bytes and much work, so their number of tasks is the cluster's, not one by size
+    dealt = candidates.select(*names, "max_delta", "sum_delta").repartition(4 * candidates.sparkSession.sparkContext.defaultParallelism, *block)
+    return dealt.sortWithinPartitions(*block).mapInArrow(run, candidates.select(*names).schema)
 
 
 def mutual_nearest(candidates: DataFrame) -> DataFrame:
