@@ -183,6 +183,8 @@ SAMPLE, SEEN, FREQUENT = 16, 4, 1_000_000
 WHOLE, FIRST = 128, 3
 #: Bits of the parity sketch of a set of shingles, and texts that one task compares the others of a large key with.
 SKETCH, BLOCK = 1024, 4096
+#: Up to so many ids, as counted, go to the texts; beyond, the texts are dealt out by their ids.
+SENT_IDS = 4_000_000
 
 
 def _mapped(df: DataFrame, make, schema: str) -> DataFrame:
@@ -335,6 +337,12 @@ def _against(similarity: float):
     return run
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """A column of ids, written, and sent to the tasks of what it is joined with if it is small enough."""
+    ids, _ = written(ids)
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets of shingles are as similar, by the sets themselves."""
 
@@ -356,7 +364,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, s
 
         return f
 
-    some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    some = _few(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     sets = _mapped(docs.join(some, "doc_id", "left_semi"), make_set, "id long, sig binary, set binary")
     sets = sets.join(nodes.select("id", "sig"), ["id", "sig"], "left_semi").dropDuplicates(["id", "sig"])
     sets, _ = written(sets.select("id", "set"))
@@ -364,6 +372,34 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, s
     return cut(_mapped(both.select("a", "b", "one", "two"), make_check, "a long, b long"))
 
 
+def _printed(nodes: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of ids that join all nodes (id, n, fp) whose fingerprints lie within the distance."""
+    nodes = nodes.where("n > 0").select("id", "fp")
+    first = cut(nodes.groupBy("fp").agg(F.min("id").alias("first")))
+    same = nodes.join(first, "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    one, two = (first.select(F.col("fp").alias(c), F.col("first").alias(f"of_{c}")) for c in "ab")
+    near = links(first.select("fp"), distance).join(one, "a").join(two, "b")
+    return same.union(near.select(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")))
+
+
+def _open(pairs: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, na, nb) whose roots differ and whose sketches allow the similarity, as (a, b)."""
+    share = (1 - similarity) / (1 + similarity)
+
+    def make():
+        def f(a, b, na, nb, one, two):
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u8").reshape(-1, SKETCH // 64) for c in (one, two))
+            good = pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= share * (na.to_numpy() + nb.to_numpy()) + 1e-9)
+            return a.filter(good), b.filter(good)
+
+        return f
+
+    known = nodes.select("id", "sketch").join(roots, nodes.id == roots.node, "left").select("id", "sketch", F.coalesce("root", "id").alias("root"))
+    one, two = (known.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("root").alias(f"root_{c}")) for c in "ab")
+    both = pairs.join(one, "a").join(two, "b").where("root_a <> root_b")
+    return _mapped(both.select("a", "b", "na", "nb", "sketch_a", "sketch_b"), make, "a long, b long").distinct()
+
+
 def _rest(full: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of members (key, id, n) of large keys that may be as similar and whose roots differ.
 
@@ -383,12 +419,15 @@ def _rest(full: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float
     return rows.mapInArrow(_against(similarity), "a long, b long").distinct()
 
 
-def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = WHOLE) -> DataFrame:
+def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = WHOLE, distance: int = 4) -> DataFrame:
     """doc_id of one document, the smallest, of each group of near duplicates of (doc_id, text).
 
-    Prefix filter, without chance: in one order of all shingles, two sets that are as similar share one of their
+    SimHash first: fingerprints of the shingles within the distance, found by links() as in simhash_groups, make pairs
+    that are verified by the sets of shingle hashes. What these don't join, an exact check completes, as fingerprints
+    at the similarity may differ in more bits. It is a prefix filter, without chance: in one order of all shingles, two sets that are as similar share one of their
     first n - ceil(similarity * n) + 1 shingles, so each of these is a join key. A pair that shares too few of them to
-    reach the similarity is dropped; the others are verified by their sets of shingle hashes (64 bits). Of a key of more
+    reach the similarity is dropped, as is one that is joined already or that sketches rule out; the others are verified
+    by their sets of shingle hashes (64 bits). Of a key of more
     than `bucket` texts, each is paired with a few others first, others for each key, which joins most of a large group;
     what that leaves apart is then compared with the key's other texts by sketches that lose no pair, so large groups
     don't make all their pairs. Texts without words are copies of one another. Rows without a doc_id are left out.
@@ -398,9 +437,10 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, bu
 
     def make():
         def f(ids, texts):
-            sets = [np.unique(shingle_hashes(t, words)) for t in texts.to_pylist()]
+            hashes = [shingle_hashes(t, words) for t in texts.to_pylist()]
+            prints, sets = [fingerprint(x) for x in hashes], [np.unique(x) for x in hashes]
             digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-            return ids, digests, [len(x) for x in sets], [_leading(x, frequent.value, similarity).tobytes() if len(x) else b"" for x in sets], [_sketch(x) for x in sets]
+            return ids, digests, [len(x) for x in sets], [_leading(x, frequent.value, similarity).tobytes() if len(x) else b"" for x in sets], [_sketch(x) for x in sets], prints
 
         return f
 
@@ -412,8 +452,9 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, bu
 
         return f
 
-    prints = _mapped(docs, make, "doc_id long, sig binary, n long, leading binary, sketch binary")
-    nodes = cut(prints.groupBy("sig").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "leading", "sketch"))))
+    prints = _mapped(docs, make, "doc_id long, sig binary, n long, leading binary, sketch binary, fp long")
+    nodes = cut(prints.groupBy("sig").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("n", "leading", "sketch"))))
+    roots = cut(connected_components(_verified(cut(_printed(nodes, distance).distinct()), docs, nodes, words, similarity)))
     rows = _mapped(nodes.select("id", "n", "leading").where("n > 0"), make_keys, "key long, n long, id long")
     # equal sizes, roughly, stand together; within these, each key has its own order
     rows = rows.repartition("key").sortWithinPartitions("key", F.floor(F.log("n") / max(1e-6, -math.log(similarity))), F.xxhash64("key", "id"), "id").select("key", "n", "id")
@@ -421,13 +462,14 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, bu
     need = F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-9)
     rest = F.greatest(*(F.ceil(F.col(c) * similarity - 1e-9) - 1 for c in ("na", "nb")))
     close = met.where("kind < 2").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"), F.max("kind").alias("kind")).where((F.col("kind") == 1) | (F.col("shared") + rest >= need))
-    links = _verified(cut(close.select("a", "b").distinct()), docs, nodes, words, similarity)
-    roots = connected_components(links)
+    more = _verified(cut(_open(close.select("a", "b", "na", "nb"), nodes, roots, similarity)), docs, nodes, words, similarity)
+    joined = lambda roots, more: connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    roots = joined(roots, more)
     full = met.where("kind = 2").select(F.col("b").alias("key"), F.col("a").alias("id"), F.col("na").alias("n"))
     if full.limit(1).count():
         roots = cut(roots)
         found = _verified(cut(_rest(full, nodes, roots, similarity)), docs, nodes, words, similarity)
-        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+        roots = joined(roots, found)
     return nodes.join(roots, nodes.id == roots.node, "left").where("root is null or root = id").select(F.col("id").alias("doc_id")).distinct()
 
 
@@ -436,5 +478,5 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
 
     Rows without a doc_id stay; rows that share one stay or go together.
     """
-    gone = docs.select("doc_id").where("doc_id is not null").distinct().join(representatives(docs, words, similarity), "doc_id", "left_anti")
+    gone = _few(docs.select("doc_id").where("doc_id is not null").distinct().join(representatives(docs, words, similarity), "doc_id", "left_anti"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
