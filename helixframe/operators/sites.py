@@ -141,25 +141,44 @@ def _bulged(bits: np.ndarray, at: np.ndarray, guide: list[int], bulge: int) -> n
     return (before[[c - 1 for c in inner]] + behind[[c - 1 for c in inner]]).min(0)
 
 
-def _sites(contigs: DataFrame, guide: str, nuclease: Nuclease, most: int, bulge: int, piece: int) -> DataFrame:
+def _sites(contigs: DataFrame, guide: str, nuclease: Nuclease, most: int, kinds: list[tuple[str, int, int]], piece: int) -> DataFrame:
+    """Sites of each kind (name, size, bulge), all in one pass over the contigs."""
     guide = guide.upper().replace("U", "T")
-    n, k = len(guide) + bulge, len(nuclease.pam)
-    size = n + k
+    k = len(nuclease.pam)
 
     def make(data):
         bits = _BIT[data]
-        for minus in (False, True):
-            proto, pam, pattern = _layout(nuclease, n, minus)
-            codes = _bits(guide.translate(sequence.COMPLEMENT)[::-1] if minus else guide)
-            found = _motif(bits, pam, pattern, max(0, len(data) - size + 1))
-            for i in range(0, len(found), ROWS):
-                at = found[i : i + ROWS]
-                wrong = _bulged(bits, at + proto, codes, bulge) if bulge else _wrong(bits, at + proto, codes)
-                at, wrong = at[wrong <= most], wrong[wrong <= most]
-                yield at, pa.array(at), pa.repeat(pa.scalar("-" if minus else "+"), len(at)), _strings(data, at + proto, n, minus), _strings(data, at + pam, k, minus), pa.array(wrong)
+        for name, bulged, bulge in kinds:
+            n = len(guide) + bulge
+            for minus in (False, True):
+                proto, pam, pattern = _layout(nuclease, n, minus)
+                codes = _bits(guide.translate(sequence.COMPLEMENT)[::-1] if minus else guide)
+                found = _motif(bits, pam, pattern, max(0, len(data) - n - k + 1))
+                for i in range(0, len(found), ROWS):
+                    at = found[i : i + ROWS]
+                    wrong = _bulged(bits, at + proto, codes, bulge) if bulge else _wrong(bits, at + proto, codes)
+                    at, wrong = at[wrong <= most], wrong[wrong <= most]
+                    every = lambda x, t=pa.string(), m=len(at): pa.repeat(pa.scalar(x, t), m)
+                    yield at, every(n + k, pa.int64()), every("-" if minus else "+"), _strings(data, at + proto, n, minus), _strings(data, at + pam, k, minus), pa.array(wrong), every(name), every(bulged, pa.int32())
+
+    longest = max(len(guide) + bulge + k for _, _, bulge in kinds)
+    found = _map_pieces(pieces(contigs, longest - 1, piece), make, "seq_id string, start long, `end` long, strand string, target string, pam string, mismatches int, bulge_type string, bulge_size int", piece)
+    return found.withColumn("end", F.col("start") + F.col("end") - 1)
+
+
+def fitting(contigs: DataFrame, length: int, pattern: str, piece: int = PIECE) -> DataFrame:
+    """(seq_id, windows, fits): how many substrings of a length each contig has, and how many begin with a pattern of IUPAC codes.
+
+    They are counted where they lie, without a row for each; contigs shorter than the length don't appear.
+    """
 
-    found = _map_pieces(pieces(contigs, size - 1, piece), make, 'seq_id string, start long, `end` long, strand string, target string, pam string, mismatches int', piece)
-    return found.withColumn("end", F.col("start") + size - 1)
+    def make(data):
+        n = min(len(data) - length + 1, piece)
+        if n > 0:
+            yield np.zeros(1, np.int64), pa.array([n], pa.int64()), pa.array([len(_motif(_BIT[data], 0, pattern, n))], pa.int64())
+
+    found = _map_pieces(pieces(contigs, length - 1, piece), make, "seq_id string, start long, windows long, fits long", piece)
+    return found.groupBy("seq_id").agg(F.sum("windows").alias("windows"), F.sum("fits").alias("fits"))
 
 
 def scan(contigs: DataFrame, guide: str, nuclease: Nuclease = CAS9, most: int = 4, piece: int = PIECE) -> DataFrame:
@@ -169,7 +188,7 @@ def scan(contigs: DataFrame, guide: str, nuclease: Nuclease = CAS9, most: int =
     mismatches. The reverse strand is the same search of the top strand with guide and PAM turned around. Letters other
     than A, C, G, T mismatch; U is T. Null sequences have no sites.
     """
-    return _sites(contigs, guide, nuclease, most, 0, piece)
+    return _sites(contigs, guide, nuclease, most, [("none", 0, 0)], piece).drop("bulge_type", "bulge_size")
 
 
 def scan_bulges(contigs: DataFrame, guide: str, nuclease: Nuclease = CAS9, most: int = 4, dna: int = 1, rna: int = 1, piece: int = PIECE) -> DataFrame:
@@ -178,11 +197,7 @@ def scan_bulges(contigs: DataFrame, guide: str, nuclease: Nuclease = CAS9, most:
     Sites with and without a bulge are listed side by side, as their spans differ.
     """
     kinds = [("none", 0, 0), *(("DNA", k, k) for k in range(1, dna + 1)), *(("RNA", k, -k) for k in range(1, rna + 1))]
-    out = None
-    for name, size, bulge in kinds:
-        found = _sites(contigs, guide, nuclease, most, bulge, piece).withColumns({"bulge_type": F.lit(name), "bulge_size": F.lit(size)})
-        out = found if out is None else out.unionByName(found)
-    return out
+    return _sites(contigs, guide, nuclease, most, kinds, piece)
 
 
 def rolled(data: np.ndarray, k: int) -> np.ndarray:

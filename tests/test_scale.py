@@ -27,3 +27,17 @@ def test_matching_is_dealt_out_by_components(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan and out.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     assert differential.one_to_one(table.limit(0), ["k"]).count() == 0
+
+
+def test_scans_read_contigs_once(spark):
+    from helixframe.operators import sites
+
+    contigs = spark.createDataFrame([("a", "ACGTUGGACCTTAGGRA" * 9), ("b", "ACG"), ("c", None), ("d", "atgcccgta")], "seq_id string, seq string")
+    rows = {}
+    for r in sites.windows(contigs, 5).collect():
+        n, fits = rows.get(r.seq_id, (0, 0))
+        rows[r.seq_id] = (n + 1, fits + (r.window[0] in "AG" and r.window[1] in "CTU" and r.window[2] in "ACG"))
+    for piece in (20, sites.PIECE):
+        assert {r.seq_id: (r.windows, r.fits) for r in sites.fitting(contigs, 5, "RYV", piece).collect()} == rows
+    plan = sites.scan_bulges(contigs, "ACGTTGG", sites.CAS9, 3, 1, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
